@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import fingerprints, langid, mixing, secrets, sharding, topk
 from .common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text; documents held out by checksum of their id teach nothing."""
+    held_out = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0).alias("held_out")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out)
+    model = langid.fit(docs.where(~F.col("held_out")).select(F.col("doc_id").alias("id"), "text", "lang"))
+    return langid.identify(docs, model, keep=("held_out",)).withColumnRenamed("id", "doc_id")
+
+
+def op3_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and of its edited text, and their likeness."""
+    return fingerprints.compare_neighbours(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's size, its source's size and target, and the words that the mix takes."""
     return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
@@ -20,5 +33,17 @@ def op7_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op4_mix_sources": op4_mix_sources, "op7_jump_shards": op7_jump_shards}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text, with what ownership over the corpus adds."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_bare", "n_live")
+
+
+def op10_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all other vectors for each vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_lz_fingerprints, op4_mix_sources, op7_jump_shards, op9_secret_scan, op10_block_top_k)}
 ORACLE_SQL: dict = {}
