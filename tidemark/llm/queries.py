@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, secrets, sharding, topk
+from . import fingerprints, jaccard, langid, mixing, secrets, sharding, topk
 from .common import table
 
 
@@ -27,6 +27,12 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
 
 
+def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles are alike to 90 percent."""
+    found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op7_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 15 by jump consistent hashing, with slots and the shard among 17."""
     shards = sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16)
@@ -45,5 +51,5 @@ def op10_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_lz_fingerprints, op4_mix_sources, op7_jump_shards, op9_secret_scan, op10_block_top_k)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_lz_fingerprints, op4_mix_sources, op5_jaccard_components, op7_jump_shards, op9_secret_scan, op10_block_top_k)}
 ORACLE_SQL: dict = {}
