@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, langid, mixing, secrets, sharding, topk
+from . import fingerprints, jaccard, langid, mixing, pieces, secrets, sharding, topk
 from .common import table
 
+#: The vocabulary file; a parameter of the operator.
+MODEL = os.environ.get("TIDEMARK_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text; documents held out by checksum of their id teach nothing."""
@@ -17,6 +22,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=("held_out",)).withColumnRenamed("id", "doc_id")
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded: counts and digests of ids and of the decoded text."""
+    return pieces.encode_digests(table(spark, sf_dir, "documents"), MODEL).withColumnRenamed("id", "doc_id")
+
+
 def op3_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and their likeness."""
     return fingerprints.compare_neighbours(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -51,5 +61,5 @@ def op10_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_lz_fingerprints, op4_mix_sources, op5_jaccard_components, op7_jump_shards, op9_secret_scan, op10_block_top_k)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_pieces, op3_lz_fingerprints, op4_mix_sources, op5_jaccard_components, op7_jump_shards, op9_secret_scan, op10_block_top_k)}
 ORACLE_SQL: dict = {}
