@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, langid, mixing, pieces, secrets, sharding, topk
+from . import fingerprints, jaccard, langid, mixing, pieces, quality, secrets, sharding, topk
 from .common import table
 
 #: The vocabulary file; a parameter of the operator.
@@ -43,6 +43,14 @@ def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by the co-trained views, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
+    views = quality.fit(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("y")))
+    scored = quality.score(docs, views).withColumnRenamed("id", "doc_id")
+    return scored.withColumn("kept", F.col("score") >= quality.THRESHOLD)
+
+
 def op7_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 15 by jump consistent hashing, with slots and the shard among 17."""
     shards = sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16)
@@ -61,5 +69,5 @@ def op10_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_pieces, op3_lz_fingerprints, op4_mix_sources, op5_jaccard_components, op7_jump_shards, op9_secret_scan, op10_block_top_k)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_pieces, op3_lz_fingerprints, op4_mix_sources, op5_jaccard_components, op6_quality, op7_jump_shards, op9_secret_scan, op10_block_top_k)}
 ORACLE_SQL: dict = {}
