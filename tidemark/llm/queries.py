@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, langid, mixing, pieces, quality, secrets, sharding, topk
+from . import fingerprints, jaccard, langid, mixing, pieces, quality, repeats, secrets, sharding, topk
 from .common import table
 
 #: The vocabulary file; a parameter of the operator.
@@ -57,6 +57,11 @@ def op7_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every whole text without 200-byte strings that occur elsewhere."""
+    return repeats.dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text, with what ownership over the corpus adds."""
     found = secrets.scan(table(spark, sf_dir, "documents"))
@@ -69,5 +74,5 @@ def op10_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_pieces, op3_lz_fingerprints, op4_mix_sources, op5_jaccard_components, op6_quality, op7_jump_shards, op9_secret_scan, op10_block_top_k)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_pieces, op3_lz_fingerprints, op4_mix_sources, op5_jaccard_components, op6_quality, op7_jump_shards, op8_repeats, op9_secret_scan, op10_block_top_k)}
 ORACLE_SQL: dict = {}
