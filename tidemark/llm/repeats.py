@@ -206,7 +206,7 @@ def _settled(batches):
         for k, r in enumerate(rows):
             if parted[k]:
                 for s in np.flatnonzero(there[k]):
-                    yield r.doc, int(begin[k] + s), int(begin[k] + s + LENGTH), xxhash.xxh3_64_intdigest(r.data[s : s + LENGTH], r.core & (2**64 - 1)) - 2**63
+                    yield r.doc, int(begin[k] + s), int(begin[k] + s + LENGTH), xxhash.xxh3_64_intdigest(r.data[s : s + LENGTH], (r.core + int(s) * _BASE) & (2**64 - 1)) - 2**63
             else:
                 for a, b in _runs(again[k]):
                     yield r.doc, int(begin[k] + a), int(begin[k] + b - 1 + LENGTH), None
