@@ -163,10 +163,10 @@ def _shared(df: DataFrame, path: str):
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids, n_tokens, decoded of every row, in the input's partitions.
+    """id, ids, n_tokens, exact of every row, in the input's partitions.
 
-    A null text counts as empty and gives no ids. decoded equals the text but where it holds
-    U+2581 itself, which reads as a space, or lone surrogates. Ties between segmentations go to
+    A null text counts as empty and gives no ids. exact: decoding gives the text back, as it
+    does but where a text holds U+2581 itself, which reads as a space. Ties between segmentations go to
     the one whose last differing piece is longer. Rows are encoded one by one, so repeated rows
     get equal ids; other columns are left out.
     """
@@ -176,10 +176,11 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     def encode(batches):
         v = shared.value
         for batch in batches:
-            ids = [np.array(v.encode(t or ""), np.int32) for t in batch.text]
-            yield pd.DataFrame({"id": batch.id, "ids": ids, "n_tokens": [len(x) for x in ids], "decoded": [v.decode(x) for x in ids]})
+            ids = [v.encode(t or "") for t in batch.text]
+            exact = [v.decode(x) == (t or "") for x, t in zip(ids, batch.text)]
+            yield pd.DataFrame({"id": batch.id, "ids": [np.array(x, np.int32) for x in ids], "n_tokens": [len(x) for x in ids], "exact": exact})
 
-    return rows.mapInPandas(encode, f"id {dict(rows.dtypes)['id']}, ids array<int>, n_tokens long, decoded string")
+    return rows.mapInPandas(encode, f"id {dict(rows.dtypes)['id']}, ids array<int>, n_tokens long, exact boolean")
 
 
 def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
