@@ -19,18 +19,19 @@ SCALE = 2147483648.0
 #: and a walk that is cut here ends at the same stop for every larger n.
 MOST_STOPS = 128
 
-_U64 = F.lit(str(2**64)).cast("decimal(20,0)")
-_HALF = F.lit(str(2**63)).cast("decimal(20,0)")
+
+def _number(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(20,0)")
 
 
 def _next_key(key: Column) -> Column:
     """key * MULTIPLIER + 1 modulo 2^64, in decimals: bigint arithmetic raises on overflow."""
     product = key * F.lit(str(MULTIPLIER)).cast("decimal(19,0)")
-    return F.pmod(product + F.lit(1).cast("decimal(1,0)"), _U64).cast("decimal(20,0)")
+    return F.pmod(product + F.lit(1).cast("decimal(1,0)"), _number(2**64)).cast("decimal(20,0)")
 
 
 def _next_stop(stop: Column, key: Column) -> Column:
-    signed = F.when(key >= _HALF, key - _U64).otherwise(key).cast("bigint")
+    signed = F.when(key >= _number(2**63), key - _number(2**64)).otherwise(key).cast("bigint")
     high = F.shiftrightunsigned(signed, 33) + F.lit(1)
     return F.floor((stop + 1) * (F.lit(SCALE) / high.cast("double"))).cast("bigint")
 
@@ -43,7 +44,7 @@ def jump_hash(key: Column, shards: int, grown: int | None = None) -> Column:
         raise ValueError("shards must be positive and not exceed grown")
     key = F.coalesce(key.cast("bigint"), F.lit(0)).cast("decimal(20,0)")
     start = F.struct(
-        F.when(key < 0, key + _U64).otherwise(key).cast("decimal(20,0)").alias("key"),
+        F.when(key < 0, key + _number(2**64)).otherwise(key).cast("decimal(20,0)").alias("key"),
         F.lit(0).cast("bigint").alias("next"),
         F.lit(-1).cast("bigint").alias("shard"),
         F.lit(-1).cast("bigint").alias("grown"),
