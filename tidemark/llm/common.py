@@ -36,6 +36,16 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: str) -> DataFrame:
+    """As staged, in a table with a bucket for each shuffle partition: joins and groups by that
+    column read it as it lies, without another shuffle."""
+    spark = df.sparkSession
+    name = f"stage_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, by).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def rows_or_one(df: DataFrame, per: int) -> int:
     """How many groups of about `per` rows df makes, at least one. Parquet counts from footers."""
     return max(1, -(-df.count() // per))

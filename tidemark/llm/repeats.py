@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bucketed, staged
 from .suffixes import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 32
@@ -110,7 +110,7 @@ def _sides(n: int, at: int):
 
 
 def _core_rows(batches):
-    """doc, at, core, around: hashes of the core, and of it and its surroundings."""
+    """doc, spot (2 * place + side), core, around: hashes of the core, and of it and its surroundings."""
     for batch in batches:
         out = []
         for r in batch.itertuples():
@@ -119,19 +119,19 @@ def _core_rows(batches):
                 for side, core, lo, hi in _sides(len(data), at):
                     seed = side + 1
                     whole = xxhash.xxh3_64_intdigest(data[lo:hi], seed + (core - lo) * 4)
-                    out.append((r.doc, at, side, xxhash.xxh3_64_intdigest(data[core : core + _CORE], seed) - 2**63, whole - 2**63))
-        yield pd.DataFrame(out, columns=["doc", "at", "side", "core", "around"])
+                    out.append((r.doc, 2 * at + side, xxhash.xxh3_64_intdigest(data[core : core + _CORE], seed) - 2**63, whole - 2**63))
+        yield pd.DataFrame(out, columns=["doc", "spot", "core", "around"])
 
 
 def _surroundings(batches):
-    """The bytes of wanted (at, side): aligned to the core, with the places that exist."""
+    """The bytes of wanted spots: aligned to the core, with the places that exist."""
     for batch in batches:
         out = []
         for r in batch.itertuples():
             data = r.text.encode("utf-8", "replace")
             for w in r.wanted:
-                for side, core, lo, hi in _sides(len(data), w["at"]):
-                    if side == w["side"]:
+                for side, core, lo, hi in _sides(len(data), w["spot"] // 2):
+                    if side == w["spot"] % 2:
                         begin = core - (_HALF - 1 if side == 0 else _REACH - _HALF)
                         data_ = bytes(lo - begin) + data[lo:hi] + bytes(begin + _SPAN - hi)
                         out.append((w["core"], w["salt"], w["around"], r.doc, begin, lo - begin, hi - begin, data_[:_SPAN]))
@@ -255,32 +255,25 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs: doc (a key of id and text), text. Returns (hits, spans): the rows that hold a
     repeated anchor, and (doc, lo, hi) of repeated strings, which may overlap."""
     rows = staged(docs.mapInPandas(_anchor_rows, "doc long, at long, gram long"))
-    many = rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    many = staged(rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     places = rows.join(many, "gram").groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("places"))
-    hits = staged(docs.join(places, "doc"))
-    cores = staged(hits.mapInPandas(_core_rows, "doc long, at long, side int, core long, around long"))
-    counted = staged(cores.groupBy("core", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at", "side")).alias("of")))
+    hits = bucketed(docs.join(places, "doc"), "doc")
+    cores = staged(hits.mapInPandas(_core_rows, "doc long, spot long, core long, around long"))
+    counted = staged(cores.groupBy("core", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc", "spot")).alias("of")))
 
     # equal surroundings: every window around is repeated
-    same = cores.join(counted.where("n > 1").select("core", "around"), ["core", "around"]).groupBy("doc").agg(F.collect_list(F.struct("at", "side")).alias("wanted"))
-
-    def whole(batches):
-        for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                n = len(r.text.encode("utf-8", "replace"))
-                wanted = {(w["at"], w["side"]) for w in r.wanted}
-                for at in sorted({a for a, _ in wanted}):
-                    out += [(r.doc, lo, hi) for side, _, lo, hi in _sides(n, at) if (at, side) in wanted]
-            yield pd.DataFrame(out, columns=["doc", "lo", "hi"])
-
-    full = hits.join(same, "doc").mapInPandas(whole, "doc long, lo long, hi long")
+    size = hits.select("doc", F.octet_length("text").alias("size")).distinct()
+    same = cores.join(counted.where("n > 1").select("core", "around"), ["core", "around"]).select("doc", "spot").join(size, "doc")
+    at, left = F.floor(F.col("spot") / 2), F.col("spot") % 2 == 1
+    lo = F.greatest(at - F.when(left, _REACH).otherwise(_HALF - 1), F.lit(0))
+    hi = F.least(at + F.when(left, _CORE).otherwise(LENGTH), F.col("size"))
+    full = same.select("doc", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
 
     # different surroundings of one core: one of each goes to the suffix arrays
-    mixed = counted.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = staged(counted.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     part = F.when(F.col("kinds") > _HOT, F.pmod("around", F.ceil(F.col("kinds") / _HOT))).otherwise(F.lit(-1))
-    wanted = counted.join(mixed, "core").select("of.doc", F.struct("of.at", "of.side", "core", "around", part.cast("int").alias("salt")).alias("w")).groupBy("doc").agg(F.collect_list("w").alias("wanted"))
-    around = hits.dropDuplicates(["doc"]).join(wanted, "doc").mapInPandas(_surroundings, "core long, salt int, around long, doc long, begin long, lo int, hi int, data binary")
+    wanted = counted.join(mixed, "core").select("of.doc", F.struct("of.spot", "core", "around", part.cast("int").alias("salt")).alias("w")).groupBy("doc").agg(F.collect_list("w").alias("wanted"))
+    around = hits.join(wanted, "doc").mapInPandas(_surroundings, "core long, salt int, around long, doc long, begin long, lo int, hi int, data binary")
     around = around.repartition("core", "salt").sortWithinPartitions("core", "salt", "around")
     settled = staged(around.mapInPandas(_settled, "doc long, lo long, hi long, window long"))
     across = settled.where("window is not null").groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
@@ -300,7 +293,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("doc"), text.alias("text"))
     hits, spans = repeated_spans(rows.select("doc", "text"))
     by_doc = spans.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    cut = hits.dropDuplicates(["doc"]).join(by_doc, "doc").mapInPandas(_cut, "doc long, n_removed long, n_spans long, kept_sha256 string")
+    cut = hits.join(by_doc, "doc").mapInPandas(_cut, "doc long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc"])
     every = rows.select("id", "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
     out = every.join(cut, "doc", "left")
     return out.select("id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"))
