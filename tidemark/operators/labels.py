@@ -67,6 +67,31 @@ def first_breach(entries: DataFrame, ticks: DataFrame, by: list[str], entry_id:
     return rows.withColumns({"exit_reason": F.coalesce("_exit.reason", F.lit("time")), "exit_time": F.coalesce("_exit.time", F.col(start) + hold), "exit_price": F.coalesce("_exit.price", F.col(entry_price).cast("double"))}).drop("_exit")
 
 
+def dynamic_exit(entries: DataFrame, ticks: DataFrame, scores: DataFrame, by: list[str], entry_id: str, start: str, side: str, entry_price: str, time: str, price: str, tie: str, hold: int, take_profit: float, stop_loss: float, score_time: str, score: str, score_tie: str, reversal: float, widen: float, most: int) -> DataFrame:
+    """One row for each entry: exit_reason, exit_time, exit_price, with a path that is re-scored.
+
+    Each tick sees the latest score known to it and how many scores in a row have had its sign.
+    A score against the entry's side of at least `reversal` ends it, before the take profit,
+    which widens by `widen` for each score of such a row on the entry's side (at most `most`),
+    and the stop loss. Without any, the entry leaves at start + hold for its entry price."""
+    w = Window.partitionBy(*by).orderBy(score_time, score_tie)
+    sign = F.signum(F.col(score))
+    rows = scores.withColumn("_sign", sign).withColumn("_new", F.coalesce((F.lag(sign).over(w) != sign).cast("int"), F.lit(1)))
+    rows = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_streak", F.row_number().over(Window.partitionBy(*by, "_island").orderBy(score_time, score_tie)))
+    seen = asof_join(ticks, rows, by, time, score_time, {score: "_score", "_streak": "_streak"}, score_tie)
+    seen = seen.select(*by, F.col(time).alias("_time"), F.col(price).alias("_price"), F.col(tie).alias("_tie"), "_score", "_streak")
+    pairs = range_join(entries, seen, by, start, "_time", hold)
+    along = F.coalesce(F.col("_score") * F.col(side), F.lit(0.0))
+    tp = F.lit(take_profit) + F.when(along > 0, F.least(F.col("_streak"), F.lit(most)) * widen).otherwise(0.0)
+    move = (F.col("_price") - F.col(entry_price)) * F.col(side)
+    reason = F.when(along <= -reversal, "reversal").when(move >= tp, "tp").when(move <= -stop_loss, "sl")
+    fill = F.when(reason == "tp", F.col(entry_price) + F.col(side) * tp).otherwise(F.col("_price"))
+    first = pairs.withColumn("_reason", reason).where("_reason is not null").groupBy(entry_id).agg(F.min_by(F.struct(F.col("_reason").alias("reason"), F.col("_time").alias("time"), fill.cast("double").alias("price")), F.struct("_time", "_tie")).alias("_exit"))
+    out = entries.join(first, entry_id, "left")
+    return out.withColumns({"exit_reason": F.coalesce("_exit.reason", F.lit("time")), "exit_time": F.coalesce("_exit.time", F.col(start) + hold), "exit_price": F.coalesce("_exit.price", F.col(entry_price).cast("double"))}).drop("_exit")
+
+
 def checkpoint_offsets(hold: int, n: int) -> Column:
     """n even offsets up to hold, rounded half to even."""
     return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.bround(k * F.lit(hold / n)).cast("long"))

@@ -49,6 +49,24 @@ def _exits(t):
     return entries, ticks, labels.first_breach(entries, ticks, BY, "event_id", "start", "side", "entry", "us", "value", "tick_id", HOLD, 5.0, 3.0)
 
 
+@query(f"""WITH s AS (SELECT user_id, ts, event_id, value - 50 AS score, sign(value - 50) AS sg FROM events WHERE event_type = 'purchase'),
+n AS (SELECT *, CASE WHEN lag(sg) OVER (PARTITION BY user_id ORDER BY ts, event_id) = sg THEN 0 ELSE 1 END AS nw FROM s),
+i AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS isl FROM n),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, isl ORDER BY ts, event_id) AS streak FROM i),
+t AS (SELECT e.user_id, e.ts, e.event_id AS tid, e.value AS price, k.score, k.streak FROM events e ASOF LEFT JOIN k ON e.user_id = k.user_id AND e.ts >= k.ts),
+e AS (SELECT user_id, event_id, epoch_us(ts) AS s, value AS entry FROM events WHERE event_type = 'signup'),
+p AS (SELECT e.*, epoch_us(t.ts) AS us, tid, price, coalesce(score, 0) AS sc, 5 + CASE WHEN coalesce(score, 0) > 0 THEN least(streak, 3) * 1.5 ELSE 0 END AS tp FROM e JOIN t ON t.user_id = e.user_id AND epoch_us(t.ts) > e.s AND epoch_us(t.ts) <= e.s + {HOLD}),
+r AS (SELECT *, CASE WHEN sc <= -30 THEN 'reversal' WHEN price - entry >= tp THEN 'tp' WHEN price - entry <= -3 THEN 'sl' END AS reason FROM p),
+h AS (SELECT * FROM r WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY us, tid) = 1)
+SELECT e.event_id, coalesce(h.reason, 'time') AS exit_reason, coalesce(h.us, e.s + {HOLD}) - e.s AS held_us, round(CASE WHEN h.reason = 'tp' THEN e.entry + tp WHEN h.reason IS NULL THEN e.entry ELSE price END, 6) AS exit_price FROM e LEFT JOIN h USING (event_id)""")
+def l07_dynamic_exit(t):
+    """Exits along a path that purchases re-score."""
+    entries, ticks, _ = _exits(t)
+    scores = events(t).where("event_type = 'purchase'").select("user_id", F.col("us").alias("known"), (F.col("value") - 50).alias("score"), F.col("event_id").alias("sid"))
+    out = labels.dynamic_exit(entries, ticks, scores, BY, "event_id", "start", "side", "entry", "us", "value", "tick_id", HOLD, 5.0, 3.0, "known", "score", "sid", 30.0, 1.5, 3)
+    return out.select("event_id", "exit_reason", (F.col("exit_time") - F.col("start")).alias("held_us"), F.round("exit_price", 6).alias("exit_price"))
+
+
 _EXITS = f"""WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS s, value AS entry FROM events WHERE event_type = 'signup'),
 h AS (SELECT e.event_id, e.user_id, e.s, e.entry, k.value AS price, epoch_us(k.ts) AS us, k.event_id AS kid FROM e JOIN events k ON k.user_id = e.user_id
 AND epoch_us(k.ts) > e.s AND epoch_us(k.ts) <= e.s + {HOLD} WHERE abs(k.value - e.entry) >= 3 AND (k.value - e.entry >= 5 OR k.value - e.entry <= -3)
