@@ -22,7 +22,7 @@ def duck():
 
 
 def plain(x):
-    if x is None or x != x or str(x) in ("<NA>", "NaT"):
+    if x is None or str(x) in ("<NA>", "NaT", "nan"):
         return None
     try:
         return repr(round(float(x), 5) + 0.0)

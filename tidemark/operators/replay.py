@@ -47,6 +47,6 @@ def trailing_stop(ticks: DataFrame, trade: str, order: list[str], gain: Column,
 
 
 def sweep(signals: DataFrame, configs: DataFrame, accept: Column, by: list[str], start: str, end: str, tie: str) -> DataFrame:
-    """Replays every row of a small parameter grid in one job: signals cross the grid (whose size
-    is a stated number of settings), are gated, and overlap only within (config, group)."""
-    return non_overlapping(signals.crossJoin(F.broadcast(configs.limit(10_000))).where(accept), ["config", *by], start, end, tie)
+    """Replays every row of a small parameter grid in one job: signals cross the grid (which
+    the caller states, a row for each setting), are gated, and overlap only within (config, group)."""
+    return non_overlapping(signals.crossJoin(configs).where(accept), ["config", *by], start, end, tie)
