@@ -117,7 +117,7 @@ def fit(labelled: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Model | None
     rows = labelled.where("lang is not null and text is not null and text != ''")
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(fit_documents)) / F.count("*")).alias("share"))
     point = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    some = rows.join(F.broadcast(share.limit(1000)), "lang").where(point < F.col("share")).select("lang", "text")
+    some = rows.join(share, "lang").where(point < F.col("share")).select("lang", "text")
     grams = some.mapInPandas(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = grams.toPandas()
     if not len(table):
