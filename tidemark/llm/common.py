@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -27,12 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextlib.contextmanager
+def _shuffles_end(spark: SparkSession):
+    """Jobs in here drop their shuffle files when they end: what they wrote is all that's needed."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: its lineage ends there, so a lost
     executor costs no recomputation, and Spark knows the size of what it reads."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_end(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -42,7 +56,8 @@ def bucketed(df: DataFrame, by: str) -> DataFrame:
     spark = df.sparkSession
     name = f"stage_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, by).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    with _shuffles_end(spark):
+        df.write.bucketBy(buckets, by).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 

@@ -25,7 +25,9 @@ from .graph import components
 
 #: Fragments in which overlaps are counted separately.
 FRAGMENTS = 8
-_SKETCH_BITS = 1024
+_SKETCH_BITS = 2048
+#: Classes of one bucket that are compared in one go.
+BUCKET_BLOCK = 512
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -137,13 +139,31 @@ def _overlaps(batches):
         yield pd.DataFrame(out, columns=["leader", "member", "overlap"])
 
 
-def _check(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (leader, member) of pairs that link."""
+def _may_link(batches, percent):
+    """The pairs whose odd sketches don't differ in more bits than linked sets can."""
+    for batch in batches:
+        if len(batch):
+            a, b = (np.frombuffer(b"".join(batch[c]), np.uint64).reshape(len(batch), -1) for c in ("s1", "s2"))
+            differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            batch = batch[(100 + percent) * differ <= (100 - percent) * (batch.n1 + batch.n2).to_numpy(np.int64)]
+        yield batch[["leader", "member", "n1", "n2"]]
+
+
+def _check(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """The (leader, member) of pairs that link. Sizes and sketches rule out most others first;
+    the sets of the rest are made again from one document of each class."""
     size = classes.select("cls", "n")
     pairs = pairs.join(size.select(F.col("cls").alias("leader"), F.col("n").alias("n1")), "leader").join(size.select(F.col("cls").alias("member"), F.col("n").alias("n2")), "member")
-    pairs = pairs.where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
+    pairs = staged(pairs.where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent))
+    sketch = classes.select("cls", "sketch")
+    pairs = pairs.join(sketch.select(F.col("cls").alias("leader"), F.col("sketch").alias("s1")), "leader").join(sketch.select(F.col("cls").alias("member"), F.col("sketch").alias("s2")), "member")
+    pairs = pairs.mapInPandas(lambda b: _may_link(b, percent), "leader long, member long, n1 int, n2 int")
     # a leader of very many members goes with each part of them
     pairs = staged(pairs.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(64))))
+    wanted = pairs.select(F.col("leader").alias("cls")).unionByName(pairs.select(F.col("member").alias("cls"))).distinct()
+    wanted = staged(wanted.join(classes.select("cls", "of.id", "of.text_hash"), "cls"))
+    sets = rows.select("id", "text_hash", "text").join(wanted, ["id", "text_hash"])
+    sets = staged(sets.mapInPandas(lambda b: _sets(b, k), "cls long, fragment int, tokens binary").dropDuplicates(["cls", "fragment"]))
     own = pairs.select("leader", "salt").distinct().join(sets.withColumnRenamed("cls", "leader"), "leader").select("leader", "salt", "fragment", F.lit(True).alias("own"), F.col("leader").alias("member"), "tokens")
     other = pairs.select("leader", "salt", "member").join(sets.withColumnRenamed("cls", "member"), "member").select("leader", "salt", "fragment", F.lit(False).alias("own"), "member", "tokens")
     rows = own.unionByName(other)
@@ -155,19 +175,19 @@ def _check(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
 
 
 def _across(batches, percent):
-    """Pairs of one bucket in different components that sizes and odd sketches don't rule out:
+    """Pairs of one bucket (of two of its blocks) in different components that sizes and odd sketches don't rule out:
     sketches of sets that differ in d n-grams differ in at most d bits."""
     key, rows = None, []
 
     def close(rows):
         if not rows:
             return
-        cls, root = (np.array([r[j] for r in rows], np.int64) for j in (0, 1))
-        n = np.array([r[2] for r in rows], np.int64)
+        cls, root, n, block = (np.array([r[j] for r in rows], np.int64) for j in (0, 1, 2, 4))
+        alone = key[1] == key[2]
         bits = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
         for i in range(len(rows) - 1):
             both = n[i] + n[i + 1 :]
-            may = (root[i + 1 :] != root[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
+            may = ((block[i + 1 :] != block[i]) | alone) & (root[i + 1 :] != root[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
             at = np.flatnonzero(may)
             differ = np.bitwise_count(bits[i] ^ bits[i + 1 + at]).sum(axis=1, dtype=np.int64)
             at = at[(100 + percent) * differ <= (100 - percent) * both[at]] + i + 1
@@ -176,10 +196,10 @@ def _across(batches, percent):
     for batch in batches:
         out = []
         for r in batch.itertuples():
-            if r.key != key:
+            if (r.key, r.first, r.second) != key:
                 out += close(rows)
-                key, rows = r.key, []
-            rows.append((r.cls, r.root, r.n, r.sketch))
+                key, rows = (r.key, r.first, r.second), []
+            rows.append((r.cls, r.root, r.n, r.sketch, r.block))
         yield pd.DataFrame(out, columns=["leader", "member"])
     yield pd.DataFrame(list(close(rows)), columns=["leader", "member"])
 
@@ -201,29 +221,35 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     full = profile.where("n > 0")
     classes = staged(full.groupBy("cls").agg(F.min(F.struct("id", "text_hash")).alias("of"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
-    # buckets of two classes or more, and what supports each class in them
+    # buckets of two classes or more, and what supports each class in them: most keys occur once
+    # and go first, by the narrowest rows
     entries = full.select("cls", F.explode("keys").alias("key"))
-    many = entries.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
-    shared = staged(entries.join(many, "key").groupBy("key", "cls").agg(F.first("size").alias("size")))
+    twice = staged(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    close = staged(entries.join(twice, "key"))
+    many = staged(close.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size"))
+    shared = staged(close.join(many, "key").groupBy("key", "cls").agg(F.first("size").alias("size")))
     support = shared.groupBy("cls").agg(F.sum("size").alias("support"))
     ranked = shared.select("key", "cls").join(support, "cls")
     leaders = ranked.groupBy("key").agg(F.max(F.struct("support", "cls")).alias("top")).select("key", F.col("top.cls").alias("leader"))
     stars = staged(shared.select("key", "cls").join(leaders, "key").where("cls != leader").select("leader", F.col("cls").alias("member")).distinct())
 
-    # the sets of the classes that share a bucket, from one document each
-    wanted = shared.select("cls").distinct().join(classes.select("cls", "of.id", "of.text_hash"), "cls")
-    sets = staged(rows.select("id", "text_hash", "text").join(wanted, ["id", "text_hash"]).select("cls", "text").dropDuplicates(["cls"]).mapInPandas(lambda b: _sets(b, k), "cls long, fragment int, tokens binary"))
-    links = staged(_check(stars, classes, sets, percent))
+    links = staged(_check(stars, classes, rows, k, percent))
     roots = components(links)
 
     # buckets that this leaves in several components
     open_ = shared.select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     split = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    left = open_.join(split, "key").join(classes.select("cls", "n", "sketch"), "cls")
-    left = left.repartition("key").sortWithinPartitions("key", "cls")
+    # a bucket of many classes is cut into blocks, and each two blocks meet in a task of their own
+    size = open_.join(split, "key").groupBy("key").agg(F.ceil(F.count("*") / BUCKET_BLOCK).alias("blocks"))
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
+    left = open_.join(size, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("key", "cls", "root", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    left = left.join(classes.select("cls", "n", "sketch"), "cls")
+    dealt = ["key", "first", "second"]
+    left = left.repartition(*dealt).sortWithinPartitions(*dealt, "cls")
     across = left.mapInPandas(lambda b: _across(b, percent), "leader long, member long").distinct()
     tested = stars.unionByName(stars.select(F.col("member").alias("leader"), F.col("leader").alias("member")))
-    more = _check(staged(across.join(tested, ["leader", "member"], "left_anti")), classes, sets, percent)
+    more = _check(staged(across.join(tested, ["leader", "member"], "left_anti")), classes, rows, k, percent)
     roots = components(links.unionByName(staged(more)))
 
     ids = classes.select("cls", F.col("of.id").alias("first")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
