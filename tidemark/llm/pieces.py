@@ -23,7 +23,19 @@ SPACE = "▁"
 REMEMBERED, LONGEST = 200_000, 64
 _NONE, _STOP = float("-inf"), 2.0
 _UNKNOWN = "\u2047".encode()
-_STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
+
+def _cut(joined: set[str]) -> re.Pattern | None:
+    """A pattern for stretches that no piece leaves: between runs of SPACE, and if possible also
+    between letters and other characters. None where pieces join words."""
+    if any(x[1] == SPACE and x[0] != SPACE for x in joined):
+        return None
+    # numerals such as a raised 2 are letters to a pattern, but stand with other characters
+    odd = re.escape("".join(sorted({c for x in joined for c in x if c.isnumeric() and not c.isdecimal() and not c.isalpha()})))
+    letter = rf"[^\W\d_{odd}]"
+    if any(SPACE not in x and bool(re.match(letter, x[0])) != bool(re.match(letter, x[1])) for x in joined):
+        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+    return re.compile(rf"{SPACE}*(?:{letter}+|(?:[\d_{odd}]|[^\w{SPACE}])+)|{SPACE}+")
 
 
 class Vocabulary:
@@ -42,7 +54,7 @@ class Vocabulary:
         self.data = {i: p.replace(SPACE, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids or [])}
         #: neighbouring characters that some piece spans
         self.joined = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
-        self.words_apart = not any(x[1] == SPACE and x[0] != SPACE for x in self.joined)
+        self.cut = _cut(self.joined)
         #: stretches and their ids, the latest REMEMBERED and those before
         self.memory: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
@@ -145,10 +157,9 @@ class Vocabulary:
         return out
 
     def stretches(self, text: str) -> list[str]:
-        """The text cut before each run of SPACE, where no piece joins what stands before to it."""
-        if self.words_apart:
-            return _STRETCH.findall(text)
-        return [text]
+        """The text cut at places that no piece of this vocabulary spans: before runs of SPACE, and
+        between letters and others."""
+        return self.cut.findall(text) if self.cut else [text]
 
     def decode(self, ids) -> str:
         """The text that ids stand for; bytes in a row are UTF-8, unknown ids U+2047."""
