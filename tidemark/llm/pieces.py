@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Stretches that a task remembers twice over at most, and the longest that it does.
 REMEMBERED, LONGEST = 200_000, 64
+#: Rows whose ids a task holds at once.
+_ROWS = 256
 _NONE, _STOP = float("-inf"), 2.0
 _UNKNOWN = "\u2047".encode()
 
@@ -186,10 +188,12 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def encode(batches):
         v = shared.value
-        for batch in batches:
-            ids = [v.encode(t or "") for t in batch.text]
-            exact = [v.decode(x) == (t or "") for x, t in zip(ids, batch.text)]
-            yield pd.DataFrame({"id": batch.id, "ids": [np.array(x, np.int32) for x in ids], "n_tokens": [len(x) for x in ids], "exact": exact})
+        for whole in batches:
+            for k in range(0, len(whole), _ROWS):
+                batch = whole.iloc[k : k + _ROWS]
+                ids = [np.array(v.encode(t or ""), np.int32) for t in batch.text]
+                exact = [v.decode(x.tolist()) == (t or "") for x, t in zip(ids, batch.text)]
+                yield pd.DataFrame({"id": batch.id, "ids": ids, "n_tokens": [len(x) for x in ids], "exact": exact})
 
     return rows.mapInPandas(encode, f"id {dict(rows.dtypes)['id']}, ids array<int>, n_tokens long, exact boolean")
 
