@@ -88,7 +88,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     total = int(targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
     block = max(1, min(BLOCK_TOKENS, total // LEAST_SLOTS))
 
-    buckets = rows_or_one(rows, 50_000)
+    buckets = rows_or_one(rows, 2_000)
     h = F.xxhash64(F.lit(seed), "id", "text_hash")
     rows = rows.withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     base = exclusive_offsets(rows, ["source"], "bucket", F.col("size"), "base")
