@@ -267,6 +267,19 @@ def test_linked_sets_share_a_key():
                     assert len(np.intersect1d(part.keys(a), part.keys(b)))
 
 
+def test_sketches_bound_differences():
+    rng = np.random.default_rng(2)
+    for n, gone in ((5, 2), (600, 90), (5000, 700)):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**63, gone // 2).astype(np.uint64)]))
+        x, y = (np.frombuffer(jaccard.odd_sketch(s), np.uint64) for s in (a, b))
+        words = min(len(x), len(y))
+        differ = int(np.bitwise_count(jaccard._folded(x, words) ^ jaccard._folded(y, words)).sum())
+        assert 0 < differ <= len(np.setxor1d(a, b))
+        half = np.bincount((a & np.uint64(511)).astype(int), minlength=512) & 1
+        assert jaccard._folded(x, 8).tobytes() == np.packbits(half.astype(np.uint8)).tobytes()
+
+
 # --- 6: quality
 
 

@@ -25,7 +25,6 @@ from .graph import components
 
 #: Fragments in which overlaps are counted separately.
 FRAGMENTS = 8
-_SKETCH_BITS = 2048
 #: Classes of one bucket that are compared in one go.
 BUCKET_BLOCK = 512
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -50,6 +49,22 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     return np.unique(out)
 
 
+def odd_sketch(s: np.ndarray) -> bytes:
+    """A bit for each of at least as many cells as the set has n-grams (a power of two): whether
+    an odd number of them falls there. Sets that differ in d n-grams differ in at most d bits."""
+    bits = 1 << max(9, (len(s) - 1).bit_length() if len(s) else 0)
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch with fewer cells: cells that fall together add up."""
+    while sketch.shape[-1] > words:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
 class Partition:
     """Size classes and fragments for a threshold in percent."""
 
@@ -109,8 +124,7 @@ def _profile(batches, k, percent):
             mixed = _mixed(s + np.uint64(len(s)))
             cls.append(int(_mixed(np.array([mixed.sum() + np.uint64(len(s))], np.uint64)).astype(np.int64)[0]) if len(s) else None)
             keys.append(part.keys(s).astype(np.int64) if len(s) else np.empty(0, np.int64))
-            odd = np.bincount((s & np.uint64(_SKETCH_BITS - 1)).astype(np.int64), minlength=_SKETCH_BITS) & 1
-            sketch.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            sketch.append(odd_sketch(s))
         yield pd.DataFrame({"id": batch.id, "text_hash": batch.text_hash, "n": n, "cls": pd.array(cls, "Int64"), "keys": keys, "sketch": sketch})
 
 
@@ -142,11 +156,13 @@ def _overlaps(batches):
 def _may_link(batches, percent):
     """The pairs whose odd sketches don't differ in more bits than linked sets can."""
     for batch in batches:
-        if len(batch):
-            a, b = (np.frombuffer(b"".join(batch[c]), np.uint64).reshape(len(batch), -1) for c in ("s1", "s2"))
-            differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-            batch = batch[(100 + percent) * differ <= (100 - percent) * (batch.n1 + batch.n2).to_numpy(np.int64)]
-        yield batch[["leader", "member", "n1", "n2"]]
+        differ = np.zeros(len(batch), np.int64)
+        for k, (s1, s2) in enumerate(zip(batch.s1, batch.s2)):
+            a, b = np.frombuffer(s1, np.uint64), np.frombuffer(s2, np.uint64)
+            words = min(len(a), len(b))
+            differ[k] = np.bitwise_count(_folded(a, words) ^ _folded(b, words)).sum()
+        fine = (100 + percent) * differ <= (100 - percent) * (batch.n1 + batch.n2).to_numpy(np.int64)
+        yield batch.loc[fine, ["leader", "member", "n1", "n2"]]
 
 
 def _check(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -182,14 +198,18 @@ def _across(batches, percent):
     def close(rows):
         if not rows:
             return
+        rows.sort(key=lambda r: (r[2], r[0]))  # what follows a row has a sketch at least as long
         cls, root, n, block = (np.array([r[j] for r in rows], np.int64) for j in (0, 1, 2, 4))
         alone = key[1] == key[2]
-        bits = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
+        sketches = [np.frombuffer(r[3], np.uint64) for r in rows]
+        first, bits = 0, None
         for i in range(len(rows) - 1):
+            if bits is None or len(sketches[i]) != bits.shape[1]:
+                first, bits = i, np.stack([_folded(s, len(sketches[i])) for s in sketches[i:]])
             both = n[i] + n[i + 1 :]
             may = ((block[i + 1 :] != block[i]) | alone) & (root[i + 1 :] != root[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
             at = np.flatnonzero(may)
-            differ = np.bitwise_count(bits[i] ^ bits[i + 1 + at]).sum(axis=1, dtype=np.int64)
+            differ = np.bitwise_count(bits[i - first] ^ bits[i + 1 - first + at]).sum(axis=1, dtype=np.int64)
             at = at[(100 + percent) * differ <= (100 - percent) * both[at]] + i + 1
             yield from ((min(cls[i], cls[j]), max(cls[i], cls[j])) for j in at)
 
@@ -225,7 +245,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     # and go first, by the narrowest rows
     entries = full.select("cls", F.explode("keys").alias("key"))
     twice = staged(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    close = staged(entries.join(twice, "key"))
+    # sort-merge at every size: the rare keys grow with the corpus
+    close = staged(entries.join(twice.hint("merge"), "key"))
     many = staged(close.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size"))
     shared = staged(close.join(many, "key").groupBy("key", "cls").agg(F.first("size").alias("size")))
     support = shared.groupBy("cls").agg(F.sum("size").alias("support"))
