@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .folds import with_fold
+
 #: How a trajectory becomes one number; ties of max_abs go to the first.
 AGGREGATORS = {
     "final": lambda t: F.element_at(t, -1),
@@ -17,17 +19,15 @@ AGGREGATORS = {
 
 def non_overlapping(signals: DataFrame, by: list[str], start: str, end: str, tie: str) -> DataFrame:
     """Accepts a signal only if it doesn't start before the last accepted one's end. The one
-    truly sequential step: a fold over each group's sorted signals (small rows only)."""
-    item = F.struct(F.col(start).alias("_s"), F.col(tie).alias("_t"), F.col(end).alias("_e"), F.struct(*signals.columns).alias("_row"))
-    groups = signals.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    zero = F.struct(F.lit(None).cast("long").alias("free"), F.array().cast("array<boolean>").alias("out"))
+    truly sequential step: a fold over each group's sorted signals that holds that end alone."""
 
-    def step(acc, x):
-        ok = acc["free"].isNull() | (x["_s"] >= acc["free"])
-        return F.struct(F.when(ok, x["_e"].cast("long")).otherwise(acc["free"]).alias("free"), F.concat(acc["out"], F.array(ok)).alias("out"))
+    def step(free, s, e):
+        ok = free[0] is None or (s is not None and not s < free[0])
+        return ((e,) if ok else free), ok
 
-    kept = groups.withColumn("_ok", F.aggregate("_items", zero, step)["out"])
-    return kept.select(F.explode(F.arrays_zip("_items", "_ok")).alias("_z")).where("_z._ok").select("_z._items._row.*")
+    rows = signals.withColumns({"_s": F.col(start), "_e": F.col(end).cast("long")})
+    kept = with_fold(rows, by, [start, tie, end, *signals.columns], ["_s", "_e"], lambda: (None,), step, "_ok", "boolean")
+    return kept.where("_ok").select(*signals.columns)
 
 
 def exposure(fills: DataFrame, by: list[str], order: list[str], amount: str, limit: float) -> DataFrame:

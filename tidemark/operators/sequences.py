@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .folds import with_fold
+
 
 def possessions(actions: DataFrame, by: list[str], order: list[str], kind: str = "kind", side: str = "side", points: str = "points") -> DataFrame:
     """by, possession, actions, outcome, points. A possession ends with a made shot, a turnover,
@@ -31,20 +33,16 @@ def starters(rows: DataFrame, by: list[str], side: str, player: str, order: list
 
 def lineups(subs: DataFrame, by: list[str], order: list[str], into: str, out: str, start: list[int]) -> DataFrame:
     """by, order..., lineup (sorted) after each substitution; one that takes out a player who
-    isn't there, or brings in one who is, changes nothing. A fold over a group's substitutions."""
-    item = F.struct(*order, F.col(into).cast("long").alias("_in"), F.col(out).cast("long").alias("_out"))
-    groups = subs.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_subs"))
-    first = F.array(*[F.lit(x).cast("long") for x in start])
-    zero = F.struct(first.alias("now"), F.array().cast("array<array<bigint>>").alias("all"))
-
-    def step(acc, s):
-        fine = F.array_contains(acc["now"], s["_out"]) & ~F.array_contains(acc["now"], s["_in"])
-        now = F.when(fine, F.array_sort(F.array_append(F.array_remove(acc["now"], s["_out"]), s["_in"]))).otherwise(acc["now"])
-        return F.struct(now.alias("now"), F.concat(acc["all"], F.array(now)).alias("all"))
-
-    folded = groups.withColumn("_all", F.aggregate("_subs", zero, step)["all"])
-    rows = folded.select(*by, F.explode(F.arrays_zip("_subs", "_all")).alias("_z"))
-    return rows.select(*by, *[F.col(f"_z._subs.{c}").alias(c) for c in order], F.col("_z._all").alias("lineup"))
+    isn't there, or brings in one who is, changes nothing. A fold over a group's substitutions
+    that holds the lineup."""
+
+    def step(now, came, went):
+        if came is not None and went in now and came not in now:
+            now = sorted([*(x for x in now if x != went), came])
+        return now, now
+
+    rows = subs.select(*by, *order, F.col(into).cast("long").alias("_in"), F.col(out).cast("long").alias("_out"))
+    return with_fold(rows, by, [*order, "_in", "_out"], ["_in", "_out"], lambda: list(start), step, "lineup", "array<bigint>").drop("_in", "_out")
 
 
 def interpolated(df: DataFrame, by: list[str], order: list[str], time: str, anchor: Column, name: str) -> DataFrame:

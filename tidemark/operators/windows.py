@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from .folds import with_fold
+
 
 def sequence_of(by: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order)
@@ -73,19 +75,15 @@ def with_streak(df: DataFrame, by: list[str], order: list[str], side: str, point
 
 def with_ewma(df: DataFrame, by: list[str], order: list[str], x: str, name: str, start: float, least_alpha: float = 0.05) -> DataFrame:
     """One row per input row with the adaptive average BEFORE it: alpha_n = max(least, 2 / (n + 2))
-    for the n-th value, warm start. A fold over each entity's sorted values (entities hold few)."""
-    item = F.struct(*[F.col(c) for c in order], F.col(x).cast("double").alias("_x"), F.struct(*df.columns).alias("_row"))
-    groups = df.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    zero = F.struct(F.lit(float(start)).alias("level"), F.lit(0).cast("double").alias("n"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc, it):
-        n = acc["n"] + 1.0
-        alpha = F.greatest(F.lit(least_alpha), F.lit(2.0) / (n + 2.0))
-        level = F.when(it["_x"].isNull(), acc["level"]).otherwise(alpha * it["_x"] + (F.lit(1.0) - alpha) * acc["level"])
-        return F.struct(level.alias("level"), n.alias("n"), F.concat(acc["out"], F.array(acc["level"])).alias("out"))
-
-    folded = groups.withColumn("_out", F.aggregate("_items", zero, step)["out"])
-    return folded.select(F.explode(F.arrays_zip("_items", "_out")).alias("_z")).select("_z._items._row.*", F.col("_z._out").alias(name))
+    for the n-th value, warm start. A fold over each entity's sorted values that holds (level, n)."""
+
+    def step(state, value):
+        level, n = state[0], state[1] + 1.0
+        alpha = max(least_alpha, 2.0 / (n + 2.0))
+        return (level if value is None else alpha * value + (1.0 - alpha) * level, n), level
+
+    rows = df.withColumn("_x", F.col(x).cast("double"))
+    return with_fold(rows, by, [*order, "_x", *df.columns], ["_x"], lambda: (float(start), 0.0), step, name, "double").drop("_x")
 
 
 def rest_days(games: DataFrame, team: str, day: str, cap: int = 7, default: int = 3) -> DataFrame:
