@@ -10,6 +10,9 @@ from ..streaming import stream
 from .q_joins import HOUR, events
 from .registry import query
 
+#: Microseconds, as the 60 days of the other watermarks here.
+LATE = 60 * 24 * HOUR
+
 
 def _stream(t):
     s = stream.file_stream(t.spark, f"{t.dir}/events.parquet")
@@ -36,7 +39,7 @@ WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 2159999999
 def st02_st03_snapshot(t):
     """Features of the last six hours of each user's ticks, by keyed state."""
     step, start = stream.rolling_snapshot(6 * HOUR)
-    out = stream.keyed(_stream(t), "user_id", step, start, ["event_id", "us", "value"], ["us", "event_id"], "event_id long, n long, total double, velocity double")
+    out = stream.keyed(_stream(t), "user_id", step, start, ["event_id", "us", "value"], ["us", "event_id"], "event_id long, n long, total double, velocity double", LATE)
     return stream.drained(out).select("event_id", "n", F.round("total", 6).alias("total"), F.round("velocity", 6).alias("velocity"))
 
 
@@ -45,7 +48,7 @@ def st05_l18_break_fade(t):
     """Enter, exit or wait at each tick; hours of the day play the match's minutes."""
     step, start = stream.break_fade((8.0, 20.0), 25.0, 12 * HOUR)
     rows = _stream(t).withColumn("minute", F.hour("ts").cast("double"))
-    out = stream.keyed(rows, "user_id", step, start, ["event_id", "us", "minute", "value"], ["us", "event_id"], "event_id long, action string, price double")
+    out = stream.keyed(rows, "user_id", step, start, ["event_id", "us", "minute", "value"], ["us", "event_id"], "event_id long, action string, price double", LATE)
     return stream.drained(out)
 
 
@@ -53,7 +56,7 @@ def st05_l18_break_fade(t):
 def st08_swap(t):
     step, start = stream.swap_with_hysteresis()
     rows = _stream(t).withColumn("best", F.when(F.col("value") > 90, F.lit("signup")).otherwise(F.lit("view")))
-    out = stream.keyed(rows, "user_id", step, start, ["event_id", "event_type", "value", "best"], ["us", "event_id"], "event_id long, decision string, market string")
+    out = stream.keyed(rows, "user_id", step, start, ["event_id", "event_type", "value", "best"], ["us", "event_id"], "event_id long, decision string, market string", LATE)
     return stream.drained(out)
 
 

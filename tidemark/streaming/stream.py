@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+from ..operators.folds import same
 
 
 def file_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
@@ -19,13 +25,19 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> Da
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}*")
 
 
-def drained(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+def scratch(spark: SparkSession) -> str:
+    """The shared folder for what a stream leaves between batches."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+
+
+def drained(stream: DataFrame | Keyed, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """What the stream gives for all that is there now. update mode: the last row of each key;
     complete mode: the last batch. Batches go to the shared folder, one folder each, so a batch
     that is run again replaces itself."""
+    if isinstance(stream, Keyed):
+        return stream.drained()
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    at = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, n: int) -> None:
         batch.withColumn("_batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{at}/out/{n}")
@@ -66,32 +78,135 @@ def enriched(stream: DataFrame, static: DataFrame, on: list[str]) -> DataFrame:
     return stream.join(static, on, "left")
 
 
-def keyed(stream: DataFrame, by: str, step: Callable[[dict, tuple], list[tuple]], start: Callable[[], dict], columns: list[str], order: list[str], out: str, state: str = "state string") -> DataFrame:
-    """A state machine per key: step(state, row) changes the state and gives output rows. Rows of
-    one batch are taken in event-time order; the state is kept as JSON text."""
-    import json
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        at = json.loads(held.get[0]) if held.exists else start()
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        given = [r for row in rows[columns].itertuples(index=False, name=None) for r in step(at, row)]
-        held.update((json.dumps(at),))
-        yield pd.DataFrame(given, columns=[c.strip().split()[0] for c in out.split(",")])
-
-    return stream.groupBy(by).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+@dataclass
+class Keyed:
+    """A state machine per key over a stream; see keyed."""
+
+    stream: DataFrame
+    by: str
+    step: Callable[[dict, tuple], list[tuple]]
+    start: Callable[[], dict]
+    columns: list[str]
+    order: list[str]
+    out: str
+    late: int
+
+    def fold(self, rows: DataFrame, states: DataFrame | None) -> DataFrame:
+        """The rows that step gives, and with _key and _state each key's state after them. Spark
+        sorts; a worker holds one Arrow batch and one key's state."""
+        order = [f"_o{i}" for i in range(len(self.order))]
+        values = [f"_c{i}" for i in range(len(self.columns))]
+        taken = rows.select(F.col(self.by).alias("_key"), F.lit(1).alias("_kind"), *[F.col(c).alias(o) for c, o in zip(self.order, order)], *[F.col(c).alias(v) for c, v in zip(self.columns, values)], F.lit(None).cast("string").alias("_state"))
+        if states is not None:
+            taken = taken.unionByName(states.select("_key", F.lit(0).alias("_kind"), "_state"), allowMissingColumns=True)
+        dealt = taken.repartition("_key").sortWithinPartitions("_key", "_kind", *[F.col(o).asc_nulls_last() for o in order])
+        given = StructType.fromDDL(self.out)
+        schema = StructType([*given.fields, StructField("_key", taken.schema["_key"].dataType), StructField("_state", StringType())])
+        step, start = self.step, self.start
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kinds = [to_arrow_type(f.dataType) for f in schema]
+            none = (None,) * len(given)
+
+            def made(out: list[tuple]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=schema.names)
+
+            key = at = None
+            for batch in batches:
+                lists = {}
+                for c, x in zip(batch.schema.names, batch.columns):
+                    lists[c] = [math.nan if v is None else v for v in x.to_pylist()] if c in values and pa.types.is_floating(x.type) else x.to_pylist()
+                out = []
+                for now, kind, held, row in zip(zip(lists["_key"]), lists["_kind"], lists["_state"], zip(*[lists[v] for v in values])):
+                    if key is None or not same(key, now):
+                        if key is not None:
+                            out.append((*none, *key, json.dumps(at)))
+                        key, at = now, start()
+                    if kind == 0:
+                        at = json.loads(held)
+                    else:
+                        out += [(*r, None, None) for r in step(at, row)]
+                yield made(out)
+            if key is not None:
+                yield made([(*none, *key, json.dumps(at))])
+
+        return dealt.mapInArrow(run, schema)
+
+    def drained(self) -> DataFrame:
+        """What the machines give for all that is there now. Rows wait as files until the watermark
+        has passed them, then step in order; at the end of the stream those that still wait follow."""
+        spark, time = self.stream.sparkSession, self.order[0]
+        at = f"{scratch(spark)}/keyed-{uuid.uuid4().hex}"
+        needed = self.stream.select(*dict.fromkeys([self.by, *self.order, *self.columns]))
+        marks: dict[int, int | None] = {}  # the watermark after each batch
+        least: dict[int, int] = {}
+        steps: list[int] = []
+
+        def advance(n: int, low: int | None, high: int | None) -> None:
+            """Steps through the rows with times in (low, high]; no bound on a side: all there."""
+            rows = spark.read.schema(needed.schema).parquet(f"{at}/rows/*")
+            if low is not None:
+                rows = rows.where((F.col(time) > low) | F.col(time).isNull())
+            if high is not None:
+                rows = rows.where(F.col(time) <= high)
+            before = [x for x in steps if x < n]
+            states = spark.read.parquet(f"{at}/steps/_batch={before[-1]}").where("_last = 1").select("_key", "_state") if before else None
+            self.fold(rows, states).withColumn("_last", F.col("_state").isNotNull().cast("int")).write.mode("overwrite").partitionBy("_last").parquet(f"{at}/steps/_batch={n}")
+            steps[:] = [*before, n]
+
+        def write(batch: DataFrame, n: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{at}/rows/{n}")
+            low = marks.get(n - 1)
+            landed = spark.read.schema(needed.schema).parquet(f"{at}/rows/{n}")
+            first, last = landed.agg(F.min(time), F.max(time)).first()
+            if first is None:
+                marks[n] = low
+                return
+            if low is not None and first <= low:
+                raise ValueError(f"rows of {time} {first} came after the watermark {low}: late={self.late} is too small for this stream")
+            least[n] = first
+            high = marks[n] = last - self.late if low is None else max(low, last - self.late)
+            if high != low and min(least.values()) <= high:
+                advance(n, low, high)
+
+        query = needed.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        if not marks:
+            return spark.createDataFrame([], StructType.fromDDL(self.out))
+        advance(max(marks) + 1, marks[max(marks)], None)
+        given = StructType.fromDDL(self.out)
+        rows = spark.read.schema(StructType([*given.fields, StructField("_last", IntegerType())])).parquet(f"{at}/steps")
+        return rows.where("_last = 0").select(*given.names)
+
+
+def keyed(stream: DataFrame, by: str, step: Callable[[dict, tuple], list[tuple]], start: Callable[[], dict], columns: list[str], order: list[str], out: str, late: int) -> Keyed:
+    """A state machine per key, for drained: step(state, row) changes the state and gives output
+    rows; the state is kept as JSON text. Rows are taken in event-time order (order[0], a number)
+    over all batches: each waits until a time `late` greater has come. One that comes later
+    still is an error, as its place has been passed; it is never left out."""
+    return Keyed(stream, by, step, start, columns, order, out, late)
 
 
 def rolling_snapshot(width: int):
     """Steps for keyed: rows (id, time, price) to (id, n, total, velocity) over (t - width, t],
-    with times older than the window evicted."""
+    with times older than the window evicted. The sum is carried, and taken anew whenever half
+    of the list has been evicted."""
 
     def step(state, row):
         i, t, price = row
-        state["ticks"] = [x for x in state["ticks"] if x[0] > t - width] + [(int(t), float(price))]
-        ticks = state["ticks"]
-        return [(int(i), len(ticks), sum(p for _, p in ticks), float(price) - ticks[0][1])]
-
-    return step, lambda: {"ticks": []}
+        ticks, head = state["ticks"], state["head"]
+        ticks.append((int(t), float(price)))
+        total = state["total"] + float(price)
+        while ticks[head][0] <= t - width:
+            total -= ticks[head][1]
+            head += 1
+        if 2 * head > len(ticks) or total != total:
+            del ticks[:head]
+            head, total = 0, sum(p for _, p in ticks)
+        state["head"], state["total"] = head, total
+        return [(int(i), len(ticks) - head, total, float(price) - ticks[head][1])]
+
+    return step, lambda: {"ticks": [], "head": 0, "total": 0.0}
 
 
 def break_fade(window: tuple[float, float], drift: float, hold: int):
