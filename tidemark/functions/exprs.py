@@ -40,6 +40,13 @@ def minutes_left(elapsed: Column, total: float = 48.0, floor: float = 0.0) -> Co
     return F.greatest(F.lit(total) - elapsed, F.lit(floor))
 
 
+def match_minute(now: Column, kickoff: Column, half: float = 45.0, pause: float = 15.0) -> Column:
+    """Minute of a match by the wall clock (timestamps): 0 before kickoff, frozen through the
+    half-time pause, running on after it."""
+    gone = (F.unix_micros(now) - F.unix_micros(kickoff)) / 60e6
+    return F.when(gone <= 0, 0.0).when(gone <= half, gone).when(gone <= half + pause, half).otherwise(gone - pause)
+
+
 def time_leverage(left: Column, total: float = 48.0) -> Column:
     return F.lit(1.0) - F.sqrt(clip(left / total, 0.0, 1.0))
 

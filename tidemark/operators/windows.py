@@ -86,6 +86,15 @@ def with_ewma(df: DataFrame, by: list[str], order: list[str], x: str, name: str,
     return with_fold(rows, by, [*order, "_x", *df.columns], ["_x"], lambda: (float(start), 0.0), step, name, "double").drop("_x")
 
 
+def average_pace(rows: DataFrame, home: str, away: str, game: str, pace: str, default: float = 15.0) -> DataFrame:
+    """team, game, pace: mean of the paces above 0 over all rows of the team's games up to this one,
+    home or away, this one included; default where there is none. Rows are summed by game first."""
+    each = rows.select(F.explode(F.array_distinct(F.array(home, away))).alias("team"), F.col(game).alias("game"), F.when(F.col(pace) > 0, F.col(pace)).alias("_p"))
+    sums = each.groupBy("team", "game").agg(F.sum("_p").alias("_s"), F.count("_p").alias("_n"))
+    w = sequence_of(["team"], ["game"]).rowsBetween(Window.unboundedPreceding, 0)
+    return sums.select("team", "game", F.coalesce(F.sum("_s").over(w) / F.nullif(F.sum("_n").over(w), F.lit(0)), F.lit(default)).alias("pace"))
+
+
 def rest_days(games: DataFrame, team: str, day: str, cap: int = 7, default: int = 3) -> DataFrame:
     """Adds rest (days since the team's last game - 1, capped, default for the first) and back_to_back."""
     w = sequence_of([team], [day])

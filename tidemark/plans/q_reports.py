@@ -51,7 +51,7 @@ def a09_cumulative_box(t):
 
 @query("""WITH d AS (SELECT DISTINCT o_orderpriority, o_orderstatus, o_custkey FROM orders), r AS (SELECT o_orderpriority, o_orderstatus, avg(c_acctbal) AS m FROM d JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
 SELECT o_orderpriority, round(max(CASE WHEN o_orderstatus = 'F' THEN m END) - max(CASE WHEN o_orderstatus = 'O' THEN m END), 4) AS edge FROM r GROUP BY 1""")
-def a10_a11_roster_edge(t):
+def a10_roster_edge(t):
     d = t.orders.select("o_orderpriority", "o_orderstatus", "o_custkey").distinct().join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     m = d.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O"]).agg(F.avg("c_acctbal"))
     return m.select("o_orderpriority", F.round(F.col("F") - F.col("O"), 4).alias("edge"))
@@ -166,7 +166,7 @@ round(1 - sqrt(greatest(0, least(1, value / 48))), 6) AS leverage, round((value
 round(1 / (1 + exp(-greatest(-20, least(20, (abs(value - 50) - 15) / 5)))) * (1 - greatest(0, least(1, value / 48))), 6) AS risk,
 round(least(user_id / (user_id + 40.0), 0.85), 6) AS weight, round(ln(1 + greatest(least(user_id, event_id), 0)), 6) AS confidence,
 CASE event_type WHEN 'click' THEN value WHEN 'view' THEN -value ELSE 0 END AS signed FROM events""")
-def m01_m15_scalars(t):
+def m01_m03_m05_m09_m11_scalars(t):
     v = F.col("value")
     shot = F.when(F.col("event_type") == "purchase", F.when(v > 50, 3).otherwise(2))
     return t.events.select("event_id", X.expected_points(shot, F.lit(0.0)).alias("xp"), F.round(X.time_leverage(v), 6).alias("leverage"), F.round(X.lead_z(v - 50, v / 10), 6).alias("z"), F.round(X.decided_risk(v - 50, v), 6).alias("risk"), F.round(X.shrink_weight(F.col("user_id")), 6).alias("weight"), F.round(X.confidence(F.col("user_id"), F.col("event_id")), 6).alias("confidence"), X.signed(F.col("event_type"), v, "click", "view").cast("double").alias("signed"))

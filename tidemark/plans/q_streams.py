@@ -117,7 +117,7 @@ _W = "PARTITION BY user_id ORDER BY ts, event_id"
 b AS (SELECT *, last_value(anchor IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a0, last_value(CASE WHEN anchor IS NOT NULL THEN us END IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t0,
 first_value(anchor IGNORE NULLS) OVER ({_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a1, first_value(CASE WHEN anchor IS NOT NULL THEN us END IGNORE NULLS) OVER ({_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t1 FROM a)
 SELECT event_id, round(CASE WHEN t1 > t0 THEN a0 + (a1 - a0) * (CAST(us - t0 AS DOUBLE) / (t1 - t0)) ELSE coalesce(a0, a1) END, 6) AS level FROM b""")
-def d03_d05_interpolation(t):
+def d04_interpolation(t):
     """Linear between anchors; the nearest anchor outside."""
     return sequences.interpolated(events(t), ["user_id"], ["us", "event_id"], "us", F.when(F.col("event_type") == "purchase", F.col("value")), "level").select("event_id", F.round("level", 6).alias("level"))
 
