@@ -34,13 +34,22 @@ CAST(run = '' OR count(f.k) < 3 OR coalesce(bool_or(f.k <= p.k + 3 AND side <> r
 FROM p LEFT JOIN f ON f.user_id = p.user_id AND f.k BETWEEN p.k + 1 AND p.k + 3 GROUP BY event_id, run, p.k""")
 def l02_hazards(t):
     """Has the run's side changed by the first and third future scoring row."""
+    return _hazards(t, 3).select("event_id", F.col("hazards")[0].alias("haz_0"), F.col("hazards")[2].alias("haz_2"))
+
+
+def _hazards(t, steps):
     from pyspark.sql.window import Window
 
     scoring = F.col("event_type").isin("purchase", "signup")
     w = Window.partitionBy("user_id").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = events(t).withColumn("run", F.coalesce(F.last(F.when(scoring, F.col("event_type")), ignorenulls=True).over(w), F.lit("")))
-    out = labels.with_hazards(rows, BY, ORDER, "run", scoring, 3)
-    return out.select("event_id", F.col("hazards")[0].alias("haz_0"), F.col("hazards")[2].alias("haz_2"))
+    return labels.with_hazards(rows, BY, ORDER, "run", scoring, steps)
+
+
+@query()
+def l02_hazards_10(t):
+    """All ten steps of the hazards."""
+    return _hazards(t, 10).select("event_id", "hazards")
 
 
 def _exits(t):
@@ -95,6 +104,14 @@ def l04_l08_trajectory(t):
     return out.select("event_id", F.round(v[0], 6).alias("traj_1"), F.round(replay.AGGREGATORS["final"](v), 6).alias("traj_4"), F.round(replay.AGGREGATORS["mean"](v), 6).alias("traj_mean"))
 
 
+@query()
+def l04_l08_trajectory_10(t):
+    """All ten checkpoints of the trajectory, and every aggregate of them."""
+    _, ticks, out = _exits(t)
+    out = labels.with_trajectory(out, ticks, BY, "event_id", "start", "entry", "us", "value", "tick_id", HOLD, 10, cap=5.0)
+    return out.select("event_id", "trajectory", *[f(F.col("trajectory")).alias(name) for name, f in replay.AGGREGATORS.items()])
+
+
 def _ledger(t):
     out = _exits(t)[2].select("user_id", "event_id", "start", "exit_time", "entry", "exit_price", "exit_reason")
     return replay.non_overlapping(out, BY, "start", "exit_time", "event_id")

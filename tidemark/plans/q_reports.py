@@ -151,14 +151,14 @@ def a30_nested_values(t):
 @query()
 def a21_bootstrap(t):
     """Mean order price with a 95 percent interval over customers as clusters."""
-    return aggs.cluster_bootstrap(t.orders, "o_custkey", "o_totalprice", 500)
+    return aggs.cluster_bootstrap(t.orders, "o_custkey", "o_totalprice", 10_000)
 
 
 @query()
 def a26_rolling_ridge(t):
     """Price on quantity, discount and tax, refitted along the ship dates within each return flag."""
     rows = t.lineitem.withColumn("day", F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01")))
-    return aggs.rolling_ridge(rows, "day", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", every=30, by="l_returnflag")
+    return aggs.rolling_ridge(rows, "day", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", every=5, by="l_returnflag")
 
 
 @query("""SELECT event_id, CASE WHEN event_type = 'purchase' AND value > 50 THEN 1.08 WHEN event_type = 'purchase' THEN 1.26 END AS xp,
