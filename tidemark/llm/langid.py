@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Labelled documents a language is fitted on at most (all, if fewer); chosen by hash of the id.
 FIT_DOCUMENTS = 1500
-#: Contexts of orders 2 and 3 that are kept at most, most frequent first; all of orders 0, 1 are.
+#: Contexts of orders 2 and 3 that are kept of a language at most, most frequent first; all of orders 0, 1 are.
 CONTEXTS = 6000
 #: A context needs so many symbols.
 LEAST_COUNT = 16
@@ -45,15 +45,12 @@ def _gram_counts(batches):
             yield pd.DataFrame({"lang": lang, "gram": list(found.keys()), "n": list(found.values())})
 
 
-class Model:
-    """Context ids and code lengths: arrays only, so a broadcast is bounded by CONTEXTS."""
+class Tree:
+    """One language's context ids and code lengths: arrays only, bounded by CONTEXTS."""
 
-    def __init__(self, langs: list[str], lang_of: np.ndarray, gram: np.ndarray, n: np.ndarray):
-        self.langs = langs
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
         sym, near, mid, far = gram & 255, gram >> 8 & 255, gram >> 16 & 255, gram >> 24 & 255
-        counts = np.zeros((len(langs), 256), np.float64)
-        np.add.at(counts, (lang_of, sym), n)
-        order0 = [self._coded(counts[k], np.full(256, 1 / 256)) for k in range(len(langs))]
+        order0 = self._coded(np.bincount(sym, n, 256), np.full(256, 1 / 256))
         two, three = near * 256 + mid, (near * 256 + mid) * 256 + far
         keep = []
         for order, code in ((2, two), (3, three)):
@@ -66,7 +63,6 @@ class Model:
         size = 256 + len(twos) + len(threes)
         self.second = np.repeat(np.arange(256, dtype=np.int32), 256)  # (near, mid) -> context
         self.third = np.repeat(np.arange(256 + len(twos), dtype=np.int32), 256)  # (context, far) -> context
-        self.bits = np.zeros((size * 256, len(langs)), np.float32)
         id2 = {c: 256 + k for k, c in enumerate(twos)}
         for c, k in id2.items():
             self.second[c] = k
@@ -74,21 +70,19 @@ class Model:
             self.third[id2[c // 256] * 256 + c % 256] = 256 + len(twos) + k
         ctx2 = self.second[two]
         ctx3 = self.third[ctx2 * 256 + far]
-        for k in range(len(langs)):
-            own = lang_of == k
-            table = np.zeros((size, 256))
-            for ctx in (near[own], np.where(ctx2[own] >= 256, ctx2[own], -1), np.where(ctx3[own] >= 256 + len(twos), ctx3[own], -1)):
-                use = ctx >= 0
-                np.add.at(table, (ctx[use], sym[own][use]), n[own][use])
-            p = np.zeros((size, 256))
-            for c in range(256):
-                p[c] = self._coded(table[c], order0[k])
-            for c, i in id2.items():
-                p[i] = self._coded(table[i], p[c // 256])
-            for j, c in enumerate(threes):
-                i = 256 + len(twos) + j
-                p[i] = self._coded(table[i], p[id2[c // 256]])
-            self.bits[:, k] = -np.log2(p).ravel()
+        table = np.zeros((size, 256))
+        for ctx in (near, np.where(ctx2 >= 256, ctx2, -1), np.where(ctx3 >= 256 + len(twos), ctx3, -1)):
+            use = ctx >= 0
+            np.add.at(table, (ctx[use], sym[use]), n[use])
+        p = np.zeros((size, 256))
+        for c in range(256):
+            p[c] = self._coded(table[c], order0)
+        for c, i in id2.items():
+            p[i] = self._coded(table[i], p[c // 256])
+        for j, c in enumerate(threes):
+            i = 256 + len(twos) + j
+            p[i] = self._coded(table[i], p[id2[c // 256]])
+        self.bits = (-np.log2(p)).astype(np.float32).ravel()
 
     @staticmethod
     def _coded(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -101,14 +95,28 @@ class Model:
         rest = np.where(counts > 0, 0, shorter)
         return np.where(counts > 0, counts / (total + distinct), rest / rest.sum() * (distinct / (total + distinct)))
 
+
+class Model:
+    """A tree for each language, of its own most frequent contexts: a broadcast grows with the
+    number of languages, and no language's contexts push another's out."""
+
+    def __init__(self, langs: list[str], lang_of: np.ndarray, gram: np.ndarray, n: np.ndarray):
+        self.langs = langs
+        trees = [Tree(gram[lang_of == k], n[lang_of == k]) for k in range(len(langs))]
+        self.second, self.third = (np.concatenate([getattr(t, name) for t in trees]) for name in ("second", "third"))
+        self.bits = np.concatenate([t.bits for t in trees])[:, None]
+        self.ends = np.cumsum([[0, 0, 0], *[[len(t.second), len(t.third), len(t.bits)] for t in trees]], axis=0).tolist()
+
     def lengths(self, text: str) -> np.ndarray:
         """Bits of the whole text under each language."""
         b, out = _bytes(text), np.zeros(len(self.langs))
         for k in range(3, len(b), _PIECE):
             x = b[k - 3 : k + _PIECE].astype(np.int32)
-            ctx = self.second[x[2:-1] * 256 + x[1:-2]]
-            deep = np.where(ctx >= 256, self.third[ctx * 256 + x[:-3]], ctx)
-            out += self.bits[deep * 256 + x[3:]].sum(axis=0, dtype=np.float64)
+            for lang, (begin, end) in enumerate(zip(self.ends, self.ends[1:])):
+                second, third, bits = self.second[begin[0] : end[0]], self.third[begin[1] : end[1]], self.bits[begin[2] : end[2], 0]
+                ctx = second[x[2:-1] * 256 + x[1:-2]]
+                deep = np.where(ctx >= 256, third[ctx * 256 + x[:-3]], ctx)
+                out[lang] += bits[deep * 256 + x[3:]].sum(dtype=np.float64)
         return out
 
 
