@@ -1 +1,8 @@
-"""Point-in-time event analytics on Spark DataFrames."""
+"""Point-in-time event analytics on PySpark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel by value: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
