@@ -16,7 +16,7 @@ def _starred(edges: DataFrame, large: bool) -> DataFrame:
     else:
         near = edges
     least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    pairs = near.join(least, "a")
+    pairs = near.join(least.hint("merge"), "a")
     if large:
         out = pairs.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

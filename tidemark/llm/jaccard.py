@@ -20,13 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import packed_row, staged
 from .graph import components
 
 #: Fragments in which overlaps are counted separately.
 FRAGMENTS = 8
 #: Classes of one bucket that are compared in one go.
 BUCKET_BLOCK = 512
+#: Bits of the sketch that every set has; larger sets have a wider one too.
+NARROW = 512
+#: Parts that the members of a leader are dealt in.
+SALTS = 64
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -49,12 +53,12 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     return np.unique(out)
 
 
-def odd_sketch(s: np.ndarray) -> bytes:
+def odd_sketch(s: np.ndarray) -> np.ndarray:
     """A bit for each of at least as many cells as the set has n-grams (a power of two): whether
     an odd number of them falls there. Sets that differ in d n-grams differ in at most d bits."""
-    bits = 1 << max(9, (len(s) - 1).bit_length() if len(s) else 0)
+    bits = 1 << max(NARROW.bit_length() - 1, (len(s) - 1).bit_length() if len(s) else 0)
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
@@ -117,109 +121,125 @@ class Partition:
 def _profile(batches, k, percent):
     part = Partition(percent)
     for batch in batches:
-        n, cls, keys, sketch = [], [], [], []
+        n, cls, keys, narrow, wide = [], [], [], [], []
         for text in batch.text:
             s = shingle_hashes(text, k)
             n.append(len(s))
             mixed = _mixed(s + np.uint64(len(s)))
             cls.append(int(_mixed(np.array([mixed.sum() + np.uint64(len(s))], np.uint64)).astype(np.int64)[0]) if len(s) else None)
             keys.append(part.keys(s).astype(np.int64) if len(s) else np.empty(0, np.int64))
-            sketch.append(odd_sketch(s))
-        yield pd.DataFrame({"id": batch.id, "text_hash": batch.text_hash, "n": n, "cls": pd.array(cls, "Int64"), "keys": keys, "sketch": sketch})
+            sketch = odd_sketch(s)
+            narrow.append(_folded(sketch, NARROW // 64).astype(np.int64))
+            wide.append(sketch.tobytes() if len(sketch) > NARROW // 64 else None)
+        yield pd.DataFrame({"id": batch.id, "text_hash": batch.text_hash, "n": n, "cls": pd.array(cls, "Int64"), "keys": keys, "narrow": narrow, "wide": wide})
 
 
 def _sets(batches, k):
-    """cls, fragment, tokens: the n-grams of a class's document, cut at the fragments' borders."""
+    """cls, fragment, data: the n-grams of a class's document, cut at the fragments' borders."""
     for batch in batches:
         out = []
         for r in batch.itertuples():
             s = shingle_hashes(r.text, k)
             at = np.searchsorted(s >> np.uint64(61), np.arange(FRAGMENTS + 1))
             out += [(r.cls, f, s[at[f] : at[f + 1]].tobytes()) for f in range(FRAGMENTS) if at[f] < at[f + 1]]
-        yield pd.DataFrame(out, columns=["cls", "fragment", "tokens"])
+        yield pd.DataFrame(out, columns=["cls", "fragment", "data"])
 
 
-def _overlaps(batches):
-    """Rows are sorted: a leader's segment comes before those of its members."""
+def _led(batches, columns, compare):
+    """Rows are sorted: a leader's own comes before those of its members, by what they are dealt by.
+    Yields compare(leader's data, row) of each member's row where that isn't None."""
     leader, held = None, None
     for batch in batches:
         out = []
         for r in batch.itertuples():
-            tokens = np.frombuffer(r.tokens, np.uint64)
+            data = np.frombuffer(r.data, np.uint64)
             if r.own:
-                leader, held = (r.leader, r.salt, r.fragment), tokens
+                leader, held = (r.leader, r.salt, r.fragment), data
             elif leader == (r.leader, r.salt, r.fragment):
-                out.append((r.leader, r.member, len(np.intersect1d(held, tokens, assume_unique=True))))
-        yield pd.DataFrame(out, columns=["leader", "member", "overlap"])
+                found = compare(held, data, r)
+                if found is not None:
+                    out.append((r.leader, r.member, *found))
+        yield pd.DataFrame(out, columns=columns)
+
+
+def _with_leaders(pairs: DataFrame, data: DataFrame) -> DataFrame:
+    """pairs: leader, member, salt, n1, n2; data: cls, fragment, data. Members' data behind their
+    leader's, which travels once for each part of its members."""
+    own = pairs.select("leader", "salt").distinct().join(data.withColumnRenamed("cls", "leader").hint("merge"), "leader")
+    own = own.select("leader", "salt", "fragment", F.lit(True).alias("own"), F.col("leader").alias("member"), F.lit(0).alias("n1"), F.lit(0).alias("n2"), "data")
+    other = pairs.join(data.withColumnRenamed("cls", "member").hint("merge"), "member").select("leader", "salt", "fragment", F.lit(False).alias("own"), "member", "n1", "n2", "data")
+    dealt = ["leader", "salt", "fragment"]
+    return own.unionByName(other).repartition(*dealt).sortWithinPartitions(*dealt, F.desc("own"))
 
 
-def _may_link(batches, percent):
-    """The pairs whose odd sketches don't differ in more bits than linked sets can."""
-    for batch in batches:
-        differ = np.zeros(len(batch), np.int64)
-        for k, (s1, s2) in enumerate(zip(batch.s1, batch.s2)):
-            a, b = np.frombuffer(s1, np.uint64), np.frombuffer(s2, np.uint64)
-            words = min(len(a), len(b))
-            differ[k] = np.bitwise_count(_folded(a, words) ^ _folded(b, words)).sum()
-        fine = (100 + percent) * differ <= (100 - percent) * (batch.n1 + batch.n2).to_numpy(np.int64)
-        yield batch.loc[fine, ["leader", "member", "n1", "n2"]]
+def _sized(a: str, b: str, percent: int):
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def _near(differ, a, b, percent: int):
+    """Sets that differ in d n-grams differ in at most d bits of their sketches."""
+    return (100 + percent) * differ <= (100 - percent) * (a + b)
 
 
 def _check(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (leader, member) of pairs that link. Sizes and sketches rule out most others first;
-    the sets of the rest are made again from one document of each class."""
-    size = classes.select("cls", "n")
-    pairs = pairs.join(size.select(F.col("cls").alias("leader"), F.col("n").alias("n1")), "leader").join(size.select(F.col("cls").alias("member"), F.col("n").alias("n2")), "member")
-    pairs = staged(pairs.where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent))
-    sketch = classes.select("cls", "sketch")
-    pairs = pairs.join(sketch.select(F.col("cls").alias("leader"), F.col("sketch").alias("s1")), "leader").join(sketch.select(F.col("cls").alias("member"), F.col("sketch").alias("s2")), "member")
-    pairs = pairs.mapInPandas(lambda b: _may_link(b, percent), "leader long, member long, n1 int, n2 int")
+    """The (leader, member) of pairs that link. Sizes and narrow sketches rule out most others,
+    wide sketches those of large sets; the sets of the rest are made again from one document of
+    each class. Joins are sort-merge at every size."""
+    small = classes.select("cls", "n", "narrow").hint("merge")
+    pairs = pairs.join(small.select(F.col("cls").alias("leader"), F.col("n").alias("n1"), F.col("narrow").alias("s1")), "leader")
+    pairs = pairs.join(small.select(F.col("cls").alias("member"), F.col("n").alias("n2"), F.col("narrow").alias("s2")), "member")
+    differ = sum((F.bit_count(F.col("s1")[i].bitwiseXOR(F.col("s2")[i])) for i in range(NARROW // 64)), F.lit(0))
+    pairs = pairs.where(_sized("n1", "n2", percent) & _near(differ, F.col("n1"), F.col("n2"), percent))
     # a leader of very many members goes with each part of them
-    pairs = staged(pairs.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(64))))
+    pairs = staged(pairs.select("leader", "member", "n1", "n2", F.pmod(F.xxhash64("member"), F.lit(SALTS)).alias("salt")))
+    large = F.least("n1", "n2") > NARROW
+
+    def may(held, data, r):
+        words = min(len(held), len(data))
+        differ = int(np.bitwise_count(_folded(held, words) ^ _folded(data, words)).sum())
+        return (r.n1, r.n2, r.salt) if _near(differ, r.n1, r.n2, percent) else None
+
+    wide = classes.where("wide is not null").select("cls", F.lit(0).alias("fragment"), F.col("wide").alias("data"))
+    near = _with_leaders(pairs.where(large), wide).mapInPandas(lambda b: _led(b, ["leader", "member", "n1", "n2", "salt"], may), "leader long, member long, n1 int, n2 int, salt long")
+    pairs = staged(pairs.where(~large).unionByName(near))
+
     wanted = pairs.select(F.col("leader").alias("cls")).unionByName(pairs.select(F.col("member").alias("cls"))).distinct()
-    wanted = staged(wanted.join(classes.select("cls", "of.id", "of.text_hash"), "cls"))
-    sets = rows.select("id", "text_hash", "text").join(wanted, ["id", "text_hash"])
-    sets = staged(sets.mapInPandas(lambda b: _sets(b, k), "cls long, fragment int, tokens binary").dropDuplicates(["cls", "fragment"]))
-    own = pairs.select("leader", "salt").distinct().join(sets.withColumnRenamed("cls", "leader"), "leader").select("leader", "salt", "fragment", F.lit(True).alias("own"), F.col("leader").alias("member"), "tokens")
-    other = pairs.select("leader", "salt", "member").join(sets.withColumnRenamed("cls", "member"), "member").select("leader", "salt", "fragment", F.lit(False).alias("own"), "member", "tokens")
-    rows = own.unionByName(other)
-    dealt = ["leader", "salt", "fragment"]
-    rows = rows.repartition(*dealt).sortWithinPartitions(*dealt, F.desc("own"))
-    counted = rows.mapInPandas(_overlaps, "leader long, member long, overlap long").groupBy("leader", "member").agg(F.sum("overlap").alias("overlap"))
-    linked = counted.join(pairs, ["leader", "member"]).where(F.col("overlap") * 100 >= (F.col("n1") + F.col("n2") - F.col("overlap")) * percent)
+    wanted = staged(wanted.join(classes.select("cls", "of.id", "of.text_hash").hint("merge"), "cls"))
+    sets = rows.select("id", "text_hash", "text").join(wanted.hint("merge"), ["id", "text_hash"])
+    sets = staged(sets.mapInPandas(lambda b: _sets(b, k), "cls long, fragment int, data binary").dropDuplicates(["cls", "fragment"]))
+    overlap = lambda held, data, r: (len(np.intersect1d(held, data, assume_unique=True)), r.n1, r.n2)
+    counted = _with_leaders(pairs, sets).mapInPandas(lambda b: _led(b, ["leader", "member", "overlap", "n1", "n2"], overlap), "leader long, member long, overlap long, n1 int, n2 int")
+    summed = counted.groupBy("leader", "member").agg(F.sum("overlap").alias("overlap"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
+    linked = summed.where(F.col("overlap") * 100 >= (F.col("n1") + F.col("n2") - F.col("overlap")) * percent)
     return linked.select(F.col("leader").alias("a"), F.col("member").alias("b"))
 
 
 def _across(batches, percent):
-    """Pairs of one bucket (of two of its blocks) in different components that sizes and odd sketches don't rule out:
-    sketches of sets that differ in d n-grams differ in at most d bits."""
+    """Pairs of one bucket and size (of two of its blocks) in different components that sizes and
+    narrow sketches don't rule out. A row stands with its own size (`home`) or as the lower
+    neighbour of the next: two of the latter meet elsewhere."""
     key, rows = None, []
 
     def close(rows):
         if not rows:
             return
-        rows.sort(key=lambda r: (r[2], r[0]))  # what follows a row has a sketch at least as long
-        cls, root, n, block = (np.array([r[j] for r in rows], np.int64) for j in (0, 1, 2, 4))
-        alone = key[1] == key[2]
-        sketches = [np.frombuffer(r[3], np.uint64) for r in rows]
-        first, bits = 0, None
+        cls, root, n, block, home = (np.array([r[j] for r in rows], np.int64) for j in (0, 1, 2, 4, 5))
+        alone, bits = key[2] == key[3], np.stack([r[3] for r in rows]).astype(np.int64).view(np.uint64)
         for i in range(len(rows) - 1):
-            if bits is None or len(sketches[i]) != bits.shape[1]:
-                first, bits = i, np.stack([_folded(s, len(sketches[i])) for s in sketches[i:]])
-            both = n[i] + n[i + 1 :]
-            may = ((block[i + 1 :] != block[i]) | alone) & (root[i + 1 :] != root[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
-            at = np.flatnonzero(may)
-            differ = np.bitwise_count(bits[i - first] ^ bits[i + 1 - first + at]).sum(axis=1, dtype=np.int64)
-            at = at[(100 + percent) * differ <= (100 - percent) * both[at]] + i + 1
+            rest = slice(i + 1, None)
+            may = ((block[rest] != block[i]) | alone) & (root[rest] != root[i]) & ((home[rest] == 1) | (home[i] == 1))
+            at = np.flatnonzero(may & (100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest]))) + i + 1
+            differ = np.bitwise_count(bits[i] ^ bits[at]).sum(axis=1, dtype=np.int64)
+            at = at[_near(differ, n[i], n[at], percent)]
             yield from ((min(cls[i], cls[j]), max(cls[i], cls[j])) for j in at)
 
     for batch in batches:
         out = []
         for r in batch.itertuples():
-            if (r.key, r.first, r.second) != key:
+            if (r.key, r.size, r.first, r.second) != key:
                 out += close(rows)
-                key, rows = (r.key, r.first, r.second), []
-            rows.append((r.cls, r.root, r.n, r.sketch, r.block))
+                key, rows = (r.key, r.size, r.first, r.second), []
+            rows.append((r.cls, r.root, r.n, r.narrow, r.block, r.home))
         yield pd.DataFrame(out, columns=["leader", "member"])
     yield pd.DataFrame(list(close(rows)), columns=["leader", "member"])
 
@@ -237,9 +257,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("given"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     rows = rows.withColumn("id", F.coalesce("given", -F.pmod("text_hash", F.lit(1 << 61)) - F.lit(1 << 61)))
-    profile = staged(rows.select("id", "text_hash", "text").mapInPandas(lambda b: _profile(b, k, percent), "id long, text_hash long, n int, cls long, keys array<long>, sketch binary"))
+    profile = staged(rows.select("id", "text_hash", "text").mapInPandas(lambda b: _profile(b, k, percent), "id long, text_hash long, n int, cls long, keys array<long>, narrow array<long>, wide binary"))
     full = profile.where("n > 0")
-    classes = staged(full.groupBy("cls").agg(F.min(F.struct("id", "text_hash")).alias("of"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    classes = staged(full.groupBy("cls").agg(F.min(F.struct("id", "text_hash")).alias("of"), F.first("n").alias("n"), F.first("narrow").alias("narrow"), F.first("wide").alias("wide")))
 
     # buckets of two classes or more, and what supports each class in them: most keys occur once
     # and go first, by the narrowest rows
@@ -248,34 +268,38 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     # sort-merge at every size: the rare keys grow with the corpus
     close = staged(entries.join(twice.hint("merge"), "key"))
     many = staged(close.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size"))
-    shared = staged(close.join(many, "key").groupBy("key", "cls").agg(F.first("size").alias("size")))
+    shared = staged(close.join(many.hint("merge"), "key").groupBy("key", "cls").agg(F.first("size").alias("size")))
     support = shared.groupBy("cls").agg(F.sum("size").alias("support"))
-    ranked = shared.select("key", "cls").join(support, "cls")
+    ranked = shared.select("key", "cls").join(support.hint("merge"), "cls")
     leaders = ranked.groupBy("key").agg(F.max(F.struct("support", "cls")).alias("top")).select("key", F.col("top.cls").alias("leader"))
-    stars = staged(shared.select("key", "cls").join(leaders, "key").where("cls != leader").select("leader", F.col("cls").alias("member")).distinct())
+    stars = staged(shared.select("key", "cls").join(leaders.hint("merge"), "key").where("cls != leader").select("leader", F.col("cls").alias("member")).distinct())
 
     links = staged(_check(stars, classes, rows, k, percent))
     roots = components(links)
 
     # buckets that this leaves in several components
-    open_ = shared.select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    open_ = shared.select("key", "cls").join(roots.withColumnRenamed("node", "cls").hint("merge"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     split = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    left = open_.join(split.hint("merge"), "key").join(classes.select("cls", "n", "narrow").hint("merge"), "cls")
+    # linked sets are of one size class or of two that follow each other
+    own = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent + 0.01)) if percent < 100 else F.col("n").cast("long")
+    left = left.withColumn("own", own).withColumn("size", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("home", (F.col("size") == F.col("own")).cast("int"))
+    left = staged(left.drop("own"))
     # a bucket of many classes is cut into blocks, and each two blocks meet in a task of their own
-    size = open_.join(split, "key").groupBy("key").agg(F.ceil(F.count("*") / BUCKET_BLOCK).alias("blocks"))
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
-    left = open_.join(size, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("key", "cls", "root", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
-    left = left.join(classes.select("cls", "n", "sketch"), "cls")
-    dealt = ["key", "first", "second"]
+    size = left.groupBy("key", "size").agg(F.ceil(F.count("*") / BUCKET_BLOCK).alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("home").alias("any")).where("lo < hi and any = 1").select("key", "size", "blocks")
+    left = left.join(size.hint("merge"), ["key", "size"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("key", "size", "cls", "root", "n", "narrow", "block", "home", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    dealt = ["key", "size", "first", "second"]
     left = left.repartition(*dealt).sortWithinPartitions(*dealt, "cls")
     across = left.mapInPandas(lambda b: _across(b, percent), "leader long, member long").distinct()
     tested = stars.unionByName(stars.select(F.col("member").alias("leader"), F.col("leader").alias("member")))
-    more = _check(staged(across.join(tested, ["leader", "member"], "left_anti")), classes, rows, k, percent)
+    more = _check(staged(across.join(tested.hint("merge"), ["leader", "member"], "left_anti")), classes, rows, k, percent)
     roots = components(links.unionByName(staged(more)))
 
-    ids = classes.select("cls", F.col("of.id").alias("first")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = ids.join(ids.groupBy("root").agg(F.min("first").alias("component")), "root").select("cls", "component")
-    out = profile.select("id", "text_hash", "n", "cls").join(named, "cls", "left")
+    ids = classes.select("cls", F.col("of.id").alias("first")).join(roots.withColumnRenamed("node", "cls").hint("merge"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = ids.join(ids.groupBy("root").agg(F.min("first").alias("component")).hint("merge"), "root").select("cls", "component")
+    out = profile.select("id", "text_hash", "n", "cls").join(named.hint("merge"), "cls", "left")
     shown = lambda c: F.when(c > -(1 << 61), c).cast(kind)
     return out.select(shown(F.col("id")).alias("id"), "text_hash", F.col("n").cast("long").alias("n_shingles"), shown(F.coalesce("component", "id")).alias("component_id"))
 
@@ -284,6 +308,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     """docs without near copies: of each component the row with the least id stays (of equal
     rows one), and every document that is linked with nothing."""
     found = jaccard_components(docs, k, percent, id_col, text_col)
-    gone = found.where(~F.col("component_id").eqNullSafe(F.col("id"))).select(F.col("id").alias("_id"), F.col("text_hash").alias("_th")).distinct()
-    rows = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates([id_col, "_h"])
-    return rows.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_anti").select(*docs.columns)
+    gone = found.where(~F.col("component_id").eqNullSafe(F.col("id"))).select("id", "text_hash").distinct()
+    rows = docs.select(packed_row(docs), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash")).dropDuplicates(["id", "text_hash"])
+    kept = rows.alias("r").join(gone.alias("g").hint("merge"), F.col("r.id").eqNullSafe(F.col("g.id")) & (F.col("r.text_hash") == F.col("g.text_hash")), "left_anti")
+    return kept.select("row.*")
