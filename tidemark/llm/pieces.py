@@ -1,29 +1,39 @@
 """SentencePiece encoding by streaming Viterbi, and decoding.
 
-Pieces have scores; the encoding is the segmentation with the highest sum. The Viterbi search
-goes through a text once and keeps a window of positions no longer than the longest piece.
-Whenever the backpointer paths of all positions in the window lead through one boundary, the
-pieces up to it are final and their ids are committed. Where no piece of the vocabulary spans
-two neighbouring characters (between words, for usual vocabularies), the paths always meet, so
-the stretches between such places are searched once per task and remembered.
+The search goes through a text once, over its boundaries: each has the best path that reaches it
+and points back to where its last piece began. It keeps the paths since the last committed
+boundary; whenever those of all boundaries that pieces still reach lead through one, the pieces
+up to it are final and their ids are committed.
+
+For vocabularies of merged pairs, a step from one piece to the next is allowed if merging the
+two pieces' characters leaves just these two, and forbidden otherwise. Pieces that pairwise
+hold so are those that merging the whole text gives, so the path is the model's own encoding.
+For vocabularies of likelihoods all steps are allowed and the highest sum of scores wins.
+
+Where no piece of the vocabulary spans two neighbouring characters (between words, for usual
+vocabularies), the paths always meet, so the stretches between such places are searched once
+per task and remembered.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared, unshared
+
 SPACE = "▁"
 #: Stretches that a task remembers twice over at most, and the longest that it does.
 REMEMBERED, LONGEST = 200_000, 64
-#: Rows whose ids a task holds at once.
-_ROWS = 256
-_NONE, _STOP = float("-inf"), 2.0
+#: Pairs of pieces, and beginnings of stretches, that a task remembers at most.
+PAIRS = 500_000
+_SLICE = 1 << 16
 _UNKNOWN = "\u2047".encode()
 
 
@@ -41,92 +51,152 @@ def _cut(joined: set[str]) -> re.Pattern | None:
 
 
 class Vocabulary:
-    """Pieces with ids and scores. Read from a model file's path by from_file."""
+    """Pieces with ids and scores. merged: scores are the order of merges, not likelihoods."""
 
-    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int] | None, unknown_id: int):
-        self.pieces, self.byte_ids, self.unknown_id = pieces, byte_ids, unknown_id
+    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int] | None, unknown_id: int, merged: bool = False):
+        self.pieces, self.byte_ids, self.unknown_id, self.merged = pieces, byte_ids, unknown_id, merged
         self.longest = max(map(len, pieces), default=1)
         #: unknown characters cost more than any piece
         self.unknown_score = min((s for _, s in pieces.values()), default=0.0) - 10.0
         if any(s > 0 for _, s in pieces.values()):
             raise ValueError("scores of pieces must not be positive")
-        #: a piece's score; 1.0 for what only begins a piece
-        self.known = {p[:k]: 1.0 for p in pieces for k in range(1, len(p))} | {p: s for p, (_, s) in pieces.items()}
+        #: whether what ends a piece is one itself
+        self.tails = {p[k:]: False for p in pieces for k in range(1, len(p))} | dict.fromkeys(pieces, True)
         #: what ids stand for, in bytes
         self.data = {i: p.replace(SPACE, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids or [])}
         #: neighbouring characters that some piece spans
         self.joined = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
         self.cut = _cut(self.joined)
-        #: stretches and their ids, the latest REMEMBERED and those before
+        self.start = "" if merged else 0.0
+        #: stretches and their ids, the latest REMEMBERED and those before; pairs of pieces and whether they hold
         self.memory: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
+        #: beginnings of stretches and the pieces that end them
+        self.begun: dict[str, str | None] = {}
+
+    def merge(self, text: str) -> list[str]:
+        """The pieces that merging neighbours gives, the best score (of equal ones the leftmost) first."""
+        parts, score = list(text), self.pieces.get
+        while True:
+            best, at = None, -1
+            for k in range(len(parts) - 1):
+                found = score(parts[k] + parts[k + 1])
+                if found is not None and (best is None or found[1] > best):
+                    best, at = found[1], k
+            if best is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def holds(self, before: str, piece: str) -> bool:
+        """Whether a path may step from one piece to the next."""
+        key = before, piece
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            found = self.pairs[key] = self.merge(before + piece) == [before, piece]
+        return found
 
     @classmethod
-    def from_file(cls, path: str) -> Vocabulary:
+    def from_file(cls, path: str, merged: bool = True) -> Vocabulary:
         import sentencepiece
 
-        m = sentencepiece.SentencePieceProcessor(model_file=path)
-        return cls.from_processor(m)
+        return cls.from_processor(sentencepiece.SentencePieceProcessor(model_file=path), merged)
 
     @classmethod
-    def from_processor(cls, m) -> Vocabulary:
+    def from_processor(cls, m, merged: bool = True) -> Vocabulary:
         ids = range(m.get_piece_size())
         usual = {m.id_to_piece(i): (i, m.get_score(i)) for i in ids if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))}
         named = {m.id_to_piece(i): i for i in ids if m.is_byte(i)}
-        return cls(usual, [named[f"<0x{b:02X}>"] for b in range(256)] if len(named) == 256 else None, m.unk_id())
-
-    def viterbi(self, text: str) -> list[int]:
-        """ids of the best segmentation of a text whose spaces are already SPACE."""
-        n, longest, done, begin = len(text), self.longest, 0, 0
-        best, back = [0.0], [0]  # of the positions from the last committed boundary, `done`
-        out: list[int] = []
-        look = 4 * longest  # how far to go before the paths are walked back
-        while begin < n:
-            stop = min(n, begin + look)
-            more = min(n, stop + longest) + 1 - done - len(best)
-            best += [_NONE] * more
-            back += [0] * more
-            self._relax(text, begin, stop, done, best, back)
-            begin = stop
-            meet = n if stop == n else self._meeting(back, done, stop, done + len(best) - 1)
-            if meet > done:
-                self._commit(text, back, done, meet, out)
-                del best[: meet - done], back[: meet - done]
-                done, look = meet, 4 * longest
+        return cls(usual, [named[f"<0x{b:02X}>"] for b in range(256)] if len(named) == 256 else None, m.unk_id(), merged)
+
+    def viterbi(self, text: str, memo: dict[str, str | None] | None = None) -> Iterator[list[int]]:
+        """ids of the best path through a text whose spaces are already SPACE, as they become final.
+
+        Boundaries from the last committed one, `done`, on are held. Paths are followed back after
+        every `longest` boundaries, or a quarter of those held where they don't meet (as in a run of
+        one repeated character), so that the work stays in proportion. memo: the pieces that lead to
+        boundaries, by the text up to there, as texts often begin alike."""
+        n, longest, done, end, checked = len(text), self.longest, 0, 0, 0
+        best, back = [self.start], [0]
+        while end < n:
+            stop = min(n, end + longest)
+            if self.merged:
+                self._step(text, end + 1, stop, done, best, back, memo)
             else:
-                look *= 2
-        return out
-
-    def _relax(self, text, begin, stop, done, best, back) -> None:
-        """Follows the pieces that begin at begin..stop - 1. Ties stay with the longer piece."""
-        known, longest, unknown, n = self.known.get, self.longest, self.unknown_score, len(text)
-        for b in range(begin, stop):
-            score = best[b - done]
-            if score == _NONE:
+                self._relax(text, end + 1, stop, done, best, back)
+            end = stop
+            if end < n and end - checked < (end - done) // 4:
                 continue
-            if known(text[b], _STOP) > 0 and score + unknown > best[b + 1 - done]:
-                best[b + 1 - done], back[b + 1 - done] = score + unknown, b
-            for e in range(b + 1, min(n, b + longest) + 1):
-                more = known(text[b:e], _STOP)
-                if more <= 0:
-                    more += score
-                    if more > best[e - done]:
-                        best[e - done], back[e - done] = more, b
-                elif more == _STOP:
+            checked = end
+            meet = n if end == n else self._meeting(back, best, done, max(done, end + 1 - longest), end)
+            if meet > done:
+                yield self._commit(text, back, done, meet)
+                del best[: meet - done], back[: meet - done]
+                done = meet
+
+    def _step(self, text, first, stop, done, best, back, memo) -> None:
+        """best is the piece that leads to a boundary, None where no path does. At most one path
+        leads to each, so the first piece that holds with the one before it is the one."""
+        tails, pairs, holds, longest = self.tails.get, self.pairs.get, self.holds, self.longest
+        for e in range(first, stop + 1):
+            if memo is not None:
+                reached = memo.get(text[:e], "")
+                if reached != "":
+                    best.append(reached)
+                    back.append(e - len(reached) if reached else e - 1)
+                    continue
+            b, low, found = e - 1, max(done, e - longest), []
+            piece = text[b]
+            while (whole := tails(piece)) is not None:
+                if whole:
+                    found.append(piece)
+                if b == low:
                     break
+                b -= 1
+                piece = text[b:e]
+            reached = None
+            if not found and best[-1] is not None:
+                found.append(text[e - 1])  # an unknown character
+            while found:
+                piece = found.pop()
+                before = best[e - len(piece) - done]
+                if before is not None:
+                    fine = not before or pairs((before, piece))
+                    if fine or (fine is None and holds(before, piece)):
+                        reached = piece
+                        break
+            best.append(reached)
+            back.append(e - len(reached) if reached else e - 1)
+            if memo is not None:
+                memo[text[:e]] = reached
+
+    def _relax(self, text, first, stop, done, best, back) -> None:
+        """best is the greatest sum of scores. Ties stay with the longer piece."""
+        for e in range(first, stop + 1):
+            top, at = best[-1] + self.unknown_score, e - 1
+            for b in range(e - 1, max(done, e - self.longest) - 1, -1):
+                whole = self.tails.get(text[b:e])
+                if whole is None:
+                    break
+                if whole and best[b - done] + self.pieces[text[b:e]][1] >= top:
+                    top, at = best[b - done] + self.pieces[text[b:e]][1], b
+            best.append(top)
+            back.append(at)
 
     @staticmethod
-    def _meeting(back, done, low, high) -> int:
-        """The last boundary on the paths of all reached positions low..high: paths walk back,
+    def _meeting(back, best, done, low, high) -> int:
+        """The last boundary on the paths of all reached boundaries low..high: paths walk back,
         the farthest first, until one is left."""
-        at = {p for p in range(low, high + 1) if p == low or back[p - done]}
+        at = {p for p in range(low, high + 1) if best[p - done] is not None}
         while len(at) > 1:
             far = max(at)
             at.discard(far)
             at.add(back[far - done] if far > done else done)
         return at.pop()
 
-    def _commit(self, text, back, done, meet, out) -> None:
+    def _commit(self, text, back, done, meet) -> list[int]:
         found, at = [], meet
         while at > done:
             start = back[at - done]
@@ -138,30 +208,57 @@ class Vocabulary:
             else:
                 found += [self.byte_ids[b] for b in reversed(text[start:at].encode("utf-8", "replace"))]
             at = start
-        out += reversed(found)
+        found.reverse()
+        return found
 
     def encode(self, text: str) -> list[int]:
         """A leading space is added and spaces become SPACE; nothing else is normalized."""
-        if not text:
-            return []
         out: list[int] = []
-        memory = self.memory
-        for part in self.stretches(SPACE + text.replace(" ", SPACE)):
-            ids = memory.get(part)
-            if ids is None:
-                ids = self.older.get(part) or self.viterbi(part)
-                if len(part) <= LONGEST:
-                    if len(memory) >= REMEMBERED:
-                        self.older, self.memory = memory, {}
-                        memory = self.memory
-                    memory[part] = ids
+        for ids in self.committed(text):
             out += ids
         return out
 
-    def stretches(self, text: str) -> list[str]:
+    def committed(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text, a few at a time as they become final; none of an empty text."""
+        memory = self.memory
+        for parts in self.stretches(SPACE + text.replace(" ", SPACE) if text else ""):
+            out: list[int] = []
+            for part in parts:
+                ids = memory.get(part)
+                if ids is None:
+                    if len(part) > LONGEST:
+                        yield out
+                        yield from self.viterbi(part)
+                        out = []
+                        continue
+                    ids = self.remembered(part)
+                    memory = self.memory
+                out += ids
+            yield out
+
+    def remembered(self, part: str) -> list[int]:
+        """The ids of a short stretch that isn't in memory, and is from here on."""
+        ids = self.older.get(part)
+        if ids is None:
+            if len(self.begun) >= PAIRS:
+                self.begun.clear()
+            ids = [i for some in self.viterbi(part, self.begun) for i in some]
+        if len(self.memory) >= REMEMBERED:
+            self.older, self.memory = self.memory, {}
+        self.memory[part] = ids
+        return ids
+
+    def stretches(self, text: str) -> Iterator[list[str]]:
         """The text cut at places that no piece of this vocabulary spans: before runs of SPACE, and
-        between letters and others."""
-        return self.cut.findall(text) if self.cut else [text]
+        between letters and others. A list for each _SLICE characters."""
+        if not self.cut:
+            yield [text] if text else []
+            return
+        held = ""
+        for k in range(0, len(text), _SLICE):
+            *parts, held = self.cut.findall(held + text[k : k + _SLICE])
+            yield parts
+        yield [held] if held else []
 
     def decode(self, ids) -> str:
         """The text that ids stand for; bytes in a row are UTF-8, unknown ids U+2047."""
@@ -172,7 +269,7 @@ class Vocabulary:
 
 def _shared(df: DataFrame, path: str):
     """The vocabulary, read on the driver; its size is that of one model file."""
-    return df.sparkSession.sparkContext.broadcast(Vocabulary.from_file(path))
+    return shared(df.sparkSession, Vocabulary.from_file(path))
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,51 +278,49 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     A null text counts as empty and gives no ids. exact: decoding gives the text back, as it
     does but where a text holds U+2581 itself, which reads as a space. Ties between segmentations go to
     the one whose last differing piece is longer. Rows are encoded one by one, so repeated rows
-    get equal ids; other columns are left out.
+    get equal ids; other columns are left out. Ids of documents don't pass through Python.
     """
-    shared = _shared(docs, model_path)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    given = _shared(docs, model_path)
 
-    def encode(batches):
-        v = shared.value
-        for whole in batches:
-            for k in range(0, len(whole), _ROWS):
-                batch = whole.iloc[k : k + _ROWS]
-                ids = [np.array(v.encode(t or ""), np.int32) for t in batch.text]
-                exact = [v.decode(x.tolist()) == (t or "") for x, t in zip(ids, batch.text)]
-                yield pd.DataFrame({"id": batch.id, "ids": ids, "n_tokens": [len(x) for x in ids], "exact": exact})
+    @F.pandas_udf("ids array<int>, exact boolean")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        v = unshared(given)
+        for texts in batches:
+            ids = [np.array(v.encode(t or ""), np.int32) for t in texts]
+            yield pd.DataFrame({"ids": ids, "exact": [v.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts)]})
 
-    return rows.mapInPandas(encode, f"id {dict(rows.dtypes)['id']}, ids array<int>, n_tokens long, exact boolean")
+    rows = docs.select(F.col(id_col).alias("id"), encode.asNondeterministic()(F.col(text_col)).alias("found"))
+    return rows.select("id", "found.ids", F.size("found.ids").cast("long").alias("n_tokens"), "found.exact")
 
 
 def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers), n_chars,
     decoded_sha256, exact: whether decoding gives the text back."""
-    shared = _shared(docs, model_path)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    given = _shared(docs, model_path)
 
-    def digest(batches):
-        v = shared.value
-        for batch in batches:
+    @F.pandas_udf("n_tokens long, ids_sha256 string, n_chars long, decoded_sha256 string, exact boolean")
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        v = unshared(given)
+        for texts in batches:
             out = []
-            for i, t in zip(batch.id, batch.text):
+            for t in texts:
                 t = t or ""
                 ids = np.array(v.encode(t), "<i4")
                 back = v.decode(ids.tolist())
-                out.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), len(t), hashlib.sha256(back.encode("utf-8", "replace")).hexdigest(), back == t))
-            yield pd.DataFrame(out, columns=["id", "n_tokens", "ids_sha256", "n_chars", "decoded_sha256", "exact"])
+                out.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), len(t), hashlib.sha256(back.encode("utf-8", "replace")).hexdigest(), back == t))
+            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "n_chars", "decoded_sha256", "exact"])
 
-    return rows.mapInPandas(digest, f"id {dict(rows.dtypes)['id']}, n_tokens long, ids_sha256 string, n_chars long, decoded_sha256 string, exact boolean")
+    return docs.select(F.col(id_col).alias("id"), digest.asNondeterministic()(F.col(text_col)).alias("found")).select("id", "found.*")
 
 
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """id, text of every row. Null ids give a null text."""
-    shared = _shared(encoded, model_path)
-    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    given = _shared(encoded, model_path)
 
-    def decode(batches):
-        v = shared.value
-        for batch in batches:
-            yield pd.DataFrame({"id": batch.id, "text": [None if x is None else v.decode(x) for x in batch.ids]})
+    @F.pandas_udf("string")
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        v = unshared(given)
+        for ids in batches:
+            yield pd.Series([None if x is None else v.decode(x.tolist()) for x in ids], dtype=object)
 
-    return rows.mapInPandas(decode, f"id {dict(rows.dtypes)['id']}, text string")
+    return encoded.select(F.col(id_col).alias("id"), decode(F.col(ids_col)).alias("text"))
