@@ -10,25 +10,24 @@ code length under a language is the sum over its bytes, and the shortest wins.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared, unshared
+
 #: Labelled documents a language is fitted on at most (all, if fewer); chosen by hash of the id.
 FIT_DOCUMENTS = 1500
-#: Contexts of orders 2 and 3 that are kept of a language at most, most frequent first; all of orders 0, 1 are.
-CONTEXTS = 6000
-#: A context needs so many symbols.
-LEAST_COUNT = 16
-_LETTER = re.compile(r"[^\W\d_]")
+#: A context of order 2 or 3 needs so many symbols in the labelled documents of its language.
+LEAST_COUNT = 64
 _PIECE = 1 << 20
 
 
 def _bytes(text: str) -> np.ndarray:
-    """Lower-cased (ASCII) UTF-8 behind three zero bytes, the contexts of a text's beginning."""
+    """Lower-cased UTF-8 behind three zero bytes, the contexts of a text's beginning."""
     return np.frombuffer(b"\0\0\0" + text.lower().encode("utf-8", "replace"), np.uint8)
 
 
@@ -46,7 +45,8 @@ def _gram_counts(batches):
 
 
 class Tree:
-    """One language's context ids and code lengths: arrays only, bounded by CONTEXTS."""
+    """One language's context ids and code lengths: arrays, a row for each context that occurs LEAST_COUNT
+    times, so bounded by the labelled documents of FIT_DOCUMENTS."""
 
     def __init__(self, gram: np.ndarray, n: np.ndarray):
         sym, near, mid, far = gram & 255, gram >> 8 & 255, gram >> 16 & 255, gram >> 24 & 255
@@ -56,8 +56,8 @@ class Tree:
         for order, code in ((2, two), (3, three)):
             ids, at = np.unique(code, return_inverse=True)
             total = np.bincount(at, n, len(ids))
-            keep += [(-t, order, int(c)) for c, t in zip(ids, total) if t >= LEAST_COUNT]
-        chosen = {(order, c) for _, order, c in sorted(keep)[:CONTEXTS]}
+            keep += [(order, int(c)) for c, t in zip(ids, total) if t >= LEAST_COUNT]
+        chosen = set(keep)
         twos = sorted(c for order, c in chosen if order == 2)
         threes = sorted(c for order, c in chosen if order == 3 and (2, c // 256) in chosen)
         size = 256 + len(twos) + len(threes)
@@ -97,8 +97,8 @@ class Tree:
 
 
 class Model:
-    """A tree for each language, of its own most frequent contexts: a broadcast grows with the
-    number of languages, and no language's contexts push another's out."""
+    """A tree for each language, of its own contexts: a broadcast grows with the number of
+    languages, and no language's contexts push another's out."""
 
     def __init__(self, langs: list[str], lang_of: np.ndarray, gram: np.ndarray, n: np.ndarray):
         self.langs = langs
@@ -125,7 +125,8 @@ def fit(labelled: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Model | None
     rows = labelled.where("lang is not null and text is not null and text != ''")
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(fit_documents)) / F.count("*")).alias("share"))
     point = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    some = rows.join(share, "lang").where(point < F.col("share")).select("lang", "text")
+    # a row for each language; texts stay where they are until they are chosen
+    some = rows.join(F.broadcast(share), "lang").where(point < F.col("share")).select("lang", "text")
     grams = some.mapInPandas(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = grams.toPandas()
     if not len(table):
@@ -142,24 +143,21 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     learned languages, 0 to 1; ties go to the first language in code-point order. Rows are
     scored one by one, so repeated rows get equal results; the input is not shuffled.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
-    out = ", ".join([f"id {dict(rows.dtypes)['id']}", *[f"`{c}` {dict(rows.dtypes)[c]}" for c in keep], "lang_pred string", "score double"])
-
-    def predict(batches):
-        m = shared.value
-        for batch in batches:
-            best, score = [], []
-            for text in batch.text:
-                if m is None or text is None or not _LETTER.search(text):
-                    best.append("und")
-                    score.append(0.0)
+    given = shared(docs.sparkSession, model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m = unshared(given)
+        for texts in batches:
+            out = []
+            for text in texts:
+                if m is None or text is None or not any(map(str.isalpha, text)):
+                    out.append(("und", 0.0))
                     continue
                 bits = m.lengths(text)
                 k = int(bits.argmin())
-                best.append(m.langs[k])
-                score.append(float(1 / np.exp2(np.maximum(bits[k] - bits, -1000)).sum()))
-            yield batch.drop(columns="text").assign(lang_pred=best, score=score)
+                out.append((m.langs[k], float(1 / np.exp2(np.maximum(bits[k] - bits, -1000)).sum())))
+            yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return rows.mapInPandas(predict, out)
+    rows = docs.select(F.col(id_col).alias("id"), *keep, predict.asNondeterministic()(F.col(text_col)).alias("found"))
+    return rows.select("id", *keep, "found.*")
