@@ -1,15 +1,18 @@
 """A quality classifier by co-training.
 
-Two logistic classifiers see two views of a page: its text content (hashed byte pairs) and its
-metadata (source, language, length and layout). Both are fitted on labelled rows; in each
-round, each labels the unlabelled documents that it is most sure of for the other. At the end
-both are calibrated on labelled rows that neither was fitted on, and the mean of the calibrated
-log-odds scores all documents.
+Two logistic classifiers see two views of a page. The content view is its words alone: hashed
+pairs of letters, all else dropped. The metadata view is all else: source, language, length,
+layout and signs. Both are fitted on labelled rows. In each round both score every document,
+and those that one is sure of become labelled rows for the other, whose weights then take a
+Newton step; the sums that the step needs are made on Spark. At the end both are calibrated on
+labelled rows that neither was fitted on, and the mean of the calibrated log-odds scores all
+documents.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,35 +20,43 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows, and unlabelled ones, that the classifiers are fitted on at most, in expectation.
-FIT_ROWS, POOL_ROWS = 4000, 4000
-ROUNDS = 4
-#: How sure a view must be of a pseudo-label, and the share of the pool it gives in a round.
-SURE, GIVES = 0.95, 0.1
+from .common import packed_row, shared, unshared
+
+#: Labelled rows that the classifiers are fitted on at most, in expectation.
+FIT_ROWS = 4000
+ROUNDS = 2
+#: How sure a view must be of a pseudo-label.
+SURE = 0.95
+#: Ridge penalty; pseudo-labels weigh as much as the labelled rows together at most.
+PENALTY = 20.0
 THRESHOLD = 0.5
-_TEXT, _HASHED = 512, 16
+_TEXT, _HASHED = 256, 16
+#: Numbers of a sum that travel together.
+_PART = 4096
+#: Letters in lower case (and all bytes of other scripts) stay, what else there is becomes a space.
+_LETTERS = bytes(b if b >= 128 else b | 32 if 97 <= (b | 32) <= 122 else 32 for b in range(256))
 
 
 def text_view(text: str) -> np.ndarray:
-    """Square roots of the shares of hashed byte pairs."""
-    b = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    """Square roots of the shares of hashed pairs of letters."""
+    b = np.frombuffer(text.encode("utf-8", "replace").translate(_LETTERS), np.uint8)
     if len(b) < 2:
         return np.zeros(_TEXT, np.float32)
     pairs = (b[:-1].astype(np.uint32) * np.uint32(2654435761) ^ b[1:].astype(np.uint32) * np.uint32(2246822519)) * np.uint32(3266489917)
-    return np.sqrt(np.bincount(pairs >> np.uint32(23), minlength=_TEXT) / (len(b) - 1)).astype(np.float32)
+    return np.sqrt(np.bincount(pairs >> np.uint32(24), minlength=_TEXT) / (len(b) - 1)).astype(np.float32)
 
 
 def metadata_view(text: str, source: str | None, lang: str | None) -> np.ndarray:
-    """Length and layout, and the hashed names of source and language."""
+    """Length, layout and signs, and the hashed names of source and language."""
     data = text.encode("utf-8", "replace")
     b = np.frombuffer(data, np.uint8)
-    n = max(1, len(b))
-    words, lines = len(data.split()), data.count(b"\n") + 1
+    n, words, lines = max(1, len(b)), data.split(), data.count(b"\n") + 1
     upper = np.count_nonzero((b >= 65) & (b <= 90)) / n
     digit = np.count_nonzero((b >= 48) & (b <= 57)) / n
     alpha = np.count_nonzero(((b | 32) >= 97) & ((b | 32) <= 122) | (b >= 128)) / n
     space = np.count_nonzero((b == 32) | ((b >= 9) & (b <= 13))) / n
-    layout = [np.log1p(len(b)), np.log1p(words), np.log1p(lines), np.log1p(len(b) / lines), len(b) / max(1, words), upper, digit, alpha, space, 1 - alpha - digit - space]
+    distinct = len(set(words)) / max(1, len(words)) * np.log1p(len(words))
+    layout = [np.log1p(len(b)), np.log1p(len(words)), np.log1p(lines), np.log1p(len(b) / lines), len(b) / max(1, len(words)), upper, digit, alpha, space, 1 - alpha - digit - space, distinct]
     names = np.zeros(2 * _HASHED)
     names[zlib.crc32((source or "").encode()) % _HASHED] = 1
     names[_HASHED + zlib.crc32((lang or "").encode()) % _HASHED] = 1
@@ -67,6 +78,10 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 8)
     return w
 
 
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 @dataclass
 class View:
     """A classifier on standardized features, with its calibration."""
@@ -83,8 +98,25 @@ class View:
         scale = np.where(scale > 1e-9, scale, 1.0)
         return cls(mean, scale, _fit_logistic(np.clip((x - mean) / scale, -8, 8), y, penalty))
 
+    def standard(self, x):
+        return np.clip((x - self.mean) / self.scale, -8, 8)
+
     def raw(self, x):
-        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1]
+        return self.standard(x) @ self.weights[:-1] + self.weights[-1]
+
+    def sums(self, x, y):
+        """What a Newton step needs of rows: their number, gradient and curvature at these weights."""
+        z = np.hstack([self.standard(x), np.ones((len(x), 1))])
+        p = _sigmoid(z @ self.weights)
+        return np.concatenate([[len(x)], z.T @ (y - p), ((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z).ravel()])
+
+    def stepped(self, own: np.ndarray, given: np.ndarray, penalty: float) -> View:
+        """With the weights after a Newton step on labelled rows' sums and pseudo-labelled rows'."""
+        k, share = len(self.weights), min(1.0, own[0] / max(1.0, given[0]))
+        total, ridge = own + share * given, np.full(k, penalty)
+        ridge[-1] = 1e-6
+        step = np.linalg.solve(total[1 + k :].reshape(k, k) + np.diag(ridge), total[1 : 1 + k] - ridge * self.weights)
+        return View(self.mean, self.scale, self.weights + np.clip(step, -1, 1))
 
     def calibrate(self, x, y):
         w = _fit_logistic(self.raw(x)[:, None] / 4, y, 0.1)
@@ -94,38 +126,71 @@ class View:
         return self.raw(x) * self.slope + self.shift
 
 
-def co_train(text, meta, y, pool_text, pool_meta, rounds=ROUNDS, penalty=20.0) -> tuple[View, View] | None:
-    """Both views, from rows in a stated order: a seeded quarter calibrates, the rest fits."""
+def exchanged(views: list[View], text: np.ndarray, meta: np.ndarray) -> list[np.ndarray]:
+    """Each view's sums over the rows that the other view is sure of, with its labels."""
+    p = [_sigmoid(v.raw(x)) for v, x in zip(views, (text, meta))]
+    out = []
+    for view, x, other in ((views[0], text, p[1]), (views[1], meta, p[0])):
+        sure = np.maximum(other, 1 - other) >= SURE
+        out.append(view.sums(x[sure], (other[sure] >= 0.5).astype(float)))
+    return out
+
+
+def _views_of(texts, sources, langs) -> tuple[np.ndarray, np.ndarray]:
+    text = [t or "" for t in texts]
+    return np.array([text_view(t) for t in text], np.float64).reshape(-1, _TEXT), np.array([metadata_view(t, s, g) for t, s, g in zip(text, sources, langs)], np.float64).reshape(len(text), -1)
+
+
+def _all_exchanged(docs: DataFrame, views: list[View]) -> list[np.ndarray]:
+    """exchanged over all rows of docs (text, source, lang): each task's sums are added up in parts,
+    so that what the driver gets is as large as one row's curvature whatever the corpus."""
+    given, size = shared(docs.sparkSession, views), [1 + len(v.weights) + len(v.weights) ** 2 for v in views]
+
+    def sums(batches):
+        views, total = unshared(given), [np.zeros(n) for n in size]
+        for batch in batches:
+            for k in range(0, len(batch), 1024):
+                b = batch.iloc[k : k + 1024]
+                for t, x in zip(total, exchanged(views, *_views_of(b.text, b.source, b.lang))):
+                    t += x
+        yield pd.DataFrame([(v, k, t[k : k + _PART].tobytes()) for v, t in enumerate(total) for k in range(0, len(t), _PART)], columns=["view", "part", "sums"])
+
+    def added(batches):
+        total: dict = {}
+        for batch in batches:
+            for r in batch.itertuples():
+                total[r.view, r.part] = total.get((r.view, r.part), 0) + np.frombuffer(r.sums)
+        yield pd.DataFrame([(v, k, x.tobytes()) for (v, k), x in total.items()], columns=["view", "part", "sums"])
+
+    schema = "view int, part int, sums binary"
+    rows = docs.select("text", "source", "lang").mapInPandas(sums, schema).repartition("view", "part").mapInPandas(added, schema).collect()
+    out = [np.zeros(n) for n in size]
+    for r in rows:
+        x = np.frombuffer(r["sums"])
+        out[r["view"]][r["part"] : r["part"] + len(x)] = x
+    return out
+
+
+def co_train(text, meta, y, pool, rounds: int = ROUNDS, penalty: float = PENALTY) -> list[View] | None:
+    """Both views, from labelled rows in a stated order: a seeded quarter calibrates, the rest fits.
+    pool(views): the sums of exchanged over all documents."""
     held = np.random.default_rng(11).permutation(len(y)) % 4 == 3
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         return None
-    views, pools, x = [None, None], [pool_text, pool_meta], [text, meta]
-    given: list[dict[int, float]] = [{}, {}]  # pool row -> label, for each view, from the other
-    for turn in range(rounds + 1):
-        for k in (0, 1):
-            rows = np.array(sorted(given[k]), int)
-            labels = np.array([given[k][r] for r in rows])
-            fit_x = np.vstack([x[k][~held], pools[k][rows]]) if len(rows) else x[k][~held]
-            views[k] = View.fitted(fit_x, np.concatenate([y[~held], labels]) if len(rows) else y[~held], penalty)
-        if turn == rounds or not len(pool_text):
-            break
-        most = max(1, int(GIVES * len(pool_text) / 2))
-        for k in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(views[k].raw(pools[k]), -30, 30)))
-            free = np.array([r for r in range(len(p)) if r not in given[1 - k]], int)
-            for label, sure in ((1.0, p[free]), (0.0, 1 - p[free])):
-                order = np.argsort(-sure, kind="stable")[:most]
-                given[1 - k].update({int(free[j]): label for j in order if sure[j] >= SURE})
-    for k in (0, 1):
-        views[k].calibrate(x[k][held], y[held])
-    return views[0], views[1]
+    x = [text, meta]
+    views = [View.fitted(v[~held], y[~held], penalty) for v in x]
+    for _ in range(rounds):
+        own = [v.sums(z[~held], y[~held]) for v, z in zip(views, x)]
+        views = [v.stepped(a, b, penalty) for v, a, b in zip(views, own, pool(views))]
+    for v, z in zip(views, x):
+        v.calibrate(z[held], y[held])
+    return views
 
 
 def _features(batches):
     for batch in batches:
-        text = [t or "" for t in batch.text]
-        meta = [metadata_view(t, s, g).tobytes() for t, s, g in zip(text, batch.source, batch.lang)]
-        yield pd.DataFrame({"id": batch.id, "y": batch.y, "text_view": [text_view(t).tobytes() for t in text], "meta_view": meta})
+        text, meta = _views_of(batch.text, batch.source, batch.lang)
+        yield pd.DataFrame({"id": batch.id, "y": batch.y, "text_view": [r.tobytes() for r in text], "meta_view": [r.tobytes() for r in meta]})
 
 
 def _some(rows: DataFrame, expected: int) -> DataFrame:
@@ -134,57 +199,59 @@ def _some(rows: DataFrame, expected: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
-def _view_rows(df: DataFrame) -> DataFrame:
-    return df.select("id", F.col("text"), F.col("source"), F.col("lang"), F.col("y").cast("double").alias("y"))
-
-
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> tuple[View, View] | None:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS) -> list[View] | None:
     """docs: id, text, source, lang; labels: id, y (0 or 1, null rows don't count). None without
-    labels of both kinds. Only the bounded sample's features reach the driver."""
+    labels of both kinds. Only the bounded labelled sample's features and the sums of a round
+    reach the driver; rounds exchange labels over all documents."""
     known = labels.where("id is not null and y is not null").groupBy("id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
     chosen = _some(known, fit_rows)
     taught = docs.join(F.broadcast(chosen), "id")  # about fit_rows ids
-    pool = _some(docs.where("id is not null"), pool_rows).join(known.select("id"), "id", "left_anti").withColumn("y", F.lit(None))
-    rows = _view_rows(taught).unionByName(_view_rows(pool)).mapInPandas(_features, f"id {dict(docs.dtypes)['id']}, y double, text_view binary, meta_view binary")
-    table = rows.toPandas().sort_values(["id", "text_view", "meta_view"], kind="stable")
+    rows = taught.select(F.col("id").cast("string").alias("id"), "text", "source", "lang", "y")
+    table = rows.mapInPandas(_features, "id string, y double, text_view binary, meta_view binary").toPandas().sort_values(["id", "text_view", "meta_view"], kind="stable")
     if not len(table):
         return None
-    text, meta = (np.vstack([np.frombuffer(r, np.float32) for r in table[c]]).astype(np.float64) for c in ("text_view", "meta_view"))
-    y = table.y.to_numpy()
-    on = ~np.isnan(y)
-    return co_train(text[on], meta[on], y[on], text[~on], meta[~on])
+    text, meta = (np.vstack([np.frombuffer(r) for r in table[c]]) for c in ("text_view", "meta_view"))
+    return co_train(text, meta, table.y.to_numpy(), lambda views: _all_exchanged(docs, views), rounds)
 
 
-def score(docs: DataFrame, views: tuple[View, View] | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, keep..., score, text_score, meta_score of every row (docs: id, text, source, lang).
+def _scored(docs: DataFrame, views: list[View] | None, *given):
+    """A column struct(score, text_score, meta_score, fitted) of text, source, lang."""
+    held = shared(docs.sparkSession, views)
 
-    Whole texts are scored, one row at a time in the input's partitions. A text without any
-    word (or null) scores 0. Without a classifier (too few labels) every other text scores 1.
-    Null sources and languages are names like others. Equal rows score equally.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(views)
-    rows = docs.select("id", *[c for c in keep if c not in ("text", "source", "lang")], "text", "source", "lang")
-    kinds = dict(rows.dtypes)
-    out = ", ".join([f"`{c}` {kinds[c]}" for c in ["id", *keep]] + ["score double", "text_score double", "meta_score double"])
+    @F.pandas_udf("score double, text_score double, meta_score double, fitted boolean")
+    def scored(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        views = unshared(held)
+        for texts, sources, langs in batches:
+            blank = np.array([not (t and t.strip()) for t in texts], bool)
+            if views is None:
+                one = np.where(blank, 0.0, 1.0)
+                yield pd.DataFrame({"score": one, "text_score": one, "meta_score": one, "fitted": False})
+                continue
+            odds = np.zeros((2, len(texts)))
+            for k in range(0, len(texts), 1024):
+                part = slice(k, k + 1024)
+                odds[:, part] = [v.log_odds(x) for v, x in zip(views, _views_of(texts.iloc[part], sources.iloc[part], langs.iloc[part]))]
+            share = lambda x: np.where(blank, 0.0, _sigmoid(x))
+            yield pd.DataFrame({"score": share(odds.mean(axis=0)), "text_score": share(odds[0]), "meta_score": share(odds[1]), "fitted": True})
 
-    def scored(batches):
-        views = shared.value
-        for batch in batches:
-            blank = np.array([not (t and t.strip()) for t in batch.text], bool)
-            a = b = np.full(len(batch), np.inf)
-            if views is not None and len(batch):
-                text = [t or "" for t in batch.text]
-                a = np.array([views[0].log_odds(text_view(t)) for t in text])
-                b = np.array([views[1].log_odds(metadata_view(t, s, g)) for t, s, g in zip(text, batch.source, batch.lang)])
-            share = lambda x: np.where(blank, 0.0, 1 / (1 + np.exp(-np.clip(x, -30, 30))))
-            yield batch[["id", *keep]].assign(score=np.where(np.isinf(a) & ~blank, 1.0, share((a + b) / 2)), text_score=share(a), meta_score=share(b))
+    return scored.asNondeterministic()(*given)
+
+
+def score(docs: DataFrame, views: list[View] | None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, keep..., score, text_score, meta_score, fitted of every row (docs: id, text, source, lang).
 
-    return rows.mapInPandas(scored, out)
+    Whole texts are scored, one row at a time in the input's partitions. A text without any
+    word (or null) scores 0. Without a classifier (too few labels) every other text scores 1,
+    and fitted is false. Null sources and languages are names like others. Equal rows score equally.
+    """
+    found = _scored(docs, views, "text", "source", "lang")
+    return docs.select("id", *keep, found.alias("found")).select("id", *keep, "found.*")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", source_col="source", lang_col="lang", label_id="doc_id", label_col="quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, in the columns of docs."""
+    """The rows of docs whose score reaches the threshold, in the columns of docs. Without a
+    classifier only texts without a word go."""
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"))
     views = fit(given, labels.select(F.col(label_id).alias("id"), F.col(label_col).alias("y")))
-    packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.struct(*docs.columns).alias("row"))
-    return score(packed, views, keep=("row",)).where(F.col("score") >= threshold).select("row.*")
+    found = _scored(docs, views, F.col(text_col), F.col(source_col).cast("string"), F.col(lang_col).cast("string"))
+    return docs.select(packed_row(docs), found.alias("found")).where(F.col("found.score") >= threshold).select("row.*")
