@@ -2,7 +2,7 @@
 
 A document's UTF-8 bytes are parsed into dictionary phrases: each phrase is the shortest that
 wasn't seen before. The phrases' hashes fall into BINS bins, and the least hash of each bin
-makes the signature (empty bins take the next full bin's). Likeness is the share of equal places.
+makes the signature (empty bins take the next full bin's, moved by how far off it is). Likeness is the share of equal places.
 """
 
 from __future__ import annotations
@@ -71,8 +71,8 @@ def _signature(data: bytes, cuts: list, powers: _Powers) -> np.ndarray:
     width = 64 - BINS.bit_length() + 1
     bins = (h >> np.uint64(width)).astype(np.int64)
     at = np.searchsorted(bins, np.arange(BINS)) % len(h)  # where a bin is empty: the next full one's
-    low = h[at] >> np.uint64(width - 16)
-    return (low + (bins[at] != np.arange(BINS)).astype(np.uint64) * np.uint64(0x9E37)).astype(np.uint16)
+    low, far = h[at] >> np.uint64(width - 16), (bins[at] - np.arange(BINS)) % BINS
+    return (low + far.astype(np.uint64) * np.uint64(0x9E37)).astype(np.uint16)
 
 
 def fingerprint(text: str, powers: _Powers | None = None) -> np.ndarray:
@@ -114,24 +114,22 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The next document is that with the next id (equal ids by text, null ids last), after the
     last comes the first. The edited text has its last floor(n_chars / 2) code points replaced
     by the next document's first as many. Null texts count as empty; a text without phrases is
-    like another such only. Rows with equal id and text count once; a table with one row has
-    itself as next. Texts are sorted by id once; neighbours across partitions meet afterwards,
+    like another such only. A repeated row is a document of its own, next to its like; a table
+    with one row has itself as next. Ids pass through Python as text. Texts are sorted by id once; neighbours across partitions meet afterwards,
     a row for each partition.
     """
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = docs.schema[id_col].dataType
+    rows = docs.select(F.col(id_col).alias("own"), F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("text"))
-    order = [F.col("id").asc_nulls_last(), F.col("hash")]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, part int, edge string, text string"
+    order = [F.col("own").asc_nulls_last(), F.col("hash")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
+    schema = "id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, part int, edge string, text string"
 
     def compare(batches):
         part, powers, first, last, waiting = TaskContext.get().partitionId(), _Powers(), None, None, None
         for batch in batches:
             out = []
             for r in batch.itertuples():
-                if last is not None and r.id == last[0] and r.text == last[1]:
-                    continue
                 if last is not None:
                     sha, own, changed, near = _compared(last[1], r.text, powers)
                     if waiting is not None:
@@ -163,4 +161,4 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pd.DataFrame(out, columns=_COLUMNS)
 
     ends = done.where("edge = 'last'").join(follow, "part").select("id", "text", "after").mapInPandas(close, schema.split(", part")[0])
-    return done.where("edge is null").select(*_COLUMNS).unionByName(ends)
+    return done.where("edge is null").select(*_COLUMNS).unionByName(ends).withColumn("id", F.col("id").cast(kind))
