@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, exclusive_offsets, rows_or_one, staged
+from .common import WORD, exclusive_offsets, packed_row, rows_or_one, staged
 
 #: Weights by the source's rank in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
-#: A slot takes at most so many tokens, and fewer where the corpus would have too few slots.
-BLOCK_TOKENS, LEAST_SLOTS = 256, 2**18
+#: Tokens that a slot takes.
+BLOCK_TOKENS = 32
 _CELLS, _CHUNK = 1024, 4096
 
 
@@ -72,34 +72,37 @@ def schedule(spark, targets: DataFrame, slots: int) -> DataFrame:
     return drawn.withColumn("within", within).join(base, ["n", "chunk"]).select("source", (F.col("base") + F.col("within")).cast("bigint").alias("block"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, epochs: int = EPOCHS, seed: int = 17) -> DataFrame:
-    """id, source, text_hash, size, source_size, target, taken of every distinct row.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, epochs: int = EPOCHS, seed: int = 17, block: int = BLOCK_TOKENS) -> DataFrame:
+    """id, source, text_md5, copy, size, source_size, target, taken of every row.
 
     size counts words (a null text has none); taken is how many the mix takes, repeats counted,
-    from 0 to epochs * size. Equal rows (id, source and text) count once. Sources tie never:
-    equal names are one source. An empty table gives no rows; a document without words takes 0.
-    The order of a source's documents is that of a seeded hash, so that reruns agree.
+    from 0 to epochs * size. Of equal rows (id, source and text) each is a document of its own,
+    numbered by copy. Sources tie never: equal names are one source, and a row for each is ordered
+    in one task. An empty table gives no rows; a document without words takes 0. The order of a
+    source's documents is that of a seeded checksum, so that reruns agree.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text).alias("text_hash"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"))
-    rows = staged(rows.groupBy("id", "source", "text_hash").agg(F.first("size").alias("size")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.md5(text).alias("text_md5"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"))
+    rows = rows.groupBy("id", "source", "text_md5").agg(F.first("size").alias("size"), F.count("*").alias("copies"))
+    rows = staged(rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies"))
     spark = docs.sparkSession
     targets = staged(source_targets(rows, weights, epochs))
     total = int(targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
-    block = max(1, min(BLOCK_TOKENS, total // LEAST_SLOTS))
 
+    # buckets follow one another in the order of the checksum
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")), "text_md5", F.col("copy").cast("string")))
     buckets = rows_or_one(rows, 2_000)
-    h = F.xxhash64(F.lit(seed), "id", "text_hash")
-    rows = rows.withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    rows = rows.withColumn("h", h).withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") * buckets / float(2**32)))
     base = exclusive_offsets(rows, ["source"], "bucket", F.col("size"), "base")
-    w = Window.partitionBy("source", "bucket").orderBy("h", "id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("source", "bucket").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)))
     same = lambda a, b: a.eqNullSafe(b)
-    rows = rows.alias("r").join(base.alias("b"), same(F.col("r.source"), F.col("b.source")) & (F.col("r.bucket") == F.col("b.bucket"))).select("r.*", (F.col("base") + F.col("before")).alias("start"))
-    rows = staged(rows.alias("r").join(targets.alias("t"), same(F.col("r.source"), F.col("t.source"))).select("r.id", "r.source", "r.text_hash", "r.size", "start", "source_size", "target"))
+    keep = ["id", "source", "text_md5", "copy", "size"]
+    rows = rows.alias("r").join(base.alias("b"), same(F.col("r.source"), F.col("b.source")) & (F.col("r.bucket") == F.col("b.bucket"))).select(*[f"r.{c}" for c in keep], (F.col("base") + F.col("before")).alias("start"))
+    rows = staged(rows.alias("r").join(targets.alias("t"), same(F.col("r.source"), F.col("t.source"))).select(*[f"r.{c}" for c in keep], "start", "source_size", "target"))
 
     # each document in each pass, cut at the block borders of its source's stream
-    keep = ["id", "source", "text_hash", "size", "source_size", "target"]
+    keep += ["source_size", "target"]
     lap = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
     pieces = rows.where("size > 0").select(*keep, "start", lap.alias("lap")).withColumn("lo", F.col("start") + F.col("lap") * F.col("source_size")).withColumn("hi", F.col("lo") + F.col("size"))
     pieces = pieces.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
@@ -114,14 +117,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The documents of the mix, in the columns of docs: a document that the mix takes k times
     and a part comes k times whole, and once as its first words (with the white space between).
     Documents of which nothing is taken don't come."""
-    plan = mix(docs, id_col, text_col, source_col, **how).where("taken > 0").select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    rows = docs.dropDuplicates([id_col, source_col, text_col]).withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = rows.join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_h") == F.col("_hash")))
-    copies = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")))
-    rows = rows.withColumn("_copy", F.explode(copies)).withColumn("_words", F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    part = F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), "")
-    rows = rows.withColumn(text_col, F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(part))
+    plan = mix(docs, id_col, text_col, source_col, **how).where("taken > 0")
+    rows = docs.select(packed_row(docs), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_md5"))
+    rows = rows.dropDuplicates(["id", "source", "text_md5"]).alias("d")
+    same = F.col("d.id").eqNullSafe(F.col("p.id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.text_md5") == F.col("p.text_md5"))
+    rows = rows.join(plan.alias("p"), same).select("row", "text", "size", "taken")
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size"))))).withColumn("words", F.least(F.col("size"), F.col("taken") - (F.col("nth") - 1) * F.col("size")))
+    words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    part = F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")
+    rows = rows.withColumn("cut", F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(part))
+    row = F.col("row").withField(f"`{text_col}`", F.col("cut"))
     if n_chars_col and n_chars_col in docs.columns:
-        rows = rows.withColumn(n_chars_col, F.length(text_col).cast(docs.schema[n_chars_col].dataType))
-    return rows.select(*docs.columns)
+        row = row.withField(f"`{n_chars_col}`", F.length("cut").cast(docs.schema[n_chars_col].dataType))
+    return rows.select(row.alias("row")).select("row.*")
