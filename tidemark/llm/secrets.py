@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import packed_row, staged
 
 # The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -20,11 +20,13 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 #: kind, pattern, group of the value, least characters of the value
 BASE = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
-#: Whole runs of value characters that hold a digit.
-BARE = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*+[0-9])[A-Za-z0-9+/_.=-]{16,}"
+#: Whole runs of value characters; those without a digit are dropped.
+BARE = r"[A-Za-z0-9+/_.=-]{16,}"
 KINDS = ("assign", "access", "hex", "bare")
-#: A value of at least so many owners is an example.
-EXAMPLE_OWNERS = 3
+#: A value of at least so many owners, or repositories whoever owns them, is an example.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 1000
+#: Parts that the places of one value are dealt in.
+_SALTS = 16
 _DOC = ["id", "text_hash"]
 
 
@@ -60,32 +62,36 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner
     start = F.coalesce(F.sum(F.col("gap") + F.col("n")).over(before), F.lit(0)) + F.col("gap")
     rows = rows.withColumn("start", start.cast("bigint")).withColumn("end", (F.col("start") + F.col("n")).cast("bigint"))
     enough = F.element_at(F.create_map(*[F.lit(x) for kv in least.items() for x in kv]), F.col("kind"))
-    return rows.where(F.length("value") >= enough).select(*_DOC, "repo", "owner", "kind", "start", "end", "value")
+    digit = (F.col("kind") != "bare") | F.col("value").rlike("[0-9]")
+    return rows.where((F.length("value") >= enough) & digit).select(*_DOC, "repo", "owner", "kind", "start", "end", "value")
 
 
-def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """value_hash, n_repos, n_owners, keyed, label: frequency of each value over the corpus.
 
     Distinct repositories are counted within owners, then owners: each step pre-aggregates
     before its shuffle, so a value that a third of all documents hold meets in no one task.
+    Values that many owners share, or very many repositories of any owner, are examples.
     """
     one = found.groupBy(F.sha2("value", 256).alias("value_hash"), "owner", "repo").agg(F.max((F.col("kind") != "bare").cast("int")).alias("keyed"))
     per_owner = one.groupBy("value_hash", "owner").agg(F.count("*").alias("n_repos"), F.max("keyed").alias("keyed"))
     freq = per_owner.groupBy("value_hash").agg(F.sum("n_repos").alias("n_repos"), F.count("*").alias("n_owners"), F.max("keyed").alias("keyed"))
-    return freq.withColumn("label", F.when(F.col("n_owners") >= example_owners, "example").otherwise("live"))
+    return freq.withColumn("label", F.when((F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos), "example").otherwise("live"))
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """id, text_hash, kind, start, end, label, n_repos, n_owners of every span.
 
     Base spans all stay; their label says whether their value is an example or looks live. A
     bare token is a span if it touches no base span, looks live, and its value either stands
     behind a key elsewhere or mixes upper case, lower case and digits in 20+ characters.
     Null texts count as empty, null repositories and owners as one each. Rows with equal id and
-    text count once. An empty table gives no rows. Places count code points, ends exclusive.
+    text have one set of spans. An empty table gives no rows. Places count code points, ends exclusive.
     """
     found = staged(candidates(docs, id_col, text_col, repo_col, owner_col)).withColumn("value_hash", F.sha2("value", 256))
-    spans = found.join(ownership(found, example_owners), "value_hash")
+    # a value of very many places meets its frequency in several parts
+    freq = ownership(found, example_owners, example_repos).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    spans = found.withColumn("salt", F.pmod(F.xxhash64(*_DOC, "start"), F.lit(_SALTS)).cast("int")).join(freq, ["value_hash", "salt"])
     mixed = F.col("value").rlike("[A-Z]") & F.col("value").rlike("[a-z]") & F.col("value").rlike("[0-9]") & (F.length("value") >= 20)
     base = F.col("kind") != "bare"
     spans = spans.where(base | ((F.col("label") == "live") & ((F.col("keyed") == 1) | mixed)))
@@ -97,7 +103,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """id and text_hash of every distinct document, with counts, base_sha256 and spans."""
+    """id and text_hash of every row, with counts, base_sha256 and spans. Repeated rows come as often as they are."""
     spans = secret_spans(docs, id_col, text_col, **how)
     text = F.coalesce(F.col(text_col), F.lit(""))
     every = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), *[F.lit(None).cast(t).alias(c) for c, t in spans.dtypes[2:]])
@@ -107,9 +113,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how)
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS],
         F.count_if(F.col("label") == "live").alias("n_live"),
         F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), one))).alias("all"),
+        F.count_if(F.col("kind").isNull()).alias("copies"),
     )
     said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return rows.withColumn("base_sha256", F.sha2(said(F.filter("all", lambda x: x["kind"] != "bare")), 256)).withColumn("spans", said(F.col("all"))).drop("all")
+    return rows.withColumn("base_sha256", F.sha2(said(F.filter("all", lambda x: x["kind"] != "bare")), 256)).withColumn("spans", said(F.col("all"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("all", "copies", "copy")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars", **how) -> DataFrame:
@@ -122,13 +129,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_ch
     runs = spans.groupBy(*_DOC, "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max(F.when(F.col("label") == "live", "[secret]").otherwise("[example]")).alias("mark"))
     last = F.lag("end", 1, 0).over(Window.partitionBy(*_DOC).orderBy("start"))
     runs = runs.withColumn("last", last).groupBy(*_DOC).agg(F.array_sort(F.collect_list(F.struct("start", "end", "last", "mark"))).alias("runs"))
-    runs = runs.select(F.col("id").alias("_id"), F.col("text_hash").alias("_th"), F.col("runs").alias("_runs"))
     text = F.col(text_col)
-    rows = docs.withColumn("_h", F.xxhash64(F.coalesce(text, F.lit(""))))
-    rows = rows.join(runs, (F.col("_h") == F.col("_th")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    pieces = F.transform("_runs", lambda r: F.concat(F.substring(text, r["last"] + 1, r["start"] - r["last"]), r["mark"]))
-    tail = F.substring(text, F.element_at("_runs", -1)["end"] + 1, F.length(text))
-    rows = rows.withColumn(text_col, F.when(F.col("_runs").isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), tail)))
+    rows = docs.select(packed_row(docs), F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
+    rows = rows.alias("d").join(runs.alias("r"), (F.col("d.text_hash") == F.col("r.text_hash")) & F.col("d.id").eqNullSafe(F.col("r.id")), "left").select("row", "text", "runs")
+    pieces = F.transform("runs", lambda r: F.concat(F.substring("text", r["last"] + 1, r["start"] - r["last"]), r["mark"]))
+    tail = F.substring("text", F.element_at("runs", -1)["end"] + 1, F.length("text"))
+    rows = rows.withColumn("clean", F.when(F.col("runs").isNotNull(), F.concat(F.array_join(pieces, ""), tail)))
+    row = F.col("row").withField(f"`{text_col}`", F.coalesce("clean", "text"))
     if n_chars_col and n_chars_col in docs.columns:
-        rows = rows.withColumn(n_chars_col, F.when(F.col("_runs").isNull(), F.col(n_chars_col)).otherwise(F.length(text_col).cast(docs.schema[n_chars_col].dataType)))
-    return rows.select(*docs.columns)
+        row = row.withField(f"`{n_chars_col}`", F.coalesce(F.length("clean").cast(docs.schema[n_chars_col].dataType), F.col("row")[n_chars_col]))
+    return rows.select(row.alias("row")).select("row.*")
