@@ -15,9 +15,8 @@ from .common import exclusive_offsets, rows_or_one, staged
 # Fixed values of the published algorithm: the generator's multiplier, and 2^31.
 MULTIPLIER = 2862933555777941757
 SCALE = 2147483648.0
-#: Stops on the way to n shards number about ln n; more than this never happen in practice,
-#: and a walk that is cut here ends at the same stop for every larger n.
-MOST_STOPS = 128
+#: Stops on the way to n shards number about ln n. Walks of more stops than this go on in a second loop.
+USUAL_STOPS = 64
 
 
 def _number(n: int) -> Column:
@@ -60,7 +59,9 @@ def jump_hash(key: Column, shards: int, grown: int | None = None) -> Column:
         )
         return F.when(at["next"] < grown, moved).otherwise(at)
 
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(min(grown, MOST_STOPS))), start, step)
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(min(grown, USUAL_STOPS))), start, step)
+    if grown > USUAL_STOPS:
+        walk = F.when(walk["next"] < grown, F.aggregate(F.sequence(F.lit(1), F.lit(grown - USUAL_STOPS)), walk, step)).otherwise(walk)
     return F.struct(walk["shard"].cast("int").alias("shard"), walk["grown"].cast("int").alias("grown_shard"))
 
 
