@@ -3,10 +3,13 @@
 Each window of 200 bytes is represented by its least gram of 32 bytes (its anchor), so equal
 windows have equal anchors at equal offsets. Anchors that occur once are dropped. A window with
 its anchor in its first 84 bytes holds the 116 bytes from the anchor on, any other the 116
-that end with the anchor: these two cores group the rest. Cores with equal surroundings on all
-sides are settled by counting. Where surroundings differ, their 16-byte cells are the symbols
-of a text, whose suffix array (linear grouping by Lyndon prefixes) shows which runs of cells
-occur elsewhere in the same group; windows on such runs are compared exactly.
+that end with the anchor: these two cores group the rest. Equal surroundings of a core go on as
+one, with their number. The 16-byte cells of a group's surroundings are the symbols of a text,
+whose suffix array (linear grouping by Lyndon prefixes) has equal runs of cells side by side: a
+window's whole cells are equal to those of the windows in its interval of the array, and among
+these the bytes before and after its whole cells are compared. Windows whose interval holds such
+an equal are the spans. Large groups are dealt in parts; windows that are alone in their part
+meet those of the other parts by hash.
 """
 
 from __future__ import annotations
@@ -29,9 +32,8 @@ _CORE = _HALF + GRAM  # 116
 _SPAN = _REACH + _CORE  # bytes around a core that its windows can cover: 284
 _CELL = 16
 _PIECE = 1 << 20
-#: A task's suffix arrays are of so many surroundings at least, if it has them; a core with
-#: more different surroundings than _HOT is split by hash, and its windows meet by count.
-_BLOCK, _HOT = 2000, 50_000
+#: A suffix array is of so many surroundings about: small groups go together, large ones are dealt in parts.
+_BLOCK = 2000
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -134,50 +136,75 @@ def _surroundings(batches):
                     if side == w["spot"] % 2:
                         begin = core - (_HALF - 1 if side == 0 else _REACH - _HALF)
                         data_ = bytes(lo - begin) + data[lo:hi] + bytes(begin + _SPAN - hi)
-                        out.append((w["core"], w["salt"], w["around"], r.doc, begin, lo - begin, hi - begin, data_[:_SPAN]))
-        yield pd.DataFrame(out, columns=["core", "salt", "around", "doc", "begin", "lo", "hi", "data"])
+                        out.append((w["core"], w["part"], w["parts"], w["around"], r.doc, begin, lo - begin, hi - begin, data_[:_SPAN]))
+        yield pd.DataFrame(out, columns=["core", "part", "parts", "around", "doc", "begin", "lo", "hi", "data"])
 
 
 _UP, _DOWN = _powers(_SPAN + 1)
 _STARTS = _SPAN - LENGTH + 1
 
 
-def _proposed(block: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """For each surrounding and window start: whether all whole cells of the window stand in a
-    run of cells that the suffix array finds elsewhere in the group. A cell's symbol is made
-    from its bytes, group and place, so runs match at equal places of one group only."""
+def _places(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first whole cell of windows that start there, and how many whole cells they hold."""
+    begin = -(-starts // _CELL)
+    return begin, (starts + LENGTH) // _CELL - begin
+
+
+def _intervals(block: np.ndarray, group: np.ndarray) -> dict[int, np.ndarray]:
+    """By a number of cells: for each surrounding and cell, the interval of the suffix array whose
+    suffixes begin with the same so many cells, or -1 where no other does. A cell's symbol is made
+    of its bytes, group and place, so that runs match at equal places of one group only."""
     m, cells = len(block), _SPAN // _CELL
-    parts = block[:, : cells * _CELL].reshape(m, cells, _CELL).astype(np.uint64)
-    h = ((parts + np.uint64(1)) * _UP[:_CELL]).sum(axis=2, dtype=np.uint64)
-    h = _mixed(_mixed(h) + _mixed(group.astype(np.uint64))[:, None] + np.arange(cells, dtype=np.uint64) * np.uint64(_BASE))
+    parts = np.ascontiguousarray(block[:, : cells * _CELL]).view(np.uint64).reshape(m, cells, _CELL // 8)
+    h = group.astype(np.uint64)[:, None] * np.uint64(cells) + np.arange(cells, dtype=np.uint64)
+    for k in range(_CELL // 8):
+        # exact: each step numbers the distinct (symbol so far, next 8 bytes)
+        pairs = np.stack([h.ravel(), parts[:, :, k].ravel()], axis=1)
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        new = np.concatenate([[False], (pairs[order][1:] != pairs[order][:-1]).any(axis=1)])
+        h = np.empty(m * cells, np.uint64)
+        h[order] = np.cumsum(new).astype(np.uint64)
+        h = h.reshape(m, cells)
     _, symbols, times = np.unique(h, return_inverse=True, return_counts=True)
     symbols = symbols.reshape(m, cells)
     common = times[symbols] > 1
     # cells that occur once end every run, and suffixes that begin with one aren't needed:
     # only the stretches of common cells go into the text, each ended by a symbol of its own
-    top, text, place = len(times), [], []
-    for row, col in zip(*np.nonzero(common)):
-        if text and (place[-1] // cells != row or place[-1] % cells != col - 1):
-            text.append(top)
-            place.append(-1)
-            top += 1
-        text.append(int(symbols[row, col]))
-        place.append(int(row) * cells + int(col))
-    run = np.zeros(m * cells, np.int64)
-    if text:
-        found = np.array(common_prefixes(text, suffix_array(text)))
-        place = np.array(place)
-        run[place[place >= 0]] = found[place >= 0]
-    run = run.reshape(m, cells)
-    start = np.arange(_STARTS)
-    begin = -(-start // _CELL)
-    return run[:, begin] >= np.minimum((start + LENGTH) // _CELL, cells) - begin
-
-
-def _window_hashes(block: np.ndarray) -> np.ndarray:
-    sums = np.zeros((len(block), _SPAN + 1), np.uint64)
-    np.cumsum((block.astype(np.uint64) + np.uint64(1)) * _UP[:_SPAN], axis=1, out=sums[:, 1:])
-    return _mixed((sums[:, LENGTH:] - sums[:, :_STARTS]) * _DOWN[:_STARTS])
+    at = np.flatnonzero(common)
+    numbers = np.cumsum(times > 1) - 1
+    breaks = np.flatnonzero((np.diff(at) != 1) | (at[1:] % cells == 0)) + 1
+    place = np.insert(at, breaks, -1)
+    text = np.insert(numbers[symbols.ravel()[at]], breaks, 0)
+    text[place < 0] = int((times > 1).sum()) + np.arange(len(breaks))
+    out = {n: np.full((m, cells), -1, np.int64) for n in sorted({*_places(np.arange(_STARTS))[1].tolist()})}
+    if len(text):
+        text = text.tolist()
+        order = suffix_array(text)
+        prefix = np.array(common_prefixes(text, order))
+        starts = place[np.array(order)]
+        for n, of in out.items():
+            near = prefix >= n
+            inside = near | np.append(near[1:], False)
+            use = inside & (starts >= 0)
+            of.ravel()[starts[use]] = np.cumsum(~near)[use]
+    return out
+
+
+def _repeated(block: np.ndarray, group: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """For each surrounding and window start: whether the window occurs in another row too. Windows
+    of one start in one interval differ in the bytes beside their whole cells only."""
+    intervals, out = _intervals(block, group), np.zeros(there.shape, bool)
+    for s in range(_STARTS):
+        first, n = (int(x) for x in _places(np.array(s)))
+        of = intervals[n][:, first]
+        rows = np.flatnonzero(there[:, s] & (of >= 0))
+        if not len(rows):
+            continue
+        head, tail = block[rows, s : first * _CELL], block[rows, (first + n) * _CELL : s + LENGTH]
+        beside = np.ascontiguousarray(np.hstack([of[rows, None].view(np.uint8).reshape(len(rows), 8), head, tail]))
+        _, index, times = np.unique(beside.view(f"V{beside.shape[1]}").ravel(), return_inverse=True, return_counts=True)
+        out[rows, s] = times[index] > 1
+    return out
 
 
 def _runs(flags: np.ndarray):
@@ -186,30 +213,27 @@ def _runs(flags: np.ndarray):
 
 
 def _settled(batches):
-    """From surroundings sorted by core: spans (doc, lo, hi) of repeated windows; of cores that
-    are split, each distinct window (window, doc, lo) for the count across parts."""
+    """From surroundings sorted by core and part: spans (doc, lo, hi) of repeated windows; of cores
+    in several parts, also each distinct window (window, doc, lo, hi), to meet those of other parts."""
     held, key = [], None
 
     def close(rows):
         block = np.frombuffer(b"".join(r.data for r in rows), np.uint8).reshape(len(rows), _SPAN)
-        _, group = np.unique(np.array([(r.core, r.salt) for r in rows], np.int64), axis=0, return_inverse=True)
-        group = group.ravel()
+        group = np.cumsum([k > 0 and (r.core, r.part) != (rows[k - 1].core, rows[k - 1].part) for k, r in enumerate(rows)])
         lo, hi, begin = (np.array([getattr(r, c) for r in rows], np.int64) for c in ("lo", "hi", "begin"))
         start = np.arange(_STARTS)
         there = (start >= lo[:, None]) & (start + LENGTH <= hi[:, None])
-        maybe = there & _proposed(block, group)
-        parted = np.array([r.salt >= 0 for r in rows])
-        h = _mixed(_window_hashes(block) + _mixed(group.astype(np.uint64))[:, None] + start.astype(np.uint64))
-        _, index, times = np.unique(h[maybe], return_inverse=True, return_counts=True)
-        again = np.zeros(maybe.shape, bool)
-        again[maybe] = times[index] > 1
+        again = _repeated(block, group, there)
+        told: set[int] = set()
         for k, r in enumerate(rows):
-            if parted[k]:
+            for a, b in _runs(again[k]):
+                yield r.doc, int(begin[k] + a), int(begin[k] + b - 1 + LENGTH), None
+            if r.parts > 1:
                 for s in np.flatnonzero(there[k]):
-                    yield r.doc, int(begin[k] + s), int(begin[k] + s + LENGTH), xxhash.xxh3_64_intdigest(r.data[s : s + LENGTH], (r.core + int(s) * _BASE) & (2**64 - 1)) - 2**63
-            else:
-                for a, b in _runs(again[k]):
-                    yield r.doc, int(begin[k] + a), int(begin[k] + b - 1 + LENGTH), None
+                    window = xxhash.xxh3_64_intdigest(r.data[s : s + LENGTH], (r.core + int(s) * _BASE) & (2**64 - 1)) - 2**63
+                    if not again[k, s] or window not in told:
+                        told.add(window)
+                        yield r.doc, int(begin[k] + s), int(begin[k] + s + LENGTH), window
 
     def frame(rows):
         out = list(close(rows)) if rows else []
@@ -217,11 +241,11 @@ def _settled(batches):
 
     for batch in batches:
         for r in batch.itertuples():
-            if (r.core, r.salt) != key:
+            if (r.core, r.part) != key:
                 if len(held) >= _BLOCK:
                     yield frame(held)
                     held = []
-                key = (r.core, r.salt)
+                key = (r.core, r.part)
             held.append(r)
     yield frame(held)
 
@@ -271,11 +295,13 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # different surroundings of one core: one of each goes to the suffix arrays
     mixed = staged(counted.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1"))
-    part = F.when(F.col("kinds") > _HOT, F.pmod("around", F.ceil(F.col("kinds") / _HOT))).otherwise(F.lit(-1))
-    wanted = counted.join(mixed, "core").select("of.doc", F.struct("of.spot", "core", "around", part.cast("int").alias("salt")).alias("w")).groupBy("doc").agg(F.collect_list("w").alias("wanted"))
-    around = hits.join(wanted, "doc").mapInPandas(_surroundings, "core long, salt int, around long, doc long, begin long, lo int, hi int, data binary")
-    around = around.repartition("core", "salt").sortWithinPartitions("core", "salt", "around")
+    parts = F.ceil(F.col("kinds") / _BLOCK).cast("int")
+    one = F.struct("of.spot", "core", "around", F.pmod("around", parts).cast("int").alias("part"), parts.alias("parts"))
+    wanted = counted.join(mixed.hint("merge"), "core").select("of.doc", one.alias("w")).groupBy("doc").agg(F.collect_list("w").alias("wanted"))
+    around = hits.join(wanted, "doc").mapInPandas(_surroundings, "core long, part int, parts int, around long, doc long, begin long, lo int, hi int, data binary")
+    around = around.repartition("core", "part").sortWithinPartitions("core", "part", "around")
     settled = staged(around.mapInPandas(_settled, "doc long, lo long, hi long, window long"))
+    # windows that are alone in their part, or stand for those of one part, in several parts
     across = settled.where("window is not null").groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     split = settled.join(across, "window").select("doc", "lo", "hi")
     return hits, full.unionByName(settled.where("window is null").select("doc", "lo", "hi")).unionByName(split)

@@ -14,17 +14,16 @@ def _grouped(text: list[int]) -> tuple[list[int], list[int], list[int]]:
 
     Returns each suffix's group, the pointers, and the groups in ascending order.
     """
-    first: dict[int, int] = {}
-    members: list[list[int]] = []
-    group = [0] * len(text)
+    # a bucket for each symbol; positions lie in ascending order in every list from here on
+    buckets: list[list[int]] = [[] for _ in range(max(text, default=-1) + 2)]
     for at, symbol in enumerate(text):
-        g = first.get(symbol)
-        if g is None:
-            g = first[symbol] = len(members)
-            members.append([])
-        members[g].append(at)
-        group[at] = g
-    order = [first[s] for s in sorted(first)]
+        buckets[symbol + 1].append(at)
+    members = [b for b in buckets if b]
+    group = [0] * len(text)
+    for g, some in enumerate(members):
+        for at in some:
+            group[at] = g
+    order = list(range(len(members)))
     above, below = {}, {}
     for low, high in zip(order, order[1:]):
         above[low], below[high] = high, low
@@ -35,30 +34,37 @@ def _grouped(text: list[int]) -> tuple[list[int], list[int], list[int]]:
     while g is not None:
         finished[g] = True
         times: dict[int, int] = {}
-        for at in sorted(x for x in members[g] if group[x] == g):
+        for at in members[g]:
+            if group[at] != g:
+                continue  # it has left
             to = at - 1
             while to >= 0 and finished[group[to]]:
                 to = smaller[to]
             smaller[at] = to
             if to >= 0:
                 times[to] = times.get(to, 0) + 1
-        leaving: dict[tuple[int, int], list[int]] = {}
+        # pointed-to suffixes by how often, then by their group; each list ascends, as pointers do
+        often: list[list[int]] = [[] for _ in range(max(times.values(), default=0) + 1)]
         for to, n in times.items():
-            leaving.setdefault((-n, group[to]), []).append(to)
-        for (_, old), some in sorted(leaving.items()):
-            if len(some) == size[old]:
-                continue  # the whole group: its order among the groups stays
-            new = len(members)
-            members.append(some)
-            size[old] -= len(some)
-            size.append(len(some))
-            finished.append(False)
-            for to in some:
-                group[to] = new
-            high = above.get(old)
-            above[old], below[new] = new, old
-            if high is not None:
-                above[new], below[high] = high, new
+            often[n].append(to)
+        for some_often in reversed(often):
+            leaving: dict[int, list[int]] = {}
+            for to in some_often:
+                leaving.setdefault(group[to], []).append(to)
+            for old, some in leaving.items():
+                if len(some) == size[old]:
+                    continue  # the whole group: its order among the groups stays
+                new = len(members)
+                members.append(some)
+                size[old] -= len(some)
+                size.append(len(some))
+                finished.append(False)
+                for to in some:
+                    group[to] = new
+                high = above.get(old)
+                above[old], below[new] = new, old
+                if high is not None:
+                    above[new], below[high] = high, new
         members[g] = []
         g = below.get(g)
     lowest = order[0] if order else None
@@ -70,7 +76,8 @@ def _grouped(text: list[int]) -> tuple[list[int], list[int], list[int]]:
 
 
 def suffix_array(text: list[int]) -> list[int]:
-    """The starts of the suffixes of text in ascending order. No symbol may be below 0.
+    """The starts of the suffixes of text in ascending order. Symbols are numbers from 0 on, about
+    as large as the text is long at most: they are bucketed, and nothing else is sorted.
 
     Phase 2 walks the array from its least suffix: what precedes a suffix in place, and what
     that points to in turn, takes the next place of its group, without any renaming.
@@ -98,20 +105,19 @@ def suffix_array(text: list[int]) -> list[int]:
 
 
 def common_prefixes(text: list[int], order: list[int]) -> list[int]:
-    """For each suffix (by its start): the symbols in common with its nearer neighbour in order."""
+    """For each place in order: the symbols that its suffix has in common with the one before."""
     n = len(text)
     rank = [0] * n
     for k, at in enumerate(order):
         rank[at] = k
-    best, h = [0] * n, 0
+    out, h = [0] * n, 0
     for at in range(n):
         if rank[at]:
             other = order[rank[at] - 1]
             while at + h < n and other + h < n and text[at + h] == text[other + h]:
                 h += 1
-            best[at] = max(best[at], h)
-            best[other] = max(best[other], h)
+            out[rank[at]] = h
             h = max(0, h - 1)
         else:
             h = 0
-    return best
+    return out
