@@ -148,11 +148,3 @@ def test_files_in_and_out(spark, tmp_path):
     assert [(r.yes_bid, r.volume, r.market, str(r.day)) for r in rows] == [(7, 0, "KX-A1", "2026-03-06")]
     (tmp_path / "x.jsonl").write_text('{"event": "a", "n": 1}\nnot json\n{"event": "b", "n": 2}\n')
     assert io.json_lines(spark, str(tmp_path / "x.jsonl"), StructType.fromDDL("event string, n int")).count() == 2
-
-
-def test_stream_states_match_hand_made_paths():
-    step, start = stream.break_fade((10, 20), 5.0, 100)
-    state, said = start(), []
-    for t, minute, price in ((0, 5, 50), (10, 10, 50), (20, 11, 53), (30, 12, 56), (40, 13, 60), (140, 14, 58), (150, 30, 58), (160, 10, 40), (170, 11, 30)):
-        said += [x[1] for x in step(state, (t, t, minute, price))]
-    assert said == ["WAIT", "WAIT", "WAIT", "ENTER_NO", "WAIT", "EXIT", "WAIT", "WAIT", "ENTER_YES"]

@@ -69,10 +69,50 @@ def test_no_rows(spark, tmp_path):
 def test_swap_and_fade_do_not_depend_on_batches(spark, tmp_path, ticks):
     mixed = random.Random(6).sample(ticks, len(ticks))
     path = landed(tmp_path, mixed, 5)
-    step, start = stream.break_fade((0, 1e9), 30.0, 100)
+    step, start = stream.break_fade((200.0, 600.0), 200.0, 80.0, 10.0, 100.0)
     got = []
     for files in (1, 64):
         rows = stream.file_stream(spark, path, files).selectExpr("id", "user", "us", "cast(us as double) as minute", "value")
-        out = stream.keyed(rows, "user", step, start, ["id", "us", "minute", "value"], ["us", "id"], "id long, action string, price double", 2000)
-        got.append(sorted(tuple(r) for r in stream.drained(out).collect()))
-    assert got[0] == got[1] and len(got[0]) == 120 and {"EXIT", "WAIT"} < {x[1] for x in got[0]}
+        out = stream.keyed(rows, "user", step, start, ["id", "minute", "value"], ["us", "id"], "id long, action string, side string, drift double", 2000)
+        got.append(sorted(tuple(map(str, r)) for r in stream.drained(out).collect()))
+    assert got[0] == got[1] and len(got[0]) == 120 and {"EXIT", "WAIT", "ENTER"} == {x[1] for x in got[0]}
+
+
+def decisions(snaps, **how):
+    step, start = stream.break_fade(**({"breaks": (30.0, 75.0), "window": 5.0, "lookback": 10.0, "drift": 5.0, "hold": 8.0} | how))
+    state, out = start(), []
+    for k, (minute, price) in enumerate(snaps):
+        out += [x[1:3] for x in step(state, (k, minute, price))]
+    return out
+
+
+def test_break_fade_cases():
+    assert decisions([(m, 50 + m) for m in range(0, 29)]) == [("WAIT", None)] * 29  # outside the window
+    assert decisions([(20, 50), (25, 54), (30, 60)])[-1] == ("ENTER", "NO")  # a riser
+    assert decisions([(20, 50), (25, 46), (30, 40)])[-1] == ("ENTER", "YES")
+    small = decisions([(20, 50), (30, 52), (31, 70)])
+    assert small[1:] == [("WAIT", None)] * 2  # judged once, though it moves later
+    short = decisions([(29, 50), (30, 60), (34, 62)])
+    assert short == [("WAIT", None), ("WAIT", None), ("ENTER", "NO")]  # too little history leaves the break open
+    held = decisions([(20, 50), (30, 60), (33, 70), (38, 70), (70, 50), (76, 40)])
+    assert [x[0] for x in held] == ["WAIT", "ENTER", "WAIT", "EXIT", "WAIT", "ENTER"]
+
+
+def test_swap_waits_for_the_open_position():
+    step, start = stream.swap_with_hysteresis()
+    state = start()
+    rows = [(0, "a", 50, None, False), (1, "a", 90, None, False), (2, "a", 90, "a", False), (3, "a", 90, "b", True), (4, "a", 90, "b", False), (5, "b", 50, "a", False)]
+    assert [x[1] for r in rows for x in step(state, r)] == ["start", "no_candidates", "best_is_current", "swap_deferred_open", "swap", "stay"]
+
+
+def test_market_snapshot_and_staleness():
+    step, start = stream.market_snapshot(120, 30, 30, 60, second=1)
+    state = start()
+    ticks = [(0, 40, 44, 42, 100, 10), (20, 41, 43, 42, 100, 11), (55, 45, 47, 46, 130, 15)]
+    assert step(state, (0, 0, True, None, None, None, None, None))[0][1] is False
+    for t in ticks:
+        assert step(state, (1, t[0], False, *t[1:])) == []
+    (got,) = step(state, (2, 60, True, None, None, None, None, None))
+    # bid, ask, spread, last, interest, volume, ms since trade, interest change, d bid, d spread, speed, its change, bid - last
+    assert got[1:] == (True, 45, 47, 2, 46, 15, 30, 5000, 5, 45, 2, (45 - 41) / 30, (45 - 41) / 30, -1)
+    assert step(state, (3, 86, True, None, None, None, None, None))[0][1] is False

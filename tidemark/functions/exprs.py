@@ -29,15 +29,14 @@ def expected_points(value: Column, distance: Column, paint: float = 8.0, rates=(
     return F.when(value == 3, three).when((value == 2) & (distance < paint), close).when(value == 2, mid)
 
 
-def minutes_elapsed(period: Column, clock_secs: Column, period_secs: float = 720.0, extra_secs: float = 300.0, periods: int = 4) -> Column:
-    """Minutes since the start, regular periods then extra ones."""
-    regular = (period - 1) * period_secs + (period_secs - clock_secs)
-    extra = periods * period_secs + (period - periods - 1) * extra_secs + (extra_secs - clock_secs)
-    return F.when(period <= periods, regular).otherwise(extra) / 60.0
+def minutes_elapsed(period: Column, clock_secs: Column, period_secs: float = 720.0) -> Column:
+    """Minutes since the start, every period counted as a regular one."""
+    return ((period - 1) * period_secs + (period_secs - F.least(clock_secs.cast("double"), F.lit(period_secs)))) / 60.0
 
 
-def minutes_left(elapsed: Column, total: float = 48.0, floor: float = 0.0) -> Column:
-    return F.greatest(F.lit(total) - elapsed, F.lit(floor))
+def minutes_left(period: Column, clock_secs: Column, period_secs: float = 720.0, periods: int = 4, floor: float = 0.0) -> Column:
+    """Minutes left: of an extra period its own clock alone, so it never runs below the floor for good."""
+    return F.greatest(F.greatest(F.lit(periods) - period, F.lit(0)) * (period_secs / 60.0) + clock_secs / 60.0, F.lit(floor))
 
 
 def match_minute(now: Column, kickoff: Column, half: float = 45.0, pause: float = 15.0) -> Column:
@@ -137,6 +136,11 @@ def first_blocking(gates: list[tuple[str, Column]]) -> Column:
     return out
 
 
-def fold_accents(text: Column) -> Column:
-    """Lower case without the usual accents of Latin letters."""
-    return F.translate(F.lower(text), "àáâãäåèéêëìíîïòóôõöùúûüñçýÿčćšžđ", "aaaaaaeeeeiiiiooooouuuuncyyccszd")
+def gate_columns(gates: list[tuple[str, Column]]) -> dict[str, Column]:
+    """blocked (see first_blocking), and pass_<gate> of each: null where an earlier gate blocked."""
+    out, reached = {"blocked": first_blocking(gates)}, F.lit(True)
+    for name, passed in gates:
+        fine = F.coalesce(passed, F.lit(False))
+        out[f"pass_{name}"] = F.when(reached, fine)
+        reached = reached & fine
+    return out

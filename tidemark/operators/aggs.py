@@ -15,12 +15,41 @@ def bucket_report(trades: DataFrame, keys: dict[str, Column], net: str) -> DataF
     return rows.groupBy("_b.dimension", "_b.bucket").agg(F.count("*").alias("n"), F.sum("_net").alias("total_net"), F.avg((F.col("_net") > 0).cast("double")).alias("win_rate"))
 
 
+def with_lower_sums(values: DataFrame, by: list[str], x: str, amounts: list[str], parts: int = 128) -> DataFrame:
+    """Adds lower_<amount>: the sum over lower x of the group. One row for each (group, x).
+
+    Values are dealt by `parts` of their own, those with the least hashes, so that a group with
+    very many values is ordered in as many tasks; only a row for each part is ordered as a whole."""
+    w = Window.partitionBy(*by).orderBy(F.xxhash64(x), x)
+    bounds = values.select(*by, x).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= parts).groupBy(*by).agg(F.array_sort(F.collect_list(x)).alias("_bounds"))
+    rows = values.join(bounds, by)
+    rows = rows.withColumn("_part", F.size(F.filter("_bounds", lambda b: b < F.col(x)))).drop("_bounds")
+    inside = Window.partitionBy(*by, "_part").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*by, "_part").agg(*[F.sum(a).alias(a) for a in amounts])
+    sums = sums.select(*by, "_part", *[F.coalesce(F.sum(a).over(ahead), F.lit(0)).alias(f"_ahead_{a}") for a in amounts])
+    rows = rows.withColumns({f"lower_{a}": F.coalesce(F.sum(a).over(inside), F.lit(0)) for a in amounts}).join(sums, [*by, "_part"])
+    return rows.withColumns({f"lower_{a}": F.col(f"lower_{a}") + F.col(f"_ahead_{a}") for a in amounts}).drop("_part", *[f"_ahead_{a}" for a in amounts])
+
+
+def percentiles(values: DataFrame, by: list[str], x: str, n: str, shares: dict[str, float]) -> DataFrame:
+    """by, <name>...: exact percentiles (linear between neighbours) from values and their counts."""
+    rows = with_lower_sums(values, by, x, [n])
+    total = rows.groupBy(*by).agg(F.sum(n).alias("_of"))
+    rows = rows.join(total, by)
+    at = lambda k: F.max(F.when((F.col(f"lower_{n}") <= k) & (k < F.col(f"lower_{n}") + F.col(n)), F.col(x)))
+    place = {name: (F.col("_of") - 1) * F.lit(p) for name, p in shares.items()}
+    found = rows.groupBy(*by, "_of").agg(*[f(F.floor(k) if which == "lo" else F.ceil(k)).alias(f"_{which}_{name}") for name, k in place.items() for which, f in (("lo", at), ("hi", at))])
+    return found.select(*by, *[(F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (k - F.floor(k))).alias(name) for name, k in place.items()])
+
+
 def distribution(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """column, n, mean, std (population), p10, p50, p90 (linear) of each column."""
+    key = [*(by or []), "column"]
     rows = df.select(*(by or []), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("_s")).select(*(by or []), "_s.*")
-    p = F.percentile("x", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    agg = rows.groupBy(*(by or []), "column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), p.alias("_p"))
-    return agg.select(*(by or []), "column", "n", "mean", "std", *[F.col("_p")[k].alias(c) for k, c in enumerate(("p10", "p50", "p90"))])
+    agg = rows.groupBy(*key).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    values = rows.where("x is not null").groupBy(*key, "x").agg(F.count("*").alias("c"))
+    return agg.join(percentiles(values, key, "x", "c", {"p10": 0.1, "p50": 0.5, "p90": 0.9}), key, "left").select(*key, "n", "mean", "std", "p10", "p50", "p90")
 
 
 def drift(reference: DataFrame, current: DataFrame) -> DataFrame:
@@ -33,12 +62,14 @@ def drift(reference: DataFrame, current: DataFrame) -> DataFrame:
 
 def average_precision(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """Average precision, ties in score taken as one step. Rows are first counted per distinct
-    score, so only distinct scores are ordered."""
-    by = by or []
-    steps = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("double")).alias("tp"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("precision", F.sum("tp").over(w) / F.sum("n").over(w))
-    return steps.groupBy(*by).agg((F.sum(F.col("precision") * F.col("tp")) / F.sum("tp")).alias("average_precision"))
+    score, and distinct scores are ordered in parts."""
+    by = by or ["_all"]
+    rows = df.withColumn("_all", F.lit(0)) if by == ["_all"] else df
+    steps = rows.groupBy(*by, score).agg(F.sum(F.col(label).cast("double")).alias("tp"), F.count("*").alias("n"))
+    totals = steps.groupBy(*by).agg(F.sum("tp").alias("_tp"), F.sum("n").alias("_n"))
+    steps = with_lower_sums(steps, by, score, ["tp", "n"]).join(totals, by)
+    precision = (F.col("_tp") - F.col("lower_tp")) / (F.col("_n") - F.col("lower_n"))
+    return steps.groupBy(*by).agg((F.sum(precision * F.col("tp")) / F.sum("tp")).alias("average_precision")).drop("_all")
 
 
 def candles(ticks: DataFrame, by: list[str], time: str, price: str, tie: str, width: str = "1 minute") -> DataFrame:
@@ -58,12 +89,15 @@ def cluster_bootstrap(trades: DataFrame, cluster: str, value: str, draws: int =
     sums = sums.withColumn("h", F.xxhash64(F.col(cluster).cast("string"), F.lit(seed)))
 
     def weighted(batches):
+        # a generator for each batch of clusters, seeded by its least hash: all of a batch's counts at once
         total_s, total_n = np.zeros(draws), np.zeros(draws)
         for b in batches:
-            for h, s, n in zip(b.h, b.s, b.n):
-                k = np.random.Generator(np.random.PCG64(h & (2**64 - 1))).poisson(1.0, draws)
-                total_s += k * s
-                total_n += k * n
+            b = b.sort_values("h")
+            for k in range(0, len(b), 256):
+                part = b.iloc[k : k + 256]
+                counts = np.random.Generator(np.random.PCG64(int(part.h.iloc[0]) & (2**64 - 1))).poisson(1.0, (len(part), draws))
+                total_s += part.s.to_numpy() @ counts
+                total_n += part.n.to_numpy() @ counts
         yield pd.DataFrame({"draw": np.arange(draws), "s": total_s, "n": total_n})
 
     means = sums.mapInPandas(weighted, "draw long, s double, n double").groupBy("draw").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
@@ -127,3 +161,12 @@ def rolling_ridge(rows: DataFrame, order: str, features: list[str], label: str,
         return pd.DataFrame(out, columns=["by", "as_of", "feature", "coefficient"])
 
     return sums.groupBy("by").applyInPandas(solve, "by string, as_of double, feature string, coefficient double")
+
+
+def share_weighted_impact(rows: DataFrame, by: list[str], game: str, player: str, amount: str, ratings: DataFrame, rating: str) -> DataFrame:
+    """by, impact: over players the mean share of their side's amount per game, times their rating,
+    absolute, summed. ratings: player, rating, one row each."""
+    per = rows.groupBy(*by, game, player).agg(F.sum(amount).alias("_own"))
+    side = per.groupBy(*by, game).agg(F.sum("_own").alias("_all"))
+    share = per.join(side, [*by, game]).groupBy(*by, player).agg(F.avg(F.col("_own") / F.nullif(F.col("_all"), F.lit(0))).alias("_share"))
+    return share.join(ratings.select(player, rating), player).groupBy(*by).agg(F.sum(F.abs(F.col("_share") * F.col(rating))).alias("impact"))

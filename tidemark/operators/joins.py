@@ -56,11 +56,12 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], left_time: st
     return rows.select(*left.columns, *[F.when(fine, F.when(back, F.col(f"_b_{n}")).otherwise(F.col(f"_f_{n}"))).alias(n) for n in take.values()])
 
 
-def asof_snapshot(left: DataFrame, snapshots: DataFrame, key: str, left_order: str, as_of: str) -> DataFrame:
+def asof_snapshot(left: DataFrame, snapshots: DataFrame, key: str, left_order: str, as_of: str, chunk: int) -> DataFrame:
     """Each left row with the whole row set of the latest snapshot (key, as_of) at or before it:
-    the distinct as_of values are as-of joined, then equi-joined."""
+    the distinct as_of values are as-of joined, then equi-joined. All left rows share one order of
+    time, so they are dealt by spans of `chunk`."""
     days = snapshots.select(F.col(as_of).alias("_as_of")).distinct().withColumn("_all", F.lit(1))
-    rows = asof_join(left.withColumn("_all", F.lit(1)), days, ["_all"], left_order, "_as_of", {"_as_of": "_found"}).drop("_all")
+    rows = asof_join(left.withColumn("_all", F.lit(1)), days, ["_all"], left_order, "_as_of", {"_as_of": "_found"}, chunk=chunk).drop("_all")
     s = snapshots.withColumnRenamed(as_of, "_found")
     return rows.join(s, ["_found", key], "left").withColumnRenamed("_found", as_of)
 
@@ -96,14 +97,39 @@ def rounded_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
 
 
 def paired(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join that refuses when the key sets differ; each side's keys must be unique."""
-    odd = left.select(*on).unionByName(right.select(*on)).groupBy(*on).count().where("count != 2")
-    if odd.limit(1).count():
-        raise ValueError("the two sides don't have the same keys")
-    return left.join(right, on)
+    """Inner join that fails, when it runs, on a key that one side lacks or holds twice."""
+    w = Window.partitionBy(*on)
+    l = left.withColumn("_l", F.count("*").over(w))
+    r = right.withColumn("_r", F.count("*").over(w))
+    fine = (F.col("_l") == 1) & (F.col("_r") == 1)
+    rows = l.join(r, on, "full").withColumn("_ok", F.when(F.coalesce(fine, F.lit(False)), True).otherwise(F.raise_error(F.lit("the two sides don't have the same keys")).cast("boolean")))
+    return rows.where("_ok").drop("_l", "_r", "_ok")
 
 
 def best_per_group(rows: DataFrame, by: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each group in an order that ties don't leave open."""
     w = Window.partitionBy(*by).orderBy(*order)
     return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+
+
+def best_contract(contracts: DataFrame, games: DataFrame, on: list[str], spread: str, team: str, home: str, tie: str) -> DataFrame:
+    """Of each game's contracts on its home side the one with the least spread, with the game's columns."""
+    rows = contracts.join(games, on).where(F.col(team) == F.col(home))
+    return best_per_group(rows, on, [F.asc(spread), F.asc(tie)])
+
+
+def near_dates(rows: DataFrame, day: str, games: DataFrame, game_day: str, before: int, after: int) -> DataFrame:
+    """rows with the games of the days around theirs (before and after, the ends included), through
+    buckets of days as wide as the range, so that the join is on equal keys."""
+    width, n = before + after + 1, F.unix_date(F.col(game_day).cast("date"))
+    first = F.unix_date(F.col(day).cast("date")) - before
+    l = rows.withColumn("_first", first).withColumn("_bucket", F.explode(F.array_distinct(F.array(F.floor(F.col("_first") / width), F.floor((F.col("_first") + width - 1) / width)))))
+    pairs = l.join(games.withColumn("_n", n).withColumn("_bucket", F.floor(F.col("_n") / width)), "_bucket")
+    return pairs.where((F.col("_n") >= F.col("_first")) & (F.col("_n") < F.col("_first") + width)).drop("_bucket", "_first", "_n")
+
+
+def resolved(rows: DataFrame, dimension: DataFrame, on: list[str], take: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with the dimension's value, null where it has none; their number and that of the unresolved)."""
+    one = dimension.groupBy(*on).agg(F.min(take).alias(take))
+    out = rows.join(one, on, "left")
+    return out, out.agg(F.count("*").alias("rows"), F.count_if(F.col(take).isNull()).alias("unresolved"))

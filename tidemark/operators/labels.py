@@ -108,5 +108,19 @@ def with_trajectory(exits: DataFrame, ticks: DataFrame, by: list[str], entry_id:
     if cap is not None:
         p = F.when(F.col(side) > 0, F.least(p, F.col(entry_price) + cap)).otherwise(F.greatest(p, F.col(entry_price) - cap))
     p = F.when(F.col("_at") >= F.col("exit_time"), F.col("exit_price")).otherwise(p)
-    out = seen.withColumn("_d", logit_delta(F.col(entry_price).cast("double"), p)).groupBy(entry_id).agg(F.array_sort(F.collect_list(F.struct("_k", "_d"))).alias("_t"))
-    return exits.join(out.select(entry_id, F.transform("_t", lambda x: x["_d"]).alias("trajectory")), entry_id)
+    # the entry's columns come along, so that the exits are planned once
+    kept = [F.first(c).alias(c) for c in exits.columns if c != entry_id]
+    out = seen.withColumn("_d", logit_delta(F.col(entry_price).cast("double"), p)).groupBy(entry_id).agg(F.array_sort(F.collect_list(F.struct("_k", "_d"))).alias("_t"), *kept)
+    return out.select(*exits.columns, F.transform("_t", lambda x: x["_d"]).alias("trajectory"))
+
+
+def trajectory_labels(entries: DataFrame, ticks: DataFrame, states: DataFrame, by: list[str], entry_id: str, happened: str, side: str, entry_price: str, time: str, price: str, tie: str, hold: int, take_profit: float, stop_loss: float, *, delay: int, flip_side: str = "run_side", entry_side: str = "entry_team", off: str = "off", n: int = 10) -> DataFrame:
+    """Exit and trajectory of all entries, anchored at what could be known: entries and states
+    count from `delay` after they happened (states' time is `happened` too). The delay has no
+    default: a label without one looks into the future."""
+    if delay < 0:
+        raise ValueError("delay must not be negative")
+    known = entries.withColumn("known_at", F.col(happened) + delay)
+    flips = states.withColumn("known_at", F.col(happened) + delay)
+    out = first_breach(known, ticks, by, entry_id, "known_at", side, entry_price, time, price, tie, hold, take_profit, stop_loss, flips, "known_at", flip_side, entry_side, off)
+    return with_trajectory(out, ticks, by, entry_id, "known_at", entry_price, time, price, tie, hold, n, take_profit, side)

@@ -71,7 +71,7 @@ def j08_asof_snapshot(t):
     day = F.unix_date(F.to_date("ts"))
     snap = t.events.where("event_type = 'signup'").groupBy("user_id", day.alias("as_of")).agg(F.sum("value").alias("rating"))
     left = t.events.where("event_type = 'purchase'").select("event_id", "user_id", day.alias("d"))
-    return joins.asof_snapshot(left, snap, "user_id", "d", "as_of").select("event_id", F.col("as_of").cast("int"), F.round("rating", 6).alias("rating"))
+    return joins.asof_snapshot(left, snap, "user_id", "d", "as_of", 30).select("event_id", F.col("as_of").cast("int"), F.round("rating", 6).alias("rating"))
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice FROM orders)

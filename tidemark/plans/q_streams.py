@@ -10,13 +10,14 @@ from ..streaming import stream
 from .q_joins import HOUR, events
 from .registry import query
 
-#: Microseconds, as the 60 days of the other watermarks here.
-LATE = 60 * 24 * HOUR
+#: Microseconds that rows may come late. Slices follow one another in time, so that most rows step
+#: through before the last batch and state is carried from batch to batch.
+LATE = 24 * HOUR
 
 
 def _stream(t):
-    s = stream.file_stream(t.spark, f"{t.dir}/events.parquet")
-    return s.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("ts"))
+    """The event log as a stream of four batches in order of time."""
+    return stream.sliced_stream(t.events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("ts")), "us")
 
 
 @query("""SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS start, count(*) AS n, round(sum(value), 6) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY ALL""")
@@ -36,27 +37,62 @@ WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 2159999999
 
 
 @query(_SNAP)
-def st02_st03_snapshot(t):
+def st02_rolling(t):
     """Features of the last six hours of each user's ticks, by keyed state."""
     step, start = stream.rolling_snapshot(6 * HOUR)
     out = stream.keyed(_stream(t), "user_id", step, start, ["event_id", "us", "value"], ["us", "event_id"], "event_id long, n long, total double, velocity double", LATE)
     return stream.drained(out).select("event_id", "n", F.round("total", 6).alias("total"), F.round("velocity", 6).alias("velocity"))
 
 
+_FEATURES = ("bid", "ask", "spread", "last", "interest", "volume", "ms_since_trade", "interest_change", "d_bid", "d_spread", "velocity", "acceleration", "off_last")
+
+
 @query()
-def st05_l18_break_fade(t):
-    """Enter, exit or wait at each tick; hours of the day play the match's minutes."""
-    step, start = stream.break_fade((8.0, 20.0), 25.0, 12 * HOUR)
-    rows = _stream(t).withColumn("minute", F.hour("ts").cast("double"))
-    out = stream.keyed(rows, "user_id", step, start, ["event_id", "us", "minute", "value"], ["us", "event_id"], "event_id long, action string, price double", LATE)
+def st02_st03_snapshot(t):
+    """Views ask for the market's 13 features and whether it has data; all other events are its ticks."""
+    step, start = stream.market_snapshot(48 * HOUR, 24 * HOUR, 12 * HOUR, 24 * HOUR)
+    rows = _stream(t).withColumns({"asks": F.col("event_type") == "view", "bid": F.floor("value"), "ask": F.floor("value") + F.col("event_id") % 4, "last": F.floor("value") + 1, "volume": F.floor(F.col("event_id") / 3), "interest": F.col("event_id") % 100})
+    takes = ["event_id", "us", "asks", "bid", "ask", "last", "volume", "interest"]
+    out = stream.keyed(rows, "user_id", step, start, takes, ["us", "event_id"], "event_id long, has_data boolean, " + ", ".join(f"{f} double" for f in _FEATURES), LATE)
     return stream.drained(out)
 
 
+_RUN = f"""WITH e AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'home' ELSE 'away' END AS side, CASE WHEN event_type IN ('purchase', 'signup') THEN round(value) ELSE 0 END AS points FROM events),
+s AS (SELECT *, CASE WHEN points > 0 THEN side END AS sc, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM e),
+p AS (SELECT *, last_value(sc IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM s),
+i AS (SELECT *, sum(CASE WHEN sc IS NOT NULL AND (prior IS NULL OR prior <> sc) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM p),
+c AS (SELECT *, count(sc) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS len, sum(CASE WHEN sc IS NOT NULL THEN points END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS pts FROM i)
+SELECT event_id, coalesce(prior, '') AS run_side, CAST(coalesce(last_value(CASE WHEN sc IS NOT NULL THEN len END IGNORE NULLS) OVER b, 0) AS BIGINT) AS run_length, CAST(coalesce(last_value(CASE WHEN sc IS NOT NULL THEN pts END IGNORE NULLS) OVER b, 0) AS DOUBLE) AS run_points,
+CAST(coalesce(sum(CASE WHEN side = 'home' THEN points ELSE 0 END) OVER f, 0) AS DOUBLE) AS home_5, CAST(coalesce(sum(CASE WHEN side = 'away' THEN points ELSE 0 END) OVER f, 0) AS DOUBLE) AS away_5, pos - 1 AS elapsed,
+coalesce(pos - max(CASE WHEN event_type = 'error' THEN pos END) OVER b, 999) AS since_timeout FROM c
+WINDOW b AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"""
+
+
+@query(_RUN)
+def st04_possession_state(t):
+    """The state before each row by a stream's keyed state: run, points of the last five, rows elapsed, rows since an error."""
+    step, start = stream.possession_state("error")
+    rows = _stream(t).withColumns({"side": F.when(F.col("event_id") % 2 == 0, "home").otherwise("away"), "points": F.when(F.col("event_type").isin("purchase", "signup"), F.round("value")).otherwise(0.0)})
+    return stream.drained(stream.keyed(rows, "user_id", step, start, ["event_id", "side", "points", "event_type"], ["us", "event_id"], "event_id long, run_side string, run_length long, run_points double, home_5 double, away_5 double, elapsed long, since_timeout long", LATE))
+
+
 @query()
+def st05_l18_break_fade(t):
+    """Enter, exit or wait at each tick; hours since the start of the month play the match's minutes."""
+    step, start = stream.break_fade((48.0, 240.0, 480.0), 72.0, 96.0, 10.0, 48.0)
+    rows = _stream(t).withColumn("minute", (F.col("us") - F.unix_micros(F.date_trunc("month", "ts"))) / float(HOUR))
+    out = stream.keyed(rows, "user_id", step, start, ["event_id", "minute", "value"], ["us", "event_id"], "event_id long, action string, side string, drift double", LATE)
+    return stream.drained(out).withColumn("drift", F.round("drift", 6))
+
+
+@query("""WITH RECURSIVE r AS (SELECT user_id, event_id, event_type, value, CASE WHEN value > 90 THEN 'signup' ELSE 'view' END AS best, event_id % 3 = 0 AS open, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT user_id, event_id, n, event_type AS market, 'start' AS decision FROM r WHERE n = 1 UNION ALL
+SELECT d.user_id, d.event_id, d.n, CASE WHEN d.decision = 'swap' THEN d.best ELSE d.market END, d.decision FROM (SELECT r.*, f.market, CASE WHEN r.event_type <> f.market OR r.value BETWEEN 20 AND 80 THEN 'stay' WHEN r.best = f.market THEN 'best_is_current' WHEN r.open THEN 'swap_deferred_open' ELSE 'swap' END AS decision
+FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1) d) SELECT event_id, decision, market FROM f""")
 def st08_swap(t):
     step, start = stream.swap_with_hysteresis()
-    rows = _stream(t).withColumn("best", F.when(F.col("value") > 90, F.lit("signup")).otherwise(F.lit("view")))
-    out = stream.keyed(rows, "user_id", step, start, ["event_id", "event_type", "value", "best"], ["us", "event_id"], "event_id long, decision string, market string", LATE)
+    rows = _stream(t).withColumn("best", F.when(F.col("value") > 90, F.lit("signup")).otherwise(F.lit("view"))).withColumn("open", F.col("event_id") % 3 == 0)
+    out = stream.keyed(rows, "user_id", step, start, ["event_id", "event_type", "value", "best", "open"], ["us", "event_id"], "event_id long, decision string, market string", LATE)
     return stream.drained(out)
 
 
@@ -72,11 +108,17 @@ def st07_enriched(t):
     return stream.drained(stream.enriched(rows, t.nation.select("n_nationkey", "n_name"), ["n_nationkey"])).select("event_id", "n_name")
 
 
-@query("""WITH l AS (SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS last, max(ts) - min(ts) AS span FROM events GROUP BY ALL)
-SELECT user_id, bool_and(last <= 20 OR last >= 80) AS settled FROM l GROUP BY 1""")
+_KINDS = ("view", "click", "error", "purchase", "signup")
+_LAST = ", ".join(f"last_value(CASE WHEN event_type = '{k}' THEN value END IGNORE NULLS) OVER w AS {k}" for k in _KINDS)
+
+
+@query(f"""WITH l AS (SELECT event_id, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id) AS gone, {_LAST} FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT event_id, coalesce(gone >= {48 * HOUR} AND {" AND ".join(f"({k} <= 40 OR {k} >= 60)" for k in _KINDS)}, false) AS settled FROM l""")
 def st06_settled(t):
-    last = t.events.groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("last"))
-    return last.groupBy("user_id").agg(F.bool_and((F.col("last") <= 20) | (F.col("last") >= 80)).alias("settled"))
+    """Whether all of a user's markets have settled, after each tick and two days at least."""
+    step, start = stream.settlement(40.0, 60.0, 48 * HOUR, len(_KINDS))
+    out = stream.keyed(_stream(t), "user_id", step, start, ["event_id", "us", "event_type", "value"], ["us", "event_id"], "event_id long, settled boolean", LATE)
+    return stream.drained(out)
 
 
 _ACTIONS = """WITH a AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 'made' WHEN 'click' THEN 'miss' WHEN 'view' THEN 'rebound' WHEN 'error' THEN 'turnover' ELSE 'foul' END AS kind, event_id % 2 AS side, value FROM events),

@@ -35,4 +35,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import q_joins, q_labels, q_reports, q_sets, q_streams, q_windows  # noqa: E402, F401
+from . import q_game, q_joins, q_labels, q_reports, q_sets, q_streams, q_windows  # noqa: E402, F401

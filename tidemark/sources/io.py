@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def align(df: DataFrame, schema: T.StructType, strict: bool = True) -> DataFrame:
@@ -78,9 +79,16 @@ def insert_new(target: DataFrame, source: DataFrame, on: list[str]) -> DataFrame
     return target.unionByName(source.dropDuplicates(on).join(target, on, "left_anti").select(*target.columns))
 
 
-def upsert(target: DataFrame, source: DataFrame, on: list[str]) -> DataFrame:
-    """Insert or replace by key. Source keys must be unique."""
-    return target.join(source, on, "left_anti").select(*target.columns).unionByName(source.select(*target.columns))
+def upsert(target: DataFrame, source: DataFrame, on: list[str], order: list[str] | None = None) -> DataFrame:
+    """Insert or replace by key. Of several source rows of a key the last by `order` counts; without
+    an order such a key fails when it runs."""
+    if order:
+        w = Window.partitionBy(*on).orderBy(*[F.desc(c) for c in order])
+        one = source.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    else:
+        twice = F.raise_error(F.lit("source keys are not unique")).cast("boolean")
+        one = source.withColumn("_n", F.count("*").over(Window.partitionBy(*on))).where(F.when(F.col("_n") == 1, True).otherwise(twice))
+    return target.join(one, on, "left_anti").select(*target.columns).unionByName(one.select(*target.columns))
 
 
 def additive_merge(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
@@ -110,3 +118,19 @@ def dimension(parts: list[DataFrame], key: str, name: str) -> DataFrame:
         tagged = part.select(key, name, F.struct(F.lit(rank), F.col(name)).alias("_rank"))
         rows = tagged if rows is None else rows.unionByName(tagged)
     return rows.where(F.col(key) > 0).groupBy(key).agg(F.max_by(name, "_rank").alias(name))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A table, such as a schedule, as JSON lines, in place of what was there."""
+    df.write.mode("overwrite").json(path)
+
+
+def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed dimension. Its size is that of the list, so joins may broadcast it."""
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def home_away(rows: DataFrame, game: str, side: str, team: str) -> DataFrame:
+    """game, home, away from two rows a game; a game without both sides goes."""
+    name = lambda s: F.max(F.when(F.col(side) == s, F.col(team)))
+    return rows.groupBy(game).agg(name("home").alias("home"), name("away").alias("away")).where("home is not null and away is not null")

@@ -19,15 +19,37 @@ from ..operators.folds import same
 
 
 def file_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
-    """A Parquet folder (or file) as a stream in its own schema. The pattern also matches a single
-    file, which the source takes by pattern only."""
+    """A Parquet folder (or file) as a stream in its own schema. The source takes a single file by a
+    pattern only: one that matches nothing else."""
+    path = path.rstrip("/")
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}*")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def sliced_stream(rows: DataFrame, time: str, slices: int = 4) -> DataFrame:
+    """A table as a stream of `slices` batches in order of time (a number), for replays: each slice is
+    written after the one before, and a micro-batch takes one file."""
+    spark = rows.sparkSession
+    at = f"{scratch(spark)}/slices-{uuid.uuid4().hex}"
+    low, high = rows.agg(F.min(time), F.max(time)).first()
+    width = max(1, -(-(high - low + 1) // slices)) if low is not None else 1
+    for k in range(slices):
+        first = F.lit((low or 0) + k * width)
+        inside = (F.col(time) >= first) & (F.col(time) < first + width)
+        rows.where(inside | F.col(time).isNull() if k == 0 else inside).coalesce(1).write.parquet(f"{at}/{k}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/*")
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for what a stream leaves between batches."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    """This application's folder below that which driver and executors share, for what a stream
+    leaves between batches. On a cluster without one it raises: a machine's own would lose rows."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return f"{path}/tidemark-{spark.sparkContext.applicationId}"
 
 
 def drained(stream: DataFrame | Keyed, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
@@ -62,7 +84,8 @@ def drained(stream: DataFrame | Keyed, mode: str = "append", keys: list[str] | N
 
 
 def ingest(ticks: DataFrame, key: str, time: str, price: str, late: str = "10 minutes") -> DataFrame:
-    """Quoted ticks, each (key, time) once within the watermark."""
+    """Quoted ticks, each (key, time) once within the watermark; which of equal ones stays is the one
+    that came first, so only columns that equal ticks share are to be relied on."""
     return ticks.where(F.col(price) > 0).withWatermark(time, late).dropDuplicatesWithinWatermark([key, time])
 
 
@@ -209,36 +232,43 @@ def rolling_snapshot(width: int):
     return step, lambda: {"ticks": [], "head": 0, "total": 0.0}
 
 
-def break_fade(window: tuple[float, float], drift: float, hold: int):
-    """Steps for keyed: rows (id, time, minute, price) to (id, action, price). Inside the window
-    of minutes, a drift since the window's first price beyond the limit enters against it, once
-    per window; after `hold` the position leaves; another window may follow later."""
+def break_fade(breaks: tuple[float, ...], window: float, lookback: float, drift: float, hold: float):
+    """Steps for keyed: rows (id, minute, price) to (id, action, side, drift). In the `window` minutes
+    from a break on, the price's change over the last `lookback` minutes (half of them at least must
+    be covered, else the break stays open) is judged once: beyond `drift` a position against it is
+    entered, which leaves after `hold` minutes. Prices are kept for twice the lookback."""
 
     def step(state, row):
-        i, t, minute, price = row
-        inside = window[0] <= minute <= window[1]
-        if state["open"] is not None and t >= state["open"] + hold:
+        i, minute, price = int(row[0]), float(row[1]), float(row[2])
+        snaps = state["snaps"] = [x for x in (*state["snaps"], [minute, price]) if x[0] >= minute - 2 * lookback]
+        if state["open"] is not None:
+            since, side = state["open"]
+            if minute - since < hold:
+                return [(i, "WAIT", side, None)]
             state["open"] = None
-            return [(int(i), "EXIT", float(price))]
-        if not inside:
-            state["first"], state["used"] = None, False
-            return [(int(i), "WAIT", float(price))]
-        if state["first"] is None:
-            state["first"] = float(price)
-        if state["open"] is None and not state["used"] and abs(price - state["first"]) >= drift:
-            state["open"], state["used"] = int(t), True
-            return [(int(i), "ENTER_NO" if price > state["first"] else "ENTER_YES", float(price))]
-        return [(int(i), "WAIT", float(price))]
-
-    return step, lambda: {"first": None, "used": False, "open": None}
+            return [(i, "EXIT", side, None)]
+        at = next((b for b in breaks if b not in state["fired"] and b <= minute < b + window), None)
+        base = next((x for x in snaps if x[0] >= minute - lookback), None)
+        if at is None or len(snaps) < 2 or base is None or minute - base[0] < lookback / 2:
+            return [(i, "WAIT", None, None)]
+        state["fired"].append(at)
+        moved = price - base[1]
+        if abs(moved) < drift:
+            return [(i, "WAIT", None, moved)]
+        side = "NO" if moved > 0 else "YES"
+        state["open"] = [minute, side]
+        return [(i, "ENTER", side, moved)]
+
+    return step, lambda: {"snaps": [], "fired": [], "open": None}
 
 
 def swap_with_hysteresis(low: float = 20, high: float = 80):
-    """Steps for keyed: rows (id, market, price, best) to (id, decision, market). The current
-    market stays until its price leaves [low, high], then the best candidate follows."""
+    """Steps for keyed: rows (id, market, price, best, open) to (id, decision, market). The current
+    market stays until its price leaves [low, high], then the best candidate follows; while a
+    position is open the swap waits (swap_deferred_open)."""
 
     def step(state, row):
-        i, market, price, best = row
+        i, market, price, best, held = row
         current = state["market"]
         if current is None:
             state["market"] = market
@@ -249,7 +279,77 @@ def swap_with_hysteresis(low: float = 20, high: float = 80):
             return [(int(i), "no_candidates", str(current))]
         if str(best) == str(current):
             return [(int(i), "best_is_current", str(current))]
+        if held:
+            return [(int(i), "swap_deferred_open", str(current))]
         state["market"] = best
         return [(int(i), "swap", str(best))]
 
     return step, lambda: {"market": None}
+
+
+def market_snapshot(width: int, stale: int, near: int, far: int, second: int = 1_000_000):
+    """Steps for keyed: rows (id, time, asks, bid, ask, last, volume, interest). A row without `asks` is a
+    tick; one with it is a request, which gives (id, has_data, 13 features): none if the last tick is
+    older than `stale`, else bid, ask, spread, last, interest, volume of the last `far`, milliseconds
+    since a tick that traded (999999: none), change of interest over `far`, changes of bid and spread
+    since the last request with data, speed of the bid over `near`, its change, and bid less last.
+    volume is a cumulative counter. Ticks older than `width` before the last one go. A value some time
+    ago is that of the tick nearest to then, of two equally near the earlier."""
+
+    def ago(ticks, now, back, column):
+        return min(ticks, key=lambda x: (abs(x[0] - (now - back)), x[0]))[column]
+
+    def step(state, row):
+        i, now, asks = int(row[0]), int(row[1]), row[2]
+        ticks = state["ticks"]
+        if not asks:
+            ticks.append([now, *(float(x) for x in row[3:])])
+            state["ticks"] = [x for x in ticks if x[0] >= now - width]
+            return []
+        if not ticks or now - ticks[-1][0] > stale:
+            return [(i, False, *[None] * 13)]
+        _, bid, ask, last, _, interest = ticks[-1]
+        grown = [(b[0], max(0.0, b[4] - a[4])) for a, b in zip(ticks, ticks[1:])]
+        traded = [t for t, n in grown if n > 0]
+        spread, speed = ask - bid, (bid - ago(ticks, now, near, 1)) / (near / second)
+        before = state["before"]
+        out = (bid, ask, spread, last, interest, sum(n for t, n in grown if t > now - far), (now - traded[-1]) / (second / 1000) if traded else 999999.0, interest - ago(ticks, now, far, 5), bid - before[0], spread - before[1], speed, speed - before[2], bid - last)
+        state["before"] = [bid, spread, speed]
+        return [(i, True, *out)]
+
+    return step, lambda: {"ticks": [], "before": [0.0, 0.0, 0.0]}
+
+
+def settlement(low: float, high: float, least: int, markets: int):
+    """Steps for keyed: rows (id, time, market, price) to (id, settled): whether `least` has gone by since
+    the first row, and each of the key's `markets` has a last price at most low or at least high."""
+
+    def step(state, row):
+        i, now, market, price = int(row[0]), int(row[1]), str(row[2]), float(row[3])
+        state["first"] = now if state["first"] is None else state["first"]
+        state["last"][market] = price
+        over = now - state["first"] >= least and len(state["last"]) == markets
+        return [(i, bool(over and all(p <= low or p >= high for p in state["last"].values())))]
+
+    return step, lambda: {"first": None, "last": {}}
+
+
+def possession_state(timeout: str = "timeout"):
+    """Steps for keyed: rows (id, side, points, kind) to the features before each row, then the row
+    advances the state: (id, run_side, run_length, run_points, home_5, away_5, elapsed, since_timeout).
+    The twin of with_streak, rolling and with_rows_since; rows without points leave a run as it is."""
+
+    def step(state, row):
+        i, side, points, kind = int(row[0]), row[1], float(row[2] or 0.0), row[3]
+        points = 0.0 if points != points else points
+        run, last = state["run"], state["last"]
+        out = (i, run[0], run[1], run[2], sum(p for s, p in last if s == "home"), sum(p for s, p in last if s == "away"), state["n"], 999 if state["since"] is None else state["n"] - state["since"])
+        if points > 0:
+            state["run"] = [side, run[1] + 1, run[2] + points] if run[0] == side else [side, 1, points]
+        state["last"] = [*last, [side, points]][-5:]
+        if kind == timeout:
+            state["since"] = state["n"]
+        state["n"] += 1
+        return [out]
+
+    return step, lambda: {"run": ["", 0, 0.0], "last": [], "n": 0, "since": None}
