@@ -24,7 +24,7 @@ _CELLS, _CHUNK = 1024, 4096
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """source, source_size, target, one row for each source (null is a source, ranked last).
+    """source, source_size, target, no, one row for each source (null is a source, ranked last); no is its rank from 1.
 
     Targets are in proportion to the weights and sum to all tokens, but stop at `epochs` times
     the source's size; the excess goes to the others by weight until none is above. With the
@@ -34,7 +34,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> D
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.pmod(rank, F.lit(len(weights))) + 1)
-    per = per.select("source", "source_size", w.alias("w"), (F.col("source_size") * float(epochs)).alias("limit"))
+    per = per.select("source", "source_size", (rank + 1).alias("no"), w.alias("w"), (F.col("source_size") * float(epochs)).alias("limit"))
     order = Window.orderBy(F.col("limit") / F.col("w"), F.col("source").asc_nulls_last())
     below = F.coalesce(F.sum("limit").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
@@ -42,7 +42,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> D
     per = per.withColumn("level", (total - below) / rest)
     stays = F.when(F.col("limit") / F.col("w") >= F.col("level"), F.col("level"))
     level = F.first(stays, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return per.withColumn("target", F.least(F.col("limit"), F.coalesce(level, F.lit(0.0)) * F.col("w"))).select("source", "source_size", "target")
+    return per.withColumn("target", F.least(F.col("limit"), F.coalesce(level, F.lit(0.0)) * F.col("w"))).select("source", "source_size", "target", "no")
 
 
 def _points(slot):
@@ -55,21 +55,21 @@ def _points(slot):
 
 
 def schedule(spark, targets: DataFrame, slots: int) -> DataFrame:
-    """source, block: the slots of the schedule, ranked from 0 within each source."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    """no, block: the slots of the schedule, ranked from 0 within each source (by its no)."""
+    order = Window.orderBy("no")
     share = F.col("target") / F.sum("target").over(Window.partitionBy())
     upper = F.sum(share).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    spans = targets.where("target > 0").select("source", (upper - share).alias("lo"), upper.alias("hi"), F.row_number().over(order).alias("n"), F.count("*").over(Window.partitionBy()).alias("of"))
+    spans = targets.where("target > 0").select("no", (upper - share).alias("lo"), upper.alias("hi"), F.row_number().over(order).alias("n"), F.count("*").over(Window.partitionBy()).alias("of"))
     spans = spans.withColumn("hi", F.when(F.col("n") == F.col("of"), 1.1).otherwise(F.col("hi")))
     # the next source begins exactly where this one ends
     spans = spans.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("n")), F.lit(0.0))).drop("of")
     cell = lambda c: F.least(F.floor(c * _CELLS), F.lit(_CELLS - 1))
     spans = spans.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
     points = spark.range(slots).select("id", F.floor(F.col("id") / _CHUNK).alias("chunk"), _points(F.col("id")).alias("u"))
-    drawn = points.withColumn("cell", cell(F.col("u"))).join(spans, "cell").where("u >= lo and u < hi").select("id", "chunk", "n", "source")
-    base = exclusive_offsets(drawn, ["n"], "chunk", F.lit(1), "base")
-    within = F.row_number().over(Window.partitionBy("n", "chunk").orderBy("id")) - 1
-    return drawn.withColumn("within", within).join(base, ["n", "chunk"]).select("source", (F.col("base") + F.col("within")).cast("bigint").alias("block"))
+    drawn = points.withColumn("cell", cell(F.col("u"))).join(spans, "cell").where("u >= lo and u < hi").select("id", "chunk", "no")
+    base = exclusive_offsets(drawn, ["no"], "chunk", F.lit(1), "base")
+    within = F.row_number().over(Window.partitionBy("no", "chunk").orderBy("id")) - 1
+    return drawn.withColumn("within", within).join(base, ["no", "chunk"]).select("no", (F.col("base") + F.col("within")).cast("bigint").alias("block"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, epochs: int = EPOCHS, seed: int = 17, block: int = BLOCK_TOKENS) -> DataFrame:
@@ -99,18 +99,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     same = lambda a, b: a.eqNullSafe(b)
     keep = ["id", "source", "text_md5", "copy", "size"]
     rows = rows.alias("r").join(base.alias("b"), same(F.col("r.source"), F.col("b.source")) & (F.col("r.bucket") == F.col("b.bucket"))).select(*[f"r.{c}" for c in keep], (F.col("base") + F.col("before")).alias("start"))
-    rows = staged(rows.alias("r").join(targets.alias("t"), same(F.col("r.source"), F.col("t.source"))).select(*[f"r.{c}" for c in keep], "start", "source_size", "target"))
+    rows = staged(rows.alias("r").join(targets.alias("t"), same(F.col("r.source"), F.col("t.source"))).select(*[f"r.{c}" for c in keep], "start", "source_size", "target", "no"))
 
-    # each document in each pass, cut at the block borders of its source's stream
-    keep += ["source_size", "target"]
+    # each document in each pass, cut at the block borders of its source's stream; its start names it there
     lap = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
-    pieces = rows.where("size > 0").select(*keep, "start", lap.alias("lap")).withColumn("lo", F.col("start") + F.col("lap") * F.col("source_size")).withColumn("hi", F.col("lo") + F.col("size"))
+    pieces = rows.where("size > 0").select("no", "start", "size", "source_size", lap.alias("lap")).select("no", "start", "size", (F.col("start") + F.col("lap") * F.col("source_size")).alias("lo"))
+    pieces = pieces.withColumn("hi", F.col("lo") + F.col("size"))
     pieces = pieces.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
     overlap = F.least(F.col("hi"), (F.col("block") + 1) * block) - F.greatest(F.col("lo"), F.col("block") * block)
-    pieces = pieces.select(*keep, "block", overlap.alias("words"))
+    pieces = pieces.select("no", "block", "start", overlap.cast("int").alias("words"))
     slots = schedule(spark, targets, -(-total // block))
-    taken = pieces.alias("p").join(slots.alias("s"), same(F.col("p.source"), F.col("s.source")) & (F.col("p.block") == F.col("s.block")), "left_semi").select(*keep, "words")
-    return rows.select(*keep, F.lit(0).cast("bigint").alias("words")).unionByName(taken).groupBy(*keep).agg(F.sum("words").alias("taken"))
+    taken = pieces.join(slots.hint("merge"), ["no", "block"], "left_semi").groupBy("no", "start").agg(F.sum("words").alias("taken"))
+    named = rows.withColumn("at", F.when(F.col("size") > 0, F.col("start"))).join(taken.withColumnRenamed("start", "at"), ["no", "at"], "left")
+    return named.select(*keep, "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", n_chars_col: str | None = "n_chars", **how) -> DataFrame:
