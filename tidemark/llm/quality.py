@@ -4,7 +4,7 @@ Two logistic classifiers see two views of a page. The content view is its words
 pairs of letters, all else dropped. The metadata view is all else: source, language, length,
 layout and signs. Both are fitted on labelled rows. In each round both score every document,
 and those that one is sure of become labelled rows for the other, whose weights then take a
-Newton step; the sums that the step needs are made on Spark. At the end both are calibrated on
+Newton step; the sums over them that the step needs are made on Spark. At the end both are calibrated on
 labelled rows that neither was fitted on, and the mean of the calibrated log-odds scores all
 documents.
 """
@@ -31,8 +31,6 @@ SURE = 0.95
 PENALTY = 20.0
 THRESHOLD = 0.5
 _TEXT, _HASHED = 256, 16
-#: Numbers of a sum that travel together.
-_PART = 4096
 #: Letters in lower case (and all bytes of other scripts) stay, what else there is becomes a space.
 _LETTERS = bytes(b if b >= 128 else b | 32 if 97 <= (b | 32) <= 122 else 32 for b in range(256))
 
@@ -105,17 +103,18 @@ class View:
         return self.standard(x) @ self.weights[:-1] + self.weights[-1]
 
     def sums(self, x, y):
-        """What a Newton step needs of rows: their number, gradient and curvature at these weights."""
+        """The number of rows and their gradient at these weights."""
         z = np.hstack([self.standard(x), np.ones((len(x), 1))])
-        p = _sigmoid(z @ self.weights)
-        return np.concatenate([[len(x)], z.T @ (y - p), ((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z).ravel()])
+        return np.concatenate([[len(x)], (y - _sigmoid(z @ self.weights)) @ z])
 
-    def stepped(self, own: np.ndarray, given: np.ndarray, penalty: float) -> View:
-        """With the weights after a Newton step on labelled rows' sums and pseudo-labelled rows'."""
-        k, share = len(self.weights), min(1.0, own[0] / max(1.0, given[0]))
-        total, ridge = own + share * given, np.full(k, penalty)
+    def stepped(self, x, y, given: np.ndarray, penalty: float) -> View:
+        """With the weights after a Newton step on labelled rows and the sums of pseudo-labelled ones,
+        whose curvature is taken to be that of labelled rows."""
+        z, own = np.hstack([self.standard(x), np.ones((len(x), 1))]), self.sums(x, y)
+        p, share, ridge = _sigmoid(z @ self.weights), min(1.0, own[0] / max(1.0, given[0])), np.full(len(self.weights), penalty)
         ridge[-1] = 1e-6
-        step = np.linalg.solve(total[1 + k :].reshape(k, k) + np.diag(ridge), total[1 : 1 + k] - ridge * self.weights)
+        curve = (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z * (1 + share * given[0] / own[0])
+        step = np.linalg.solve(curve + np.diag(ridge), own[1:] + share * given[1:] - ridge * self.weights)
         return View(self.mean, self.scale, self.weights + np.clip(step, -1, 1))
 
     def calibrate(self, x, y):
@@ -142,32 +141,30 @@ def _views_of(texts, sources, langs) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _all_exchanged(docs: DataFrame, views: list[View]) -> list[np.ndarray]:
-    """exchanged over all rows of docs (text, source, lang): each task's sums are added up in parts,
-    so that what the driver gets is as large as one row's curvature whatever the corpus."""
-    given, size = shared(docs.sparkSession, views), [1 + len(v.weights) + len(v.weights) ** 2 for v in views]
+    """exchanged over all rows of docs (text, source, lang): each task's sums are added up once more,
+    so that the driver gets two rows whatever the corpus."""
+    given, size = shared(docs.sparkSession, views), [1 + len(v.weights) for v in views]
 
     def sums(batches):
         views, total = unshared(given), [np.zeros(n) for n in size]
         for batch in batches:
-            for k in range(0, len(batch), 1024):
-                b = batch.iloc[k : k + 1024]
+            for k in range(0, len(batch), 256):
+                b = batch.iloc[k : k + 256]
                 for t, x in zip(total, exchanged(views, *_views_of(b.text, b.source, b.lang))):
                     t += x
-        yield pd.DataFrame([(v, k, t[k : k + _PART].tobytes()) for v, t in enumerate(total) for k in range(0, len(t), _PART)], columns=["view", "part", "sums"])
+        yield pd.DataFrame([(v, t.tobytes()) for v, t in enumerate(total)], columns=["view", "sums"])
 
     def added(batches):
         total: dict = {}
         for batch in batches:
             for r in batch.itertuples():
-                total[r.view, r.part] = total.get((r.view, r.part), 0) + np.frombuffer(r.sums)
-        yield pd.DataFrame([(v, k, x.tobytes()) for (v, k), x in total.items()], columns=["view", "part", "sums"])
+                total[r.view] = total.get(r.view, 0) + np.frombuffer(r.sums)
+        yield pd.DataFrame([(v, x.tobytes()) for v, x in total.items()], columns=["view", "sums"])
 
-    schema = "view int, part int, sums binary"
-    rows = docs.select("text", "source", "lang").mapInPandas(sums, schema).repartition("view", "part").mapInPandas(added, schema).collect()
+    rows = docs.select("text", "source", "lang").mapInPandas(sums, "view int, sums binary").repartition("view").mapInPandas(added, "view int, sums binary").collect()
     out = [np.zeros(n) for n in size]
     for r in rows:
-        x = np.frombuffer(r["sums"])
-        out[r["view"]][r["part"] : r["part"] + len(x)] = x
+        out[r["view"]] += np.frombuffer(r["sums"])
     return out
 
 
@@ -180,8 +177,7 @@ def co_train(text, meta, y, pool, rounds: int = ROUNDS, penalty: float = PENALTY
     x = [text, meta]
     views = [View.fitted(v[~held], y[~held], penalty) for v in x]
     for _ in range(rounds):
-        own = [v.sums(z[~held], y[~held]) for v, z in zip(views, x)]
-        views = [v.stepped(a, b, penalty) for v, a, b in zip(views, own, pool(views))]
+        views = [v.stepped(z[~held], y[~held], given, penalty) for v, z, given in zip(views, x, pool(views))]
     for v, z in zip(views, x):
         v.calibrate(z[held], y[held])
     return views
@@ -228,8 +224,8 @@ def _scored(docs: DataFrame, views: list[View] | None, *given):
                 yield pd.DataFrame({"score": one, "text_score": one, "meta_score": one, "fitted": False})
                 continue
             odds = np.zeros((2, len(texts)))
-            for k in range(0, len(texts), 1024):
-                part = slice(k, k + 1024)
+            for k in range(0, len(texts), 256):
+                part = slice(k, k + 256)
                 odds[:, part] = [v.log_odds(x) for v, x in zip(views, _views_of(texts.iloc[part], sources.iloc[part], langs.iloc[part]))]
             share = lambda x: np.where(blank, 0.0, _sigmoid(x))
             yield pd.DataFrame({"score": share(odds.mean(axis=0)), "text_score": share(odds[0]), "meta_score": share(odds[1]), "fitted": True})
