@@ -118,9 +118,16 @@ class Partition:
         return np.unique(np.concatenate(out))
 
 
+def _small(batches, rows: int = 500):
+    """Arrow's batches in smaller ones, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def _profile(batches, k, percent):
     part = Partition(percent)
-    for batch in batches:
+    for batch in _small(batches):
         n, cls, keys, narrow, wide = [], [], [], [], []
         for text in batch.text:
             s = shingle_hashes(text, k)
@@ -136,7 +143,7 @@ def _profile(batches, k, percent):
 
 def _sets(batches, k):
     """cls, fragment, data: the n-grams of a class's document, cut at the fragments' borders."""
-    for batch in batches:
+    for batch in _small(batches):
         out = []
         for r in batch.itertuples():
             s = shingle_hashes(r.text, k)
