@@ -119,10 +119,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and a part comes k times whole, and once as its first words (with the white space between).
     Documents of which nothing is taken don't come."""
     plan = mix(docs, id_col, text_col, source_col, **how).where("taken > 0")
-    rows = docs.select(packed_row(docs), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_md5"))
+    # the text travels once, in its row
+    rows = docs.select(packed_row(docs), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_md5"))
     rows = rows.dropDuplicates(["id", "source", "text_md5"]).alias("d")
     same = F.col("d.id").eqNullSafe(F.col("p.id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.text_md5") == F.col("p.text_md5"))
-    rows = rows.join(plan.alias("p"), same).select("row", "text", "size", "taken")
+    rows = rows.join(plan.alias("p"), same).select("row", F.col("row")[text_col].alias("text"), "size", "taken")
     rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size"))))).withColumn("words", F.least(F.col("size"), F.col("taken") - (F.col("nth") - 1) * F.col("size")))
     words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     part = F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")

@@ -130,8 +130,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_ch
     last = F.lag("end", 1, 0).over(Window.partitionBy(*_DOC).orderBy("start"))
     runs = runs.withColumn("last", last).groupBy(*_DOC).agg(F.array_sort(F.collect_list(F.struct("start", "end", "last", "mark"))).alias("runs"))
     text = F.col(text_col)
-    rows = docs.select(packed_row(docs), F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
-    rows = rows.alias("d").join(runs.alias("r"), (F.col("d.text_hash") == F.col("r.text_hash")) & F.col("d.id").eqNullSafe(F.col("r.id")), "left").select("row", "text", "runs")
+    # the text travels once, in its row
+    rows = docs.select(packed_row(docs), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
+    rows = rows.alias("d").join(runs.alias("r"), (F.col("d.text_hash") == F.col("r.text_hash")) & F.col("d.id").eqNullSafe(F.col("r.id")), "left").select("row", F.col("row")[text_col].alias("text"), "runs")
     pieces = F.transform("runs", lambda r: F.concat(F.substring("text", r["last"] + 1, r["start"] - r["last"]), r["mark"]))
     tail = F.substring("text", F.element_at("runs", -1)["end"] + 1, F.length("text"))
     rows = rows.withColumn("clean", F.when(F.col("runs").isNotNull(), F.concat(F.array_join(pieces, ""), tail)))
