@@ -110,8 +110,10 @@ def test_patch_refuses_conflicts(spark):
 
 def test_paired_refuses_other_keys(spark):
     a = spark.createDataFrame([(1, 5)], "k int, v int")
-    with pytest.raises(ValueError):
-        joins.paired(a, spark.createDataFrame([(2, 5)], "k int, w int"), ["k"])
+    for other in ([(2, 5)], [(1, 5), (1, 6)], []):
+        with pytest.raises(Exception, match="don't have the same keys"):
+            joins.paired(a, spark.createDataFrame(other, "k int, w int"), ["k"]).collect()
+    assert joins.paired(a, spark.createDataFrame([(1, 7)], "k int, w int"), ["k"]).collect() == [(1, 5, 7)]
 
 
 def test_ridge_matches_the_closed_form(spark):

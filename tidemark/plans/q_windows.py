@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import micros
 from ..operators import windows as W
 from .q_joins import HOUR, events
 from .registry import query
@@ -168,11 +167,15 @@ def w30_top_per_group(t):
     return best_per_group(t.events, ["user_id"], [F.desc("value"), F.asc("event_id")], 5).select("user_id", "event_id", "value")
 
 
-@query("""WITH o AS (SELECT o_custkey, o_orderkey, avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS a5,
-avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a FROM orders)
-SELECT o_orderkey, round(coalesce(a5 - a, 0), 8) AS form FROM o""")
+@query("""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+f AS (SELECT o_custkey, o_orderkey, n, CAST(100000.0 AS DOUBLE) AS before, greatest(0.05, 2.0 / 3) * o_totalprice + (1 - greatest(0.05, 2.0 / 3)) * 100000.0 AS level FROM o WHERE n = 1
+UNION ALL SELECT o.o_custkey, o.o_orderkey, o.n, f.level, greatest(0.05, 2.0 / (o.n + 2)) * o.o_totalprice + (1 - greatest(0.05, 2.0 / (o.n + 2))) * f.level FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.n = f.n + 1),
+a AS (SELECT o_orderkey, avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY n ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS a5 FROM o)
+SELECT o_orderkey, round(coalesce(a5 - before, 0), 4) AS form FROM f JOIN a USING (o_orderkey)""")
 def w32_form(t):
-    w = W.sequence_of(["o_custkey"], ["us", "o_orderkey"])
-    p = F.col("o_totalprice")
-    rows = t.orders.withColumn("us", micros(F.col("o_orderdate")))
-    return rows.select("o_orderkey", F.round(F.coalesce(F.avg(p).over(w.rowsBetween(-5, -1)) - F.avg(p).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), 8).alias("form"))
+    """Mean of the customer's last five prices less the adaptive average, both before the order."""
+    rows = t.orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    w = W.sequence_of(["o_custkey"], ["o_orderdate", "o_orderkey"])
+    rows = rows.withColumn("recent", F.avg("o_totalprice").over(w.rowsBetween(-5, -1)))
+    out = W.with_ewma(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", "ewma", 100000.0)
+    return out.select("o_orderkey", F.round(F.coalesce(F.col("recent") - F.col("ewma"), F.lit(0.0)), 4).alias("form"))
