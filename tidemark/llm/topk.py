@@ -4,7 +4,7 @@ Vectors are ordered by the nearest of a bounded set of pivots and packed into bl
 its forward index (a matrix) and the largest and smallest value of each term (dimension); ranges
 are runs of blocks with extremes of their own. A query's bound on a block is the sum over terms
 of its value times the block's extreme. In rounds, batches of neighbouring queries visit ranges in
-descending order of bound, one in the first round and twice as many in each further one; in each
+descending order of bound, one in the first round and GROWTH times as many in each further one; in each
 range every query takes the blocks in its own order, until the next bound is below its kth score.
 Rounds go on until no range is left whose bound reaches the kth score of a query. No pair of vectors is ever a row.
 """
@@ -24,6 +24,9 @@ from .common import shared, staged, unshared
 BLOCK, RANGE, QUERY_BATCH = 256, 64, 64
 #: Vectors that others are ordered around, and ranges whose extremes travel together.
 PIVOTS, SUMMARIES = 256, 256
+#: How many times the ranges of the last round a batch visits in the next: rounds cost jobs,
+#: ranges whose bounds would have fallen in between cost a visit in which their blocks are skipped.
+GROWTH = 4
 #: Parts that the batches which visit a range are dealt in.
 SALTS = 16
 _HITS = "dim int, query long, id long, score long, blocks long"
@@ -278,7 +281,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         if done is not None:
             left = left.join(done.hint("merge"), ["dim", "batch", "range"], "left_anti")
         order = Window.partitionBy("dim", "batch").orderBy(F.desc("most"), "range")
-        now = staged(left.withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2**round_).select("dim", "batch", "range"))
+        now = staged(left.withColumn("n", F.row_number().over(order)).where(F.col("n") <= GROWTH**round_).select("dim", "batch", "range"))
         if now.isEmpty():
             break
         more = staged(_visit(now, asked, ranges, floors, k))
