@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters over whole tables."""
+"""The registered queries of the operators, with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, langid, mixing, oracles, pieces, quality, repeats, secrets, sharding, topk
+from . import fingerprints, infill, jaccard, langid, mixing, oracles, pieces, quality, repeats, secrets, sharding, topk
 from .common import table
 
 #: The vocabulary file; a parameter of the operator.
@@ -74,6 +74,12 @@ def op10_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_pieces, op3_lz_fingerprints, op4_mix_sources, op5_jaccard_components, op6_quality, op7_jump_shards, op8_repeats, op9_secret_scan, op10_block_top_k)}
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text in its form: where it is cut, and digests of the output and of the text rebuilt from it."""
+    rows = infill.fill_in_middle(table(spark, sf_dir, "documents")).withColumn("restored", infill.restored(F.col("output"), F.col("form")))
+    return rows.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_pieces, op3_lz_fingerprints, op4_mix_sources, op5_jaccard_components, op6_quality, op7_jump_shards, op8_repeats, op9_secret_scan, op10_block_top_k, op12_fill_in_middle)}
 #: The others hash, learn or search in ways that SQL can't say; tests hold them against brute force.
-ORACLE_SQL: dict = {"op4_mix_sources": oracles.OP4, "op5_jaccard_components": oracles.OP5, "op7_jump_shards": oracles.OP7, "op10_block_top_k": oracles.OP10}
+ORACLE_SQL: dict = {"op4_mix_sources": oracles.OP4, "op5_jaccard_components": oracles.OP5, "op7_jump_shards": oracles.OP7, "op10_block_top_k": oracles.OP10, "op12_fill_in_middle": oracles.OP12}
