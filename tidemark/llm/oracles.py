@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import licenses
 from .mixing import BLOCK_TOKENS
 
 _GOLDEN = 0.6180339887498949
@@ -51,3 +52,22 @@ f AS (SELECT *, least(a, b) AS i, greatest(a, b) - least(a, b) AS m, CASE WHEN n
 p AS (SELECT *, substring(t, 1, i) AS pre, substring(t, i + 1, m) AS mid, substring(t, i + m + 1) AS suf FROM f)
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN m END AS middle_chars,
 sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_TEMPLATES = ", ".join(f"('{label}', {_list(sorted(set(t.split())))}, {licenses.width(len(t.split()))}, {licenses.needed(len(set(t.split())))})" for label, t in licenses.TEMPLATES)
+_PHRASES = " UNION ALL ".join(
+    f"SELECT n, '{label}' AS label, unnest(list_filter(range(1, len(w) + 1), lambda i: {' AND '.join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split()))})) - 1 AS place FROM d" for p, label in licenses.PHRASES.items()
+)
+OP13 = f"""WITH d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.WORD}') AS w FROM documents),
+b AS ({_PHRASES}),
+t AS (SELECT * FROM (VALUES {_TEMPLATES}) AS v(label, words, width, need)),
+k AS (SELECT n, w, width, unnest(range(0, CAST(ceil(len(w) / width) AS BIGINT))) AS k FROM d, (SELECT DISTINCT width FROM t)),
+s AS (SELECT n, width, list_distinct(w[k * width + 1:k * width + 2 * width]) AS w FROM k),
+m AS (SELECT n, label, len(list_intersect(w, words)) / len(words) AS contained FROM s JOIN t USING (width) WHERE len(list_intersect(w, words)) >= need),
+f AS (SELECT n, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT n, label FROM b UNION SELECT n, label FROM m) GROUP BY n)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(own, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN c > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score
+FROM d LEFT JOIN (SELECT n, count(*) AS c, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS own FROM b GROUP BY n) USING (n) LEFT JOIN (SELECT n, max(contained) AS best FROM m GROUP BY n) USING (n) LEFT JOIN f USING (n)"""

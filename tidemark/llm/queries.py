@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, infill, jaccard, langid, mixing, oracles, pieces, quality, repeats, secrets, sharding, topk
+from . import fingerprints, infill, jaccard, langid, licenses, mixing, oracles, pieces, quality, repeats, secrets, sharding, topk
 from .common import table
 
 #: The vocabulary file; a parameter of the operator.
@@ -80,6 +80,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_pieces, op3_lz_fingerprints, op4_mix_sources, op5_jaccard_components, op6_quality, op7_jump_shards, op8_repeats, op9_secret_scan, op10_block_top_k, op12_fill_in_middle)}
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and blocks that meet a license template, in every whole text."""
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_pieces, op3_lz_fingerprints, op4_mix_sources, op5_jaccard_components, op6_quality, op7_jump_shards, op8_repeats, op9_secret_scan, op10_block_top_k, op12_fill_in_middle, op13_license_scan)}
 #: The others hash, learn or search in ways that SQL can't say; tests hold them against brute force.
-ORACLE_SQL: dict = {"op4_mix_sources": oracles.OP4, "op5_jaccard_components": oracles.OP5, "op7_jump_shards": oracles.OP7, "op10_block_top_k": oracles.OP10, "op12_fill_in_middle": oracles.OP12}
+ORACLE_SQL: dict = {"op4_mix_sources": oracles.OP4, "op5_jaccard_components": oracles.OP5, "op7_jump_shards": oracles.OP7, "op10_block_top_k": oracles.OP10, "op12_fill_in_middle": oracles.OP12, "op13_license_scan": oracles.OP13}
