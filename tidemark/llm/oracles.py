@@ -46,6 +46,28 @@ c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a),
 m AS (SELECT a, min(b) AS least FROM c GROUP BY a)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(least(doc_id, least), doc_id) AS component_id FROM s LEFT JOIN m ON a = doc_id"""
 
+_PART = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_PART.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+#: CRC-32 of the decimal doc_id, byte by byte.
+_CRC = """c0 AS (SELECT i AS b, CAST(i AS UBIGINT) AS v, 0 AS n FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, CAST(3988292384 AS UBIGINT)) ELSE v >> 1 END, n + 1 FROM c0 WHERE n < 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM c0 WHERE n = 8)"""
+_TREE = """{name} AS (SELECT g, 0 AS level, pos, digest, n FROM {of} UNION ALL SELECT g, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY g, level, pos // 3, n)"""
+_SIDES = """SELECT a.g, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+FROM {tree} a JOIN {tree} b ON a.g = b.g AND a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL"""
+OP11 = f"""WITH RECURSIVE {_CRC},
+d AS (SELECT *, CASE WHEN xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda x: CAST(('0x' || x) AS UBIGINT))), lambda a, b: xor(a >> 8, t[CAST(xor(a & 255, b) AS BIGINT) + 1])), CAST(4294967295 AS UBIGINT)) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM documents, crc),
+l AS (SELECT doc_id, coalesce('s' || source, '') AS g, {_LEAF.format(text="text")} AS digest, {_LEAF.format(text="other")} AS other FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, digest, other) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n, row_number() OVER () AS row FROM l),
+{_TREE.format(name="t", of="p")},
+s AS (SELECT '' AS g, g AS source, digest, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+{_TREE.format(name="u", of="s")},
+a AS ({_SIDES.format(tree="t")}), b AS ({_SIDES.format(tree="u")}),
+w AS (SELECT row, g, 0 AS level, pos, '' AS proof, other AS digest FROM p UNION ALL SELECT row, w.g, w.level + 1, w.pos // 3, proof || l || r, sha256(l || digest || r) FROM w JOIN a ON w.g = a.g AND w.level = a.level AND w.pos = a.pos),
+x AS (SELECT row, g, arg_max(proof, level) AS proof, arg_max(digest, level) AS digest FROM w GROUP BY row, g),
+y AS (SELECT row, 0 AS level, s.pos, proof, x.digest FROM x JOIN s ON s.source = x.g UNION ALL SELECT row, y.level + 1, y.pos // 3, proof || l || r, sha256(l || digest || r) FROM y JOIN b ON y.level = b.level AND y.pos = b.pos),
+z AS (SELECT row, arg_max(proof, level) AS proof, arg_max(digest, level) AS folded FROM y GROUP BY row)
+SELECT doc_id, p.digest AS leaf, s.digest AS subroot, u.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = u.digest AS verified FROM p JOIN s ON s.source = p.g JOIN z USING (row) JOIN u ON u.n = 1"""
+
 OP12 = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 x AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS b, CAST('0x' || h[17:24] AS BIGINT) % 100 AS c, CAST('0x' || h[25:32] AS BIGINT) % 100 AS e FROM d),
 f AS (SELECT *, least(a, b) AS i, greatest(a, b) - least(a, b) AS m, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain' WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form FROM x),

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, infill, jaccard, langid, licenses, mixing, oracles, pieces, quality, repeats, secrets, sharding, topk
+from . import fingerprints, infill, jaccard, langid, licenses, manifest, mixing, oracles, pieces, quality, repeats, secrets, sharding, topk
 from .common import table
 
 #: The vocabulary file; a parameter of the operator.
@@ -74,6 +74,14 @@ def op10_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a leaf, its proof, and the root of its version after tampering with every other document's line ends."""
+    number = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    other = F.when(number, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = manifest.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], tampered={"text": other})
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text in its form: where it is cut, and digests of the output and of the text rebuilt from it."""
     rows = infill.fill_in_middle(table(spark, sf_dir, "documents")).withColumn("restored", infill.restored(F.col("output"), F.col("form")))
@@ -85,6 +93,6 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_pieces, op3_lz_fingerprints, op4_mix_sources, op5_jaccard_components, op6_quality, op7_jump_shards, op8_repeats, op9_secret_scan, op10_block_top_k, op12_fill_in_middle, op13_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_pieces, op3_lz_fingerprints, op4_mix_sources, op5_jaccard_components, op6_quality, op7_jump_shards, op8_repeats, op9_secret_scan, op10_block_top_k, op11_merkle_manifest, op12_fill_in_middle, op13_license_scan)}
 #: The others hash, learn or search in ways that SQL can't say; tests hold them against brute force.
-ORACLE_SQL: dict = {"op4_mix_sources": oracles.OP4, "op5_jaccard_components": oracles.OP5, "op7_jump_shards": oracles.OP7, "op10_block_top_k": oracles.OP10, "op12_fill_in_middle": oracles.OP12, "op13_license_scan": oracles.OP13}
+ORACLE_SQL: dict = {"op4_mix_sources": oracles.OP4, "op5_jaccard_components": oracles.OP5, "op7_jump_shards": oracles.OP7, "op10_block_top_k": oracles.OP10, "op11_merkle_manifest": oracles.OP11, "op12_fill_in_middle": oracles.OP12, "op13_license_scan": oracles.OP13}
