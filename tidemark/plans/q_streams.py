@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import sequences
-from ..streaming import stream
+from ..streaming import machines, stream
 from .q_joins import HOUR, events
 from .registry import query
 
@@ -15,9 +15,15 @@ from .registry import query
 LATE = 24 * HOUR
 
 
-def _stream(t):
+def _stream(t, closing=None):
     """The event log as a stream of four batches in order of time."""
-    return stream.sliced_stream(t.events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("ts")), "us")
+    return stream.sliced_stream(t.events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("ts")), "us", closing=closing)
+
+
+def _keyed(t, machine, columns, out, more=None):
+    """What a machine per user gives for the event log; the closing row lets the last day's rows go."""
+    rows = _stream(t, LATE + HOUR).withColumns(more or {})
+    return stream.drained(stream.keyed(rows, "user_id", machine, columns, ["us", "event_id"], out, LATE))
 
 
 @query("""SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS start, count(*) AS n, round(sum(value), 6) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY ALL""")
@@ -39,9 +45,8 @@ WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 2159999999
 @query(_SNAP)
 def st02_rolling(t):
     """Features of the last six hours of each user's ticks, by keyed state."""
-    step, start = stream.rolling_snapshot(6 * HOUR)
-    out = stream.keyed(_stream(t), "user_id", step, start, ["event_id", "us", "value"], ["us", "event_id"], "event_id long, n long, total double, velocity double", LATE)
-    return stream.drained(out).select("event_id", "n", F.round("total", 6).alias("total"), F.round("velocity", 6).alias("velocity"))
+    out = _keyed(t, machines.rolling_snapshot(6 * HOUR), ["event_id", "us", "value"], "event_id long, n long, total double, velocity double")
+    return out.select("event_id", "n", F.round("total", 6).alias("total"), F.round("velocity", 6).alias("velocity"))
 
 
 _FEATURES = ("bid", "ask", "spread", "last", "interest", "volume", "ms_since_trade", "interest_change", "d_bid", "d_spread", "velocity", "acceleration", "off_last")
@@ -50,11 +55,9 @@ _FEATURES = ("bid", "ask", "spread", "last", "interest", "volume", "ms_since_tra
 @query()
 def st02_st03_snapshot(t):
     """Views ask for the market's 13 features and whether it has data; all other events are its ticks."""
-    step, start = stream.market_snapshot(48 * HOUR, 24 * HOUR, 12 * HOUR, 24 * HOUR)
-    rows = _stream(t).withColumns({"asks": F.col("event_type") == "view", "bid": F.floor("value"), "ask": F.floor("value") + F.col("event_id") % 4, "last": F.floor("value") + 1, "volume": F.floor(F.col("event_id") / 3), "interest": F.col("event_id") % 100})
+    more = {"asks": F.col("event_type") == "view", "bid": F.floor("value"), "ask": F.floor("value") + F.col("event_id") % 4, "last": F.floor("value") + 1, "volume": F.floor(F.col("event_id") / 3), "interest": F.col("event_id") % 100}
     takes = ["event_id", "us", "asks", "bid", "ask", "last", "volume", "interest"]
-    out = stream.keyed(rows, "user_id", step, start, takes, ["us", "event_id"], "event_id long, has_data boolean, " + ", ".join(f"{f} double" for f in _FEATURES), LATE)
-    return stream.drained(out)
+    return _keyed(t, machines.market_snapshot(48 * HOUR, 24 * HOUR, 12 * HOUR, 24 * HOUR), takes, "event_id long, has_data boolean, " + ", ".join(f"{f} double" for f in _FEATURES), more)
 
 
 _RUN = f"""WITH e AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'home' ELSE 'away' END AS side, CASE WHEN event_type IN ('purchase', 'signup') THEN round(value) ELSE 0 END AS points FROM events),
@@ -71,18 +74,16 @@ WINDOW b AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED P
 @query(_RUN)
 def st04_possession_state(t):
     """The state before each row by a stream's keyed state: run, points of the last five, rows elapsed, rows since an error."""
-    step, start = stream.possession_state("error")
-    rows = _stream(t).withColumns({"side": F.when(F.col("event_id") % 2 == 0, "home").otherwise("away"), "points": F.when(F.col("event_type").isin("purchase", "signup"), F.round("value")).otherwise(0.0)})
-    return stream.drained(stream.keyed(rows, "user_id", step, start, ["event_id", "side", "points", "event_type"], ["us", "event_id"], "event_id long, run_side string, run_length long, run_points double, home_5 double, away_5 double, elapsed long, since_timeout long", LATE))
+    more = {"side": F.when(F.col("event_id") % 2 == 0, "home").otherwise("away"), "points": F.when(F.col("event_type").isin("purchase", "signup"), F.round("value")).otherwise(0.0)}
+    return _keyed(t, machines.possession_state("error"), ["event_id", "side", "points", "event_type"], "event_id long, run_side string, run_length long, run_points double, home_5 double, away_5 double, elapsed long, since_timeout long", more)
 
 
 @query()
 def st05_l18_break_fade(t):
     """Enter, exit or wait at each tick; hours since the start of the month play the match's minutes."""
-    step, start = stream.break_fade((48.0, 240.0, 480.0), 72.0, 96.0, 10.0, 48.0)
-    rows = _stream(t).withColumn("minute", (F.col("us") - F.unix_micros(F.date_trunc("month", "ts"))) / float(HOUR))
-    out = stream.keyed(rows, "user_id", step, start, ["event_id", "minute", "value"], ["us", "event_id"], "event_id long, action string, side string, drift double", LATE)
-    return stream.drained(out).withColumn("drift", F.round("drift", 6))
+    more = {"minute": (F.col("us") - F.unix_micros(F.date_trunc("month", "ts"))) / float(HOUR)}
+    out = _keyed(t, machines.break_fade((48.0, 240.0, 480.0), 72.0, 96.0, 10.0, 48.0), ["event_id", "minute", "value"], "event_id long, action string, side string, drift double", more)
+    return out.withColumn("drift", F.round("drift", 6))
 
 
 @query("""WITH RECURSIVE r AS (SELECT user_id, event_id, event_type, value, CASE WHEN value > 90 THEN 'signup' ELSE 'view' END AS best, event_id % 3 = 0 AS open, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -90,10 +91,8 @@ f AS (SELECT user_id, event_id, n, event_type AS market, 'start' AS decision FRO
 SELECT d.user_id, d.event_id, d.n, CASE WHEN d.decision = 'swap' THEN d.best ELSE d.market END, d.decision FROM (SELECT r.*, f.market, CASE WHEN r.event_type <> f.market OR r.value BETWEEN 20 AND 80 THEN 'stay' WHEN r.best = f.market THEN 'best_is_current' WHEN r.open THEN 'swap_deferred_open' ELSE 'swap' END AS decision
 FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1) d) SELECT event_id, decision, market FROM f""")
 def st08_swap(t):
-    step, start = stream.swap_with_hysteresis()
-    rows = _stream(t).withColumn("best", F.when(F.col("value") > 90, F.lit("signup")).otherwise(F.lit("view"))).withColumn("open", F.col("event_id") % 3 == 0)
-    out = stream.keyed(rows, "user_id", step, start, ["event_id", "event_type", "value", "best", "open"], ["us", "event_id"], "event_id long, decision string, market string", LATE)
-    return stream.drained(out)
+    more = {"best": F.when(F.col("value") > 90, F.lit("signup")).otherwise(F.lit("view")), "open": F.col("event_id") % 3 == 0}
+    return _keyed(t, machines.swap_with_hysteresis(), ["event_id", "event_type", "value", "best", "open"], "event_id long, decision string, market string", more)
 
 
 @query("SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 6) AS mean FROM events GROUP BY 1")
@@ -116,9 +115,7 @@ _LAST = ", ".join(f"last_value(CASE WHEN event_type = '{k}' THEN value END IGNOR
 SELECT event_id, coalesce(gone >= {48 * HOUR} AND {" AND ".join(f"({k} <= 40 OR {k} >= 60)" for k in _KINDS)}, false) AS settled FROM l""")
 def st06_settled(t):
     """Whether all of a user's markets have settled, after each tick and two days at least."""
-    step, start = stream.settlement(40.0, 60.0, 48 * HOUR, len(_KINDS))
-    out = stream.keyed(_stream(t), "user_id", step, start, ["event_id", "us", "event_type", "value"], ["us", "event_id"], "event_id long, settled boolean", LATE)
-    return stream.drained(out)
+    return _keyed(t, machines.settlement(40.0, 60.0, 48 * HOUR, len(_KINDS)), ["event_id", "us", "event_type", "value"], "event_id long, settled boolean")
 
 
 _ACTIONS = """WITH a AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 'made' WHEN 'click' THEN 'miss' WHEN 'view' THEN 'rebound' WHEN 'error' THEN 'turnover' ELSE 'foul' END AS kind, event_id % 2 AS side, value FROM events),

@@ -1,21 +1,22 @@
-"""The same logic over streams: sources, windowed aggregates and keyed state."""
+"""Streams: sources, windowed aggregates, and state machines on Spark's own keyed state."""
 
 from __future__ import annotations
 
-import json
 import math
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+import warnings
+from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import DoubleType, FloatType, StructType
 
-from ..operators.folds import same
+from .machines import Machine
+
+#: A source's last row, which has a time only and ends the waiting of all before it.
+CLOSING = "_closing"
 
 
 def file_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
@@ -26,18 +27,33 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> Da
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def sliced_stream(rows: DataFrame, time: str, slices: int = 4) -> DataFrame:
-    """A table as a stream of `slices` batches in order of time (a number), for replays: each slice is
-    written after the one before, and a micro-batch takes one file."""
+def sliced_stream(rows: DataFrame, time: str, slices: int = 4, files: int = 4, closing: int | None = None) -> DataFrame:
+    """A table as a stream of `slices` batches in order of time (a number), for replays. The table is
+    read once and dealt to slices; then each slice is written in `files` files after the one before,
+    and a micro-batch takes one slice. With `closing` the stream has one row more, which is so much
+    later than all others, has nothing but its time, and is marked in the column _closing."""
     spark = rows.sparkSession
     at = f"{scratch(spark)}/slices-{uuid.uuid4().hex}"
     low, high = rows.agg(F.min(time), F.max(time)).first()
     width = max(1, -(-(high - low + 1) // slices)) if low is not None else 1
-    for k in range(slices):
-        first = F.lit((low or 0) + k * width)
-        inside = (F.col(time) >= first) & (F.col(time) < first + width)
-        rows.where(inside | F.col(time).isNull() if k == 0 else inside).coalesce(1).write.parquet(f"{at}/{k}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/*")
+    if closing is not None:
+        rows = rows.withColumn(CLOSING, F.lit(False))
+    schema = rows.schema
+    place = F.coalesce(F.floor((F.col(time) - F.lit(low or 0)) / width), F.lit(0)).cast("int")
+    rows.withColumn("_slice", place).repartition(files * slices, "_slice", F.pmod(F.xxhash64(time), F.lit(files))).write.partitionBy("_slice").parquet(f"{at}/dealt")
+    dealt = spark.read.schema(StructType([*schema.fields]).add("_slice", "integer")).parquet(f"{at}/dealt")
+    parts = [dealt.where(F.col("_slice") == k).drop("_slice").repartition(files) for k in range(slices)]
+    if closing is not None:
+        last = F.lit((high or 0) + closing)
+        row = spark.range(1).select(*[(last if f.name == time else F.lit(True) if f.name == CLOSING else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+        parts.append(row)
+    empty = spark.createDataFrame([], schema).coalesce(1)
+    for k, part in enumerate(parts):
+        part.write.parquet(f"{at}/in/{k}/rows")
+        # a micro-batch takes so many files, so every slice has as many
+        for j in range(files - len(spark.read.schema(schema).parquet(f"{at}/in/{k}/rows").inputFiles())):
+            empty.write.parquet(f"{at}/in/{k}/none-{j}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{at}/in/*/*")
 
 
 def scratch(spark: SparkSession) -> str:
@@ -52,14 +68,19 @@ def scratch(spark: SparkSession) -> str:
     return f"{path}/tidemark-{spark.sparkContext.applicationId}"
 
 
-def drained(stream: DataFrame | Keyed, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
-    """What the stream gives for all that is there now. update mode: the last row of each key;
-    complete mode: the last batch. Batches go to the shared folder, one folder each, so a batch
-    that is run again replaces itself."""
-    if isinstance(stream, Keyed):
-        return stream.drained()
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark, which Spark leaves out of states and windows."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def drained(stream: DataFrame, mode: str = "append", keys: list[str] | None = None, at: str | None = None) -> DataFrame:
+    """What the stream has given once all that is there now has been taken. update mode: the last row of each
+    key; complete mode: the last batch. The checkpoint and the output lie in the folder `at`: a later
+    call with the same folder and stream goes on where the last one stopped or was killed, and
+    gives the rows of both. Batches go to one folder each, so one that is run again replaces
+    itself. Rows behind the watermark are left out with a warning that counts them."""
     spark = stream.sparkSession
-    at = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    at = at or f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, n: int) -> None:
         batch.withColumn("_batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{at}/out/{n}")
@@ -67,6 +88,8 @@ def drained(stream: DataFrame | Keyed, mode: str = "append", keys: list[str] | N
     schema = stream.schema
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    if late := late_rows(query):
+        warnings.warn(f"{late} rows came behind the watermark and were left out", stacklevel=2)
     empty = spark.createDataFrame([], schema).withColumn("_batch", F.lit(0).cast("long"))
     try:
         rows = spark.read.schema(empty.schema).parquet(f"{at}/out/*")
@@ -101,255 +124,103 @@ def enriched(stream: DataFrame, static: DataFrame, on: list[str]) -> DataFrame:
     return stream.join(static, on, "left")
 
 
-@dataclass
-class Keyed:
-    """A state machine per key over a stream; see keyed."""
-
-    stream: DataFrame
-    by: str
-    step: Callable[[dict, tuple], list[tuple]]
-    start: Callable[[], dict]
-    columns: list[str]
-    order: list[str]
-    out: str
-    late: int
-
-    def fold(self, rows: DataFrame, states: DataFrame | None) -> DataFrame:
-        """The rows that step gives, and with _key and _state each key's state after them. Spark
-        sorts; a worker holds one Arrow batch and one key's state."""
-        order = [f"_o{i}" for i in range(len(self.order))]
-        values = [f"_c{i}" for i in range(len(self.columns))]
-        taken = rows.select(F.col(self.by).alias("_key"), F.lit(1).alias("_kind"), *[F.col(c).alias(o) for c, o in zip(self.order, order)], *[F.col(c).alias(v) for c, v in zip(self.columns, values)], F.lit(None).cast("string").alias("_state"))
-        if states is not None:
-            taken = taken.unionByName(states.select("_key", F.lit(0).alias("_kind"), "_state"), allowMissingColumns=True)
-        dealt = taken.repartition("_key").sortWithinPartitions("_key", "_kind", *[F.col(o).asc_nulls_last() for o in order])
-        given = StructType.fromDDL(self.out)
-        schema = StructType([*given.fields, StructField("_key", taken.schema["_key"].dataType), StructField("_state", StringType())])
-        step, start = self.step, self.start
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kinds = [to_arrow_type(f.dataType) for f in schema]
-            none = (None,) * len(given)
-
-            def made(out: list[tuple]) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=schema.names)
-
-            key = at = None
-            for batch in batches:
-                lists = {}
-                for c, x in zip(batch.schema.names, batch.columns):
-                    lists[c] = [math.nan if v is None else v for v in x.to_pylist()] if c in values and pa.types.is_floating(x.type) else x.to_pylist()
-                out = []
-                for now, kind, held, row in zip(zip(lists["_key"]), lists["_kind"], lists["_state"], zip(*[lists[v] for v in values])):
-                    if key is None or not same(key, now):
-                        if key is not None:
-                            out.append((*none, *key, json.dumps(at)))
-                        key, at = now, start()
-                    if kind == 0:
-                        at = json.loads(held)
-                    else:
-                        out += [(*r, None, None) for r in step(at, row)]
-                yield made(out)
-            if key is not None:
-                yield made([(*none, *key, json.dumps(at))])
-
-        return dealt.mapInArrow(run, schema)
-
-    def drained(self) -> DataFrame:
-        """What the machines give for all that is there now. Rows wait as files until the watermark
-        has passed them, then step in order; at the end of the stream those that still wait follow."""
-        spark, time = self.stream.sparkSession, self.order[0]
-        at = f"{scratch(spark)}/keyed-{uuid.uuid4().hex}"
-        needed = self.stream.select(*dict.fromkeys([self.by, *self.order, *self.columns]))
-        marks: dict[int, int | None] = {}  # the watermark after each batch
-        least: dict[int, int] = {}
-        steps: list[int] = []
-
-        def advance(n: int, low: int | None, high: int | None) -> None:
-            """Steps through the rows with times in (low, high]; no bound on a side: all there."""
-            rows = spark.read.schema(needed.schema).parquet(f"{at}/rows/*")
-            if low is not None:
-                rows = rows.where((F.col(time) > low) | F.col(time).isNull())
-            if high is not None:
-                rows = rows.where(F.col(time) <= high)
-            before = [x for x in steps if x < n]
-            states = spark.read.parquet(f"{at}/steps/_batch={before[-1]}").where("_last = 1").select("_key", "_state") if before else None
-            self.fold(rows, states).withColumn("_last", F.col("_state").isNotNull().cast("int")).write.mode("overwrite").partitionBy("_last").parquet(f"{at}/steps/_batch={n}")
-            steps[:] = [*before, n]
-
-        def write(batch: DataFrame, n: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{at}/rows/{n}")
-            low = marks.get(n - 1)
-            landed = spark.read.schema(needed.schema).parquet(f"{at}/rows/{n}")
-            first, last = landed.agg(F.min(time), F.max(time)).first()
-            if first is None:
-                marks[n] = low
-                return
-            if low is not None and first <= low:
-                raise ValueError(f"rows of {time} {first} came after the watermark {low}: late={self.late} is too small for this stream")
-            least[n] = first
-            high = marks[n] = last - self.late if low is None else max(low, last - self.late)
-            if high != low and min(least.values()) <= high:
-                advance(n, low, high)
-
-        query = needed.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-        query.awaitTermination()
-        if not marks:
-            return spark.createDataFrame([], StructType.fromDDL(self.out))
-        advance(max(marks) + 1, marks[max(marks)], None)
-        given = StructType.fromDDL(self.out)
-        rows = spark.read.schema(StructType([*given.fields, StructField("_last", IntegerType())])).parquet(f"{at}/steps")
-        return rows.where("_last = 0").select(*given.names)
-
-
-def keyed(stream: DataFrame, by: str, step: Callable[[dict, tuple], list[tuple]], start: Callable[[], dict], columns: list[str], order: list[str], out: str, late: int) -> Keyed:
-    """A state machine per key, for drained: step(state, row) changes the state and gives output
-    rows; the state is kept as JSON text. Rows are taken in event-time order (order[0], a number)
-    over all batches: each waits until a time `late` greater has come. One that comes later
-    still is an error, as its place has been passed; it is never left out."""
-    return Keyed(stream, by, step, start, columns, order, out, late)
-
-
-def rolling_snapshot(width: int):
-    """Steps for keyed: rows (id, time, price) to (id, n, total, velocity) over (t - width, t],
-    with times older than the window evicted. The sum is carried, and taken anew whenever half
-    of the list has been evicted."""
-
-    def step(state, row):
-        i, t, price = row
-        ticks, head = state["ticks"], state["head"]
-        ticks.append((int(t), float(price)))
-        total = state["total"] + float(price)
-        while ticks[head][0] <= t - width:
-            total -= ticks[head][1]
-            head += 1
-        if 2 * head > len(ticks) or total != total:
-            del ticks[:head]
-            head, total = 0, sum(p for _, p in ticks)
-        state["head"], state["total"] = head, total
-        return [(int(i), len(ticks) - head, total, float(price) - ticks[head][1])]
-
-    return step, lambda: {"ticks": [], "head": 0, "total": 0.0}
-
-
-def break_fade(breaks: tuple[float, ...], window: float, lookback: float, drift: float, hold: float):
-    """Steps for keyed: rows (id, minute, price) to (id, action, side, drift). In the `window` minutes
-    from a break on, the price's change over the last `lookback` minutes (half of them at least must
-    be covered, else the break stays open) is judged once: beyond `drift` a position against it is
-    entered, which leaves after `hold` minutes. Prices are kept for twice the lookback."""
-
-    def step(state, row):
-        i, minute, price = int(row[0]), float(row[1]), float(row[2])
-        snaps = state["snaps"] = [x for x in (*state["snaps"], [minute, price]) if x[0] >= minute - 2 * lookback]
-        if state["open"] is not None:
-            since, side = state["open"]
-            if minute - since < hold:
-                return [(i, "WAIT", side, None)]
-            state["open"] = None
-            return [(i, "EXIT", side, None)]
-        at = next((b for b in breaks if b not in state["fired"] and b <= minute < b + window), None)
-        base = next((x for x in snaps if x[0] >= minute - lookback), None)
-        if at is None or len(snaps) < 2 or base is None or minute - base[0] < lookback / 2:
-            return [(i, "WAIT", None, None)]
-        state["fired"].append(at)
-        moved = price - base[1]
-        if abs(moved) < drift:
-            return [(i, "WAIT", None, moved)]
-        side = "NO" if moved > 0 else "YES"
-        state["open"] = [minute, side]
-        return [(i, "ENTER", side, moved)]
-
-    return step, lambda: {"snaps": [], "fired": [], "open": None}
-
-
-def swap_with_hysteresis(low: float = 20, high: float = 80):
-    """Steps for keyed: rows (id, market, price, best, open) to (id, decision, market). The current
-    market stays until its price leaves [low, high], then the best candidate follows; while a
-    position is open the swap waits (swap_deferred_open)."""
-
-    def step(state, row):
-        i, market, price, best, held = row
-        current = state["market"]
-        if current is None:
-            state["market"] = market
-            return [(int(i), "start", str(market))]
-        if str(market) != str(current) or low <= price <= high:
-            return [(int(i), "stay", str(current))]
-        if best is None or best != best:
-            return [(int(i), "no_candidates", str(current))]
-        if str(best) == str(current):
-            return [(int(i), "best_is_current", str(current))]
-        if held:
-            return [(int(i), "swap_deferred_open", str(current))]
-        state["market"] = best
-        return [(int(i), "swap", str(best))]
-
-    return step, lambda: {"market": None}
-
-
-def market_snapshot(width: int, stale: int, near: int, far: int, second: int = 1_000_000):
-    """Steps for keyed: rows (id, time, asks, bid, ask, last, volume, interest). A row without `asks` is a
-    tick; one with it is a request, which gives (id, has_data, 13 features): none if the last tick is
-    older than `stale`, else bid, ask, spread, last, interest, volume of the last `far`, milliseconds
-    since a tick that traded (999999: none), change of interest over `far`, changes of bid and spread
-    since the last request with data, speed of the bid over `near`, its change, and bid less last.
-    volume is a cumulative counter. Ticks older than `width` before the last one go. A value some time
-    ago is that of the tick nearest to then, of two equally near the earlier."""
-
-    def ago(ticks, now, back, column):
-        return min(ticks, key=lambda x: (abs(x[0] - (now - back)), x[0]))[column]
-
-    def step(state, row):
-        i, now, asks = int(row[0]), int(row[1]), row[2]
-        ticks = state["ticks"]
-        if not asks:
-            ticks.append([now, *(float(x) for x in row[3:])])
-            state["ticks"] = [x for x in ticks if x[0] >= now - width]
-            return []
-        if not ticks or now - ticks[-1][0] > stale:
-            return [(i, False, *[None] * 13)]
-        _, bid, ask, last, _, interest = ticks[-1]
-        grown = [(b[0], max(0.0, b[4] - a[4])) for a, b in zip(ticks, ticks[1:])]
-        traded = [t for t, n in grown if n > 0]
-        spread, speed = ask - bid, (bid - ago(ticks, now, near, 1)) / (near / second)
-        before = state["before"]
-        out = (bid, ask, spread, last, interest, sum(n for t, n in grown if t > now - far), (now - traded[-1]) / (second / 1000) if traded else 999999.0, interest - ago(ticks, now, far, 5), bid - before[0], spread - before[1], speed, speed - before[2], bid - last)
-        state["before"] = [bid, spread, speed]
-        return [(i, True, *out)]
-
-    return step, lambda: {"ticks": [], "before": [0.0, 0.0, 0.0]}
-
-
-def settlement(low: float, high: float, least: int, markets: int):
-    """Steps for keyed: rows (id, time, market, price) to (id, settled): whether `least` has gone by since
-    the first row, and each of the key's `markets` has a last price at most low or at least high."""
-
-    def step(state, row):
-        i, now, market, price = int(row[0]), int(row[1]), str(row[2]), float(row[3])
-        state["first"] = now if state["first"] is None else state["first"]
-        state["last"][market] = price
-        over = now - state["first"] >= least and len(state["last"]) == markets
-        return [(i, bool(over and all(p <= low or p >= high for p in state["last"].values())))]
-
-    return step, lambda: {"first": None, "last": {}}
-
-
-def possession_state(timeout: str = "timeout"):
-    """Steps for keyed: rows (id, side, points, kind) to the features before each row, then the row
-    advances the state: (id, run_side, run_length, run_points, home_5, away_5, elapsed, since_timeout).
-    The twin of with_streak, rolling and with_rows_since; rows without points leave a run as it is."""
-
-    def step(state, row):
-        i, side, points, kind = int(row[0]), row[1], float(row[2] or 0.0), row[3]
-        points = 0.0 if points != points else points
-        run, last = state["run"], state["last"]
-        out = (i, run[0], run[1], run[2], sum(p for s, p in last if s == "home"), sum(p for s, p in last if s == "away"), state["n"], 999 if state["since"] is None else state["n"] - state["since"])
-        if points > 0:
-            state["run"] = [side, run[1] + 1, run[2] + points] if run[0] == side else [side, 1, points]
-        state["last"] = [*last, [side, points]][-5:]
-        if kind == timeout:
-            state["since"] = state["n"]
-        state["n"] += 1
-        return [out]
-
-    return step, lambda: {"run": ["", 0, 0.0], "last": [], "n": 0, "since": None}
+class _Stepper(StatefulProcessor):
+    """Runs a machine for each key. Rows wait in list state; a timer at the earliest of them fires when
+    the watermark has passed it, and all rows behind the watermark step in order of time."""
+
+    def __init__(self, machine: Machine, row: StructType, order: int, out: list[str], ttl: int | None):
+        self.machine, self.row, self.order, self.out, self.ttl = machine, row, order, out, ttl
+        parsed = StructType.fromDDL  # here, as workers can't
+        self.due_type, self.values_type = parsed("at long"), parsed(machine.values) if machine.values else None
+        self.list_types = {n: parsed(ddl) for n, ddl in machine.lists.items()}
+        self.map_types = {n: (parsed(k), parsed(v)) for n, (k, v) in machine.maps.items()}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row)
+        self.due = handle.getValueState("due", self.due_type)
+        self.values = handle.getValueState("values", self.values_type, self.ttl) if self.values_type else None
+        self.lists = {n: handle.getListState(n, kind, self.ttl) for n, kind in self.list_types.items()}
+        self.maps = {n: handle.getMapState(n, k, v, self.ttl) for n, (k, v) in self.map_types.items()}
+        self.names = self.values_type.names if self.values_type else []
+        self.floats = [isinstance(f.dataType, DoubleType | FloatType) for f in self.row]
+
+    def wait(self, rows: list[tuple]) -> None:
+        """A timer at the earliest waiting row, in whole milliseconds not before it."""
+        first, due = min(r[0] for r in rows), self.due.get()
+        first = -(-first // 1000)
+        if due is None or first < due[0]:
+            if due is not None:
+                self.handle.deleteTimer(due[0])
+            self.handle.registerTimer(first)
+            self.due.update((first,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        names = self.row.names
+        came = [tuple(r[n] for n in names) for r in rows if not r[CLOSING]]
+        if came:
+            self.waiting.appendList(came)
+            self.wait(came)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = list(self.waiting.get())
+        ripe = sorted((r for r in rows if r[0] <= mark), key=lambda r: [(x is None, x) for x in r[: self.order]])
+        later = [r for r in rows if r[0] > mark]
+        self.due.clear()
+        state = self.load()
+        for r in ripe:
+            row = tuple(math.nan if x is None and f else x for x, f in zip(r[self.order :], self.floats[self.order :]))
+            for out in self.machine.step(state, row):
+                yield Row(**dict(zip(self.out, out)))
+        self.save(state)
+        if later:
+            self.waiting.put(later)
+            self.wait(later)
+        else:
+            self.waiting.clear()
+
+    def load(self) -> dict:
+        state = self.machine.start()
+        if self.values is not None and (held := self.values.get()) is not None:
+            state.update(zip(self.names, held))
+        for n, s in self.lists.items():
+            state[n] = [tuple(x) for x in s.get()]
+        for n, s in self.maps.items():
+            state[n] = {k[0]: v[0] for k, v in s.iterator()}
+        return state
+
+    def save(self, state: dict) -> None:
+        if self.values is not None:
+            self.values.update(tuple(state[n] for n in self.names))
+        for n, s in self.lists.items():
+            s.put(state[n]) if state[n] else s.clear()
+        for n, s in self.maps.items():
+            for k, v in state[n].items():
+                s.updateValue((k,), (v,))
+
+    def close(self) -> None:
+        pass
+
+
+def keyed(stream: DataFrame, by: str, machine: Machine, columns: list[str], order: list[str], out: str, late: int, ttl: int | None = None) -> DataFrame:
+    """A stream of what a machine per key gives. State, waiting rows and timers are Spark's: they lie
+    in its state store by key, go to its checkpoint with every batch and come back from it.
+
+    Rows step in event-time order (order[0], microseconds, then the rest of order) over all batches:
+    each waits until the watermark, `late` microseconds behind the latest row of the stream (whole
+    milliseconds), has passed it. One that comes later still is left out and counted (late_rows). Rows that wait when the
+    stream ends stay in the state until more come; sliced_stream's closing row lets them go. With ttl a
+    key's state goes if it isn't changed for so many milliseconds of processing time. Rows without
+    a time have no place in this order and are left out."""
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    names = [f"_o{i}" for i in range(len(order))], [f"_c{i}" for i in range(len(columns))]
+    mark = F.coalesce(F.col(CLOSING), F.lit(False)) if CLOSING in stream.columns else F.lit(False)
+    rows = stream.where(F.col(order[0]).isNotNull()).select(
+        F.col(by).alias("_key"), mark.alias(CLOSING), F.timestamp_micros(F.col(order[0])).alias("_at"), *[F.col(c).alias(n) for c, n in zip((*order, *columns), (*names[0], *names[1]))]
+    )
+    row = StructType([rows.schema[n] for n in (*names[0], *names[1])])
+    stepper = _Stepper(machine, row, len(order), StructType.fromDDL(out).names, ttl)
+    return rows.withWatermark("_at", f"{-(-late // 1000)} milliseconds").groupBy("_key").transformWithState(stepper, out, "Append", "EventTime")
