@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import sequences
+from ..operators import possessions, sequences
 from ..streaming import machines, stream
 from .q_joins import HOUR, events
 from .registry import query
@@ -20,9 +20,9 @@ def _stream(t, closing=None):
     return stream.sliced_stream(t.events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("ts")), "us", closing=closing)
 
 
-def _keyed(t, machine, columns, out, more=None):
+def _keyed(t, machine, columns, out, more=None, shape=lambda rows: rows):
     """What a machine per user gives for the event log; the closing row lets the last day's rows go."""
-    rows = _stream(t, LATE + HOUR).withColumns(more or {})
+    rows = shape(_stream(t, LATE + HOUR)).withColumns(more or {})
     return stream.drained(stream.keyed(rows, "user_id", machine, columns, ["us", "event_id"], out, LATE))
 
 
@@ -134,6 +134,59 @@ def e01_possessions(t):
     return out.select("user_id", "possession", "actions", "outcome", F.round("points", 6).alias("points"))
 
 
+#: Users play games: the kind of an event goes by its number, its side and outcome too.
+_GAME_KINDS = ("2pt", "3pt", "rebound", "2pt", "freethrow", "freethrow", "rebound", "turnover", "violation", "period", "jumpball", "foul", "substitution")
+
+
+def _game(rows):
+    n, v = F.col("event_id"), F.floor("value")
+    kind = F.element_at(F.array(*[F.lit(k) for k in _GAME_KINDS]), (n % 13 + 1).cast("int"))
+    rows = rows.withColumns({"kind": kind, "side": F.when(F.floor(n / 13) % 2 == 0, "home").otherwise("away"), "made": v % 2 == 0, "distance": (v % 30).cast("double"), "period": (v % 4 + 1).cast("int"), "clock": (v % 720).cast("double")})
+    sub = F.when(kind == "rebound", F.when(v % 3 == 0, "offensive").otherwise("defensive")).when(kind == "violation", F.when(v % 3 == 0, "goaltending").otherwise("kicked ball"))
+    sub = sub.when(kind == "period", F.when(v % 2 == 0, "start").otherwise("end")).when(kind == "foul", F.when(v % 2 == 0, "shooting").otherwise("personal"))
+    return rows.withColumns({"sub": sub, "text": F.when(n % 13 == 4, "Free Throw 1 of 2").when(n % 13 == 5, "Free Throw 2 of 2"), "area": F.lit(None).cast("string")})
+
+
+_LIST = "[" + ", ".join(f"'{k}'" for k in _GAME_KINDS) + "]"
+_O = "PARTITION BY user_id ORDER BY ts, event_id"
+_PRE = f"{_O} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+#: Windows say the grammar where every side is known: marks of a missed shot in the air, of the series
+#: of free throws, and of who gets the ball (a side, or a flip of whoever had it).
+_GRAMMAR = f"""WITH a AS (SELECT *, CAST(floor(value) AS BIGINT) AS v, {_LIST}[event_id % 13 + 1] AS kind, CASE WHEN (event_id // 13) % 2 = 0 THEN 'home' ELSE 'away' END AS side FROM events),
+b AS (SELECT *, v % 2 = 0 AS made, CASE kind WHEN 'rebound' THEN v % 3 = 0 WHEN 'violation' THEN v % 3 = 0 WHEN 'period' THEN v % 2 = 1 END AS yes, CASE side WHEN 'home' THEN 'away' ELSE 'home' END AS other, event_id % 13 AS k, sum(CAST(event_id % 13 = 4 AS INT)) OVER ({_O}) AS series FROM a),
+c AS (SELECT *, CASE WHEN kind IN ('2pt', '3pt') AND NOT made THEN side WHEN kind IN ('2pt', '3pt', 'rebound', 'turnover', 'violation', 'period') OR k = 5 THEN '' END AS mark, CASE WHEN series > 0 THEN first_value(side) OVER (PARTITION BY user_id, series ORDER BY ts, event_id) ELSE '' END AS fts, sum(CAST(kind = 'freethrow' AND made AS INT)) OVER (PARTITION BY user_id, series ORDER BY ts, event_id) AS ftm FROM b),
+d AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER ({_PRE}), '') AS missed, last_value(CASE WHEN mark <> '' THEN CAST(kind[1:1] AS INT) END IGNORE NULLS) OVER ({_PRE}) AS mv FROM c),
+e AS (SELECT *, CASE WHEN kind IN ('2pt', '3pt') THEN made WHEN kind = 'freethrow' THEN k = 5 WHEN kind = 'rebound' THEN missed <> '' AND NOT yes WHEN kind = 'period' THEN missed <> '' AND yes ELSE kind IN ('turnover', 'violation') END AS fin,
+CASE WHEN kind = 'jumpball' THEN side WHEN kind IN ('2pt', '3pt') THEN CASE WHEN made THEN other ELSE side END WHEN k = 5 THEN CASE fts WHEN 'home' THEN 'away' ELSE 'home' END WHEN kind = 'rebound' AND missed <> '' AND NOT yes THEN side WHEN kind = 'turnover' OR kind = 'violation' AND NOT yes THEN other
+WHEN kind = 'violation' THEN CASE missed WHEN 'home' THEN 'away' WHEN 'away' THEN 'home' ELSE 'flip' END END AS has FROM d),
+f AS (SELECT *, count(CASE WHEN has <> 'flip' THEN 1 END) OVER ({_O}) AS island FROM e),
+g AS (SELECT *, coalesce(first_value(CASE WHEN has <> 'flip' THEN has END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id), '') AS base, count(CASE WHEN has = 'flip' THEN 1 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS flips FROM f),
+h AS (SELECT *, CASE WHEN flips = 0 THEN base WHEN (flips % 2 = 1) = (base = 'home') THEN 'away' ELSE 'home' END AS after FROM g),
+i AS (SELECT *, coalesce(lag(after) OVER ({_O}), '') AS possessing, coalesce(sum(CAST(fin AS INT)) OVER ({_PRE}), 0) AS possession FROM h),
+j AS (SELECT *, bool_or(kind = 'foul') OVER q AS had_foul, bool_or(kind = 'substitution') OVER q AS had_sub, CASE WHEN kind IN ('2pt', '3pt') THEN side WHEN kind = 'freethrow' AND ftm > 0 THEN fts WHEN kind = 'violation' AND yes THEN CASE WHEN missed <> '' THEN missed ELSE possessing END ELSE '' END AS team_scored,
+CASE kind WHEN '2pt' THEN 2 WHEN '3pt' THEN 3 WHEN 'freethrow' THEN ftm WHEN 'violation' THEN CASE WHEN yes THEN 2 ELSE 0 END ELSE 0 END AS points, CASE kind WHEN '2pt' THEN 2 WHEN '3pt' THEN 3 WHEN 'freethrow' THEN 1 WHEN 'violation' THEN CASE WHEN yes THEN 2 ELSE 0 END WHEN 'turnover' THEN 0 ELSE mv END AS shot_value FROM i WINDOW q AS (PARTITION BY user_id, possession ORDER BY ts, event_id)),
+r AS (SELECT user_id, event_id, ts, CAST(possession AS BIGINT) AS possession, possessing AS side, team_scored, CAST(points AS INT) AS points, CAST(shot_value AS INT) AS shot_value, had_foul, had_sub FROM j WHERE fin)"""
+
+
+@query(_GRAMMAR + " SELECT user_id, event_id, possession, side, team_scored, points, shot_value, had_foul, had_sub FROM r")
+def e01_possession_grammar(t):
+    """Every possession of each user's game: free-throw series, jump balls, violations and period ends."""
+    out = possessions.possession_rows(_game(events(t)), ["user_id"], ["us", "event_id"])
+    return out.select("user_id", "event_id", "possession", "side", "team_scored", "points", "shot_value", "had_foul", "had_sub")
+
+
+@query(_GRAMMAR + f""", s AS (SELECT *, last_value(CASE WHEN points > 0 THEN team_scored END IGNORE NULLS) OVER ({_PRE}) AS prior FROM r),
+t AS (SELECT *, sum(CASE WHEN points > 0 AND (prior IS NULL OR prior <> team_scored) THEN 1 ELSE 0 END) OVER ({_O}) AS run FROM s),
+u AS (SELECT *, count(CASE WHEN points > 0 THEN 1 END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS len, sum(points) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS pts, sum(CASE WHEN points > 0 AND shot_value = 3 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS threes FROM t)
+SELECT event_id, possession, points, coalesce(prior, '') AS run_side, CAST(coalesce(lag(len) OVER w, 0) AS BIGINT) AS run_length, CAST(coalesce(lag(CASE WHEN run > 0 THEN pts ELSE 0 END) OVER w, 0) AS BIGINT) AS run_points, CAST(coalesce(lag(threes) OVER w, 0) AS BIGINT) AS run_threes,
+CAST(coalesce(sum(CASE WHEN team_scored = 'home' THEN points END) OVER f, 0) AS BIGINT) AS home_5, CAST(coalesce(sum(CASE WHEN team_scored = 'away' THEN points END) OVER f, 0) AS BIGINT) AS away_5 FROM u WINDOW w AS ({_O}), f AS ({_O} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""")
+def st04_live_possessions(t):
+    """Possessions and the features before them from the stream of raw events, by the same machine as the table's."""
+    out = ", ".join((possessions.ROW, possessions.FEATURES))
+    rows = _keyed(t, possessions.grammar(features=True), list(possessions.TAKES), out, shape=_game)
+    return rows.select("event_id", "possession", "points", "run_side", "run_length", "run_points", "run_threes", "home_5", "away_5")
+
+
 @query("""WITH f AS (SELECT user_id, min((ts, event_id)) AS first_sub FROM events WHERE event_type = 'error' GROUP BY 1),
 s AS (SELECT e.user_id, e.event_id % 2 AS side, e.event_id % 11 AS player, min((e.ts, e.event_id)) AS seen FROM events e LEFT JOIN f USING (user_id) WHERE first_sub IS NULL OR (e.ts, e.event_id) < first_sub GROUP BY ALL)
 SELECT user_id, side, player FROM s QUALIFY row_number() OVER (PARTITION BY user_id, side ORDER BY seen) <= 5""")

@@ -1,23 +1,10 @@
-"""State machines of a key: what they keep in Spark's keyed state, and one step for each row.
-
-step(state, row) changes the state and gives output rows. state is a dict: scalars that are kept
-together (`values`, a DDL), lists of tuples (`lists`: name -> DDL) and maps (`maps`: name -> DDL of
-key and value). The same machines run in streams (stream.keyed) and over tables (folds.unfolded).
-"""
+"""State machines of a key, for streams (stream.keyed) and tables (folds.unfolded)."""
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable
-from typing import NamedTuple
-
 
-class Machine(NamedTuple):
-    step: Callable[[dict, tuple], list[tuple]]
-    start: Callable[[], dict]
-    values: str = ""
-    lists: dict[str, str] = {}
-    maps: dict[str, tuple[str, str]] = {}
+from ..operators.folds import Machine
 
 
 def rolling_snapshot(width: int) -> Machine:
