@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
-from tidemark.operators import aggs, joins, labels, replay, sequences, windows
+from tidemark.operators import aggs, joins, labels, replay, ridge, sequences, windows
 from tidemark.sources import io
 from tidemark.streaming import stream
 
@@ -124,7 +124,7 @@ def test_ridge_matches_the_closed_form(spark):
     y = 3 + x @ [2.0, -1.0] + rng.normal(size=400) * 0.1
     day = np.repeat(np.arange(8), 50)
     df = spark.createDataFrame([(int(d), float(a), float(b), float(c)) for d, (a, b), c in zip(day, x, y)], "day int, a double, b double, y double")
-    out = aggs.rolling_ridge(df, "day", ["a", "b"], "y", alpha=10.0, half_life=3.0, every=1, at_least=50).toPandas()
+    out = ridge.rolling_ridge(df, "day", ["a", "b"], "y", alpha=10.0, half_life=3.0, every=1, at_least=50).toPandas()
     w = 0.5 ** ((7 - day) / 3.0)[day < 7]
     m = np.hstack([np.ones((350, 1)), x[:350]])
     want = np.linalg.solve((m * w[:, None]).T @ m + np.diag([0, 10, 10]), (m * w[:, None]).T @ y[:350])
@@ -138,6 +138,72 @@ def test_bootstrap_covers_the_mean(spark):
     assert row.lo < row["mean"] < row.hi and row.p_nonneg == 1.0
 
 
+@pytest.mark.parametrize("leaf", [16, 10_000])
+def test_bootstrap_is_multinomial_and_of_no_partitioning(spark, leaf):
+    import numpy as np
+
+    df = spark.range(3001).select((F.col("id") % 301).alias("c"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 7.0 - 60).alias("v"))
+    rows = [tuple(aggs.cluster_bootstrap(df.repartition(k), "c", "v", 2000, leaf=leaf).first()) for k in (2, 8, 31)]
+    assert rows[0] == rows[1] == rows[2]
+    pdf = df.toPandas().groupby("c").v.agg(["sum", "count"]).to_numpy()
+    counts = np.random.default_rng(1).multinomial(301, np.full(301, 1 / 301), 2000)
+    means = (counts @ pdf[:, 0]) / (counts @ pdf[:, 1])
+    mean, lo, hi, share = rows[0]
+    assert mean == pytest.approx(pdf[:, 0].sum() / 3001, abs=1e-7)
+    sd = means.std()
+    assert abs(lo - np.quantile(means, 0.025)) < 0.3 * sd and abs(hi - np.quantile(means, 0.975)) < 0.3 * sd
+    assert abs(share - (means >= 0).mean()) < 0.05
+
+
+def test_bootstrap_of_nulls_and_of_nothing(spark):
+    df = spark.createDataFrame([("a", 1.0), (None, 3.0), ("b", None), ("b", None)], "c string, v double")
+    row = aggs.cluster_bootstrap(df, "c", "v", 200).first()
+    assert row["mean"] == 2.0 and 1 <= row.lo <= row.hi <= 3
+    assert aggs.cluster_bootstrap(df.where("false"), "c", "v", 50).first()["mean"] is None
+
+
+def test_sparse_ridge_of_a_thousand_players(spark):
+    """Line-ups of ten, against the closed form over all players at once."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, players = 6000, 1000
+    crews = np.array([rng.choice(players, 10, replace=False) for _ in range(n)])
+    signs = np.repeat([[1.0] * 5 + [-1.0] * 5], n, 0)
+    game = np.arange(n) // 500
+    y = rng.normal(size=n) + rng.normal(size=players)[crews[:, :5]].sum(1)
+    df = spark.createDataFrame([(int(g), [(str(int(p)), float(s)) for p, s in zip(c, ss)], float(v)) for g, c, ss, v in zip(game, crews, signs, y)], "g int, crew array<struct<k: string, v: double>>, y double")
+    out = ridge.sparse_rolling_ridge(df, "g", F.col("crew"), "y", alpha=100.0, half_life=5.0, every=4).toPandas()
+    assert sorted(set(out.as_of)) == [4, 8]
+    for at in (4, 8):
+        seen = game < at
+        x = np.zeros((seen.sum(), players + 1))
+        x[np.arange(len(x))[:, None], crews[seen]] = signs[seen]
+        x[:, -1] = 1
+        w = 0.5 ** ((at - game[seen]) / 5.0)
+        want = np.linalg.solve((x * w[:, None]).T @ x + np.diag([100.0] * players + [0.0]), (x * w[:, None]).T @ y[seen])
+        got = out[out.as_of == at].set_index("feature").coefficient
+        met = sorted(set(crews[seen].ravel()))
+        assert len(got) == len(met) and np.abs(got[[str(p) for p in met]].to_numpy() - want[met]).max() < 1e-6
+
+
+def test_sparse_ridge_of_awkward_rows(spark):
+    """Repeated features of a row add up; nulls don't count; groups stand alone; no rows give none."""
+    kind = "by string, o double, crew array<struct<k: string, v: double>>, y double"
+    rows = [(g, float(o), [("a", 1.0), ("a", 1.0), (None, 5.0), ("b", None)] if o % 2 else [("b", 1.0)], 10.0 + o if g else None) for g in ("x", None) for o in range(8)]
+    rows += [("x", None, [("a", 1.0)], 3.0), ("x", 1.0, None, 4.0)]
+    df = spark.createDataFrame(rows, kind)
+    out = ridge.sparse_rolling_ridge(df, "o", F.col("crew"), "y", alpha=2.0, half_life=4.0, every=7, at_least=3, by="by").collect()
+    import numpy as np
+
+    o = np.array([0, 1, 2, 3, 4, 5, 6, 1.0])
+    x = np.array([[0, 1, 1], [2, 0, 1], [0, 1, 1], [2, 0, 1], [0, 1, 1], [2, 0, 1], [0, 1, 1], [0, 0, 1.0]])
+    y, w = np.array([10, 11, 12, 13, 14, 15, 16, 4.0]), 0.5 ** ((7 - o) / 4)
+    want = np.linalg.solve((x * w[:, None]).T @ x + np.diag([2.0, 2, 0]), (x * w[:, None]).T @ y)
+    assert {(r.by, r.as_of, r.feature): (round(r.coefficient, 8), r.n) for r in out} == {("x", 7.0, "a"): (round(want[0], 8), 8), ("x", 7.0, "b"): (round(want[1], 8), 8)}
+    assert ridge.sparse_rolling_ridge(df.where("false"), "o", F.col("crew"), "y").count() == 0
+
+
 def test_files_in_and_out(spark, tmp_path):
     schema = "yes_bid int, volume long"
     (tmp_path / "t" / "2026-03-06").mkdir(parents=True)

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import aggs
+from tidemark.operators import aggs, ridge
 from tidemark.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -29,7 +29,7 @@ def test_ten_checkpoints(spark):
 def test_bootstrap_and_ridge_parameters(spark, monkeypatch):
     seen = {}
     monkeypatch.setattr(aggs, "cluster_bootstrap", lambda df, c, v, draws: seen.update(draws=draws))
-    monkeypatch.setattr(aggs, "rolling_ridge", lambda *a, every=5, **k: seen.update(every=every))
+    monkeypatch.setattr(ridge, "rolling_ridge", lambda *a, every=5, **k: seen.update(every=every))
     registry.QUERIES["a21_bootstrap"](spark, SF)
     registry.QUERIES["a26_rolling_ridge"](spark, SF)
     assert seen == {"draws": 10_000, "every": 5}

@@ -1,9 +1,11 @@
-"""Reports: buckets, distributions, drift, classification metrics, candles, bootstrap, ridge."""
+"""Reports: buckets, distributions, drift, classification metrics, candles, bootstrap."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,30 +81,68 @@ def candles(ticks: DataFrame, by: list[str], time: str, price: str, tie: str, wi
     return ticks.groupBy(*by, start.alias("start")).agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.count("*").alias("n"))
 
 
-def cluster_bootstrap(trades: DataFrame, cluster: str, value: str, draws: int = 1000, seed: int = 7) -> DataFrame:
-    """mean, lo, hi (95 percent), p_nonneg of the mean by resampling whole clusters.
-
-    A cluster's count in a draw is Poisson(1): the usual bootstrap in the limit, which needs no
-    cluster to know of others. Each cluster makes its weighted sums of all draws as arrays in a
-    task, and arrays are added per position, so nothing is collected."""
-    sums = trades.groupBy(cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("n"))
-    sums = sums.withColumn("h", F.xxhash64(F.col(cluster).cast("string"), F.lit(seed)))
-
-    def weighted(batches):
-        # a generator for each batch of clusters, seeded by its least hash: all of a batch's counts at once
-        total_s, total_n = np.zeros(draws), np.zeros(draws)
-        for b in batches:
-            b = b.sort_values("h")
-            for k in range(0, len(b), 256):
-                part = b.iloc[k : k + 256]
-                counts = np.random.Generator(np.random.PCG64(int(part.h.iloc[0]) & (2**64 - 1))).poisson(1.0, (len(part), draws))
-                total_s += part.s.to_numpy() @ counts
-                total_n += part.n.to_numpy() @ counts
-        yield pd.DataFrame({"draw": np.arange(draws), "s": total_s, "n": total_n})
-
-    means = sums.mapInPandas(weighted, "draw long, s double, n double").groupBy("draw").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
+def _generator(*seed) -> np.random.Generator:
+    return np.random.Generator(np.random.PCG64([int(x) & (2**64 - 1) for x in seed]))
+
+
+#: Values are counted in units of 2^-BITS of the power of two above the greatest, so that sums are whole numbers in any order;
+#: in draws as a high and a low part of LOW bits, of which floats add up exactly.
+_BITS, _LOW = 36, 26
+
+
+def cluster_bootstrap(trades: DataFrame, cluster: str, value: str, draws: int = 1000, seed: int = 7, leaf: int = 256) -> DataFrame:
+    """mean, lo, hi (95 percent), p_nonneg of the mean by resampling whole clusters, with replacement and
+    as many as there are: counts are exactly multinomial, and no partitioning or retry changes them.
+
+    The clusters are the leaves of a binary tree over their hashes. A node's total is split
+    binomially between its children by their numbers of clusters, with a generator seeded by the
+    node; nodes of about `leaf` clusters deal theirs out at once. A task that has such a node
+    repeats the splits on the way to it, so none needs the others' clusters. Sums over nodes are of whole
+    numbers and meet per draw after a partial sum in each task."""
+    value_ = F.col(value).cast("double")
+    most = trades.agg(F.max(F.abs(value_))).first()[0] or 0.0
+    unit = 2.0 ** (math.frexp(most)[1] - _BITS)
+    whole = F.round(value_ / unit).cast("decimal(38,0)")
+    h = F.xxhash64(F.col(cluster).cast("string"))
+    sums = trades.groupBy(cluster).agg(F.coalesce(F.sum(whole), F.lit(0)).cast("bigint").alias("s"), F.count(value).alias("n")).select(F.col(cluster).cast("string").alias("c"), h.alias("h"), "s", "n")
+    total = sums.count()
+    depth = max(0, math.ceil(math.log2(max(total, 1) / leaf)))
+    node = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("bigint")
+    sums = sums.withColumn("node", node)
+    # of each node on the way: clusters below its left child and below itself
+    sizes = sums.groupBy("node").agg(F.count("*").alias("m"))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(depth - 1))) if depth else F.explode(F.array().cast("array<int>"))
+    way = sizes.select("node", "m", levels.alias("level"))
+    above = way.withColumn("up", F.call_function("shiftright", "node", F.lit(depth) - F.col("level")))
+    right = F.call_function("shiftright", "node", F.lit(depth - 1) - F.col("level")) % 2
+    splits = above.groupBy("level", "up").agg(F.sum(F.when(right == 0, F.col("m")).otherwise(0)).alias("left"), F.sum("m").alias("of"))
+    paths = above.join(splits, ["level", "up"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("level", "up", "left", "of"))).alias("path")).select(F.col("node").alias("leaf"), "path")
+
+    def drawn(key, rows, way):
+        counts = np.full(draws, total, np.int64)
+        for step in way["path"][0].as_py() if way.num_rows else []:
+            left = _generator(seed, step["level"], step["up"]).binomial(counts, step["left"] / step["of"])
+            goes_right = key[0].as_py() >> (depth - 1 - step["level"]) & 1
+            counts = counts - left if goes_right else left
+        order = sorted(range(rows.num_rows), key=lambda k: (rows["h"][k].as_py(), rows["c"][k].as_py() or ""))
+        s, n = (rows[x].to_numpy()[order] for x in ("s", "n"))
+        generator, m, out = _generator(seed, depth, key[0].as_py(), 1), len(s), []
+        parts = np.stack([s >> _LOW, s & ((1 << _LOW) - 1), n], 1).astype(float)
+        for k in range(0, draws, 500):
+            # so many clusters drawn with replacement in each draw
+            some = counts[k : k + 500]
+            at = np.repeat(np.arange(len(some)) * m, some) + generator.integers(0, m, some.sum())
+            out.append(np.bincount(at, minlength=len(some) * m).reshape(-1, m) @ parts)
+        high, low, seen = np.concatenate(out).astype(np.int64).T
+        return pa.table({"draw": np.arange(draws), "high": high, "low": low, "n": seen})
+
+    rows = sums.select("node", "c", "h", "s", "n").groupBy("node").cogroup(paths.groupBy("leaf")).applyInArrow(drawn, "draw long, high long, low long, n long")
+    exact = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
+    mean = lambda s, n: s.cast("double") * F.lit(unit) / F.nullif(n, F.lit(0)).cast("double")
+    means = rows.groupBy("draw").agg(mean(exact("high") * F.lit(2**_LOW) + exact("low"), F.sum("n")).alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
-    return means.agg(q.alias("q"), F.avg((F.col("m") >= 0).cast("double")).alias("p_nonneg")).crossJoin(sums.agg((F.sum("s") / F.sum("n")).alias("mean"))).select("mean", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "p_nonneg")
+    own = sums.agg(mean(exact("s"), F.sum("n")).alias("mean"))
+    return means.agg(q.alias("q"), F.avg((F.col("m") >= 0).cast("double")).alias("p_nonneg")).crossJoin(own).select("mean", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "p_nonneg")
 
 
 def scaler(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -132,37 +172,6 @@ def fan_out(df: DataFrame, on: list[str]) -> DataFrame:
     return df.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def rolling_ridge(rows: DataFrame, order: str, features: list[str], label: str, alpha: float = 1000.0, half_life: float = 80.0, every: int = 5, at_least: int = 200, by: str | None = None) -> DataFrame:
-    """(by,) as_of, feature, coefficient: weighted ridge with free intercept, refitted at every `every`-th
-    value of `order` on all earlier rows, which decay with age.
-
-    Gram entries are summed per order value by Spark; only these sums, (features + 2)^2 numbers
-    for each order value, go through the decayed running sum and the solve, a group of `by` each."""
-    x = [F.lit(1.0), *[F.col(c).cast("double") for c in features], F.col(label).cast("double")]
-    k = len(x)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    group = F.col(by).cast("string") if by else F.lit("")
-    sums = rows.groupBy(group.alias("by"), F.col(order).cast("double").alias("o")).agg(F.count("*").alias("n"), F.array(*[F.sum(x[i] * x[j]) for i, j in pairs]).alias("g"))
-
-    def solve(table: pd.DataFrame) -> pd.DataFrame:
-        table, out = table.sort_values("o"), []
-        gram, seen, last = np.zeros((k, k)), 0, None
-        for at, (o, n, g) in enumerate(zip(table.o, table.n, table.g)):
-            if last is not None:
-                gram *= 0.5 ** ((o - last) / half_life)
-            if at % every == 0 and seen >= at_least:
-                a = gram[:-1, :-1] + np.diag([0.0] + [alpha] * len(features))
-                b = np.linalg.lstsq(a, gram[:-1, -1], rcond=None)[0]
-                out += [(table.by.iloc[0], o, f, float(c)) for f, c in zip(features, b[1:])]
-            step = np.zeros((k, k))
-            for (i, j), v in zip(pairs, g):
-                step[i, j] = step[j, i] = v
-            gram, seen, last = gram + step, seen + n, o
-        return pd.DataFrame(out, columns=["by", "as_of", "feature", "coefficient"])
-
-    return sums.groupBy("by").applyInPandas(solve, "by string, as_of double, feature string, coefficient double")
-
-
 def share_weighted_impact(rows: DataFrame, by: list[str], game: str, player: str, amount: str, ratings: DataFrame, rating: str) -> DataFrame:
     """by, impact: over players the mean share of their side's amount per game, times their rating,
     absolute, summed. ratings: player, rating, one row each."""

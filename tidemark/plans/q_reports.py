@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
-from ..operators import aggs
+from ..operators import aggs, ridge
 from .q_joins import events
 from .registry import query
 
@@ -154,11 +154,23 @@ def a21_bootstrap(t):
     return aggs.cluster_bootstrap(t.orders, "o_custkey", "o_totalprice", 10_000)
 
 
+@query()
+def a26_sparse_ridge(t):
+    """Ratings of all suppliers from the orders that they filled together: for orders that were
+    returned in part suppliers count -1, else 1; refitted every fifth month on all months before."""
+    sign = F.when(F.col("l_returnflag") == "R", -1.0).otherwise(1.0)
+    crews = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_suppkey").cast("string").alias("k"), sign.alias("v"))).alias("crew"))
+    date = F.to_date("o_orderdate")
+    rows = t.orders.join(crews, F.col("o_orderkey") == F.col("l_orderkey")).select((F.year(date) * 12 + F.month(date)).alias("month"), "crew", (F.col("o_totalprice") / 1000).alias("y"))
+    out = ridge.sparse_rolling_ridge(rows, "month", F.col("crew"), "y", alpha=100.0, half_life=24.0, every=5)
+    return out.select("as_of", "feature", F.round("coefficient", 6).alias("coefficient"), "n")
+
+
 @query()
 def a26_rolling_ridge(t):
     """Price on quantity, discount and tax, refitted along the ship dates within each return flag."""
     rows = t.lineitem.withColumn("day", F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01")))
-    return aggs.rolling_ridge(rows, "day", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", every=5, by="l_returnflag")
+    return ridge.rolling_ridge(rows, "day", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", every=5, by="l_returnflag")
 
 
 @query("""SELECT event_id, CASE WHEN event_type = 'purchase' AND value > 50 THEN 1.08 WHEN event_type = 'purchase' THEN 1.26 END AS xp,
