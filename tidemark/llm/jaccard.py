@@ -266,16 +266,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     rows = rows.withColumn("id", F.coalesce("given", -F.pmod("text_hash", F.lit(1 << 61)) - F.lit(1 << 61)))
     profile = staged(rows.select("id", "text_hash", "text").mapInPandas(lambda b: _profile(b, k, percent), "id long, text_hash long, n int, cls long, keys array<long>, narrow array<long>, wide binary"))
     full = profile.where("n > 0")
-    classes = staged(full.groupBy("cls").agg(F.min(F.struct("id", "text_hash")).alias("of"), F.first("n").alias("n"), F.first("narrow").alias("narrow"), F.first("wide").alias("wide")))
+    classes = staged(full.groupBy("cls").agg(F.min(F.struct("id", "text_hash")).alias("of"), F.first("n").alias("n"), F.first("narrow").alias("narrow"), F.first("wide").alias("wide"), F.first("keys").alias("keys")))
 
     # buckets of two classes or more, and what supports each class in them: most keys occur once
     # and go first, by the narrowest rows
-    entries = full.select("cls", F.explode("keys").alias("key"))
+    # a class has one row here, so a text that many documents share makes no key hot
+    entries = classes.select("cls", F.explode("keys").alias("key"))
     twice = staged(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     # sort-merge at every size: the rare keys grow with the corpus
     close = staged(entries.join(twice.hint("merge"), "key"))
     many = staged(close.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size"))
-    shared = staged(close.join(many.hint("merge"), "key").groupBy("key", "cls").agg(F.first("size").alias("size")))
+    shared = staged(close.join(many.hint("merge"), "key"))
     support = shared.groupBy("cls").agg(F.sum("size").alias("support"))
     ranked = shared.select("key", "cls").join(support.hint("merge"), "cls")
     leaders = ranked.groupBy("key").agg(F.max(F.struct("support", "cls")).alias("top")).select("key", F.col("top.cls").alias("leader"))
