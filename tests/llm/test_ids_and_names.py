@@ -29,3 +29,17 @@ def test_columns_of_any_name_stay(spark):
         assert all(r[n] == n for r in out.collect() for n in names)
     assert {r.text for r in clean.collect()} == {"one two three [secret]", "four five six", None}
     assert {r.doc_id for r in mixed.collect()} == {LARGE, None}
+
+
+def test_stages_leave_nothing_but_their_result(spark, tmp_path):
+    from pathlib import Path
+
+    from tidemark.llm import jaccard
+    from tidemark.llm.common import kept, shared_dir, stages_dropped
+
+    docs = spark.createDataFrame([(i, f"one two three four five {i % 3}", "a") for i in range(12)], "doc_id long, text string, source string")
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    with stages_dropped(spark):
+        out = kept(jaccard.one_of_each(docs))
+    assert out.count() == 3 and len(set(folder.iterdir()) - before) == 1

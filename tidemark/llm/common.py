@@ -74,8 +74,8 @@ _scopes = threading.local()
 
 @contextlib.contextmanager
 def stages_dropped(spark: SparkSession):
-    """What staged and bucketed write in here goes at the end. For callers that write their
-    result inside; a frame that is used later must not depend on it."""
+    """What staged and bucketed write in here goes at the end, but for what kept gives. For callers
+    that write their result inside; a frame that is used later must not depend on it."""
     open_ = _scopes.__dict__.setdefault("open", [])
     open_.append([])
     try:
@@ -105,6 +105,14 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """As staged, for a result that outlives the scope it is written in."""
+    out = staged(df)
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].pop()
+    return out
+
+
 def bucketed(df: DataFrame, by: str) -> DataFrame:
     """As staged, in a table with a bucket for each shuffle partition: joins and groups by that
     column read it as it lies, without another shuffle."""

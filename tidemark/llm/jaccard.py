@@ -29,6 +29,8 @@ FRAGMENTS = 8
 BUCKET_BLOCK = 512
 #: Bits of the sketch that every set has; larger sets have a wider one too.
 NARROW = 512
+#: Keys of texts that are sent to all tasks at most, some 50 bytes each.
+FEW = 100_000
 #: Parts that the members of a leader are dealt in.
 SALTS = 64
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -212,7 +214,11 @@ def _check(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, percen
 
     wanted = pairs.select(F.col("leader").alias("cls")).unionByName(pairs.select(F.col("member").alias("cls"))).distinct()
     wanted = staged(wanted.join(classes.select("cls", "of.id", "of.text_hash").hint("merge"), "cls"))
-    sets = rows.select("id", "text_hash", "text").join(wanted.hint("merge"), ["id", "text_hash"])
+    texts = rows.select("id", "text_hash", "text")
+    if wanted.count() <= FEW:
+        # few texts are picked out where they lie; of many, all are dealt by key
+        texts = texts.join(F.broadcast(wanted.select("id", "text_hash")), ["id", "text_hash"], "left_semi")
+    sets = texts.join(wanted.hint("merge"), ["id", "text_hash"])
     sets = staged(sets.mapInPandas(lambda b: _sets(b, k), "cls long, fragment int, data binary").dropDuplicates(["cls", "fragment"]))
     overlap = lambda held, data, r: (len(np.intersect1d(held, data, assume_unique=True)), r.n1, r.n2)
     counted = _with_leaders(pairs, sets).mapInPandas(lambda b: _led(b, ["leader", "member", "overlap", "n1", "n2"], overlap), "leader long, member long, overlap long, n1 int, n2 int")
@@ -280,7 +286,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     support = shared.groupBy("cls").agg(F.sum("size").alias("support"))
     ranked = shared.select("key", "cls").join(support.hint("merge"), "cls")
     leaders = ranked.groupBy("key").agg(F.max(F.struct("support", "cls")).alias("top")).select("key", F.col("top.cls").alias("leader"))
-    stars = staged(shared.select("key", "cls").join(leaders.hint("merge"), "key").where("cls != leader").select("leader", F.col("cls").alias("member")).distinct())
+    # of its leaders a class is checked with the one that it shares most keys with; what the others
+    # would have linked is found among the buckets that stay open
+    stars = shared.select("key", "cls").join(leaders.hint("merge"), "key").where("cls != leader").groupBy("leader", F.col("cls").alias("member")).agg(F.count("*").alias("n"))
+    stars = staged(stars.groupBy("member").agg(F.max(F.struct("n", "leader")).alias("top")).select(F.col("top.leader").alias("leader"), "member"))
 
     links = staged(_check(stars, classes, rows, k, percent))
     roots = components(links)
