@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import jaccard, mixing, pieces, quality, queries, secrets
-from tidemark.llm.common import staged, table
+from tidemark.llm.common import kept, stages_dropped, table
 
 
 def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +43,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over documents. What a stage writes on its way goes when it ends; of the
+    stages' own results only the one that the last stage reads stays."""
     docs = table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs = staged(docs)
-    return docs
+        if n == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with stages_dropped(spark):
+            docs = kept(stage(spark, docs, sf_dir))
