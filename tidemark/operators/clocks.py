@@ -6,36 +6,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: No function here asks for the session's time zone, so none gives another result in another one.
+_DAY_US = 86_400_000_000
+
+
 def utc_stamp(text: Column) -> Column:
     """An ISO stamp as a timestamp, without fraction and Z; null of other texts. Read as UTC."""
     plain = F.regexp_replace(F.regexp_replace(text, r"Z+$", ""), r"\..*$", "")
-    return F.to_utc_timestamp(F.try_to_timestamp(plain, F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.current_timezone())
+    return F.try_to_timestamp(F.concat(plain, F.lit("Z")), F.lit("yyyy-MM-dd'T'HH:mm:ssX"))
+
+
+def utc_clock(ts: Column) -> Column:
+    """What a clock in UTC shows at a timestamp, without a zone."""
+    us = F.unix_micros(ts.cast("timestamp"))
+    days, rest = F.floor(us / F.lit(_DAY_US).cast("decimal(20,0)")).cast("int"), F.pmod(us, F.lit(_DAY_US))
+    return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(days, F.lit(0), F.lit(0), (rest.cast("decimal(20,0)") / 1000000).cast("decimal(18,6)"))
+
 
+def local_clock(ts: Column, zone: str) -> Column:
+    """What a zone's clock shows at a UTC timestamp; the zone's rules know of daylight saving."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc_clock(ts))
 
-def local_time(ts: Column, zone: str, pattern: str = "yyyy-MM-dd HH:mm") -> Column:
-    """A UTC timestamp as text of a zone's clock; the zone's rules know of daylight saving."""
-    return F.date_format(F.from_utc_timestamp(ts, zone), pattern)
+
+def local_time(ts: Column, zone: str) -> Column:
+    """The zone's clock as text, to the minute: 2026-07-01 08:00."""
+    return F.substring(local_clock(ts, zone).cast("string"), 1, 16)
+
+
+def _seconds(clock: Column) -> Column:
+    """Whole seconds since 1970 that a clock without a zone shows."""
+    return F.unix_date(clock.cast("date")).cast("long") * 86400 + F.hour(clock) * 3600 + F.minute(clock) * 60 + F.second(clock)
 
 
 def offset_hours(ts: Column, zone: str) -> Column:
     """Hours between a zone's clock and UTC at that time."""
-    return (F.unix_micros(F.from_utc_timestamp(ts, zone).cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / 3.6e9
+    return (_seconds(local_clock(ts, zone)) - _seconds(utc_clock(ts))) / 3600
 
 
 def daylight_saving(ts: Column, zone: str) -> Column:
     """Whether the zone's clock is ahead of its least offset in that year (January and July)."""
-    of = lambda month: offset_hours(F.make_timestamp(F.year(ts), F.lit(month), F.lit(1), F.lit(12), F.lit(0), F.lit(0)), zone)
+    of = lambda month: offset_hours(F.timestamp_seconds(F.unix_date(F.make_date(F.year(utc_clock(ts)), F.lit(month), F.lit(1))).cast("long") * 86400 + 43200), zone)
     return offset_hours(ts, zone) > F.least(of(1), of(7))
 
 
-def local_anchors(starts: DataFrame, by: list[str], day: str, period: str, clock: str, zone: str = "America/New_York", most: int = 10) -> DataFrame:
+def month_start(ts: Column) -> Column:
+    """Microseconds since 1970 at which the UTC month of a timestamp began."""
+    return F.unix_date(F.trunc(utc_clock(ts).cast("date"), "month")).cast("long") * _DAY_US
+
+
+def local_anchors(starts: DataFrame, by: list[str], day: str, period: str, clock: str, zone: str = "America/New_York") -> DataFrame:
     """by, day, anchors: array of struct(period, at), the UTC times of period starts given as a local clock
     like "10:13 PM". The first is on `day`; a later one is on the date of the one before, or on the
-    next if it wouldn't be after it. Texts that are no clock are left out, and so are periods past
-    `most`: a group's array stays small, and its fold runs in the JVM."""
+    next if it wouldn't be after it. Texts that are no clock are left out. A group's array has a
+    row for each of its periods, and its fold runs in the JVM."""
     minutes = F.expr(f"try_to_timestamp(trim({clock}), 'h:mm a')")
     secs = F.hour(minutes) * 3600 + F.minute(minutes) * 60
-    rows = starts.where((F.col(period) <= most) & minutes.isNotNull()).select(*by, F.col(day).cast("date").alias("day"), F.col(period).cast("int").alias("period"), secs.alias("secs"))
+    rows = starts.where(F.col(period).isNotNull() & minutes.isNotNull()).select(*by, F.col(day).cast("date").alias("day"), F.col(period).cast("int").alias("period"), secs.alias("secs"))
     rows = rows.groupBy(*by, "day", "period").agg(F.min("secs").alias("secs"))
     folded = rows.groupBy(*by, "day").agg(F.array_sort(F.collect_list(F.struct("period", "secs"))).alias("_p"))
     # (days since the first, seconds): a start that isn't later than the last is a day further
@@ -54,11 +80,11 @@ def anchor_faults(anchors: DataFrame, zone: str = "America/New_York", hours: tup
     """anchors with fault: the first check that a group's anchors fail (null: none): the first start is
     on another local date, at an unlikely hour, starts don't advance, or span too long."""
     first, last = F.element_at("anchors", 1)["at"], F.element_at("anchors", -1)["at"]
-    local = F.from_utc_timestamp(first, zone)
+    local = local_clock(first, zone)
     back = F.exists(F.sequence(F.lit(1), F.size("anchors") - 1), lambda k: F.element_at("anchors", k + 1)["at"] <= F.element_at("anchors", k)["at"])
     back = F.when(F.size("anchors") > 1, back).otherwise(False)
     span = (F.unix_micros(last) - F.unix_micros(first)) / 3.6e9
-    fault = F.when(F.to_date(local) != F.col("day"), "date").when(~F.hour(local).between(*hours), "hour").when(back, "order").when(span > span_hours, "span")
+    fault = F.when(local.cast("date") != F.col("day"), "date").when(~F.hour(local).between(*hours), "hour").when(back, "order").when(span > span_hours, "span")
     return anchors.withColumn("fault", fault)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import possessions, sequences
+from ..operators import clocks, possessions, sequences
 from ..streaming import machines, stream
 from .q_joins import HOUR, events
 from .registry import query
@@ -81,7 +81,7 @@ def st04_possession_state(t):
 @query()
 def st05_l18_break_fade(t):
     """Enter, exit or wait at each tick; hours since the start of the month play the match's minutes."""
-    more = {"minute": (F.col("us") - F.unix_micros(F.date_trunc("month", "ts"))) / float(HOUR)}
+    more = {"minute": (F.col("us") - clocks.month_start(F.col("ts"))) / float(HOUR)}
     out = _keyed(t, machines.break_fade((48.0, 240.0, 480.0), 72.0, 96.0, 10.0, 48.0), ["event_id", "minute", "value"], "event_id long, action string, side string, drift double", more)
     return out.withColumn("drift", F.round("drift", 6))
 
