@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -167,6 +167,31 @@ def null_report(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select("rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("nulls"), F.col(f"z_{c}").alias("zeros")) for c in columns])).alias("_r")).select("_r.column", "rows", "_r.nulls", "_r.zeros", (F.col("_r.zeros") / F.col("rows")).alias("share_zero"))
 
 
+def counted_filter(df: DataFrame, conditions: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """The rows for which all conditions hold, and counts made in passing: rows, kept, and for each
+    condition the rows that fail it and none before it (null counts as failing). The counts are
+    there once the frame has been written or collected; it is read once."""
+    fails = {name: ~F.coalesce(c, F.lit(False)) for name, c in conditions.items()}
+    first = F.coalesce(*[F.when(f, F.lit(name)) for name, f in fails.items()]) if fails else F.lit(None).cast("string")
+    names, seen = set(df.columns), Observation()
+    why = next(f"_why{k}" for k in range(len(names) + 1) if f"_why{k}" not in names)
+    rows = df.withColumn(why, first).observe(seen, F.count("*").alias("rows"), F.count_if(F.col(why).isNull()).alias("kept"), *[F.count_if(F.col(why) == n).alias(f"dropped_{n}") for n in conditions])
+    return rows.where(F.col(why).isNull()).drop(why), seen
+
+
+def quality_suite(df: DataFrame, required: list[str], identities: dict[str, Column], spreads: list[str], accuracy: int = 10_000) -> tuple[DataFrame, Observation]:
+    """df unchanged, and checks of it made in passing: rows, nulls_<column> of required columns,
+    broken_<name> of identities (a condition that must hold; null isn't broken), and of each column of
+    spreads its least and greatest value and p01_, p50_, p99_ (approximate, relative error
+    1 / accuracy)."""
+    seen = Observation()
+    p = lambda c: F.percentile_approx(c, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)), accuracy)
+    checks = [F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in required], *[F.count_if(~c).alias(f"broken_{n}") for n, c in identities.items()]]
+    for c in spreads:
+        checks += [F.min(c).alias(f"least_{c}"), F.max(c).alias(f"greatest_{c}"), *[p(c)[k].alias(f"p{s}_{c}") for k, s in enumerate(("01", "50", "99"))]]
+    return df.observe(seen, *checks), seen
+
+
 def fan_out(df: DataFrame, on: list[str]) -> DataFrame:
     """Keys that occur more than once: a join on them would add rows."""
     return df.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from .folds import with_fold
 from .joins import asof_nearest
+from .windows import reflected
 
 #: How a trajectory becomes one number; ties of max_abs go to the first.
 AGGREGATORS = {
@@ -39,6 +40,17 @@ def exposure(fills: DataFrame, by: list[str], order: list[str], amount: str, lim
     return rows.withColumn("killed", F.max((F.col("exposure") > limit).cast("int")).over(w) == 1)
 
 
+def ledger(fills: DataFrame, game: str, order: list[str], amount: Column, block: Column, per_game: float, total: float) -> DataFrame:
+    """Adds game_exposure and total_exposure after each row (+ fill, - exit, never below 0), and `refused`:
+    whether a fill would have taken its game's or the total exposure beyond its limit. game_exposure
+    runs per game, total_exposure over all rows by `order` in blocks that follow it (see reflected).
+    Like a ledger, it books every row that is there, refused or not."""
+    rows = reflected(fills, [game], order, amount, "game_exposure")
+    rows = reflected(rows, [], order, amount, "total_exposure", block)
+    over = (F.col("game_exposure") > per_game) | (F.col("total_exposure") > total)
+    return rows.withColumn("refused", F.coalesce((amount > 0) & over, F.lit(False)))
+
+
 def trailing_stop(ticks: DataFrame, trade: str, order: list[str], gain: Column, trail: float) -> DataFrame:
     """The first tick of each trade whose gain is `trail` below the best so far."""
     w = Window.partitionBy(trade).orderBy(*order)

@@ -86,6 +86,31 @@ def with_ewma(df: DataFrame, by: list[str], order: list[str], x: str, name: str,
     return with_fold(rows, by, [*order, "_x", *df.columns], ["_x"], lambda: (float(start), 0.0), step, name, "double").drop("_x")
 
 
+def reflected(rows: DataFrame, by: list[str], order: list[str], amount: Column, name: str, block: Column | None = None) -> DataFrame:
+    """Adds the running sum of amount that never goes below 0: after each row max(0, before + amount).
+    That is the running sum less its least value so far (0 at most). Null amounts are 0.
+
+    With block, a value that never falls along the order (such as the day), a group is summed in
+    blocks, each by itself; only a row for each block, with its sum and its lowest point, is ordered
+    as a whole, and both are carried into the blocks after it. by may then be empty: one global order
+    without one task for all rows."""
+    names = iter(f"_{name}_{k}" for k in range(100))
+    s, b, low, total, floor, start = (next(n for n in names if n not in rows.columns) for _ in range(6))
+    df = rows.withColumn(b, block if block is not None else F.lit(0))
+    inside = Window.partitionBy(*by, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn(s, F.sum(F.coalesce(amount, F.lit(0))).over(inside)).withColumn(low, F.min(s).over(inside))
+    if block is None:
+        return df.withColumn(name, F.col(s) - F.least(F.lit(0), low)).drop(s, b, low)
+    last = F.max_by(s, F.struct(*order))
+    each = df.groupBy(*by, b).agg(last.alias(total), F.min(s).alias(low))
+    ahead = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn(start, F.coalesce(F.sum(total).over(ahead), F.lit(0)))
+    each = each.withColumn(floor, F.least(F.lit(0), F.min(F.col(start) + F.col(low)).over(ahead))).select(*[F.col(c).alias(f"{c}{b}") for c in (*by, b)], start, floor)
+    same = [F.col(c).eqNullSafe(F.col(f"{c}{b}")) for c in (*by, b)]
+    df = df.join(each, same, "left").withColumn(name, F.col(start) + F.col(s) - F.least(F.col(floor), F.col(start) + F.col(low)))
+    return df.select(*[c for c in rows.columns if c != name], name)
+
+
 def average_pace(rows: DataFrame, home: str, away: str, game: str, pace: str, default: float = 15.0) -> DataFrame:
     """team, game, pace: mean of the paces above 0 over all rows of the team's games up to this one,
     home or away, this one included; default where there is none. Rows are summed by game first."""

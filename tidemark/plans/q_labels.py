@@ -186,6 +186,18 @@ def l17_exposure(t):
     return out.select("event_id", F.round("exposure", 6).alias("exposure"), "killed")
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'purchase' THEN value WHEN 'signup' THEN value WHEN 'error' THEN -value ELSE 0 END AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+g AS (SELECT user_id, event_id, n, greatest(0, a) AS x FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, greatest(0, g.x + e.a) FROM g JOIN e ON e.user_id = g.user_id AND e.n = g.n + 1),
+s AS (SELECT *, sum(a) OVER (ORDER BY ts, event_id) AS s FROM e), t AS (SELECT *, s - least(0, min(s) OVER (ORDER BY ts, event_id)) AS total FROM s)
+SELECT event_id, round(x, 6) AS game_exposure, round(total, 6) AS total_exposure, a > 0 AND (x > 300 OR total > 1000) AS refused FROM t JOIN g USING (event_id)""")
+def l17_ledger(t):
+    """Open exposure per user and in all, never below 0: purchases and signups fill, errors exit."""
+    kind, v = F.col("event_type"), F.col("value").cast("decimal(18,6)")
+    amount = F.when(kind.isin("purchase", "signup"), v).when(kind == "error", -v).otherwise(F.lit(0).cast("decimal(18,6)"))
+    out = replay.ledger(events(t), "user_id", ["us", "event_id"], amount, F.floor(F.col("us") / (6 * 3_600_000_000)), 300.0, 1000.0)
+    return out.select("event_id", F.col("game_exposure").cast("double").alias("game_exposure"), F.col("total_exposure").cast("double").alias("total_exposure"), "refused")
+
+
 @query(_EXITS.replace("WITH e", "WITH RECURSIVE e") + """, n AS (SELECT *, config, row_number() OVER (PARTITION BY config, user_id ORDER BY s, event_id) AS n FROM x CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS config) WHERE entry >= config * 20),
 f AS (SELECT config, user_id, n, fin, true AS ok FROM n WHERE n = 1 UNION ALL
 SELECT n.config, n.user_id, n.n, CASE WHEN n.s >= f.fin THEN n.fin ELSE f.fin END, n.s >= f.fin FROM f JOIN n ON n.config = f.config AND n.user_id = f.user_id AND n.n = f.n + 1)

@@ -243,3 +243,21 @@ def d01_d08_clocks(t):
 @query("""SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, lower(substr(url, 1, 4)) AS scheme, length(html) AS n, CAST(regexp_extract(url, '([0-9]+)', 1) AS VARCHAR) AS first_number FROM pages""")
 def x02_x06_text(t):
     return t.pages.select("page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"), F.lower(F.substring("url", 1, 4)).alias("scheme"), F.length("html").cast("long").alias("n"), F.regexp_extract("url", "([0-9]+)", 1).alias("first_number"))
+
+
+@query("""SELECT 'rows' AS check, count(*) AS n FROM lineitem UNION ALL SELECT 'nulls_l_shipdate', count(*) FILTER (l_shipdate IS NULL) FROM lineitem UNION ALL SELECT 'broken_quantity', count(*) FILTER (l_quantity < 25) FROM lineitem
+UNION ALL SELECT 'broken_price', count(*) FILTER (l_extendedprice < 100 * l_quantity) FROM lineitem UNION ALL SELECT 'least_l_linenumber', min(l_linenumber) FROM lineitem UNION ALL SELECT 'greatest_l_linenumber', max(l_linenumber) FROM lineitem""")
+def a20_quality_suite(t):
+    """Nulls, identities and bounds of lineitem, counted in passing while it is read once."""
+    rows, seen = aggs.quality_suite(t.lineitem, ["l_shipdate"], {"quantity": F.col("l_quantity") >= 25, "price": F.col("l_extendedprice") >= 100 * F.col("l_quantity")}, ["l_linenumber"])
+    rows.write.format("noop").mode("overwrite").save()
+    return t.spark.createDataFrame([(k, int(v)) for k, v in seen.get.items() if not k.startswith("p")], "check string, n long")
+
+
+@query("""WITH w AS (SELECT CASE WHEN NOT coalesce(l_returnflag = 'N', false) THEN 'flag' WHEN NOT coalesce(l_quantity > 10, false) THEN 'small' WHEN NOT coalesce(l_discount < 0.05, false) THEN 'discount' END AS why FROM lineitem)
+SELECT coalesce('dropped_' || why, 'kept') AS what, count(*) AS n FROM w GROUP BY 1 UNION ALL SELECT 'rows', count(*) FROM w""")
+def f06_regime_filter(t):
+    """How many rows a chain of conditions keeps, and which condition drops the others."""
+    rows, seen = aggs.counted_filter(t.lineitem, {"flag": F.col("l_returnflag") == "N", "small": F.col("l_quantity") > 10, "discount": F.col("l_discount") < 0.05})
+    rows.write.format("noop").mode("overwrite").save()
+    return t.spark.createDataFrame([(k, int(v)) for k, v in seen.get.items()], "what string, n long")

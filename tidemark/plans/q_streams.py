@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import clocks, possessions, sequences
+from ..operators import clocks, possessions, ratings, sequences
 from ..streaming import machines, stream
 from .q_joins import HOUR, events
 from .registry import query
@@ -107,6 +107,25 @@ def st07_enriched(t):
     return stream.drained(stream.enriched(rows, t.nation.select("n_nationkey", "n_name"), ["n_nationkey"])).select("event_id", "n_name")
 
 
+@query("""WITH l AS (SELECT user_id, event_id, ts, value, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM l)
+SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS last, count(*) AS n, round(sum(value), 6) AS total FROM s GROUP BY user_id, no""")
+def st09_sessions(t):
+    """Sessions of each user's events, six hours apart, given once their end has passed."""
+    rows = _stream(t, LATE + 8 * HOUR).withColumn("at", F.timestamp_micros("us"))
+    out = stream.drained(stream.sessions(rows, ["user_id"], "at", "value", "6 hours", "1 day"))
+    return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("last").alias("last"), "n", F.round("total", 6).alias("total"))
+
+
+@query("""SELECT s.event_id, p.value AS price, epoch_us(p.ts) AS since FROM (SELECT * FROM events WHERE event_type = 'signup') s ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL) p ON s.user_id = p.user_id AND s.ts >= p.ts""")
+def st07_versions(t):
+    """Signups of the stream with the price that the user's last purchase had set by then."""
+    kinds = events(t)
+    versions = kinds.where("event_type = 'purchase'").select("user_id", F.col("us").alias("since"), F.col("value").alias("price"))
+    rows = _stream(t).where("event_type = 'signup'").select("event_id", "user_id", "us")
+    return stream.drained(stream.enriched_as_of(rows, versions, "user_id", "us", "since", ["price", "since"])).select("event_id", "price", "since")
+
+
 _KINDS = ("view", "click", "error", "purchase", "signup")
 _LAST = ", ".join(f"last_value(CASE WHEN event_type = '{k}' THEN value END IGNORE NULLS) OVER w AS {k}" for k in _KINDS)
 
@@ -232,6 +251,24 @@ def u07_permutation_importance(t):
     return permutation_importance(rows, ["l_quantity", "l_discount", "l_tax"], lambda x: x @ [1.5, 0.0, 0.0], "y", ["l_orderkey", "l_linenumber"])
 
 
+@query("""WITH RECURSIVE o AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+f AS (SELECT o_custkey, day, n, greatest(0.05, 2.0 / 3) * o_totalprice + (1 - greatest(0.05, 2.0 / 3)) * 100000.0 AS level FROM o WHERE n = 1
+UNION ALL SELECT o.o_custkey, o.day, o.n, greatest(0.05, 2.0 / (o.n + 2)) * o.o_totalprice + (1 - greatest(0.05, 2.0 / (o.n + 2))) * f.level FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.n = f.n + 1)
+SELECT o_custkey, CAST(day AS VARCHAR) AS day, round(arg_max(level, n), 3) AS level, CAST(max(n) AS BIGINT) AS n FROM f GROUP BY o_custkey, day""")
+def e10_nightly_ratings(t):
+    """Customers' ratings after each day, updated in four nights of which the third is run twice."""
+    import uuid
+
+    path = f"{stream.scratch(t.spark)}/ratings-{uuid.uuid4().hex}"
+    rows = t.orders.select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"), "o_totalprice")
+    low, high = rows.agg(F.min(F.unix_date("day")), F.max(F.unix_date("day"))).first()
+    width = (high - low) // 4 + 1
+    for night in (0, 1, 2, 2, 3):
+        tonight = rows.where(F.floor((F.unix_date("day") - low) / width) == night)
+        out = ratings.nightly(tonight, path, "o_custkey", "day", ["o_orderkey"], "o_totalprice", 100000.0)
+    return out.select("o_custkey", F.col("day").cast("string").alias("day"), F.round("level", 3).alias("level"), "n")
+
+
 @query("""WITH w AS (SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice, avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS recent,
 count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS games, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS last FROM orders)
 SELECT o_orderkey, c_mktsegment, round(coalesce(recent, 0), 6) AS recent, games, round(coalesce(recent - last, 0), 6) AS form, c_acctbal > 0 AS solvent FROM w LEFT JOIN customer ON o_custkey = c_custkey""")

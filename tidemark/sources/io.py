@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -55,6 +58,80 @@ def append_aligned(df: DataFrame, path: str, schema: T.StructType) -> None:
     fixed.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}).write.mode("append").parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _moved(spark: SparkSession, path: str, to: str) -> None:
+    (a, fs), (b, _) = _folder(spark, path), _folder(spark, to)
+    if not fs.rename(a, b):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at, fs = _folder(spark, path)
+    return fs.exists(at)
+
+
+def recovered(spark: SparkSession, path: str) -> None:
+    """Puts back a table whose swap was killed between its two moves."""
+    if not _there(spark, path) and _there(spark, f"{path}__old"):
+        _moved(spark, f"{path}__old", path)
+
+
+def table_at(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """The Parquet table at path; no rows if there is none yet."""
+    recovered(spark, path)
+    return spark.read.schema(schema).parquet(path) if _there(spark, path) else spark.createDataFrame([], schema)
+
+
+def swap_table(df: DataFrame, path: str, rows: int | None = None, least: int | None = None) -> int:
+    """Puts df in place of the table at path and gives its number of rows, which is counted while it is
+    written. It is written beside the table and moved in only if it has `rows` rows, or at least
+    `least`; otherwise, or if the write fails, the old table stays. df may read the table itself."""
+    spark = df.sparkSession
+    recovered(spark, path)
+    seen = Observation()
+    try:
+        df.observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}__new")
+        n = seen.get["n"]
+        if (rows is not None and n != rows) or (least is not None and n < least):
+            raise ValueError(f"{n} rows were written, {rows if rows is not None else f'{least} or more'} were expected")
+    except Exception:
+        at, fs = _folder(spark, f"{path}__new")
+        fs.delete(at, True)
+        raise
+    if _there(spark, path):
+        _moved(spark, path, f"{path}__old")
+    _moved(spark, f"{path}__new", path)
+    at, fs = _folder(spark, f"{path}__old")
+    fs.delete(at, True)
+    spark.catalog.refreshByPath(path)
+    return n
+
+
+def write_groups(staging: DataFrame, path: str, group: list[str]) -> None:
+    """Replaces the groups that staging holds in a table with a folder for each group; others stay. The
+    new folders take the places of the old ones when the job ends, so a failed write changes nothing."""
+    staging.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*group).parquet(path)
+
+
+def patch_table(path: str, spark: SparkSession, fixes: DataFrame, on: list[str], columns: list[str], backup_path: str | None = None) -> dict[str, int]:
+    """patch, swapped in: rows before and after, which must be equal, and how many changed, from one
+    pass. With backup_path the rows that change are kept there first."""
+    old = spark.read.parquet(path)
+    if backup_path:
+        keys = fixes.where(" or ".join(f"`{c}` is not null" for c in columns)).select(*on).distinct()
+        old.join(keys, on, "left_semi").write.mode("errorifexists").parquet(backup_path)
+    changed, same = Observation(), [F.col(f"_was.{c}").eqNullSafe(F.col(c)) for c in columns]
+    # the old values go along, so that changes are counted while the table is written
+    wide = patch(old.withColumn("_was", F.struct(*columns)), fixes, on, columns).observe(changed, F.count_if(~reduce(and_, same)).alias("n"))
+    before = old.count()
+    after = swap_table(wide.drop("_was"), path, rows=before)
+    return {"before": before, "after": after, "changed": changed.get["n"]}
+
+
 def backup(df: DataFrame, where, path: str) -> None:
     """The rows that are about to change, kept beside the table."""
     df.where(where).write.mode("errorifexists").parquet(path)

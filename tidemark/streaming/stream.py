@@ -119,6 +119,25 @@ def windowed(ticks: DataFrame, by: list[str], time: str, price: str, width: str,
     return agg.select(*by, F.col("w.start").alias("start"), "n", "total", "low", "high")
 
 
+def sessions(ticks: DataFrame, by: list[str], time: str, price: str, gap: str, late: str = "1 hour") -> DataFrame:
+    """start, last, n, total of each run of ticks in which none is further than gap from the one before.
+    A session is given once, when the watermark has passed its end; ticks that come later are left out and
+    counted (late_rows)."""
+    agg = ticks.withWatermark(time, late).groupBy(*by, F.session_window(time, gap).alias("w")).agg(F.max(time).alias("last"), F.count("*").alias("n"), F.sum(price).alias("total"))
+    return agg.select(*by, F.col("w.start").alias("start"), "last", "n", "total")
+
+
+def enriched_as_of(stream: DataFrame, versions: DataFrame, on: str, time: str, since: str, columns: list[str]) -> DataFrame:
+    """Stream rows with the columns of their key's version at their time: the one with the latest
+    `since` up to it (of equal ones the greatest), null where there is none. versions is a static table
+    with a row for each version; a key's versions go as one sorted array, so a row meets its key once."""
+    row = F.struct(F.col(since).alias("since"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    held = versions.where(F.col(since).isNotNull()).groupBy(F.col(on).alias("_of")).agg(F.array_sort(F.collect_list(row)).alias("_versions"))
+    at = F.try_element_at(F.filter("_versions", lambda v: v["since"] <= F.col(time)), F.lit(-1))
+    rows = stream.join(held, F.col(on) == F.col("_of"), "left").withColumn("_at", at)
+    return rows.select(*stream.columns, *[F.col(f"_at.v{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def enriched(stream: DataFrame, static: DataFrame, on: list[str]) -> DataFrame:
     """Stream rows with the columns of a static table."""
     return stream.join(static, on, "left")
