@@ -227,6 +227,18 @@ def _check(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, percen
     return linked.select(F.col("leader").alias("a"), F.col("member").alias("b"))
 
 
+def _one_a_class(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """cls and keys of one document of each class, so that a text that many documents share makes no
+    key hot. The other documents are left out where they lie if they are few; of many, one of each
+    class is taken by dealing all. Repeated rows of the one document stay."""
+    one = classes.select("cls", F.col("of.id").alias("one"), F.col("of.text_hash").alias("one_hash"))
+    spare = full.select("cls", "id", "text_hash").join(one.hint("merge"), "cls").where("id != one or text_hash != one_hash").select("id", "text_hash").distinct()
+    spare = staged(spare)
+    if spare.count() <= FEW:
+        return full.select("cls", "id", "text_hash", "keys").join(F.broadcast(spare), ["id", "text_hash"], "left_anti")
+    return full.groupBy("cls").agg(F.first("keys").alias("keys"))
+
+
 def _across(batches, percent):
     """Pairs of one bucket and size (of two of its blocks) in different components that sizes and
     narrow sketches don't rule out. A row stands with its own size (`home`) or as the lower
@@ -272,12 +284,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     rows = rows.withColumn("id", F.coalesce("given", -F.pmod("text_hash", F.lit(1 << 61)) - F.lit(1 << 61)))
     profile = staged(rows.select("id", "text_hash", "text").mapInPandas(lambda b: _profile(b, k, percent), "id long, text_hash long, n int, cls long, keys array<long>, narrow array<long>, wide binary"))
     full = profile.where("n > 0")
-    classes = staged(full.groupBy("cls").agg(F.min(F.struct("id", "text_hash")).alias("of"), F.first("n").alias("n"), F.first("narrow").alias("narrow"), F.first("wide").alias("wide"), F.first("keys").alias("keys")))
+    classes = staged(full.groupBy("cls").agg(F.min(F.struct("id", "text_hash")).alias("of"), F.first("n").alias("n"), F.first("narrow").alias("narrow"), F.first("wide").alias("wide")))
 
     # buckets of two classes or more, and what supports each class in them: most keys occur once
     # and go first, by the narrowest rows
-    # a class has one row here, so a text that many documents share makes no key hot
-    entries = classes.select("cls", F.explode("keys").alias("key"))
+    entries = _one_a_class(full, classes).select("cls", F.explode("keys").alias("key"))
     twice = staged(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     # sort-merge at every size: the rare keys grow with the corpus
     close = staged(entries.join(twice.hint("merge"), "key"))
@@ -322,10 +333,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near copies: of each component the row with the least id stays (of equal
-    rows one), and every document that is linked with nothing."""
+    """docs without near copies: of each component the row with the least id stays (of rows with equal
+    id and text any one, whatever their other columns are), and every document that is linked with
+    nothing."""
     found = jaccard_components(docs, k, percent, id_col, text_col)
-    gone = found.where(~F.col("component_id").eqNullSafe(F.col("id"))).select("id", "text_hash").distinct()
-    rows = docs.select(packed_row(docs), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash")).dropDuplicates(["id", "text_hash"])
-    kept = rows.alias("r").join(gone.alias("g").hint("merge"), F.col("r.id").eqNullSafe(F.col("g.id")) & (F.col("r.text_hash") == F.col("g.text_hash")), "left_anti")
-    return kept.select("row.*")
+    # equal ids, null among them, as equal values, so that rows are dealt once for both steps
+    key = lambda c: [c.isNull().alias("no_id"), F.coalesce(c.cast("string"), F.lit("")).alias("name"), F.col("text_hash")]
+    names = ["no_id", "name", "text_hash"]
+    gone = staged(found.where(~F.col("component_id").eqNullSafe(F.col("id"))).select(*key(F.col("id"))).distinct())
+    rows = docs.select(packed_row(docs), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
+    rows = rows.select("row", *key(F.col("id"))).dropDuplicates(names)
+    return rows.join(gone.hint("merge"), names, "left_anti").select("row.*")
