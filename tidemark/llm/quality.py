@@ -2,11 +2,14 @@
 
 Two logistic classifiers see two views of a page. The content view is its words alone: hashed
 pairs of letters, all else dropped. The metadata view is all else: source, language, length,
-layout and signs. Both are fitted on labelled rows. In each round both score every document,
-and those that one is sure of become labelled rows for the other, whose weights then take a
-Newton step; the sums over them that the step needs are made on Spark. At the end both are calibrated on
-labelled rows that neither was fitted on, and the mean of the calibrated log-odds scores all
-documents.
+layout and signs. Both are fitted on labelled rows, and calibrated on others. In each round both
+score every document, and those that one is sure of, by its calibrated score, become labelled rows
+for the other, whose weights then take a Newton step; the sums over them that the step needs are
+made on Spark, for each label by itself, so that both labels keep the weight that they have among
+labelled rows. A view takes the step only if its loss on labelled rows that neither fit nor
+calibration has seen clearly falls. At the end the calibrated log-odds of both are weighed by a
+logistic fit on the rows that were held back, and score all documents; if that gains nothing
+clear, the better view stands alone.
 """
 
 from __future__ import annotations
@@ -27,9 +30,11 @@ FIT_ROWS = 4000
 ROUNDS = 2
 #: How sure a view must be of a pseudo-label.
 SURE = 0.95
-#: Ridge penalty; pseudo-labels weigh as much as the labelled rows together at most.
-PENALTY = 20.0
+#: Ridge penalty; what pseudo-labels weigh at most beside the labelled rows together.
+PENALTY, PSEUDO = 20.0, 0.5
 THRESHOLD = 0.5
+#: By how many standard errors a round, or both views together, must do better to count.
+ERRORS = 2.0
 _TEXT, _HASHED = 256, 16
 #: Letters in lower case (and all bytes of other scripts) stay, what else there is becomes a space.
 _LETTERS = bytes(b if b >= 128 else b | 32 if 97 <= (b | 32) <= 122 else 32 for b in range(256))
@@ -89,6 +94,9 @@ class View:
     weights: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
+    #: This view's part in the combined log-odds.
+    share: float = 0.5
+    bias: float = 0.0
 
     @classmethod
     def fitted(cls, x, y, penalty):
@@ -108,13 +116,17 @@ class View:
         return np.concatenate([[len(x)], (y - _sigmoid(z @ self.weights)) @ z])
 
     def stepped(self, x, y, given: np.ndarray, penalty: float) -> View:
-        """With the weights after a Newton step on labelled rows and the sums of pseudo-labelled ones,
-        whose curvature is taken to be that of labelled rows."""
-        z, own = np.hstack([self.standard(x), np.ones((len(x), 1))]), self.sums(x, y)
-        p, share, ridge = _sigmoid(z @ self.weights), min(1.0, own[0] / max(1.0, given[0])), np.full(len(self.weights), penalty)
+        """With the weights after a Newton step on labelled rows and the sums of pseudo-labelled ones of
+        either label, whose curvature is taken to be that of labelled rows."""
+        z, own, given = np.hstack([self.standard(x), np.ones((len(x), 1))]), self.sums(x, y), given.reshape(2, -1)
+        n = given[:, 0]
+        # both labels in the labelled rows' proportion; no pseudo-label weighs more than a true one
+        weight = PSEUDO * own[0] * np.array([1 - y.mean(), y.mean()])
+        scale = np.minimum(1.0, weight / np.maximum(n, 1.0))
+        p, ridge = _sigmoid(z @ self.weights), np.full(len(self.weights), penalty)
         ridge[-1] = 1e-6
-        curve = (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z * (1 + share * given[0] / own[0])
-        step = np.linalg.solve(curve + np.diag(ridge), own[1:] + share * given[1:] - ridge * self.weights)
+        curve = (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z * (1 + scale @ n / own[0])
+        step = np.linalg.solve(curve + np.diag(ridge), own[1:] + scale @ given[:, 1:] - ridge * self.weights)
         return View(self.mean, self.scale, self.weights + np.clip(step, -1, 1))
 
     def calibrate(self, x, y):
@@ -124,14 +136,25 @@ class View:
     def log_odds(self, x):
         return self.raw(x) * self.slope + self.shift
 
+def _losses(odds: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log losses of log-odds."""
+    return np.logaddexp(0, np.where(y >= 0.5, -odds, odds))
+
+
+def _gains(before: np.ndarray, after: np.ndarray, y: np.ndarray) -> bool:
+    """Whether log-odds lose less than those before by more than ERRORS standard errors of the mean."""
+    gain = _losses(before, y) - _losses(after, y)
+    return bool(gain.mean() > ERRORS * gain.std() / np.sqrt(len(gain)))
+
 
 def exchanged(views: list[View], text: np.ndarray, meta: np.ndarray) -> list[np.ndarray]:
-    """Each view's sums over the rows that the other view is sure of, with its labels."""
-    p = [_sigmoid(v.raw(x)) for v, x in zip(views, (text, meta))]
+    """Each view's sums over the rows that the other view is sure of, with its labels: those of label 0,
+    then of label 1."""
+    p = [_sigmoid(v.log_odds(x)) for v, x in zip(views, (text, meta))]
     out = []
     for view, x, other in ((views[0], text, p[1]), (views[1], meta, p[0])):
-        sure = np.maximum(other, 1 - other) >= SURE
-        out.append(view.sums(x[sure], (other[sure] >= 0.5).astype(float)))
+        no, yes = other <= 1 - SURE, other >= SURE
+        out.append(np.concatenate([view.sums(x[no], np.zeros(no.sum())), view.sums(x[yes], np.ones(yes.sum()))]))
     return out
 
 
@@ -143,7 +166,7 @@ def _views_of(texts, sources, langs) -> tuple[np.ndarray, np.ndarray]:
 def _all_exchanged(docs: DataFrame, views: list[View]) -> list[np.ndarray]:
     """exchanged over all rows of docs (text, source, lang): each task's sums are added up once more,
     so that the driver gets two rows whatever the corpus."""
-    given, size = shared(docs.sparkSession, views), [1 + len(v.weights) for v in views]
+    given, size = shared(docs.sparkSession, views), [2 * (1 + len(v.weights)) for v in views]
 
     def sums(batches):
         views, total = unshared(given), [np.zeros(n) for n in size]
@@ -169,17 +192,35 @@ def _all_exchanged(docs: DataFrame, views: list[View]) -> list[np.ndarray]:
 
 
 def co_train(text, meta, y, pool, rounds: int = ROUNDS, penalty: float = PENALTY) -> list[View] | None:
-    """Both views, from labelled rows in a stated order: a seeded quarter calibrates, the rest fits.
-    pool(views): the sums of exchanged over all documents."""
-    held = np.random.default_rng(11).permutation(len(y)) % 4 == 3
-    if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
+    """Both views, from labelled rows in a stated order: of a seeded quarter one half calibrates and the
+    other judges, the rest fits. pool(views): the sums of exchanged over all documents. A view that
+    gains nothing by a round stays as it was; if neither gains, there is no further round."""
+    part = np.random.default_rng(11).permutation(len(y)) % 8
+    fits, tunes, judges = part < 6, part == 6, part == 7
+    if any(len(set(y[rows])) < 2 for rows in (fits, tunes, judges)):
         return None
     x = [text, meta]
-    views = [View.fitted(v[~held], y[~held], penalty) for v in x]
+    views = [View.fitted(v[fits], y[fits], penalty) for v in x]
+    for v, z in zip(views, x):
+        v.calibrate(z[tunes], y[tunes])
     for _ in range(rounds):
-        views = [v.stepped(z[~held], y[~held], given, penalty) for v, z, given in zip(views, x, pool(views))]
+        after = [v.stepped(z[fits], y[fits], given, penalty) for v, z, given in zip(views, x, pool(views))]
+        for v, z in zip(after, x):
+            v.calibrate(z[tunes], y[tunes])
+        better = [_gains(v.log_odds(z[judges]), a.log_odds(z[judges]), y[judges]) for a, v, z in zip(after, views, x)]
+        views = [a if won else v for a, v, won in zip(after, views, better)]
+        if not any(better):
+            break
+    held = ~fits
     for v, z in zip(views, x):
         v.calibrate(z[held], y[held])
+    odds = np.stack([v.log_odds(z[held]) for v, z in zip(views, x)], 1)
+    w = _fit_logistic(odds / 4, y[held], 0.1)
+    one = int(_losses(odds[:, 1], y[held]).mean() < _losses(odds[:, 0], y[held]).mean())
+    if min(w[:2]) < 0 or not _gains(odds[:, one], odds @ w[:2] / 4 + w[2], y[held]):
+        w = np.array([4.0 * (one == 0), 4.0 * (one == 1), 0.0])  # the better view says all that both do
+    views[0].share, views[1].share, views[0].bias = w[0] / 4, w[1] / 4, w[2]
+    views[1].bias = 0.0
     return views
 
 
@@ -228,7 +269,8 @@ def _scored(docs: DataFrame, views: list[View] | None, *given):
                 part = slice(k, k + 256)
                 odds[:, part] = [v.log_odds(x) for v, x in zip(views, _views_of(texts.iloc[part], sources.iloc[part], langs.iloc[part]))]
             share = lambda x: np.where(blank, 0.0, _sigmoid(x))
-            yield pd.DataFrame({"score": share(odds.mean(axis=0)), "text_score": share(odds[0]), "meta_score": share(odds[1]), "fitted": True})
+            both = sum(v.share * o + v.bias for v, o in zip(views, odds))
+            yield pd.DataFrame({"score": share(both), "text_score": share(odds[0]), "meta_score": share(odds[1]), "fitted": True})
 
     return scored.asNondeterministic()(*given)
 
