@@ -46,10 +46,14 @@ def _hazards(t, steps):
     return labels.with_hazards(rows, BY, ORDER, "run", scoring, steps)
 
 
-@query()
+@query(f"""WITH s AS (SELECT *, event_type IN ('purchase', 'signup') AS sc FROM events),
+p AS (SELECT *, coalesce(last_value(CASE WHEN sc THEN event_type END IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS run, count(CASE WHEN sc THEN 1 END) OVER ({_W}) AS k FROM s),
+f AS (SELECT user_id, k, run AS side FROM p WHERE sc)
+SELECT event_id, {", ".join(f"CAST(run = '' OR count(f.k) < {j} OR coalesce(bool_or(f.k <= p.k + {j} AND side <> run), false) AS INT) AS haz_{j - 1}" for j in range(1, 11))}
+FROM p LEFT JOIN f ON f.user_id = p.user_id AND f.k BETWEEN p.k + 1 AND p.k + 10 GROUP BY event_id, run, p.k""")
 def l02_hazards_10(t):
     """All ten steps of the hazards."""
-    return _hazards(t, 10).select("event_id", "hazards")
+    return _hazards(t, 10).select("event_id", *[F.col("hazards")[k].alias(f"haz_{k}") for k in range(10)])
 
 
 def _exits(t):
@@ -104,12 +108,21 @@ def l04_l08_trajectory(t):
     return out.select("event_id", F.round(v[0], 6).alias("traj_1"), F.round(replay.AGGREGATORS["final"](v), 6).alias("traj_4"), F.round(replay.AGGREGATORS["mean"](v), 6).alias("traj_mean"))
 
 
-@query()
+_CHECKPOINTS = ", ".join(f"round(max(CASE WHEN k = {k} THEN x END), 6) AS traj_{k}" for k in range(1, 11))
+
+
+@query(_EXITS + f""", c AS (SELECT x.*, k, CAST(round_even({HOLD} / 10 * k, 0) AS BIGINT) + s AS cp, user_id AS u FROM x CROSS JOIN (SELECT unnest(range(1, 11)) AS k)),
+p AS (SELECT c.*, v.value AS seen FROM c ASOF LEFT JOIN (SELECT user_id, epoch_us(ts) AS us, value FROM events) v ON c.u = v.user_id AND c.cp <= v.us),
+q AS (SELECT *, CASE WHEN cp >= fin THEN price ELSE least(coalesce(seen, entry), entry + 5) END AS pp FROM p),
+d AS (SELECT event_id, k, greatest(0.01, least(0.99, pp / 100)) AS b, greatest(0.01, least(0.99, entry / 100)) AS a FROM q),
+y AS (SELECT event_id, k, ln(b / (1 - b)) - ln(a / (1 - a)) AS x FROM d)
+SELECT event_id, {_CHECKPOINTS}, round(max(CASE WHEN k = 10 THEN x END), 6) AS final, round(avg(x), 6) AS mean, round(sum(CASE WHEN k BETWEEN 3 AND 9 THEN x END) / 7, 6) AS mean_3_to_9, round(arg_max(x, (round(abs(x), 9), -k)), 6) AS max_abs FROM y GROUP BY event_id""")
 def l04_l08_trajectory_10(t):
     """All ten checkpoints of the trajectory, and every aggregate of them."""
     _, ticks, out = _exits(t)
     out = labels.with_trajectory(out, ticks, BY, "event_id", "start", "entry", "us", "value", "tick_id", HOLD, 10, cap=5.0)
-    return out.select("event_id", "trajectory", *[f(F.col("trajectory")).alias(name) for name, f in replay.AGGREGATORS.items()])
+    v = F.col("trajectory")
+    return out.select("event_id", *[F.round(v[k], 6).alias(f"traj_{k + 1}") for k in range(10)], *[F.round(f(v), 6).alias(name) for name, f in replay.AGGREGATORS.items()])
 
 
 def _ledger(t):

@@ -254,7 +254,7 @@ def u07_permutation_importance(t):
 @query("""WITH RECURSIVE o AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
 f AS (SELECT o_custkey, day, n, greatest(0.05, 2.0 / 3) * o_totalprice + (1 - greatest(0.05, 2.0 / 3)) * 100000.0 AS level FROM o WHERE n = 1
 UNION ALL SELECT o.o_custkey, o.day, o.n, greatest(0.05, 2.0 / (o.n + 2)) * o.o_totalprice + (1 - greatest(0.05, 2.0 / (o.n + 2))) * f.level FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.n = f.n + 1)
-SELECT o_custkey, CAST(day AS VARCHAR) AS day, round(arg_max(level, n), 3) AS level, CAST(max(n) AS BIGINT) AS n FROM f GROUP BY o_custkey, day""")
+SELECT o_custkey, CAST(day AS VARCHAR) AS day, round(arg_max(level, n), 6) AS level, CAST(max(n) AS BIGINT) AS n FROM f GROUP BY o_custkey, day""")
 def e10_nightly_ratings(t):
     """Customers' ratings after each day, updated in four nights of which the third is run twice."""
     import uuid
@@ -266,7 +266,7 @@ def e10_nightly_ratings(t):
     for night in (0, 1, 2, 2, 3):
         tonight = rows.where(F.floor((F.unix_date("day") - low) / width) == night)
         out = ratings.nightly(tonight, path, "o_custkey", "day", ["o_orderkey"], "o_totalprice", 100000.0)
-    return out.select("o_custkey", F.col("day").cast("string").alias("day"), F.round("level", 3).alias("level"), "n")
+    return out.select("o_custkey", F.col("day").cast("string").alias("day"), F.round("level", 6).alias("level"), "n")
 
 
 @query("""WITH w AS (SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice, avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS recent,
