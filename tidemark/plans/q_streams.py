@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import clocks, possessions, ratings, sequences
+from ..operators import clocks, feed, possessions, ratings, sequences
 from ..streaming import machines, stream
 from .q_joins import HOUR, events
 from .registry import query
@@ -194,6 +194,46 @@ def e01_possession_grammar(t):
     return out.select("user_id", "event_id", "possession", "side", "team_scored", "points", "shot_value", "had_foul", "had_sub")
 
 
+@query(_GRAMMAR + """ SELECT r.user_id, r.possession, any_value(r.points) AS points, count(CASE WHEN j.kind = 'foul' THEN 1 END) AS fouls, count(CASE WHEN j.kind = 'substitution' AND j.side = 'home' THEN 1 END) AS home_subs, coalesce(bool_or(j.kind = 'foul' AND j.v % 2 = 0), false) AS had_shooting_foul
+FROM r JOIN j USING (user_id, possession) GROUP BY ALL""")
+def e07_corrected_rows(t):
+    """Possessions built again from the events, with what their fouls and substitutions sum up to."""
+    game = _game(events(t))
+    rows = possessions.possession_rows(game, ["user_id"], ["us", "event_id"]).select("user_id", "event_id", "possession", "points")
+    w = Window.partitionBy("user_id").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    ends = game.join(rows.select("event_id", F.lit(1).alias("ends")), "event_id", "left")
+    feed_ = ends.withColumn("possession", F.coalesce(F.sum("ends").over(w), F.lit(0)))
+    fouls = (feed_.where("kind = 'foul'"), {"fouls": F.count("*"), "had_shooting_foul": F.max(F.col("sub") == "shooting")}, {"fouls": 0, "had_shooting_foul": False})
+    subs = (feed_.where("kind = 'substitution'"), {"home_subs": F.count_if(F.col("side") == "home")}, {"home_subs": 0})
+    out = feed.corrected_rows(rows, [fouls, subs], ["user_id", "possession"])
+    return out.select("user_id", "possession", "points", "fouls", "home_subs", "had_shooting_foul")
+
+
+@query(_GRAMMAR + f""" SELECT e.event_id, last_value(r.possession IGNORE NULLS) OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS possession, last_value(r.points IGNORE NULLS) OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS points FROM events e LEFT JOIN r ON r.event_id = e.event_id""")
+def e08_write_back(t):
+    """The feed with the last possession's columns on every event."""
+    game = _game(events(t))
+    rows = possessions.possession_rows(game, ["user_id"], ["us", "event_id"])
+    return feed.write_back(game, rows, ["user_id", "event_id"], ["user_id"], ["us", "event_id"], ["possession", "points"]).select("event_id", "possession", "points")
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'fouls' WHEN 1 THEN 'substitutions' ELSE 'timeouts' END AS tab, CASE event_id % 3 WHEN 2 THEN CASE event_id % 2 WHEN 0 THEN 'PHX' ELSE 'LAL' END ELSE 'T' || user_id % 2 END AS team,
+CASE WHEN event_id % 3 < 2 THEN user_id END AS player, CASE event_id % 3 WHEN 0 THEN event_type WHEN 2 THEN CASE WHEN event_id % 5 = 0 THEN 'Regular' ELSE 'Short' END END AS what, CASE WHEN event_id % 3 = 1 AND event_id % 4 > 0 THEN 'Bo ' || event_id % 7 END AS came, CASE WHEN event_id % 3 = 2 THEN CASE WHEN event_id % 4 = 0 THEN -1 ELSE CAST(event_id % 6 AS INT) END END AS full_left FROM events""")
+def e04_event_tables(t):
+    """Fouls, substitutions and timeouts taken out of one feed."""
+    i, said = F.col("event_id"), lambda c: c.cast("string")
+    kind = F.when(i % 3 == 0, "Foul").when(i % 3 == 1, "Substitution").otherwise("Timeout")
+    call = F.concat(F.when(i % 2 == 0, "SUNS").otherwise("Lakers"), F.lit(" Timeout: Regular"), F.when(i % 4 == 0, "").otherwise(F.concat(F.lit(" (Full "), said(i % 6), F.lit(" Short 0)"))))
+    text = F.when(i % 3 == 1, F.when(i % 4 > 0, F.concat(F.lit("SUB: Bo "), said(i % 7), F.lit(" FOR Al"))).otherwise("no names")).otherwise(call)
+    rows = t.events.select("event_id", kind.alias("kind"), F.when(i % 3 == 0, F.col("event_type")).when(i % 5 == 0, "").otherwise("Short").alias("sub"), text.alias("text"), F.concat(F.lit("T"), said(F.col("user_id") % 2)).alias("team"), F.col("user_id").alias("player"), F.lit("PHX").alias("home"), F.lit("LAL").alias("away"))
+    tables = feed.event_tables(rows, ["event_id"], [("suns", "PHX"), ("lakers", "LAL")])
+    none = lambda kind: F.lit(None).cast(kind)
+    fouls = tables["fouls"].select("event_id", F.lit("fouls").alias("tab"), "team", "player", F.col("foul_type").alias("what"), none("string").alias("came"), none("int").alias("full_left"))
+    subs = tables["substitutions"].select("event_id", F.lit("substitutions").alias("tab"), "team", F.col("player_out").alias("player"), none("string").alias("what"), "came", none("int").alias("full_left"))
+    calls = tables["timeouts"].select("event_id", F.lit("timeouts").alias("tab"), "team", none("bigint").alias("player"), F.col("timeout_type").alias("what"), none("string").alias("came"), "full_left")
+    return fouls.unionByName(subs).unionByName(calls)
+
+
 @query(_GRAMMAR + f""", s AS (SELECT *, last_value(CASE WHEN points > 0 THEN team_scored END IGNORE NULLS) OVER ({_PRE}) AS prior FROM r),
 t AS (SELECT *, sum(CASE WHEN points > 0 AND (prior IS NULL OR prior <> team_scored) THEN 1 ELSE 0 END) OVER ({_O}) AS run FROM s),
 u AS (SELECT *, count(CASE WHEN points > 0 THEN 1 END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS len, sum(points) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS pts, sum(CASE WHEN points > 0 AND shot_value = 3 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS threes FROM t)
