@@ -81,6 +81,19 @@ def candles(ticks: DataFrame, by: list[str], time: str, price: str, tie: str, wi
     return ticks.groupBy(*by, start.alias("start")).agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.count("*").alias("n"))
 
 
+def market_candles(ticks: DataFrame, by: list[str], time: str, prices: dict[str, str], volume: str, interest: str, tie: str, width: str = "1 minute") -> DataFrame:
+    """by, end, <name>_open, _high, _low, _close of each of prices (name -> column, such as bid, ask and
+    price), volume (the sum of a tick's) and open_interest (the last one) per key and window of time, which
+    `end` closes. Nulls don't count: a window's open is its first known price."""
+    order, agg = F.struct(time, tie), []
+    for name, c in prices.items():
+        known = F.when(F.col(c).isNotNull(), order)
+        agg += [F.min_by(c, known).alias(f"{name}_open"), F.max(c).alias(f"{name}_high"), F.min(c).alias(f"{name}_low"), F.max_by(c, known).alias(f"{name}_close")]
+    last = F.max_by(interest, F.when(F.col(interest).isNotNull(), order))
+    w = F.window(F.col(time), width)
+    return ticks.groupBy(*by, w.alias("_w")).agg(*agg, F.coalesce(F.sum(volume), F.lit(0)).alias("volume"), last.alias("open_interest")).select(*by, F.col("_w.end").alias("end"), *[f"{n}_{k}" for n in prices for k in ("open", "high", "low", "close")], "volume", "open_interest")
+
+
 def _generator(*seed) -> np.random.Generator:
     return np.random.Generator(np.random.PCG64([int(x) & (2**64 - 1) for x in seed]))
 

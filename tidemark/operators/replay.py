@@ -116,3 +116,24 @@ def exposure_ledger(fills: DataFrame, day: str, order: list[str], amount: str, g
     rows = fills.withColumn("exposure", F.sum(amount).over(w)).withColumn("realized", F.sum(gain).over(w))
     passed = ((F.col("exposure") > limit) | (F.col("realized") < -loss_limit)).cast("int")
     return rows.withColumn("killed", F.max(passed).over(w) == 1)
+
+
+def exit_shares(trades: DataFrame, reason: str, by: list[str] | None = None) -> DataFrame:
+    """by..., reason, n, share: how often trades ended for each reason, and of all in the group."""
+    by = by or []
+    each = trades.groupBy(*by, F.col(reason).alias("reason")).agg(F.count("*").alias("n"))
+    return each.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
+
+
+def sweep_summary(trades: DataFrame, config: str, net: Column, move: Column, reason: str, reasons: list[str], least: int = 50, rate: float = 0.45) -> DataFrame:
+    """config, n, win_rate, total_net, exits_<reason>..., median_move, winner of every setting of a sweep.
+    The winner has the largest net among those with at least `least` trades and win rate `rate` (of
+    equal ones the least config); where none has, none wins. median_move: of move's absolute value.
+    One row a setting is compared, however many trades there are."""
+    agg = trades.groupBy(config).agg(
+        F.count("*").alias("n"), F.avg((net > 0).cast("double")).alias("win_rate"), F.sum(net).alias("total_net"),
+        *[F.count_if(F.col(reason) == r).alias(f"exits_{r}") for r in reasons], F.percentile(F.abs(move), 0.5).alias("median_move"),
+    )
+    fit = (F.col("n") >= least) & (F.col("win_rate") >= rate)
+    first = F.row_number().over(Window.orderBy(F.desc(fit), F.desc("total_net"), config))
+    return agg.withColumn("winner", fit & (first == 1))

@@ -170,6 +170,12 @@ def a13_summary(t):
     return _ledger(t).agg(F.count("*").alias("n"), F.round(F.sum(net), 4).alias("net"), F.round(F.avg(F.col("exit_time") - F.col("start")), 2).alias("mean_hold"), F.count_if(F.col("exit_reason") == "tp").alias("tp"), F.count_if(F.col("exit_reason") == "sl").alias("sl"), F.round(F.percentile(net, 0.5), 6).alias("median_net"), F.round(F.percentile(net, 0.9), 6).alias("p90_net"))
 
 
+@query(_LEDGER + " SELECT reason, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM a GROUP BY reason")
+def a13_exit_shares(t):
+    """Why trades of the ledger ended, and the share of each reason."""
+    return replay.exit_shares(_ledger(t), "exit_reason").withColumn("share", F.round("share", 6))
+
+
 @query(_EXITS + " SELECT event_id FROM x WHERE fin < s OR (reason = 'time' AND fin <> s + " + str(HOLD) + ")")
 def l11_invariants(t):
     """Rows that would break causality: none."""
@@ -211,6 +217,21 @@ def l17_ledger(t):
     return out.select("event_id", F.col("game_exposure").cast("double").alias("game_exposure"), F.col("total_exposure").cast("double").alias("total_exposure"), "refused")
 
 
+@query(_EXITS.replace("WITH e", "WITH RECURSIVE e") + """, n AS (SELECT *, config, row_number() OVER (PARTITION BY config, user_id ORDER BY s, event_id) AS n FROM x CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS config) WHERE entry >= config * 20),
+f AS (SELECT config, user_id, n, fin, true AS ok FROM n WHERE n = 1 UNION ALL
+SELECT n.config, n.user_id, n.n, CASE WHEN n.s >= f.fin THEN n.fin ELSE f.fin END, n.s >= f.fin FROM f JOIN n ON n.config = f.config AND n.user_id = f.user_id AND n.n = f.n + 1)
+SELECT config, n, win_rate, total_net, exits_tp, exits_sl, exits_time, median_move, ok AND row_number() OVER (ORDER BY ok DESC, total_net DESC, config) = 1 AS winner FROM (SELECT config, count(*) AS n, round(avg(CAST(price > entry AS INT)), 6) AS win_rate, round(sum(price - entry), 4) AS total_net, count(*) FILTER (reason = 'tp') AS exits_tp, count(*) FILTER (reason = 'sl') AS exits_sl, count(*) FILTER (reason = 'time') AS exits_time,
+round(median(abs(price - entry)), 6) AS median_move, count(*) >= 50 AND avg(CAST(price > entry AS INT)) >= 0.45 AS ok FROM n JOIN f USING (config, user_id, n) WHERE ok GROUP BY config)""")
+def a14_sweep_winner(t):
+    """Four settings, what each earned, why its trades ended, and which one wins."""
+    out = _exits(t)[2].select("user_id", "event_id", "start", "exit_time", "entry", "exit_price", "exit_reason")
+    grid = t.spark.range(4).select(F.col("id").cast("int").alias("config"))
+    rows = replay.sweep(out, grid, F.col("entry") >= F.col("config") * 20, BY, "start", "exit_time", "event_id")
+    net = F.col("exit_price") - F.col("entry")
+    best = replay.sweep_summary(rows, "config", net, net, "exit_reason", ["tp", "sl", "time"])
+    return best.withColumns({"win_rate": F.round("win_rate", 6), "total_net": F.round("total_net", 4), "median_move": F.round("median_move", 6)})
+
+
 @query(_EXITS.replace("WITH e", "WITH RECURSIVE e") + """, n AS (SELECT *, config, row_number() OVER (PARTITION BY config, user_id ORDER BY s, event_id) AS n FROM x CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS config) WHERE entry >= config * 20),
 f AS (SELECT config, user_id, n, fin, true AS ok FROM n WHERE n = 1 UNION ALL
 SELECT n.config, n.user_id, n.n, CASE WHEN n.s >= f.fin THEN n.fin ELSE f.fin END, n.s >= f.fin FROM f JOIN n ON n.config = f.config AND n.user_id = f.user_id AND n.n = f.n + 1)

@@ -261,3 +261,17 @@ def f06_regime_filter(t):
     rows, seen = aggs.counted_filter(t.lineitem, {"flag": F.col("l_returnflag") == "N", "small": F.col("l_quantity") > 10, "discount": F.col("l_discount") < 0.05})
     rows.write.format("noop").mode("overwrite").save()
     return t.spark.createDataFrame([(k, int(v)) for k, v in seen.get.items()], "what string, n long")
+
+
+_OHLC = ", ".join(f"arg_min({c}, (ts, event_id)) AS {n}_open, max({c}) AS {n}_high, min({c}) AS {n}_low, arg_max({c}, (ts, event_id)) AS {n}_close" for n, c in (("bid", "bid"), ("ask", "ask"), ("price", "price")))
+
+
+@query(f"""WITH q AS (SELECT *, CAST(floor(value) AS INT) AS bid, CAST(floor(value) + event_id % 4 AS INT) AS ask, CASE WHEN event_type = 'purchase' THEN CAST(round(value) AS INT) END AS price FROM events)
+SELECT user_id, epoch_us(time_bucket(INTERVAL '1 day', ts) + INTERVAL 1 DAY) AS end_us, {_OHLC}, CAST(sum(event_id % 7) AS BIGINT) AS volume, CAST(arg_max(event_id % 100, (ts, event_id)) AS BIGINT) AS open_interest FROM q GROUP BY user_id, time_bucket(INTERVAL '1 day', ts)""")
+def a24_market_candles(t):
+    """Daily candles of bid, ask and traded price, with volume and the last open interest."""
+    v, i = F.col("value"), F.col("event_id")
+    price = F.when(F.col("event_type") == "purchase", F.round(v).cast("int"))
+    rows = t.events.withColumns({"bid": F.floor(v).cast("int"), "ask": (F.floor(v) + i % 4).cast("int"), "price": price, "size": i % 7, "interest": i % 100})
+    out = aggs.market_candles(rows, ["user_id"], "ts", {"bid": "bid", "ask": "ask", "price": "price"}, "size", "interest", "event_id", "1 day")
+    return out.withColumn("end_us", F.unix_micros(F.col("end").cast("timestamp"))).drop("end")
