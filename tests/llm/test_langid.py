@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from tidemark.llm import langid
 
@@ -31,8 +32,11 @@ def test_a_rare_language_keeps_its_contexts():
     assert all(langs[int(model.lengths(t).argmin())] == lang for lang, ts in (large | rare).items() for t in ts)
 
 
-def test_code_lengths_against_ppm_by_hand():
-    """Contexts as dicts, excluded symbols renormalized, byte by byte."""
+@pytest.mark.parametrize("share", [None, 0.004])
+def test_code_lengths_against_ppm_by_hand(monkeypatch, share):
+    """Contexts as dicts, excluded symbols renormalized, byte by byte. Little text keeps all its contexts."""
+    if share:
+        monkeypatch.setattr(langid, "LEAST_SHARE", share)
     taught, asked = texts(1, "abcdeé", 40, 30), texts(2, "abcdeé", 3, 30) + ["", "q", "Été 3"]
     table = pd.concat(langid._gram_counts([pd.DataFrame({"lang": "x", "text": taught})]))
     model = langid.Model(["x"], np.zeros(len(table), int), table.gram.to_numpy(np.int64), table.n.to_numpy(float))
@@ -45,7 +49,8 @@ def test_code_lengths_against_ppm_by_hand():
     total = Counter()
     for (c, _), n in seen.items():
         total[c] += n
-    kept = {c for c, n in total.items() if len(c) < 2 or n >= langid.LEAST_COUNT}
+    kept = {c for c, n in total.items() if len(c) < 2 or n >= (share or 0) * total[b""]}
+    assert (len(kept) == len(total)) == (share is None)
     kept = {c for c in kept if len(c) < 3 or c[1:] in kept}
 
     def p(context, symbol):

@@ -21,8 +21,9 @@ from .common import shared, unshared
 
 #: Labelled documents a language is fitted on at most (all, if fewer); chosen by hash of the id.
 FIT_DOCUMENTS = 1500
-#: A context of order 2 or 3 needs so many symbols in the labelled documents of its language.
-LEAST_COUNT = 64
+#: A context of order 2 or 3 needs such a share of its language's labelled symbols, so a language has 50,000
+#: of either order at most, and all that occur if it has fewer symbols than that.
+LEAST_SHARE = 2e-5
 _PIECE = 1 << 20
 
 
@@ -45,18 +46,18 @@ def _gram_counts(batches):
 
 
 class Tree:
-    """One language's context ids and code lengths: arrays, a row for each context that occurs LEAST_COUNT
-    times, so bounded by the labelled documents of FIT_DOCUMENTS."""
+    """One language's context ids and code lengths: arrays, a row for each context that has LEAST_SHARE of
+    the symbols, so bounded whatever the labelled texts are."""
 
     def __init__(self, gram: np.ndarray, n: np.ndarray):
         sym, near, mid, far = gram & 255, gram >> 8 & 255, gram >> 16 & 255, gram >> 24 & 255
         order0 = self._coded(np.bincount(sym, n, 256), np.full(256, 1 / 256))
         two, three = near * 256 + mid, (near * 256 + mid) * 256 + far
-        keep = []
+        keep, least = [], LEAST_SHARE * n.sum()
         for order, code in ((2, two), (3, three)):
             ids, at = np.unique(code, return_inverse=True)
             total = np.bincount(at, n, len(ids))
-            keep += [(order, int(c)) for c, t in zip(ids, total) if t >= LEAST_COUNT]
+            keep += [(order, int(c)) for c, t in zip(ids, total) if t >= least]
         chosen = set(keep)
         twos = sorted(c for order, c in chosen if order == 2)
         threes = sorted(c for order, c in chosen if order == 3 and (2, c // 256) in chosen)
