@@ -285,7 +285,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     @F.pandas_udf("ids array<int>, exact boolean")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         v = unshared(given)
-        for texts in batches:
+        # a few hundred texts go on at a time, so that their ids never wait in numbers
+        for texts in (batch.iloc[k : k + 200] for batch in batches for k in range(0, len(batch), 200)):
             ids = [np.array(v.encode(t or ""), np.int32) for t in texts]
             yield pd.DataFrame({"ids": ids, "exact": [v.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts)]})
 
