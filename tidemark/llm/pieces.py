@@ -30,9 +30,9 @@ from .common import shared, unshared
 
 SPACE = "▁"
 #: Stretches that a task remembers twice over at most, and the longest that it does.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 #: Pairs of pieces, and beginnings of stretches, that a task remembers at most.
-PAIRS = 500_000
+PAIRS = 400_000
 _SLICE = 1 << 16
 _UNKNOWN = "\u2047".encode()
 
