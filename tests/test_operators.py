@@ -216,3 +216,20 @@ def test_files_in_and_out(spark, tmp_path):
     assert [(r.yes_bid, r.volume, r.market, str(r.day)) for r in rows] == [(7, 0, "KX-A1", "2026-03-06")]
     (tmp_path / "x.jsonl").write_text('{"event": "a", "n": 1}\nnot json\n{"event": "b", "n": 2}\n')
     assert io.json_lines(spark, str(tmp_path / "x.jsonl"), StructType.fromDDL("event string, n int")).count() == 2
+
+
+def test_operators_keep_columns_of_their_own_names(spark):
+    a = spark.createDataFrame([(1, 5, "u", 7)], "k int, t int, _rank string, _BUCKET int")
+    assert joins.best_per_group(a, ["k"], [F.asc("t")]).collect() == [(1, 5, "u", 7)]
+    b = spark.createDataFrame([(1, 8, 3, "f")], "k int, s int, v int, _found string")
+    assert joins.range_join(a, b.select("k", "s"), ["k"], "t", "s", 10).select("_rank", "_BUCKET", "s").collect() == [("u", 7, 8)]
+    named = a.withColumnRenamed("_rank", "_found")
+    assert joins.lookup(named, b, ["k"], {"v": 0}, "there").select("_found", "v", "there").collect() == [("u", 3, True)]
+    assert joins.paired(a.withColumnRenamed("_rank", "_l"), b.withColumnRenamed("_found", "_ok"), ["k"]).select("_l", "_ok").collect() == [("u", "f")]
+    assert joins.rounded_join(a.withColumnRenamed("_rank", "_key"), b.select("s", "v"), "t", "v").count() == 0
+    games = spark.createDataFrame([("2026-01-02", 4)], "d string, _n int")
+    days = spark.createDataFrame([("2026-01-01", "x")], "day string, _first string")
+    assert joins.near_dates(days, "day", games, "d", 1, 1).select("_first", "_n").collect() == [("x", 4)]
+    log = spark.createDataFrame([("g", 1, "h", 2, "keep"), ("g", 2, "h", 0, "keep")], "g string, i int, side string, p int, _s string")
+    out = windows.with_streak(log, ["g"], ["i"], "side", F.col("p")).orderBy("i").collect()
+    assert [(r._s, r.streak_side, r.streak_length) for r in out] == [("keep", "", 0), ("keep", "h", 1)]

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .names import fresh
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, take: dict[str, str], tie: str | None = None, direction: str = "backward", tolerance: int | None = None, chunk: int | None = None) -> DataFrame:
     """left with, for each row, columns of right's row with the latest time not after its own
@@ -75,41 +77,44 @@ def latest_before(left: DataFrame, right: DataFrame, by: list[str], left_time: s
 def range_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, width: int) -> DataFrame:
     """Pairs with left_time < right_time <= left_time + width, per key. Time is cut into buckets
     of that width: a left row meets its own bucket and the next, so the join is an equi-join."""
-    own = F.floor(F.col(left_time) / F.lit(width))
-    l = left.withColumn("_bucket", F.explode(F.array(own, own + 1)))
-    r = right.withColumn("_bucket", F.floor(F.col(right_time) / F.lit(width)))
-    pairs = l.join(r, [*by, "_bucket"]).where((F.col(right_time) > F.col(left_time)) & (F.col(right_time) <= F.col(left_time) + width))
-    return pairs.drop("_bucket")
+    own, bucket = F.floor(F.col(left_time) / F.lit(width)), fresh("_bucket", left, right)
+    l = left.withColumn(bucket, F.explode(F.array(own, own + 1)))
+    r = right.withColumn(bucket, F.floor(F.col(right_time) / F.lit(width)))
+    pairs = l.join(r, [*by, bucket]).where((F.col(right_time) > F.col(left_time)) & (F.col(right_time) <= F.col(left_time) + width))
+    return pairs.drop(bucket)
 
 
 def lookup(left: DataFrame, right: DataFrame, on: list[str], defaults: dict[str, object], flag: str | None = None) -> DataFrame:
     """Left join on unique keys, with defaults for columns not found and a presence flag."""
-    found = right.select(*on, *defaults, F.lit(True).alias("_found")).dropDuplicates(on)
+    there = fresh("_found", left, right)
+    found = right.select(*on, *defaults, F.lit(True).alias(there)).dropDuplicates(on)
     rows = left.join(found, on, "left")
     out = rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
-    return (out.withColumn(flag, F.coalesce("_found", F.lit(False))) if flag else out).drop("_found")
+    return (out.withColumn(flag, F.coalesce(there, F.lit(False))) if flag else out).drop(there)
 
 
 def rounded_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, digits: int = 2, more: list[str] | None = None) -> DataFrame:
     """Join of floats as doubles rounded to digits: float32 keys don't compare equal otherwise."""
     key = lambda c: F.round(F.col(c).cast("double"), digits)
-    return left.withColumn("_key", key(left_on)).join(right.withColumn("_key", key(right_on)), ["_key", *(more or [])]).drop("_key")
+    own = fresh("_key", left, right)
+    return left.withColumn(own, key(left_on)).join(right.withColumn(own, key(right_on)), [own, *(more or [])]).drop(own)
 
 
 def paired(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Inner join that fails, when it runs, on a key that one side lacks or holds twice."""
     w = Window.partitionBy(*on)
-    l = left.withColumn("_l", F.count("*").over(w))
-    r = right.withColumn("_r", F.count("*").over(w))
-    fine = (F.col("_l") == 1) & (F.col("_r") == 1)
-    rows = l.join(r, on, "full").withColumn("_ok", F.when(F.coalesce(fine, F.lit(False)), True).otherwise(F.raise_error(F.lit("the two sides don't have the same keys")).cast("boolean")))
-    return rows.where("_ok").drop("_l", "_r", "_ok")
+    a, b, ok = (fresh(n, left, right) for n in ("_l", "_r", "_ok"))
+    l = left.withColumn(a, F.count("*").over(w))
+    r = right.withColumn(b, F.count("*").over(w))
+    fine = (F.col(a) == 1) & (F.col(b) == 1)
+    rows = l.join(r, on, "full").withColumn(ok, F.when(F.coalesce(fine, F.lit(False)), True).otherwise(F.raise_error(F.lit("the two sides don't have the same keys")).cast("boolean")))
+    return rows.where(F.col(ok)).drop(a, b, ok)
 
 
 def best_per_group(rows: DataFrame, by: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each group in an order that ties don't leave open."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+    w, rank = Window.partitionBy(*by).orderBy(*order), fresh("_rank", rows)
+    return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n).drop(rank)
 
 
 def best_contract(contracts: DataFrame, games: DataFrame, on: list[str], spread: str, team: str, home: str, tie: str) -> DataFrame:
@@ -123,9 +128,10 @@ def near_dates(rows: DataFrame, day: str, games: DataFrame, game_day: str, befor
     buckets of days as wide as the range, so that the join is on equal keys."""
     width, n = before + after + 1, F.unix_date(F.col(game_day).cast("date"))
     first = F.unix_date(F.col(day).cast("date")) - before
-    l = rows.withColumn("_first", first).withColumn("_bucket", F.explode(F.array_distinct(F.array(F.floor(F.col("_first") / width), F.floor((F.col("_first") + width - 1) / width)))))
-    pairs = l.join(games.withColumn("_n", n).withColumn("_bucket", F.floor(F.col("_n") / width)), "_bucket")
-    return pairs.where((F.col("_n") >= F.col("_first")) & (F.col("_n") < F.col("_first") + width)).drop("_bucket", "_first", "_n")
+    low, at, bucket = (fresh(c, rows, games) for c in ("_first", "_n", "_bucket"))
+    l = rows.withColumn(low, first).withColumn(bucket, F.explode(F.array_distinct(F.array(F.floor(F.col(low) / width), F.floor((F.col(low) + width - 1) / width)))))
+    pairs = l.join(games.withColumn(at, n).withColumn(bucket, F.floor(F.col(at) / width)), bucket)
+    return pairs.where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(low) + width)).drop(bucket, low, at)
 
 
 def resolved(rows: DataFrame, dimension: DataFrame, on: list[str], take: str) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from .folds import with_fold
+from .names import fresh
 
 
 def sequence_of(by: list[str], order: list[str]) -> WindowSpec:
@@ -62,15 +63,15 @@ def with_streak(df: DataFrame, by: list[str], order: list[str], side: str, point
     rows that don't leave the run as it is. Gaps and islands over scoring rows, in one shuffle."""
     w = sequence_of(by, order)
     scores = F.coalesce(points > 0, F.lit(False))
-    rows = df.withColumn("_s", F.when(scores, F.col(side))).withColumn("_p", F.when(scores, points))
-    prior = F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_new", (F.col("_s").isNotNull() & (prior.isNull() | (prior != F.col("_s")))).cast("int"))
-    rows = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(*by, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    state = F.when(F.col("_s").isNotNull(), F.struct(F.col("_s").alias("side"), F.count("_s").over(inside).alias("length"), F.sum("_p").over(inside).alias("points")))
-    rows = rows.withColumn("_state", state)
-    rows = rows.withColumn("_run", F.last("_state", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    return rows.withColumns({f"{prefix}side": F.coalesce("_run.side", F.lit("")), f"{prefix}length": F.coalesce("_run.length", F.lit(0)), f"{prefix}points": F.coalesce("_run.points", F.lit(0))}).drop("_s", "_p", "_new", "_island", "_state", "_run")
+    who, got, new, island, state, run = (fresh(c, df) for c in ("_s", "_p", "_new", "_island", "_state", "_run"))
+    rows = df.withColumn(who, F.when(scores, F.col(side))).withColumn(got, F.when(scores, points))
+    prior = F.last(who, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn(new, (F.col(who).isNotNull() & (prior.isNull() | (prior != F.col(who)))).cast("int"))
+    rows = rows.withColumn(island, F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy(*by, island).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn(state, F.when(F.col(who).isNotNull(), F.struct(F.col(who).alias("side"), F.count(who).over(inside).alias("length"), F.sum(got).over(inside).alias("points"))))
+    rows = rows.withColumn(run, F.last(state, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    return rows.withColumns({f"{prefix}side": F.coalesce(F.col(run)["side"], F.lit("")), f"{prefix}length": F.coalesce(F.col(run)["length"], F.lit(0)), f"{prefix}points": F.coalesce(F.col(run)["points"], F.lit(0))}).drop(who, got, new, island, state, run)
 
 
 def with_ewma(df: DataFrame, by: list[str], order: list[str], x: str, name: str, start: float, least_alpha: float = 0.05) -> DataFrame:

@@ -203,8 +203,9 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small fixed dimension. Its size is that of the list, so joins may broadcast it."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    """A fixed dimension. A list of up to 10,000 rows is broadcast by joins; of a longer one Spark decides."""
+    fixed = spark.createDataFrame(rows, schema)
+    return F.broadcast(fixed) if len(rows) <= 10_000 else fixed
 
 
 def home_away(rows: DataFrame, game: str, side: str, team: str) -> DataFrame:
