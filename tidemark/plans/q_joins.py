@@ -182,3 +182,31 @@ def j24_membership_average(t):
     m = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("members"))
     rows = m.select("l_orderkey", F.explode("members").alias("s_suppkey")).join(t.supplier, "s_suppkey")
     return rows.groupBy("l_orderkey").agg(F.round(F.avg("s_acctbal"), 6).alias("predicted"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_quantity AS spread, CASE l_returnflag WHEN 'R' THEN 'home' ELSE 'away' END AS team FROM lineitem)
+SELECT o_orderkey, l_linenumber, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY spread, l_linenumber) AS n FROM c JOIN orders ON l_orderkey = o_orderkey WHERE team = 'home') WHERE n = 1""")
+def j09_best_contract(t):
+    """Of each order's returned lines, its contracts on the home side, the one with the least spread."""
+    contracts = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_quantity").alias("spread"), F.when(F.col("l_returnflag") == "R", "home").otherwise("away").alias("team"))
+    games = t.orders.select("o_orderkey", "o_totalprice", F.lit("home").alias("side"))
+    return joins.best_contract(contracts, games, ["o_orderkey"], "spread", "team", "side", "l_linenumber").select("o_orderkey", "l_linenumber", "o_totalprice")
+
+
+@query("""SELECT 'rows' AS what, count(*) AS n FROM events UNION ALL SELECT 'unresolved', count(*) FILTER (c_name IS NULL) FROM events LEFT JOIN (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 > 0) ON user_id = c_custkey
+UNION ALL SELECT 'names', count(DISTINCT c_name) FROM events JOIN customer ON user_id = c_custkey WHERE c_custkey % 3 > 0""")
+def j10_resolved(t):
+    """Events with their customer's name: how many there are, how many found none, and how many names."""
+    names = t.customer.where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("user_id"), "c_name")
+    rows, counts = joins.resolved(t.events.select("event_id", "user_id"), names, ["user_id"], "c_name")
+    one = counts.select(F.explode(F.array(F.struct(F.lit("rows").alias("what"), F.col("rows").alias("n")), F.struct(F.lit("unresolved").alias("what"), F.col("unresolved").alias("n")))).alias("x")).select("x.*")
+    return one.unionByName(rows.agg(F.count_distinct("c_name").alias("n")).select(F.lit("names").alias("what"), "n"))
+
+
+@query("""SELECT l_orderkey AS game, max(CASE WHEN l_linenumber % 2 = 1 THEN l_suppkey END) AS home, max(CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey END) AS away FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1 HAVING count(*) FILTER (l_linenumber = 1) > 0 AND count(*) FILTER (l_linenumber = 2) > 0""")
+def s21_home_away(t):
+    """The suppliers of an order's first two lines as its two sides; orders of one line have no game."""
+    from ..sources import io
+
+    sides = t.lineitem.where("l_linenumber <= 2").select(F.col("l_orderkey").alias("game"), F.when(F.col("l_linenumber") == 1, "home").otherwise("away").alias("side"), "l_suppkey")
+    return io.home_away(sides, "game", "side", "l_suppkey")
