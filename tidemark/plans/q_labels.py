@@ -217,6 +217,18 @@ def l17_ledger(t):
     return out.select("event_id", F.col("game_exposure").cast("double").alias("game_exposure"), F.col("total_exposure").cast("double").alias("total_exposure"), "refused")
 
 
+@query("""WITH e AS (SELECT event_id, ts, CAST(ts AS DATE) AS day, CASE event_type WHEN 'purchase' THEN value WHEN 'error' THEN -value ELSE 0 END AS a, CASE event_type WHEN 'error' THEN value - 60 ELSE 0 END AS g FROM events),
+s AS (SELECT *, sum(a) OVER w AS exposure, sum(g) OVER w AS realized FROM e WINDOW w AS (PARTITION BY day ORDER BY ts, event_id))
+SELECT event_id, round(exposure, 6) AS exposure, round(realized, 6) AS realized, max(CAST(exposure > 400 OR realized < -200 AS INT)) OVER (PARTITION BY day ORDER BY ts, event_id) = 1 AS killed FROM s""")
+def l17_daily_limits(t):
+    """Each day's exposure and realized gain after every event, and whether a limit has stopped the day."""
+    kind, v = F.col("event_type"), F.col("value").cast("decimal(18,6)")
+    zero = F.lit(0).cast("decimal(18,6)")
+    rows = events(t).withColumns({"day": F.to_date(F.timestamp_micros("us")), "a": F.when(kind == "purchase", v).when(kind == "error", -v).otherwise(zero), "g": F.when(kind == "error", v - 60).otherwise(zero)})
+    out = replay.exposure_ledger(rows, "day", ["us", "event_id"], "a", "g", 400.0, 200.0)
+    return out.select("event_id", F.col("exposure").cast("double").alias("exposure"), F.col("realized").cast("double").alias("realized"), "killed")
+
+
 @query(_EXITS.replace("WITH e", "WITH RECURSIVE e") + """, n AS (SELECT *, config, row_number() OVER (PARTITION BY config, user_id ORDER BY s, event_id) AS n FROM x CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS config) WHERE entry >= config * 20),
 f AS (SELECT config, user_id, n, fin, true AS ok FROM n WHERE n = 1 UNION ALL
 SELECT n.config, n.user_id, n.n, CASE WHEN n.s >= f.fin THEN n.fin ELSE f.fin END, n.s >= f.fin FROM f JOIN n ON n.config = f.config AND n.user_id = f.user_id AND n.n = f.n + 1)
