@@ -41,3 +41,27 @@ def test_anchors_of_many_periods(session):
     first = datetime(2026, 3, 5, 22, 30, tzinfo=ZoneInfo("America/New_York"))
     assert found["g"].us[0] == int(first.timestamp()) * 1_000_000 and found["g"].fault is None
     assert found["g"].us == sorted(found["g"].us)
+
+
+def test_clocks_shown_twice_or_never(session):
+    """As DuckDB's timezone: the second of two, and an hour further where an hour is left out."""
+    duckdb = pytest.importorskip("duckdb")
+    zones = {"America/New_York": ["2016-11-06 00:59:59", "2016-11-06 01:00:00", "2016-11-06 01:26:00", "2016-11-06 02:00:00", "2016-11-05 01:26:00", "2016-11-07 01:26:00", "2016-03-13 01:59:00", "2016-03-13 02:30:00", "2016-03-13 03:00:00", "2016-03-12 02:30:00"], "Australia/Lord_Howe": ["2024-04-07 01:29:00", "2024-04-07 01:45:00", "2024-04-07 02:00:00", "2024-10-06 02:15:00"], "Asia/Tokyo": ["2016-11-06 01:26:00"]}
+    for zone, clock in zones.items():
+        rows = session.createDataFrame([(c,) for c in clock], "c string").withColumn("local", F.to_timestamp(F.concat("c", F.lit("Z")), "yyyy-MM-dd HH:mm:ssX"))
+        got = {r.c: r.us for r in rows.select("c", F.unix_micros(clocks.zone_time(F.col("local"), zone)).alias("us")).collect()}
+        assert got == {c: duckdb.execute(f"select epoch_us(timezone('{zone}', timestamp '{c}'))").fetchone()[0] for c in clock}
+
+
+def test_anchors_in_the_repeated_hour(session):
+    starts = session.createDataFrame([("g", "2016-11-05", 1, "11:00 AM"), ("g", "2016-11-05", 2, "1:26 AM")], "g string, day string, period int, clock string")
+    found = clocks.local_anchors(starts, ["g"], "day", "period", "clock").select(F.transform("anchors", lambda a: F.unix_micros(a["at"])).alias("us")).first()
+    assert found.us[1] == 1478413560000000
+
+
+def test_event_times_before_the_repeated_hour(session):
+    """A period that ends at the second 1:26 AM lasts an hour longer."""
+    starts = session.createDataFrame([("g", "2016-11-05", 1, "11:00 PM"), ("g", "2016-11-05", 2, "1:26 AM")], "g string, day string, period int, clock string")
+    rows = session.createDataFrame([("g", 1, 360.0)], "g string, period int, clock double")
+    at = clocks.event_times(rows, clocks.local_anchors(starts, ["g"], "day", "period", "clock"), ["g"], "period", "clock").select(F.unix_micros("at").alias("us")).first()
+    assert at.us == (1478401200 + 1478413560) * 500_000

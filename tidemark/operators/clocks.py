@@ -33,6 +33,19 @@ def local_time(ts: Column, zone: str) -> Column:
     return F.substring(local_clock(ts, zone).cast("string"), 1, 16)
 
 
+def zone_time(local: Column, zone: str) -> Column:
+    """The UTC timestamp at which a zone's clock shows `local` (a timestamp whose UTC fields are the clock's).
+    A clock that is shown twice, as when daylight saving ends, is the later of the two; one that is
+    left out goes on by what was left out. Expects no two changes of the zone within a day."""
+    let = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731  works x out once
+    shown = lambda at: F.from_utc_timestamp(at, zone)
+    later = lambda first, us: F.timestamp_micros(F.unix_micros(first) + us)
+    # how far the zone's clock is set back within a day: by as much the second of two is later
+    back = lambda clock, first: F.unix_micros(clock) - F.unix_micros(shown(later(first, _DAY_US))) + _DAY_US
+    read = lambda clock, first, us: F.when((us > 0) & (shown(later(first, us)) == clock), later(first, us)).otherwise(first)
+    return let(local, lambda clock: let(F.to_utc_timestamp(clock, zone), lambda first: let(back(clock, first), lambda us: read(clock, first, us))))
+
+
 def _seconds(clock: Column) -> Column:
     """Whole seconds since 1970 that a clock without a zone shows."""
     return F.unix_date(clock.cast("date")).cast("long") * 86400 + F.hour(clock) * 3600 + F.minute(clock) * 60 + F.second(clock)
@@ -57,8 +70,9 @@ def month_start(ts: Column) -> Column:
 def local_anchors(starts: DataFrame, by: list[str], day: str, period: str, clock: str, zone: str = "America/New_York") -> DataFrame:
     """by, day, anchors: array of struct(period, at), the UTC times of period starts given as a local clock
     like "10:13 PM". The first is on `day`; a later one is on the date of the one before, or on the
-    next if it wouldn't be after it. Texts that are no clock are left out. A group's array has a
-    row for each of its periods, and its fold runs in the JVM."""
+    next if it wouldn't be after it. Texts that are no clock are left out; of an hour that the zone
+    shows twice the second counts (zone_time). A group's array has a row for each of its periods, and
+    its fold runs in the JVM."""
     minutes = F.expr(f"try_to_timestamp(trim({clock}), 'h:mm a')")
     secs = F.hour(minutes) * 3600 + F.minute(minutes) * 60
     rows = starts.where(F.col(period).isNotNull() & minutes.isNotNull()).select(*by, F.col(day).cast("date").alias("day"), F.col(period).cast("int").alias("period"), secs.alias("secs"))
@@ -73,7 +87,7 @@ def local_anchors(starts: DataFrame, by: list[str], day: str, period: str, clock
 
     folded = folded.withColumn("_f", F.aggregate("_p", start, step)["out"])
     local = lambda x: F.timestamp_seconds(F.unix_date(F.date_add("day", x["shift"])) * 86400 + x["secs"])
-    return folded.select(*by, "day", F.transform("_f", lambda x: F.struct(x["period"].alias("period"), F.to_utc_timestamp(local(x), zone).alias("at"))).alias("anchors"))
+    return folded.select(*by, "day", F.transform("_f", lambda x: F.struct(x["period"].alias("period"), zone_time(local(x), zone).alias("at"))).alias("anchors"))
 
 
 def anchor_faults(anchors: DataFrame, zone: str = "America/New_York", hours: tuple[int, int] = (12, 23), span_hours: float = 6.0) -> DataFrame:
