@@ -227,3 +227,19 @@ def test_market_snapshot_is_that_of_whole_lists():
         want = (bid, ask, ask - bid, last, interest, sum(n for t, n in grown if t > now - 60), (now - traded[-1]) * 1000 if traded else 999999.0, interest - ago(60, 5), bid - before[0], ask - bid - before[1], speed, speed - before[2], bid - last)
         before = (bid, ask - bid, speed)
         assert got[:2] == (i, True) and got[2:] == pytest.approx(want), i
+
+
+def test_keys_share_the_state_of_their_bucket(spark, tmp_path, monkeypatch):
+    """200 keys, null and NaN among them, in three buckets: each steps as if alone, by one timer a bucket."""
+    from tidemark.operators import folds
+
+    monkeypatch.setattr(stream, "BUCKETS", 3)
+    seen, real = [], stream.late_rows
+    monkeypatch.setattr(stream, "late_rows", lambda q: seen.extend(op["customMetrics"]["numRegisteredTimers"] for p in q.recentProgress for op in p["stateOperators"]) or real(q))
+    key = F.when(F.col("id") % 200 == 0, None).when(F.col("id") % 200 == 1, float("nan")).otherwise((F.col("id") % 200).cast("double"))
+    rows = spark.range(3000).select("id", key.alias("user"), ((F.col("id") * 7919 % 3001 + 1000) * MS).alias("us"), (F.col("id") % 17).cast("double").alias("value"))
+    machine, takes = machines.rolling_snapshot(900 * MS), ["id", "us", "value"]
+    got = stream.drained(stream.keyed(stream.sliced_stream(rows, "us", closing=500 * MS), "user", machine, takes, ["us", "id"], OUT, 100 * MS)).collect()
+    want = folds.unfolded(rows, ["user"], ["us", "id"], takes, machine, OUT).drop("user").collect()
+    assert len(got) == 3000 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert 0 < max(seen) <= 3

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import math
+import pickle
 import tempfile
 import uuid
 import warnings
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import DoubleType, FloatType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructType
 
 from .machines import Machine
 
 #: A source's last row, which has a time only and ends the waiting of all before it.
 CLOSING = "_closing"
+#: Parts of a keyed stream's state, by hash of the key. A checkpoint holds for one number of them.
+BUCKETS = 512
+#: All NaNs are one key.
+_NAN = "NaN"
 
 
 def file_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
@@ -144,29 +150,24 @@ def enriched(stream: DataFrame, static: DataFrame, on: list[str]) -> DataFrame:
 
 
 class _Stepper(StatefulProcessor):
-    """Runs a machine for each key. Rows wait in list state; a timer at the earliest of them fires when
-    the watermark has passed it, and all rows behind the watermark step in order of time."""
+    """Runs a machine for each key of a bucket. Rows wait in list state, those of a batch as one element;
+    a timer at the earliest of them fires when the watermark has passed it, and all rows behind the
+    watermark step in order of time. The machines' states are one value, so that a batch asks the
+    state store a few times for a bucket, not for a key."""
 
-    def __init__(self, machine: Machine, row: StructType, order: int, out: list[str], ttl: int | None):
-        self.machine, self.row, self.order, self.out, self.ttl = machine, row, order, out, ttl
-        parsed = StructType.fromDDL  # here, as workers can't
-        self.due_type, self.values_type = parsed("at long"), parsed(machine.values) if machine.values else None
-        self.list_types = {n: parsed(ddl) for n, ddl in machine.lists.items()}
-        self.map_types = {n: (parsed(k), parsed(v)) for n, (k, v) in machine.maps.items()}
+    def __init__(self, machine: Machine, fields: list[str], floats: list[bool], order: int, out: list[str], ttl: int | None):
+        self.machine, self.fields, self.floats, self.order, self.out, self.ttl = machine, fields, floats, order, Row(*out), ttl
+        self.due_type, self.bytes_type = StructType.fromDDL("at long"), StructType.fromDDL("rows binary")  # here, as workers can't
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row)
+        self.waiting = handle.getListState("waiting", self.bytes_type)
         self.due = handle.getValueState("due", self.due_type)
-        self.values = handle.getValueState("values", self.values_type, self.ttl) if self.values_type else None
-        self.lists = {n: handle.getListState(n, kind, self.ttl) for n, kind in self.list_types.items()}
-        self.maps = {n: handle.getMapState(n, k, v, self.ttl) for n, (k, v) in self.map_types.items()}
-        self.names = self.values_type.names if self.values_type else []
-        self.floats = [isinstance(f.dataType, DoubleType | FloatType) for f in self.row]
+        self.held = handle.getValueState("held", self.bytes_type, self.ttl)
 
     def wait(self, rows: list[tuple]) -> None:
         """A timer at the earliest waiting row, in whole milliseconds not before it."""
-        first, due = min(r[0] for r in rows), self.due.get()
+        first, due = min(r[1] for r in rows), self.due.get()
         first = -(-first // 1000)
         if due is None or first < due[0]:
             if due is not None:
@@ -175,57 +176,53 @@ class _Stepper(StatefulProcessor):
             self.due.update((first,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        names = self.row.names
-        came = [tuple(r[n] for n in names) for r in rows if not r[CLOSING]]
+        came, pick = [], None
+        for r in rows:
+            pick = pick or itemgetter(*map(r.__fields__.index, (CLOSING, *self.fields)))
+            closing, *row = pick(r)
+            if not closing:
+                row[0] = _NAN if row[0] != row[0] else row[0]
+                came.append(tuple(row))
         if came:
-            self.waiting.appendList(came)
+            self.waiting.appendList([(pickle.dumps(came),)])
             self.wait(came)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """A row is its key, its order and its values."""
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = list(self.waiting.get())
-        ripe = sorted((r for r in rows if r[0] <= mark), key=lambda r: [(x is None, x) for x in r[: self.order]])
-        later = [r for r in rows if r[0] > mark]
+        rows = [r for part in self.waiting.get() for r in pickle.loads(part[0])]
+        first = 1 + self.order
+        ripe = sorted((r for r in rows if r[1] <= mark), key=lambda r: [(x is None, x) for x in r[1:first]])
+        later = [r for r in rows if r[1] > mark]
         self.due.clear()
-        state = self.load()
+        now = timerValues.getCurrentProcessingTimeInMs() if self.ttl else 0
+        held, states = self.held.get(), {}
+        for k, (changed, state) in (pickle.loads(held[0]) if held is not None else {}).items():
+            if not self.ttl or changed + self.ttl > now:
+                states[k] = changed, state
         for r in ripe:
-            row = tuple(math.nan if x is None and f else x for x, f in zip(r[self.order :], self.floats[self.order :]))
+            row = tuple(math.nan if x is None and f else x for x, f in zip(r[first:], self.floats))
+            state = states[r[0]][1] if r[0] in states else self.machine.start()
+            states[r[0]] = now, state
             for out in self.machine.step(state, row):
-                yield Row(**dict(zip(self.out, out)))
-        self.save(state)
+                yield self.out(*out)
+        self.held.update((pickle.dumps(states),))
         if later:
-            self.waiting.put(later)
+            self.waiting.put([(pickle.dumps(later),)])
             self.wait(later)
         else:
             self.waiting.clear()
 
-    def load(self) -> dict:
-        state = self.machine.start()
-        if self.values is not None and (held := self.values.get()) is not None:
-            state.update(zip(self.names, held))
-        for n, s in self.lists.items():
-            state[n] = [tuple(x) for x in s.get()]
-        for n, s in self.maps.items():
-            state[n] = {k[0]: v[0] for k, v in s.iterator()}
-        return state
-
-    def save(self, state: dict) -> None:
-        if self.values is not None:
-            self.values.update(tuple(state[n] for n in self.names))
-        for n, s in self.lists.items():
-            s.put(state[n]) if state[n] else s.clear()
-        for n, s in self.maps.items():
-            for k, v in state[n].items():
-                s.updateValue((k,), (v,))
-
     def close(self) -> None:
         pass
 
 
 def keyed(stream: DataFrame, by: str, machine: Machine, columns: list[str], order: list[str], out: str, late: int, ttl: int | None = None) -> DataFrame:
     """A stream of what a machine per key gives. State, waiting rows and timers are Spark's: they lie
-    in its state store by key, go to its checkpoint with every batch and come back from it.
+    in its state store, go to its checkpoint with every batch and come back from it. They lie there by
+    bucket, of which there are BUCKETS by hash of the key: a bucket's keys share one timer and one read
+    and write a batch. A task holds one bucket's states and waiting rows at a time.
 
     Rows step in event-time order (order[0], microseconds, then the rest of order) over all batches:
     each waits until the watermark, `late` microseconds behind the latest row of the stream (whole
@@ -237,9 +234,10 @@ def keyed(stream: DataFrame, by: str, machine: Machine, columns: list[str], orde
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     names = [f"_o{i}" for i in range(len(order))], [f"_c{i}" for i in range(len(columns))]
     mark = F.coalesce(F.col(CLOSING), F.lit(False)) if CLOSING in stream.columns else F.lit(False)
+    key = F.to_json(F.struct(by)) if isinstance(stream.schema[by].dataType, ArrayType | StructType) else F.col(by)
     rows = stream.where(F.col(order[0]).isNotNull()).select(
-        F.col(by).alias("_key"), mark.alias(CLOSING), F.timestamp_micros(F.col(order[0])).alias("_at"), *[F.col(c).alias(n) for c, n in zip((*order, *columns), (*names[0], *names[1]))]
+        F.pmod(F.xxhash64(by), F.lit(BUCKETS)).alias("_bucket"), key.alias("_key"), mark.alias(CLOSING), F.timestamp_micros(F.col(order[0])).alias("_at"), *[F.col(c).alias(n) for c, n in zip((*order, *columns), (*names[0], *names[1]))]
     )
-    row = StructType([rows.schema[n] for n in (*names[0], *names[1])])
-    stepper = _Stepper(machine, row, len(order), StructType.fromDDL(out).names, ttl)
-    return rows.withWatermark("_at", f"{-(-late // 1000)} milliseconds").groupBy("_key").transformWithState(stepper, out, "Append", "EventTime")
+    floats = [isinstance(rows.schema[n].dataType, DoubleType | FloatType) for n in names[1]]
+    stepper = _Stepper(machine, ["_key", *names[0], *names[1]], floats, len(order), StructType.fromDDL(out).names, ttl)
+    return rows.withWatermark("_at", f"{-(-late // 1000)} milliseconds").groupBy("_bucket").transformWithState(stepper, out, "Append", "EventTime")
