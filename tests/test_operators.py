@@ -204,6 +204,34 @@ def test_sparse_ridge_of_awkward_rows(spark):
     assert ridge.sparse_rolling_ridge(df.where("false"), "o", F.col("crew"), "y").count() == 0
 
 
+def test_sparse_ridge_of_many_parts(spark, monkeypatch):
+    """A group of more pairs than one task takes is solved in blocks by all, a smaller one beside it alone."""
+    import numpy as np
+
+    monkeypatch.setattr(ridge, "ALONE", 300)
+    monkeypatch.setattr(ridge, "BLOCK", 500)
+    monkeypatch.setattr(ridge, "PIECE", 64)
+    rng = np.random.default_rng(5)
+    kind = "by string, o double, crew array<struct<k: string, v: double>>, y double"
+    data = {by: [(float(k // 20), rng.choice(25, 4, replace=False), rng.choice([-1.0, 1.0], 4), rng.normal() + 3) for k in range(rows)] for by, rows in (("x/1", 240), ("z", 40))}
+    df = spark.createDataFrame([(by, o, [(str(int(f)), float(v)) for f, v in zip(c, s)], float(y)) for by, rows in data.items() for o, c, s, y in rows], kind)
+    out = ridge.sparse_rolling_ridge(df, "o", F.col("crew"), "y", alpha=3.0, half_life=4.0, every=1, at_least=20, by="by").where("as_of in (1, 6, 11)")
+    got = {(r.by, r.as_of, r.feature): (r.coefficient, r.n) for r in out.collect()}
+    want = {}
+    for by, rows in data.items():
+        for at in {r[0] for r in rows} & {1.0, 6.0, 11.0}:
+            seen = [r for r in rows if r[0] < at]
+            x = np.zeros((len(seen), 26))
+            x[:, 25] = 1
+            for k, (_, c, s, _) in enumerate(seen):
+                x[k, c] = s
+            w = 0.5 ** ((at - np.array([r[0] for r in seen])) / 4)
+            b = np.linalg.solve((x * w[:, None]).T @ x + np.diag([3.0] * 25 + [0.0]), (x * w[:, None]).T @ np.array([r[3] for r in seen]))
+            want |= {(by, at, str(f)): (b[f], len(seen)) for f in np.flatnonzero(np.abs(x[:, :25]).sum(0))}
+    assert got.keys() == want.keys() and len(want) > 90
+    assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+
+
 def test_files_in_and_out(spark, tmp_path):
     schema = "yes_bid int, volume long"
     (tmp_path / "t" / "2026-03-06").mkdir(parents=True)

@@ -159,7 +159,7 @@ def a26_sparse_ridge(t):
     """Ratings of all suppliers from the orders that they filled together: for orders that were
     returned in part suppliers count -1, else 1; refitted every fifth month on all months before."""
     sign = F.when(F.col("l_returnflag") == "R", -1.0).otherwise(1.0)
-    crews = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_suppkey").cast("string").alias("k"), sign.alias("v"))).alias("crew"))
+    crews = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_suppkey").alias("k"), sign.alias("v"))).alias("crew"))
     date = F.to_date("o_orderdate")
     rows = t.orders.join(crews, F.col("o_orderkey") == F.col("l_orderkey")).select((F.year(date) * 12 + F.month(date)).alias("month"), "crew", (F.col("o_totalprice") / 1000).alias("y"))
     out = ridge.sparse_rolling_ridge(rows, "month", F.col("crew"), "y", alpha=100.0, half_life=24.0, every=5)
