@@ -232,6 +232,19 @@ def test_sparse_ridge_of_many_parts(spark, monkeypatch):
     assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
 
 
+def test_exposure_of_equal_times(spark, tmp_path):
+    """Rows that the order leaves equal are booked together, as in the SQL of l17_exposure and l17_daily_limits."""
+    duckdb = pytest.importorskip("duckdb")
+    from tidemark.plans import registry
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT * FROM (VALUES (1, TIMESTAMP '2026-01-02 03:00:00', 7, 'purchase', 90.0), (2, TIMESTAMP '2026-01-02 04:00:00', 7, 'purchase', 60.0), (2, TIMESTAMP '2026-01-02 04:00:00', 7, 'error', 55.0), (3, TIMESTAMP '2026-01-02 05:00:00', 7, 'view', 5.0)) AS t (event_id, ts, user_id, event_type, value)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    for name in ("l17_exposure", "l17_daily_limits"):
+        got = [tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(got) == sorted((i, *[float(x) for x in row[:-1]], row[-1]) for i, *row in con.execute(registry.ORACLE_SQL[name]).fetchall())
+
+
 def test_files_in_and_out(spark, tmp_path):
     schema = "yes_bid int, volume long"
     (tmp_path / "t" / "2026-03-06").mkdir(parents=True)

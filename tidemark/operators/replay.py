@@ -34,8 +34,8 @@ def non_overlapping(signals: DataFrame, by: list[str], start: str, end: str, tie
 
 def exposure(fills: DataFrame, by: list[str], order: list[str], amount: str, limit: float) -> DataFrame:
     """Adds open exposure after each row (+ fill, - exit), per group, and whether the limit was
-    ever exceeded up to here (a latch)."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ever exceeded up to here (a latch). Rows that are equal in `order` are booked together."""
+    w = Window.partitionBy(*by).orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     rows = fills.withColumn("exposure", F.sum(amount).over(w))
     return rows.withColumn("killed", F.max((F.col("exposure") > limit).cast("int")).over(w) == 1)
 
@@ -111,8 +111,8 @@ def line_moves(signals: DataFrame, snapshots: DataFrame, by: list[str], time: st
 
 def exposure_ledger(fills: DataFrame, day: str, order: list[str], amount: str, gain: str, limit: float, loss_limit: float) -> DataFrame:
     """Per day: exposure and realized gain after each fill, and whether a limit was passed up to here.
-    A day's fills are one sequence, so a day is a task."""
-    w = Window.partitionBy(day).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    A day's fills are one sequence, so a day is a task; those that are equal in `order` are booked together."""
+    w = Window.partitionBy(day).orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     rows = fills.withColumn("exposure", F.sum(amount).over(w)).withColumn("realized", F.sum(gain).over(w))
     passed = ((F.col("exposure") > limit) | (F.col("realized") < -loss_limit)).cast("int")
     return rows.withColumn("killed", F.max(passed).over(w) == 1)
