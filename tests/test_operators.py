@@ -245,6 +245,15 @@ def test_exposure_of_equal_times(spark, tmp_path):
         assert sorted(got) == sorted((i, *[float(x) for x in row[:-1]], row[-1]) for i, *row in con.execute(registry.ORACLE_SQL[name]).fetchall())
 
 
+def test_lower_sums_halve_their_bounds(spark):
+    """Sums over lower values are whole for any number of parts; no value is compared with every bound."""
+    df = spark.createDataFrame([(g, float(k) if k else math.nan, k + 1) for g in "ab" for k in range(60)], "g string, x double, n long")
+    for parts in (1, 5, 64):
+        out = aggs.with_lower_sums(df, ["g"], "x", ["n"], parts)
+        assert {(r.g, r.n): r.lower_n for r in out.collect()} == {(g, k + 1): sum(j + 1 for j in range(1, k or 60)) for g in "ab" for k in range(60)}
+    assert "filter(_bounds" not in out._jdf.queryExecution().toString()
+
+
 def test_files_in_and_out(spark, tmp_path):
     schema = "yes_bid int, volume long"
     (tmp_path / "t" / "2026-03-06").mkdir(parents=True)

@@ -21,11 +21,14 @@ def with_lower_sums(values: DataFrame, by: list[str], x: str, amounts: list[str]
     """Adds lower_<amount>: the sum over lower x of the group. One row for each (group, x).
 
     Values are dealt by `parts` of their own, those with the least hashes, so that a group with
-    very many values is ordered in as many tasks; only a row for each part is ordered as a whole."""
+    very many values is ordered in as many tasks; only a row for each part is ordered as a whole.
+    A value's part is found by halving its bounds."""
     w = Window.partitionBy(*by).orderBy(F.xxhash64(x), x)
     bounds = values.select(*by, x).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= parts).groupBy(*by).agg(F.array_sort(F.collect_list(x)).alias("_bounds"))
-    rows = values.join(bounds, by)
-    rows = rows.withColumn("_part", F.size(F.filter("_bounds", lambda b: b < F.col(x)))).drop("_bounds")
+    below = lambda k: F.coalesce(F.get("_bounds", k - 1) < F.col(x), F.lit(False))
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(parts.bit_length()))])
+    part = F.aggregate(halves, F.lit(0), lambda at, step: at + F.when(below(at + step), step).otherwise(0))
+    rows = values.join(bounds, by).withColumn("_part", part).drop("_bounds")
     inside = Window.partitionBy(*by, "_part").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*by, "_part").agg(*[F.sum(a).alias(a) for a in amounts])
@@ -37,7 +40,7 @@ def with_lower_sums(values: DataFrame, by: list[str], x: str, amounts: list[str]
 def percentiles(values: DataFrame, by: list[str], x: str, n: str, shares: dict[str, float]) -> DataFrame:
     """by, <name>...: exact percentiles (linear between neighbours) from values and their counts."""
     rows = with_lower_sums(values, by, x, [n])
-    total = rows.groupBy(*by).agg(F.sum(n).alias("_of"))
+    total = values.groupBy(*by).agg(F.sum(n).alias("_of"))
     rows = rows.join(total, by)
     at = lambda k: F.max(F.when((F.col(f"lower_{n}") <= k) & (k < F.col(f"lower_{n}") + F.col(n)), F.col(x)))
     place = {name: (F.col("_of") - 1) * F.lit(p) for name, p in shares.items()}
